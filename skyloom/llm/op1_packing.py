@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-CAPACITY, CUT, WINDOWS, CACHED = 1024, 128, 192, 400_000
+CAPACITY, CUT, WINDOWS, CACHED = 1024, 256, 256, 400_000
 _PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r -~À-ÖØ-öø-ſ‘’“”–—…€]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 

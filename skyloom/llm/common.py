@@ -157,3 +157,10 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Rename columns of ``df`` that clash with ``names``; the second value renames them back (withColumnsRenamed)."""
+    there = {c.lower() for c in names}
+    moved = {c: f"__aside_{i}" for i, c in enumerate(df.columns) if c.lower() in there}
+    return df.withColumnsRenamed(moved), {v: k for k, v in moved.items()}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, aside
 
 ROWS_PER_SALT, CLASS = 4096, 64
 
@@ -70,9 +70,11 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_rows(df: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``df`` as often as it is taken."""
+    """The mix itself: each row of ``df`` as often as it is taken, with its own columns."""
+    names = df.columns
+    df, back = aside(df, ["size", "source_size", "target", "copies", "taken"])
     out = mix_sources(df, **how).filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)")))
-    return out.select(*df.columns) if not set(df.columns) & {"size", "source_size", "target", "copies", "taken"} else out.select(*[c for c in out.columns if c in df.columns])
+    return out.select(*df.columns).withColumnsRenamed(back).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, grouped, hash_spans, runs, small_batches, text_bytes, words
+from .common import U64, aside, grouped, hash_spans, runs, small_batches, text_bytes, words
 
 WINDOW, SEED = 13, 5
 
@@ -165,6 +165,17 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return by_group.cogroup(spans.groupBy("grp")).applyInArrow(remove, out_schema)
 
 
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **how) -> DataFrame:
+    """All rows and columns of ``df``; texts lose their repeated words, and ``length_col``, if there, follows."""
+    names = df.columns
+    df, back = aside(df, ["n_words", "n_removed", "kept_sha256", "kept_text", "__grp"])
+    out = substring_dedup(df, id_col, text_col, **how)
+    out = out.withColumn(text_col, F.col("kept_text"))
+    if length_col in df.columns:
+        out = out.withColumn(length_col, F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType))
+    return out.select(*df.columns).withColumnsRenamed(back).select(*names)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -17,6 +17,7 @@ each; other columns are dropped.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-CAPACITY, CUT, WINDOWS, CACHED = 1024, 256, 256, 400_000
+CAPACITY, CUT, WINDOWS, CACHED = 1024, 256, 192, 400_000
 _PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r -~À-ÖØ-öø-ſ‘’“”–—…€]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ0-9]+|\s+(?!\S)|\s+")
 
 
 def default_tokenizer() -> str:
@@ -38,6 +39,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as one printable letter."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of pieces by piece; a second generation keeps the frequent ones when the first is full."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters, self.old = tokenizer.model, _byte_letters(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Little-endian 32-bit ids of texts, as bytes."""
 
@@ -46,41 +74,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = json.loads(self.tokenizer.to_str())
+        pre = kind.get("pre_tokenizer") or {}
+        self.by_piece = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.pieces = _Pieces(self.tokenizer)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        split, odd = {}, []
+        odd, get = [], self.pieces.__getitem__
         for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                split[i] = _PIECE.findall(t)
+            if self.by_piece and _PLAIN.fullmatch(t) and not any(s in t for s in self.special):
+                out[i] = b"".join(map(get, _PIECE.findall(t)))
             else:
                 odd.append(i)
-        seen: set[str] = set()
-        for x in split.values():
-            seen.update(x)
-        missing = []
-        for p in seen:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    missing.append(p)
-        self.new.update(zip(missing, self._whole(missing), strict=True))
-        get = self.new.__getitem__
-        for i, x in split.items():
-            out[i] = b"".join(map(get, x))
-        for i, x in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = x
-        if len(self.new) > CACHED:
-            self.new, self.old = {}, self.new
+        if odd:
+            for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        self.pieces.age()
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str | None) -> Encoder:
+    """One per Python worker and file, so that its pieces serve later tasks as well."""
+    path = path or default_tokenizer()
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def difference(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Karmarkar-Karp: the window of each item and the windows' sums, for ``m`` windows."""
     left, right = [-1] * len(sizes), [-1] * len(sizes)
@@ -147,7 +171,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
-        encode, base, made = Encoder(tokenizer or default_tokenizer()), TaskContext.get().partitionId() << 40, 0
+        encode, base, made = encoder(tokenizer), TaskContext.get().partitionId() << 40, 0
         waiting: list[tuple] = []  # id, start, ids, tokens of the document
         held = 0
 

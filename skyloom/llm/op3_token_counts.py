@@ -24,9 +24,9 @@ def token_lengths(df: DataFrame, text_col: str = "text", tokenizer: str | None =
     small_batches(df.sparkSession, 500)
 
     def count(batches):
-        from .op1_packing import Encoder, default_tokenizer
+        from .op1_packing import encoder
 
-        encode = Encoder(tokenizer or default_tokenizer())
+        encode = encoder(tokenizer)
         for batch in batches:
             ids = encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.array([len(x) // 4 for x in ids], np.int64))], names=["length"])

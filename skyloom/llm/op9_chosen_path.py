@@ -1,8 +1,9 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each distinct shingle set gets 64 minwise tokens. Independent trees send a set down a path of tokens: a node with few
-sets compares them exhaustively; a larger node compares every set with the node's smallest member and branches by the
-tree's next token. Only pairs whose tokens agree often enough are confirmed, on the full shingle sets of both texts.
+Each distinct shingle set gets 64 minwise tokens. Independent trees send a set down a path of tokens. First every node's
+sets are compared with its smallest member, which joins most copies of a text at once; nodes of a single component are
+then done. In the others, a node with few sets compares those of different components exhaustively, and a larger node
+compares its smallest member with the rest and branches by the tree's next token. Only pairs whose tokens agree often enough are confirmed, on the full shingle sets of both texts.
 Leaves that stay large at the last level finish exactly: every member outside the leaf's most common component is
 compared with all members of other components, so nothing is capped. Equal sets are collapsed first (partial
 aggregation), hence thousands of copies are one member. Components come from alternating large-star and small-star
@@ -63,23 +64,39 @@ def _sketch(id_col: str, text_col: str, k: int):
     return sketch
 
 
-def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a < b) of all trees, and the members of leaves that are large at the last level."""
+def _members(at: DataFrame) -> DataFrame:
+    """Rows of nodes that hold more than one set, with the node's size and smallest member."""
+    size = at.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
+    return durable(at.join(size, "node"))
+
+
+def _roots(reps: DataFrame) -> DataFrame:
+    """Each set in the first node of each tree, with its path there."""
     paths = F.array(*[F.slice("tokens", 1 + t * LEVELS, LEVELS) for t in range(TREES)])
-    at = reps.select("id", F.posexplode(paths).alias("tree", "path")).select(F.xxhash64("tree", F.element_at("path", 1)).alias("node"), "id", "path")
+    at = reps.select("id", F.posexplode(paths).alias("tree", "path"))
+    return _members(at.select(F.xxhash64("tree", F.element_at("path", 1)).alias("node"), "id", "path"))
+
+
+def _branches(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a < b) of different components in all nodes, and the leaves that are large at the last level.
+
+    A node whose sets are all of one component already is dropped with all its branches.
+    """
     found = []
     for level in range(1, LEVELS + 1):
-        size = at.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
-        level_rows = durable(at.join(size, "node"))
-        small = level_rows.filter(F.col("size") <= NODE).groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        small = small.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-        large = level_rows.filter(F.col("size") > NODE)
-        found += [small, large.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))]
+        named = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        mixed = named.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "id").alias("pc")).filter("lo < hi").drop("lo", "hi")
+        rows = durable(named.join(mixed, "node"))
+        small = rows.filter(F.col("size") <= NODE).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("all"))
+        both = "flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> y.c != x.c), y -> struct(x.id as a, y.id as b))))"
+        found.append(small.select(F.explode(F.expr(both)).alias("p")).select("p.a", "p.b"))
+        large = rows.filter(F.col("size") > NODE)
+        found.append(large.filter("c != pc").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         if large.isEmpty():
             large = None
             break
         if level < LEVELS:
-            at = large.select(F.xxhash64("node", F.element_at("path", level + 1)).alias("node"), "id", "path")
+            members = _members(large.select(F.xxhash64("node", F.element_at("path", level + 1)).alias("node"), "id", "path"))
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
@@ -93,6 +110,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, num: i
     q = pairs.join(sides.toDF("a", "na", "ta"), "a").join(sides.toDF("b", "nb", "tb"), "b")
     q = q.filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.expr("aggregate(zip_with(ta, tb, (x, y) -> int(x = y)), 0, (s, x) -> s + x)") >= need)).select("a", "b")
     q = durable(q)
+    if q.isEmpty():
+        return q
     both = q.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def check(batches):
@@ -145,15 +164,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = sets.filter("n > 0 and id is not null")
     # the tokens of equal sets are equal, so a row for each class needs any of them
     reps = durable(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")))
-    pairs, leaves = _nodes(reps.dropDuplicates(["id"]))
-    one = texts.filter("id is not null")
-    links = _confirm(pairs, reps, one, k, num, den)
-    comp = components(links)
+    reps, one = reps.dropDuplicates(["id"]), texts.filter("id is not null")
+    roots = _roots(reps)
+    links = _confirm(roots.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, one, k, num, den)
+    comp = durable(components(links))
+    pairs, leaves = _branches(roots, comp)
+    more = _confirm(pairs, reps, one, k, num, den)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = durable(components(links))
     if leaves is not None:
         more = _confirm(_rest(leaves, comp), reps, one, k, num, den)
         if not more.isEmpty():
-            comp = components(links.unionByName(more))
-    comp = durable(comp)
+            comp = durable(components(links.unionByName(more)))
     named = reps.drop("tokens").join(comp, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("c"))
     rows = sets.drop("tokens").join(named.withColumnRenamed("n", "m"), (F.col("n") == F.col("m")) & (sets.f1 == named.f1) & (sets.f2 == named.f2), "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

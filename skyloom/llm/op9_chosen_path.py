@@ -4,11 +4,11 @@ Each distinct shingle set gets 64 minwise tokens. Independent trees send a set d
 sets are compared with its smallest member, which joins most copies of a text at once; nodes of a single component are
 then done. In the others, a node with few sets compares those of different components exhaustively, and a larger node
 compares its smallest member with the rest and branches by the tree's next token. Only pairs whose tokens agree often enough are confirmed, on the full shingle sets of both texts.
-Leaves that stay large at the last level finish exactly: every member outside the leaf's most common component is
-compared with all members of other components, so nothing is capped. Equal sets are collapsed first (partial
+Leaves that stay large and mixed at the last level finish exactly, by a prefix join on their rarest shingles, so nothing
+is capped. Equal sets are collapsed first (partial
 aggregation), hence thousands of copies are one member. Components come from alternating large-star and small-star
 rounds, which keep at most as many rows as there are links. A tree misses a pair of similarity 0.85 with a probability of
-at most 1 - 0.85^depth; ten trees and the star comparisons bring the miss rate under 1e-6 for pairs in small nodes.
+at most 1 - 0.85^3, so 14 trees miss it with one of about 2e-6 even where nodes are dense, and of 3e-12 elsewhere.
 
 Defined cases: A-Z are lower-cased; fewer than ``k`` words are one shingle; texts without words (or null) have no
 shingles and no links; a row with a null id keeps to itself (component null, kept); rows that repeat an id share its
@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, durable, hash_spans, lower, mix, pieces, runs, small_batches, text_bytes, words
 
-TOKENS, TREES, LEVELS, NODE = 64, 10, 6, 16
+TOKENS, TREES, LEVELS, NODE = 64, 14, 3, 16
 _MULTIPLIERS = np.random.default_rng(90210).integers(1, 2**63, TOKENS).astype(U64) | U64(1)
 
 
@@ -104,8 +104,8 @@ def _branches(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs with den * |x and y| >= num * |x or y|, counted on the full sets; a cheap exact size bound and a token count that such pairs miss with odds of about 1e-9 come first."""
-    need = int(TOKENS * num / den - 6.2 * (TOKENS * num / den * (1 - num / den)) ** 0.5)
+    """Pairs with den * |x and y| >= num * |x or y|, counted on the full sets; a cheap exact size bound and a token count that such pairs miss with odds of about 1e-6 come first."""
+    need = int(TOKENS * num / den - 5 * (TOKENS * num / den * (1 - num / den)) ** 0.5)
     sides = reps.select("id", "n", "tokens")
     q = pairs.join(sides.toDF("a", "na", "ta"), "a").join(sides.toDF("b", "nb", "tb"), "b")
     q = q.filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.expr("aggregate(zip_with(ta, tb, (x, y) -> int(x = y)), 0, (s, x) -> s + x)") >= need)).select("a", "b")
@@ -141,18 +141,38 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: every larger neighbour of u points at u's smallest neighbour
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star = around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours point at the smallest of them
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         edges = durable(star.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
 
 
-def _rest(leaves: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of different components in leaves that stayed large, one of them outside the leaf's most common component."""
-    named = durable(leaves.join(comp, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c")))
-    top = named.groupBy("node", "c").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
-    minor = named.join(top, "node").filter("c != top").select("node", F.col("id").alias("x"), F.col("c").alias("cx"))
-    return minor.join(named, "node").filter("c != cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+def _rest(leaves: DataFrame, comp: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """All pairs of different components that can be similar within leaves that stayed large, by an exact prefix join.
+
+    Two sets of similarity num/den share one of their ``n - ceil(n * num / den) + 1`` rarest shingles, and a shingle that
+    makes a leaf large (a passage in many documents) is rare in no set. Shingles of a single component make no pair.
+    """
+    named = leaves.join(comp, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("node")
+    ids = durable(named.join(mixed, "node").select("id", "c").distinct())
+
+    def explode(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), k)
+            n = np.array([len(x) for x in sets])
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("c").take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "c", "n", "s"])
+
+    rows = durable(texts.join(ids, "id").select("id", "c", "text").mapInArrow(explode, "id long, c long, n long, s long"))
+    spread = rows.groupBy("s").agg(F.count("*").alias("docs"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    own = Window.partitionBy("id").orderBy("docs", "s")
+    first = rows.join(spread, "s").withColumn("at", F.row_number().over(own)).filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & (F.col("lo") < F.col("hi")))
+    first = durable(first.select("id", "c", "n", "s", "at"))
+    pairs = first.toDF("a", "ca", "na", "s", "ia").join(first.toDF("b", "cb", "nb", "s", "ib"), "s").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    # what can still be common from their first common shingle on
+    enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1) * (num + den) >= (F.col("na") + F.col("nb")) * num
+    return pairs.filter(enough & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
@@ -174,7 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionByName(more)
         comp = durable(components(links))
     if leaves is not None:
-        more = _confirm(_rest(leaves, comp), reps, one, k, num, den)
+        more = _confirm(_rest(leaves, comp, one, k, num, den), reps, one, k, num, den)
         if not more.isEmpty():
             comp = durable(components(links.unionByName(more)))
     named = reps.drop("tokens").join(comp, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("c"))

@@ -2,5 +2,202 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import catalogue as C
+from .functions.pages import evaluate, evaluate_once
+from .functions.urls import entropy, host_of, human_first, normalize_url, registered_domain, reject_reason, url_hash
+from .operators import pairs as _P_
+from .operators.pairs import label, pair_table
+from .operators.stats import cohens_kappa, prevalence
+from .plans import observations as O
+from .sources.feeds import classify
+
+VARIANTS = ("", "?email=a", "/verify", ":8443/x", "@evil.example/", " bad", "#frag")
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    tails = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(v).alias("tail")) for i, v in enumerate(VARIANTS)])
+    v = pages.withColumn("v", F.explode(tails)).select("page_id", "url", "v.variant", "v.tail")
+    bare = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    return v.select("page_id", "variant", F.when(F.col("variant").isin(3, 4), F.concat(bare, "tail")).otherwise(F.concat("url", "tail")).alias("url"))
+
+
+def url_normalize(spark, d):
+    return _variants(spark, d).select("page_id", "variant", normalize_url(F.col("url")).alias("normalized"), reject_reason(F.col("url")).alias("reason"))
+
+
+def url_registered_domain(spark, d):
+    return _variants(spark, d).select("page_id", "variant", host_of(F.col("url")).alias("host"), registered_domain(host_of(F.col("url"))).alias("domain"))
+
+
+def url_entropy(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.round(entropy(F.col("url")), 9).alias("bits"))
+
+
+def crawl_order(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", url_hash(F.col("url")).alias("url_hash"), human_first(F.col("url")).alias("human_first"))
+
+
+def feed_import(spark, d):
+    lines = _variants(spark, d).select((F.col("page_id") * len(VARIANTS) + F.col("variant") + 1).alias("line"), F.regexp_replace("url", "[?#].*$", "").alias("raw_url"))
+    return classify(lines).select("line", "raw_url", "reason", "normalized_url", "accepted")
+
+
+def _seen(spark, d) -> DataFrame:
+    return evaluate_once(O.observations(spark, d)).withColumn("issues", O.issues())
+
+
+def page_rules(spark, d):
+    seen = evaluate(O.observations(spark, d).filter("access_index = 2"))
+    return seen.select("page_id", *[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing")
+
+
+def observation_issues(spark, d):
+    o = O.observations(spark, d).withColumn("issue", F.explode(O.issues()))
+    return o.groupBy("slot", "replicate", "issue").agg(F.count("*").alias("n"))
+
+
+def cloaking_label(spark, d):
+    out = label(pair_table(_seen(spark, d)))
+    return out.select("page_id", F.array_join("fired", "|").alias("fired"), F.array_join("hidden", "|").alias("hidden"), "rule_label", "label", F.array_join("reasons", "|").alias("reasons"))
+
+
+def reason_counts(spark, d):
+    return label(pair_table(_seen(spark, d))).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def label_prevalence(spark, d):
+    out = label(pair_table(_seen(spark, d))).withColumn("cohort", F.col("page_id") % 3)
+    p = prevalence(out, "cohort")
+    return p.select("cohort", "n", "t", "f", "na", *[F.round(c, 9).alias(c) for c in ("lower", "upper", "conditional", "ci_lo", "ci_hi")])
+
+
+def annotator_kappa(spark, d):
+    k = cohens_kappa(spark.read.parquet(f"{d}/labels.parquet"), "quality", "toxic")
+    return k.select("n", *[F.round(c, 9).alias(c) for c in ("po", "pe", "kappa")])
+
+
+QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_V = f"""
+variants AS (SELECT page_id, variant, CASE WHEN variant IN (3, 4) THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || tail ELSE url || tail END AS url
+             FROM pages CROSS JOIN (VALUES {", ".join(f"({i}, {_q(v)})" for i, v in enumerate(VARIANTS))}) t(variant, tail))"""
+_P = _q(r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$")
+_N = f"""
+parts AS (SELECT *, trim(url) AS u, lower(regexp_extract(trim(url), {_P}, 1)) AS scheme, regexp_extract(trim(url), {_P}, 2) AS netloc FROM src),
+judged AS (SELECT *, CASE WHEN regexp_matches(u, '[\\x00-\\x20\\x7f\\\\]') THEN 'invalid_url_characters' WHEN scheme NOT IN ('http', 'https') OR netloc = '' THEN 'http_url_required'
+    WHEN contains(netloc, '@') THEN 'userinfo_not_allowed'
+    WHEN regexp_extract(netloc, ':([^:\\]]*)$', 1) <> '' AND (NOT regexp_matches(regexp_extract(netloc, ':([^:\\]]*)$', 1), '^[0-9]{{1,5}}$') OR TRY_CAST(regexp_extract(netloc, ':([^:\\]]*)$', 1) AS INTEGER) > 65535) THEN 'invalid_port' END AS reason FROM parts),
+normal AS (SELECT *, CASE WHEN reason IS NULL THEN scheme || '://' || regexp_replace(lower(netloc), CASE WHEN scheme = 'http' THEN ':(80|0)?$' ELSE ':(443|0)?$' END, '')
+    || CASE WHEN regexp_extract(u, {_P}, 3) = '' THEN '/' ELSE regexp_extract(u, {_P}, 3) END || regexp_extract(u, {_P}, 4) || regexp_extract(u, {_P}, 5) END AS normalized FROM judged)"""
+_FREE = "[" + ", ".join(map(_q, C.FREE_HOSTS)) + "]"
+_SECOND = "(" + ", ".join(map(_q, C.SECOND_LEVEL)) + ")"
+
+
+def _domain(h: str) -> str:
+    parts = f"string_split({h}, '.')"
+    return f"(CASE WHEN len({parts}) <= 2 THEN {h} WHEN len(list_filter({_FREE}, lambda f: ends_with({h}, '.' || f))) > 0 OR {parts}[len({parts}) - 1] IN {_SECOND} THEN array_to_string(list_slice({parts}, len({parts}) - 2, len({parts})), '.') ELSE array_to_string(list_slice({parts}, len({parts}) - 1, len({parts})), '.') END)"
+
+
+_HOST = "lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_EVIL = "((slot = 'human' AND s IN (1, 3, 5, 6)) OR (slot = 'human' AND replicate = 1 AND s = 2) OR (slot = 'bot' AND replicate = 1 AND s = 7) OR s = 8)"
+_OBS = f"""
+base AS (SELECT page_id, url, html AS raw, page_id % 12 AS s, slot, replicate, access_index FROM pages CROSS JOIN (VALUES ('bot', 1, 1), ('human', 1, 2), ('bot', 2, 3), ('human', 2, 4)) t(slot, replicate, access_index)),
+obs AS (SELECT page_id, url, s, slot, replicate, access_index, CASE WHEN slot = 'bot' AND s IN (3, 4) THEN 403 WHEN slot = 'bot' AND replicate = 2 AND s = 11 THEN 503 WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 0 ELSE 200 END AS status,
+    CASE WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 'timeout' ELSE '' END AS error,
+    CASE WHEN (slot = 'bot' AND s = 5) OR (slot = 'human' AND replicate = 1 AND s = 10) THEN '' ELSE raw || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s = 9 THEN {_q(O.GATE)} ELSE '' END END AS html,
+    CASE WHEN slot = 'human' AND s = 6 THEN 'https://other.example/' ELSE url END AS last_hop FROM base)"""
+_FORM, _PASS, _ACT = _q(r"(?is)<form\b[^>]*>.*?</form>"), _q(r"(?i)type\s*=\s*['\"]?password"), _q(r"(?i)action\s*=\s*['\"]?https?://([^/'\">\s:?#]+)")
+_HITS = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns)}) AS {name}" for name, (_, _, patterns) in C.CATEGORIES.items())
+_IP = "regexp_matches(h, '^[0-9]+(\\.[0-9]+){3}$')"
+_ISFREE = f"len(list_filter({_FREE}, lambda f: h = f OR ends_with(h, '.' || f))) > 0"
+_ON = {k: f"{k} > 0" for k in C.CATEGORIES} | {k: k for k in (*C.FORM_FLAGS, "at_symbol_in_url", "punycode_domain")}
+_list = lambda items: "[" + ", ".join(items) + "]"
+_SCORE = "0.0::DOUBLE" + "".join(f" + {w}::DOUBLE * least(1.0::DOUBLE, {k} / 3.0::DOUBLE)" for k, (w, _, _) in C.CATEGORIES.items())
+
+
+def _combo_steps() -> str:
+    """One CTE for each combination keeps the text short."""
+    steps, last = [], "k0"
+    for i, (bonus, least) in enumerate(C.COMBOS, 1):
+        steps.append(f"k{i} AS (SELECT * EXCLUDE (x), CASE WHEN {' AND '.join(f'{k} >= {n}' for k, n in least.items())} THEN least(1.0::DOUBLE, x + {bonus}::DOUBLE) ELSE x END AS x FROM {last})")
+        last = f"k{i}"
+    return ",\n".join(steps)
+
+
+_EVAL = f"""
+hit AS (SELECT *, {_HITS}, list_filter(list_transform(list_filter(regexp_extract_all(html, {_FORM}, 0), lambda f: regexp_matches(f, {_PASS})), lambda f: lower(regexp_extract(f, {_ACT}, 1))), lambda h: h <> '') AS hosts,
+        len(list_filter(regexp_extract_all(html, {_FORM}, 0), lambda f: regexp_matches(f, {_PASS}))) > 0 AS cred_form, {_domain(_HOST)} AS own, regexp_matches(url, '://[^/]*@') AS at_symbol_in_url, contains({_HOST}, 'xn--') AS punycode_domain FROM obs),
+frm AS (SELECT *, len(list_filter(hosts, lambda h: {_IP})) > 0 AS form_action_to_ip, len(list_filter(hosts, lambda h: NOT {_IP} AND {_ISFREE})) > 0 AS form_action_free_host,
+        len(list_filter(hosts, lambda h: NOT {_IP} AND NOT {_ISFREE} AND {_domain("h")} <> own)) > 0 AS form_action_cross_domain FROM hit),
+sco AS (SELECT *, {_SCORE} AS s1, CASE WHEN form_action_to_ip OR form_action_free_host THEN 0.45::DOUBLE WHEN form_action_cross_domain THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM frm),
+k0 AS (SELECT *, CASE WHEN boost > 0 THEN least(1.0::DOUBLE, s1 + boost) ELSE s1 END AS s0, CASE WHEN boost > 0 THEN least(1.0::DOUBLE, s1 + boost) ELSE s1 END AS x,
+       list_filter({_list(f"CASE WHEN {' AND '.join(_ON[f] for f in flags)} THEN '{k}' END" for k, flags in C.DECISIVE.items())}, lambda v: v IS NOT NULL) AS decisive,
+       list_sort(list_filter({_list(f"CASE WHEN {c} THEN '{k}' END" for k, c in _ON.items())}, lambda v: v IS NOT NULL)) AS flags FROM sco),
+{_combo_steps()},
+ev AS (SELECT *, CASE WHEN len(decisive) > 0 THEN s0 ELSE x END AS final, list_filter(flags, lambda v: list_contains({_list(map(_q, C.MECHANISMS))}, v)) AS mechanisms FROM k{len(C.COMBOS)})"""
+_ISSUES = "list_sort(list_filter([CASE WHEN error <> '' OR status = 0 THEN 'crawl_error' END, CASE WHEN status <> 0 AND NOT status BETWEEN 200 AND 299 THEN 'http_error_status' END, CASE WHEN html = '' AND NOT (error <> '' OR status = 0) THEN 'empty_document' END, CASE WHEN regexp_matches(html, '(?i)captcha') THEN 'challenge_or_block_page' END], lambda v: v IS NOT NULL))"
+_HIGH = _list(map(_q, C.HIGH_SPECIFICITY))
+
+
+def _side(b: str, h: str, tag: str) -> str:
+    mb, mh = f"{b}.mechanisms", f"{h}.mechanisms"
+    hidden, reverse = f"list_sort(list_filter({mh}, lambda v: NOT list_contains({mb}, v)))", f"list_sort(list_filter({mb}, lambda v: NOT list_contains({mh}, v)))"
+    evil = f"list_has_any({mh}, {_HIGH})"
+    host = lambda n: f"regexp_extract({n}.last_hop, '://([^/?#]*)', 1)"
+    rules = [
+        ("C1", f"len({hidden}) > 0 AND {b}.html <> '' AND {b}.error = '' AND {b}.status NOT IN (403, 404, 503)"), ("C2", f"{b}.status IN (403, 404, 503) AND {h}.status = 200 AND {evil}"),
+        ("C3", f"contains({b}.error, 'ERR_HTTP2_PROTOCOL_ERROR') AND {h}.error = '' AND {evil}"), ("C4", f"{h}.html <> '' AND {b}.html = '' AND {b}.error = '' AND {evil}"),
+        ("C5", f"{host(b)} <> {host(h)} AND len({mh}) > 0 AND len({mb}) = 0"),
+    ]
+    return f"list_filter({_list(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules)}, lambda v: v IS NOT NULL) AS fired{tag}, {hidden} AS hidden{tag}, {reverse} AS rev{tag}"
+
+
+def _tag(col: str, name: str, allowed) -> str:
+    return f"list_transform(list_filter({col}.issues, lambda v: list_contains({_list(map(_q, allowed))}, v)), lambda v: '{name}:' || v)"
+
+
+_one = lambda c, r: f"CASE WHEN {c} THEN ['{r}'] ELSE [] END"
+
+
+def _cat(items) -> str:
+    items = list(items)
+    return "flatten([" + ", ".join(items) + "])"
+
+
+_NAMES = (("b1", "bot#1"), ("b2", "bot#2"), ("h1", "human#1"), ("h2", "human#2"))
+_LABEL = f"""
+one AS (SELECT page_id, slot, replicate, status, error, html, last_hop, mechanisms, {_ISSUES} AS issues FROM ev),
+pr AS (SELECT b1.page_id, {_side("b1", "h1", "1")}, {_side("b2", "h2", "2")}, {_cat([_tag("b1", "bot#1", _P_.RULE_BOT), _tag("h1", "human#1", _P_.UNUSABLE)])} AS block,
+    {_cat([_tag("h1", "human#1", _P_.TRUE_HUMAN), _tag("h2", "human#2", _P_.TRUE_HUMAN), _tag("b1", "bot#1", _P_.TRUE_BOT), _tag("b2", "bot#2", _P_.TRUE_BOT)])} AS bt, {_cat(_tag(c, n, _P_.FALSE_ALL) for c, n in _NAMES)} AS bf,
+    {_cat(_one(f"{s}1.{k} IS DISTINCT FROM {s}2.{k}", f"{n}_unstable_{k}") for s, n in (("b", "bot"), ("h", "human")) for k in ("status", "mechanisms"))} AS drift
+    FROM one b1 JOIN one h1 ON h1.page_id = b1.page_id AND h1.slot = 'human' AND h1.replicate = 1 JOIN one b2 ON b2.page_id = b1.page_id AND b2.slot = 'bot' AND b2.replicate = 2
+    JOIN one h2 ON h2.page_id = b1.page_id AND h2.slot = 'human' AND h2.replicate = 2 WHERE b1.slot = 'bot' AND b1.replicate = 1),
+rl AS (SELECT *, CASE WHEN len(block) > 0 THEN 'unknown' WHEN len(fired1) > 0 THEN 'true' ELSE 'false' END AS rule_label FROM pr),
+why AS (SELECT *, CASE rule_label WHEN 'unknown' THEN block WHEN 'true' THEN {_cat(["bt", _one("fired1 <> fired2 OR hidden1 <> hidden2", "difference_not_replicated"), _one(f"NOT list_has_any(hidden1, {_HIGH})", "difference_without_high_specificity_evidence")])}
+    ELSE {_cat(["bf", _one("len(fired2) > 0", "difference_not_replicated")])} END AS w FROM rl),
+lab AS (SELECT *, {_cat(["CASE WHEN rule_label = 'false' AND len(w) = 0 THEN drift ELSE w END", _one("rule_label <> 'unknown' AND (len(rev1) > 0 OR len(rev2) > 0)", "reverse_difference_or_order_effect")])} AS reasons FROM why),
+res AS (SELECT *, CASE WHEN rule_label <> 'unknown' AND len(reasons) = 0 THEN rule_label ELSE 'unknown' END AS label FROM lab)"""
+_W = "(t / n::DOUBLE + 3.8416 / (2 * n)) / (1 + 3.8416 / n) {sign} 1.96 * sqrt(t / n::DOUBLE * (1 - t / n::DOUBLE) / n + 3.8416 / (4 * n::DOUBLE * n)) / (1 + 3.8416 / n)"
+_CHAIN = f"WITH {_OBS}, {_EVAL}, {_LABEL} "
+SQL = {
+    "url_normalize": f"WITH {_V}, src AS (SELECT * FROM variants), {_N} SELECT page_id, variant, normalized, reason FROM normal",
+    "url_registered_domain": f"WITH {_V}, h AS (SELECT page_id, variant, {_HOST} AS host FROM variants) SELECT page_id, variant, host, {_domain('host')} AS domain FROM h",
+    "url_entropy": "WITH c AS (SELECT page_id, length(url) AS n, c, count(*) AS k FROM (SELECT page_id, url, unnest(string_split(url, '')) AS c FROM pages) WHERE c <> '' GROUP BY ALL) SELECT page_id, round(sum(-(k / n::DOUBLE) * log2(k / n::DOUBLE)), 9) AS bits FROM c GROUP BY page_id",
+    "crawl_order": "SELECT page_id, substr(sha1(url), 1, 12) AS url_hash, substr(sha1(url), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS human_first FROM pages",
+    "feed_import": f"WITH {_V}, src AS (SELECT page_id * {len(VARIANTS)} + variant + 1 AS line, regexp_replace(url, '[?#].*$', '') AS url FROM variants), {_N}, d AS (SELECT line, url, normalized, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY normalized ORDER BY line) > 1 THEN 'duplicate' END AS reason FROM normal) SELECT line, url AS raw_url, reason, normalized AS normalized_url, reason IS NULL AS accepted FROM d",
+    "page_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev WHERE access_index = 2",
+    "observation_issues": f"WITH {_OBS} SELECT slot, replicate, issue, count(*) AS n FROM (SELECT slot, replicate, unnest({_ISSUES}) AS issue FROM obs) GROUP BY ALL",
+    "cloaking_label": _CHAIN + "SELECT page_id, array_to_string(fired1, '|') AS fired, array_to_string(hidden1, '|') AS hidden, rule_label, label, array_to_string(reasons, '|') AS reasons FROM res",
+    "reason_counts": _CHAIN + "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM res) GROUP BY reason",
+    "label_prevalence": _CHAIN + f", g AS (SELECT page_id % 3 AS cohort, count(*) AS n, count(*) FILTER (label = 'true') AS t, count(*) FILTER (label = 'false') AS f, count(*) FILTER (label = 'unknown') AS na FROM res GROUP BY 1) SELECT cohort, n, t, f, na, round(t / n::DOUBLE, 9) AS lower, round((t + na) / n::DOUBLE, 9) AS upper, round(t / nullif(t + f, 0)::DOUBLE, 9) AS conditional, round(greatest(0.0, {_W.format(sign='-')}), 9) AS ci_lo, round(least(1.0, {_W.format(sign='+')}), 9) AS ci_hi FROM g",
+    "annotator_kappa": "WITH a AS (SELECT quality AS a, toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) / count(*)::DOUBLE AS po FROM a), p AS (SELECT sum(x.k * y.k) / (SELECT n * n FROM t)::DOUBLE AS pe FROM (SELECT a, count(*) AS k FROM a GROUP BY a) x JOIN (SELECT b, count(*) AS k FROM a GROUP BY b) y ON x.a = y.b) SELECT n, round(po, 9) AS po, round(pe, 9) AS pe, round((po - pe) / (1 - pe), 9) AS kappa FROM t, p",
+}

@@ -5,8 +5,8 @@ length. Over that histogram suffix sums answer, for every context limit at once,
 tokens truncation to the limit keeps and loses, and every quantile. A limit is any length that occurs (and 0); values
 between two of them follow from the row below.
 
-``encode`` names how lengths are measured: bytes of UTF-8 (the default of the query, so SQL can check it) or token ids of a
-tokenizer file. Defined cases: null text has length 0; other columns are dropped; empty input gives no rows.
+Lengths are counts of token ids of a tokenizer file. The histogram is read twice, so it is written once: a text is encoded
+one time. Defined cases: null text has length 0; other columns are dropped; empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import durable, small_batches
 
 
 def token_lengths(df: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -38,13 +38,13 @@ def histogram(lengths: DataFrame, length_col: str = "length") -> DataFrame:
     return lengths.groupBy(F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("length")).agg(F.count("*").alias("docs"))
 
 
-def limits(hist: DataFrame, block: int = 4096) -> DataFrame:
+def limits(hist: DataFrame, block: int = 256) -> DataFrame:
     """Per length as a context limit: documents and tokens up to it, documents above, kept and lost tokens, quantile.
 
     Sums run in two levels, within blocks of ``block`` consecutive lengths and over the blocks' totals, so the single
     ordered window holds one row per block, at most the longest length / ``block``.
     """
-    rows = hist.withColumn("b", F.expr(f"length div {block}"))
+    rows = durable(hist).withColumn("b", F.expr(f"length div {block}"))
     sums = rows.groupBy("b").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("length")).alias("t"))
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()

@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near-duplicates (five-word shingles, similarity 0.85 or more)."""
-    return keep_first(docs)
+    """Keep the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return keep_first(docs, num=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

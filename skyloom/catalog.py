@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import catalogue as C
-from .functions.pages import evaluate, evaluate_once
+from .functions import pages as R
+from .functions.pages import evaluate, evaluate_once, signatures
 from .functions.urls import entropy, host_of, human_first, normalize_url, registered_domain, reject_reason, url_hash
 from .operators import pairs as _P_
 from .operators.pairs import label, pair_table
@@ -55,6 +56,26 @@ def page_rules(spark, d):
     return seen.select("page_id", *[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing")
 
 
+#: Hosts with something before, after or below them, and what follows the URL.
+RISKS = (("", "", ""), ("verify9.", "", "/bn/troftnikon1"), ("", ".duckdns.org", "/paypal/login"), ("microsoft.", ".pages.dev", "/"), ("", ":8443", "/a?x=1&email=b"), ("paypal.com@", "", "/"), ("xn--a-b-c-d-e.", "", "/en/abcdefgh"), ("", "-a-b-c-d.com", "/1234567890123456789012345678901234567890123456789012345678901234567890"))
+
+
+def url_risk(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for i, (a, b, c) in enumerate(RISKS)])).alias("v"), "url")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    risky = pages.select("page_id", "v.variant", F.concat(F.lit("https://"), "v.a", host, "v.b", "v.c").alias("url"), F.lit("").alias("html"))
+    return evaluate(risky).select("page_id", "variant", F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"))
+
+
+#: Script snippets after each page, one of six in turn.
+SNIPPETS = ("", "<script>if(navigator.webdriver){location.href='https://a.example'}</script>", "<script>document.referrer; screen.width < 600</script>", "<script>canvas.x; if (a) b; setTimeout(function(){location='x'})</script>", "<script>window.__cdc_a; WebGL; if (c) d</script>", "<script>el.onmousemove = f; geoip()</script>")
+
+
+def frontend_signatures(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat("html", F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("page_id") % len(SNIPPETS) + 1).cast("int"))).alias("html"))
+    return signatures(pages).select("page_id", F.array_join("techniques", "|").alias("techniques"), F.array_join("static_rules", "|").alias("static_rules"))
+
+
 def observation_issues(spark, d):
     o = O.observations(spark, d).withColumn("issue", F.explode(O.issues()))
     return o.groupBy("slot", "replicate", "issue").agg(F.count("*").alias("n"))
@@ -80,7 +101,7 @@ def annotator_kappa(spark, d):
     return k.select("n", *[F.round(c, 9).alias(c) for c in ("po", "pe", "kappa")])
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
+QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, url_risk, frontend_signatures, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
 
 
 def _q(text: str) -> str:
@@ -98,13 +119,16 @@ judged AS (SELECT *, CASE WHEN regexp_matches(u, '[\\x00-\\x20\\x7f\\\\]') THEN
     WHEN regexp_extract(netloc, ':([^:\\]]*)$', 1) <> '' AND (NOT regexp_matches(regexp_extract(netloc, ':([^:\\]]*)$', 1), '^[0-9]{{1,5}}$') OR TRY_CAST(regexp_extract(netloc, ':([^:\\]]*)$', 1) AS INTEGER) > 65535) THEN 'invalid_port' END AS reason FROM parts),
 normal AS (SELECT *, CASE WHEN reason IS NULL THEN scheme || '://' || regexp_replace(lower(netloc), CASE WHEN scheme = 'http' THEN ':(80|0)?$' ELSE ':(443|0)?$' END, '')
     || CASE WHEN regexp_extract(u, {_P}, 3) = '' THEN '/' ELSE regexp_extract(u, {_P}, 3) END || regexp_extract(u, {_P}, 4) || regexp_extract(u, {_P}, 5) END AS normalized FROM judged)"""
-_FREE = "[" + ", ".join(map(_q, C.FREE_HOSTS)) + "]"
+_FREE = "(" + ", ".join(map(_q, C.FREE_HOSTS)) + ")"
 _SECOND = "(" + ", ".join(map(_q, C.SECOND_LEVEL)) + ")"
 
 
 def _domain(h: str) -> str:
-    parts = f"string_split({h}, '.')"
-    return f"(CASE WHEN len({parts}) <= 2 THEN {h} WHEN len(list_filter({_FREE}, lambda f: ends_with({h}, '.' || f))) > 0 OR {parts}[len({parts}) - 1] IN {_SECOND} THEN array_to_string(list_slice({parts}, len({parts}) - 2, len({parts})), '.') ELSE array_to_string(list_slice({parts}, len({parts}) - 1, len({parts})), '.') END)"
+    h = f"regexp_extract(lower({h}), '^([^:]*)', 1)"
+    p = f"string_split({h}, '.')"
+    k = f"(CASE WHEN len({p}) >= 3 AND {p}[len({p}) - 1] IN {_SECOND} THEN 3 ELSE 2 END)"
+    tail = lambda n: f"array_to_string(list_slice({p}, len({p}) - {n} + 1, len({p})), '.')"
+    return f"(CASE WHEN len({p}) < 2 THEN {h} WHEN len({p}) > {k} AND {tail(k)} IN {_FREE} THEN {tail(f'({k} + 1)')} ELSE {tail(k)} END)"
 
 
 _HOST = "lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -115,11 +139,12 @@ obs AS (SELECT page_id, url, s, slot, replicate, access_index, CASE WHEN slot =
     CASE WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 'timeout' ELSE '' END AS error,
     CASE WHEN (slot = 'bot' AND s = 5) OR (slot = 'human' AND replicate = 1 AND s = 10) THEN '' ELSE raw || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s = 9 THEN {_q(O.GATE)} ELSE '' END END AS html,
     CASE WHEN slot = 'human' AND s = 6 THEN 'https://other.example/' ELSE url END AS last_hop FROM base)"""
-_FORM, _PASS, _ACT = _q(r"(?is)<form\b[^>]*>.*?</form>"), _q(r"(?i)type\s*=\s*['\"]?password"), _q(r"(?i)action\s*=\s*['\"]?https?://([^/'\">\s:?#]+)")
-_HITS = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns)}) AS {name}" for name, (_, _, patterns) in C.CATEGORIES.items())
-_IP = "regexp_matches(h, '^[0-9]+(\\.[0-9]+){3}$')"
-_ISFREE = f"len(list_filter({_FREE}, lambda f: h = f OR ends_with(h, '.' || f))) > 0"
-_ON = {k: f"{k} > 0" for k in C.CATEGORIES} | {k: k for k in (*C.FORM_FLAGS, "at_symbol_in_url", "punycode_domain")}
+_below = lambda d, hosts: f"regexp_matches('.' || {d}, {_q(C.suffixes(hosts))})"
+_rx = lambda text, pattern: f"regexp_matches({text}, {_q(pattern)})"
+_get = lambda text, pattern: f"regexp_extract({text}, {_q(pattern)}, 1)"
+#: RE2 cannot look ahead; a test holds those patterns against Python's re.
+_HITS = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns if '(?!' not in p)}) AS {name}" for name, (_, _, patterns) in C.CATEGORIES.items())
+_ON = {k: f"{k} > 0" for k in C.CATEGORIES} | {k: k for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
 _list = lambda items: "[" + ", ".join(items) + "]"
 _SCORE = "0.0::DOUBLE" + "".join(f" + {w}::DOUBLE * least(1.0::DOUBLE, {k} / 3.0::DOUBLE)" for k, (w, _, _) in C.CATEGORIES.items())
 
@@ -133,13 +158,33 @@ def _combo_steps() -> str:
     return ",\n".join(steps)
 
 
+_BRAND = " OR ".join(f"(contains(full_path, {_q(b)}) AND NOT {_below('reg', own)})" for b, own in C.BRANDS.items())
+_ENTROPY = "list_sum(list_transform(list_distinct(string_split(url, '')), lambda c: -((length(url) - length(replace(url, c, ''))) / length(url)::DOUBLE) * log2((length(url) - length(replace(url, c, ''))) / length(url)::DOUBLE)))"
+_TARGET = f"list_transform(frames, lambda s: CASE WHEN {_get('s', R.TARGET_HOST)} = '' THEN own ELSE {_domain(_get('s', R.TARGET_HOST))} END)"
+_AWAY = f"f.aimed AND NOT f.ip AND f.host <> '' AND f.dom <> own AND NOT {_below('f.dom', C.COMMON_HOSTS)} AND NOT {_below('f.dom', C.SSO_HOSTS)}"
+_KINDS = {"form_action_to_ip": "ip", "form_action_free_host": "free", "form_action_cross_domain": "cross", "form_action_kit_script": "kit"}
+_w = lambda name, weight, other="0.0::DOUBLE": f"CASE WHEN {name} THEN {weight}::DOUBLE ELSE {other} END"
+_STRUCTURE = " + ".join([_w("cred_param_in_url", 0.22), _w("risky", "0.30", _w("suspicious_registrar", 0.18)), _w("fake_service_subdomain", 0.15), _w("suspicious_path_keyword", 0.08), _w("opaque_path_pattern", 0.14)])
+_LEXICAL = " + ".join([_w("ip_in_hostname", "0.30"), _w("at_symbol_in_url", 0.45), _w("punycode_domain", 0.35), _w("url_extreme_length", 0.16, _w("url_long", 0.09)), _w("high_digit_ratio", 0.14), _w("high_entropy", 0.08), _w("high_hyphen_density", 0.05), _w("non_standard_port", 0.12)])
 _EVAL = f"""
-hit AS (SELECT *, {_HITS}, list_filter(list_transform(list_filter(regexp_extract_all(html, {_FORM}, 0), lambda f: regexp_matches(f, {_PASS})), lambda f: lower(regexp_extract(f, {_ACT}, 1))), lambda h: h <> '') AS hosts,
-        len(list_filter(regexp_extract_all(html, {_FORM}, 0), lambda f: regexp_matches(f, {_PASS}))) > 0 AS cred_form, {_domain(_HOST)} AS own, regexp_matches(url, '://[^/]*@') AS at_symbol_in_url, contains({_HOST}, 'xn--') AS punycode_domain FROM obs),
-frm AS (SELECT *, len(list_filter(hosts, lambda h: {_IP})) > 0 AS form_action_to_ip, len(list_filter(hosts, lambda h: NOT {_IP} AND {_ISFREE})) > 0 AS form_action_free_host,
-        len(list_filter(hosts, lambda h: NOT {_IP} AND NOT {_ISFREE} AND {_domain("h")} <> own)) > 0 AS form_action_cross_domain FROM hit),
-sco AS (SELECT *, {_SCORE} AS s1, CASE WHEN form_action_to_ip OR form_action_free_host THEN 0.45::DOUBLE WHEN form_action_cross_domain THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM frm),
-k0 AS (SELECT *, CASE WHEN boost > 0 THEN least(1.0::DOUBLE, s1 + boost) ELSE s1 END AS s0, CASE WHEN boost > 0 THEN least(1.0::DOUBLE, s1 + boost) ELSE s1 END AS x,
+adr AS (SELECT *, lower(regexp_extract(url, {_P}, 2)) AS netloc, regexp_extract(url, {_P}, 3) AS raw_path, lower(regexp_extract(url, {_P}, 4)) AS query, {_HOST} AS host, string_split(lower(regexp_extract(url, {_P}, 2)), '.') AS labels FROM obs),
+reg AS (SELECT *, {_domain('netloc')} AS reg, {_domain('host')} AS own, netloc || lower(raw_path) AS full_path, string_split(host, '.') AS hp, '.' || array_to_string(list_slice(labels, greatest(1, len(labels) - 1), len(labels)), '.') AS tail FROM adr),
+uf AS (SELECT *, ({_BRAND}) AS brand, {_below('reg', C.HOSTING)} AS hosted, regexp_matches(regexp_replace(query, '^\\?', ''), {_q(C.CREDENTIAL_PARAMS)}) AS cred_param_in_url, len(labels) >= 2 AND {_rx('tail', C.suffixes(C.REGISTRARS))} AS suspicious_registrar, len(labels) >= 2 AND {_rx('tail', C.suffixes(C.HIGH_RISK))} AS risky,
+        len(labels) >= 3 AND labels[1] <> 'www' AND {_rx('labels[1]', C.FAKE_SERVICES)} AS fake_service_subdomain, {_rx('lower(raw_path)', C.PATH_KEYWORDS)} AS suspicious_path_keyword,
+        {_rx('raw_path', R.OPAQUE_PATH)} AND lower({_get('raw_path', R.OPAQUE_PATH)}) NOT IN {C.SHORT_PREFIXES} AS opaque_path_pattern, {_rx('host', R.IP_HOST)} AS ip_in_hostname, regexp_matches(url, '://[^/]*@') AS at_symbol_in_url, contains(netloc, 'xn--') AS punycode_domain,
+        length(url) > 120 AS url_extreme_length, length(url) BETWEEN 76 AND 120 AS url_long, coalesce(length(regexp_replace(url, '[^0-9]', '', 'g')) / nullif(length(url), 0)::DOUBLE > 0.10::DOUBLE, false) AS high_digit_ratio, coalesce({_ENTROPY} > 4.2::DOUBLE, false) AS high_entropy,
+        length(regexp_replace(CASE WHEN len(hp) > 1 THEN hp[len(hp) - 1] ELSE host END, '[^-]', '', 'g')) >= 4 AS high_hyphen_density, coalesce(TRY_CAST(regexp_extract(netloc, ':([0-9]{{1,5}})$', 1) AS INTEGER) BETWEEN 1 AND 65535 AND TRY_CAST(regexp_extract(netloc, ':([0-9]{{1,5}})$', 1) AS INTEGER) NOT IN (80, 443), false) AS non_standard_port FROM reg),
+hit AS (SELECT *, brand AND hosted AS brand_squatting_suspicious_host, brand AND NOT hosted AS brand_squatting, {_HITS}, list_filter(regexp_extract_all(html, {_q(R.FORM)}, 0), lambda f: {_rx(_get('f', R.FORM_BODY), R.CREDENTIAL_FIELD)}) AS blocks,
+        list_transform(regexp_extract_all(html, {_q(R.ASSET)}, 1), lambda a: {_domain("lower(regexp_extract(a, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1))")}) AS assets, list_filter(list_transform(list_filter(regexp_extract_all(html, {_q(R.IFRAME)}, 0), lambda t: {_rx('t', R.HIDDEN)}), lambda t: {_get('t', R.IFRAME_SRC)}), lambda s: s <> '') AS frames FROM uf),
+fr1 AS (SELECT *, list_transform(list_transform(blocks, lambda b: {{'a': trim({_get(_get('b', R.FORM_ATTRS), R.ACTION)}), 'lax': NOT {_rx(_get('b', R.FORM_BODY), R.VALIDATION)}}}), lambda f: {{'aimed': NOT {_rx('f.a', R.NO_TARGET)}, 'host': lower({_get('f.a', R.TARGET_HOST)}), 'path': '/' || {_get('f.a', R.TARGET_PATH)}, 'lax': f.lax}}) AS raw_forms FROM hit),
+fr2 AS (SELECT *, list_transform(raw_forms, lambda f: {{'aimed': f.aimed, 'host': f.host, 'ip': {_rx('f.host', R.IP_HOST)}, 'dom': {_domain('f.host')}, 'kit': {_rx('f.path', R.KIT_SCRIPT)}, 'lax': f.lax}}) AS more_forms FROM fr1),
+fr3 AS (SELECT *, list_transform(more_forms, lambda f: {{'kind': CASE WHEN f.aimed AND f.ip THEN 'ip' WHEN {_AWAY} THEN CASE WHEN {_below('f.dom', C.FREE_HOSTS)} THEN 'free' ELSE 'cross' END WHEN f.aimed AND f.kit THEN 'kit' ELSE '' END, 'lax': f.lax}}) AS forms FROM fr2),
+frm AS (SELECT *, len(forms) > 0 AS cred_form, {', '.join(f"len(list_filter(forms, lambda f: f.kind = '{kind}')) > 0 AS {name}" for name, kind in _KINDS.items())}, len(list_filter(forms, lambda f: f.lax)) > 0 AS form_without_validation,
+        len(list_filter(assets, lambda a: a IN {tuple(R.BRAND_HOSTS)} AND a <> own AND NOT {_below('a', C.COMMON_HOSTS)})) > 0 AS brand_asset_hotlink, len(list_filter({_TARGET}, lambda s: NOT {_below('s', C.COMMON_HOSTS + C.SOCIAL_HOSTS + C.EMBED_HOSTS)})) > 0 AS hidden_iframe,
+        coalesce(list_sum(list_transform(forms, lambda f: CASE f.kind WHEN 'ip' THEN 0.45::DOUBLE WHEN 'free' THEN 0.45::DOUBLE WHEN 'cross' THEN 0.35::DOUBLE WHEN 'kit' THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN f.lax THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END)), 0.0::DOUBLE) AS form_score FROM fr3),
+sco AS (SELECT *, {_SCORE} AS s1, least(0.60::DOUBLE, form_score + CASE WHEN brand_asset_hotlink THEN CASE WHEN cred_form THEN 0.25::DOUBLE ELSE 0.08::DOUBLE END ELSE 0.0::DOUBLE END + {_w('hidden_iframe', 0.12)}) AS b1, {_w('brand_squatting_suspicious_host', '0.50', _w('brand_squatting', '0.30'))} AS b2,
+        least(0.55::DOUBLE, {_STRUCTURE}) AS b3, least(0.60::DOUBLE, {_LEXICAL}) AS b4 FROM frm),
+k0 AS (SELECT *, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, s1 + b1) + b2) + b3) + b4) AS s0, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, s1 + b1) + b2) + b3) + b4) AS x,
        list_filter({_list(f"CASE WHEN {' AND '.join(_ON[f] for f in flags)} THEN '{k}' END" for k, flags in C.DECISIVE.items())}, lambda v: v IS NOT NULL) AS decisive,
        list_sort(list_filter({_list(f"CASE WHEN {c} THEN '{k}' END" for k, c in _ON.items())}, lambda v: v IS NOT NULL)) AS flags FROM sco),
 {_combo_steps()},
@@ -195,6 +240,8 @@ SQL = {
     "crawl_order": "SELECT page_id, substr(sha1(url), 1, 12) AS url_hash, substr(sha1(url), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS human_first FROM pages",
     "feed_import": f"WITH {_V}, src AS (SELECT page_id * {len(VARIANTS)} + variant + 1 AS line, regexp_replace(url, '[?#].*$', '') AS url FROM variants), {_N}, d AS (SELECT line, url, normalized, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY normalized ORDER BY line) > 1 THEN 'duplicate' END AS reason FROM normal) SELECT line, url AS raw_url, reason, normalized AS normalized_url, reason IS NULL AS accepted FROM d",
     "page_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev WHERE access_index = 2",
+    "url_risk": f"WITH obs AS (SELECT page_id, variant, 'https://' || a || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || b || c AS url, '' AS html FROM pages CROSS JOIN (VALUES {', '.join(f'({i}, {_q(a)}, {_q(b)}, {_q(c)})' for i, (a, b, c) in enumerate(RISKS))}) t(variant, a, b, c)), {_EVAL} SELECT page_id, variant, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score FROM ev",
+    "frontend_signatures": f"WITH t AS (SELECT page_id, html || {_list(map(_q, SNIPPETS))}[page_id % {len(SNIPPETS)} + 1] AS html FROM pages), c AS (SELECT page_id, list_sort(list_filter({_list(f"CASE WHEN {' OR '.join(_rx('html', '(?i)' + p) for p in patterns)} THEN '{k}' END" for k, patterns in C.SIGNATURES.items())}, lambda v: v IS NOT NULL)) AS t FROM t) SELECT page_id, array_to_string(t, '|') AS techniques, array_to_string(list_filter({_list(f"CASE WHEN {' AND '.join(f'list_has_any(t, {_list(map(_q, g))})' for g in groups)} THEN '{k}' END" for k, groups in C.SIGNATURE_RULES.items())}, lambda v: v IS NOT NULL), '|') AS static_rules FROM c",
     "observation_issues": f"WITH {_OBS} SELECT slot, replicate, issue, count(*) AS n FROM (SELECT slot, replicate, unnest({_ISSUES}) AS issue FROM obs) GROUP BY ALL",
     "cloaking_label": _CHAIN + "SELECT page_id, array_to_string(fired1, '|') AS fired, array_to_string(hidden1, '|') AS hidden, rule_label, label, array_to_string(reasons, '|') AS reasons FROM res",
     "reason_counts": _CHAIN + "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM res) GROUP BY reason",

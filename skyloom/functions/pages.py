@@ -1,72 +1,165 @@
-"""Page evaluation as columns: category hits, form structure, decisive rules, combinations, score and mechanisms."""
+"""Page evaluation as columns: category hits, URL and form structure, decisive rules, combinations, score and mechanisms.
+
+Every step adds plain columns that later steps read more than once, which keeps the optimizer from writing a pattern out
+twice, and every bonus is one term of a sum, so the plan grows with the number of rules and not faster. A cheap literal
+test on the lower-cased page stands before each pattern.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalogue as C
-from .urls import host_of, registered_domain
+from .urls import entropy, host_of, registered_domain, split_url
 
 FORM = r"(?is)<form\b[^>]*>.*?</form>"
-PASSWORD = r"(?i)type\s*=\s*['\"]?password"
-ACTION = r"(?i)action\s*=\s*['\"]?https?://([^/'\">\s:?#]+)"
+FORM_ATTRS, FORM_BODY = r"(?is)^<form\b([^>]*)>", r"(?is)^<form\b[^>]*>(.*)</form>$"
+CREDENTIAL_FIELD = r"(?i)<input\b[^>]*(?:type\s*=\s*['\"]?password|(?:name|id)\s*=\s*['\"]?(?:pass|passwd|password|pwd|cvv|cvc|card(?:number|no)?|ssn|pin|otp)\b)"
+ACTION = r"(?i)\baction\s*=\s*['\"]([^'\"]*)['\"]"
+NO_TARGET = r"(?i)^(?:javascript:|#|mailto:|$)"
+TARGET_HOST, TARGET_PATH = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", r"(?i)^(?:(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)"
+VALIDATION = r"(?i)\b(?:required\b|pattern\s*=|minlength\s*=|maxlength\s*=|type\s*=\s*['\"]?email)"
+KIT_SCRIPT = r"(?i)/(?:login|next|post|send|mail|verify|result|action|process|submit|data)\d*\.php\b"
+IFRAME, IFRAME_SRC = r"(?i)<iframe\b[^>]*>", r"(?i)\bsrc\s*=\s*['\"]([^'\"]+)['\"]"
+HIDDEN = r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0|(?:width|height)\s*=\s*['\"]?0\b|\bhidden\b"
+ASSET = r"(?i)<(?:img|script|link)\b[^>]*?\b(?:src|href)\s*=\s*['\"](https?://[^'\"]+)['\"]"
+IP_HOST = r"^(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)$"
+OPAQUE_PATH = r"(?i)^/([a-z]{1,3})/([a-z0-9]{6,})/*$"
+BRAND_HOSTS = sorted({d for own in C.BRANDS.values() for d in own})
 
 
-def category_hits(html: Column, page: Column) -> dict[str, Column]:
-    """How many of each category's patterns match."""
-    return {name: sum((F.when((html if scope == "html" else page).rlike(f"(?i){p}"), 1).otherwise(0) for p in patterns), start=F.lit(0)) for name, (_, scope, patterns) in C.CATEGORIES.items()}
+def _any(columns) -> Column:
+    return reduce(lambda a, b: a | b, columns, F.lit(False))
 
 
-def form_flags(html: Column, url: Column) -> dict[str, Column]:
-    forms = F.filter(F.regexp_extract_all(html, F.lit(FORM), 0), lambda f: f.rlike(PASSWORD))
-    hosts = F.filter(F.transform(forms, lambda f: F.lower(F.regexp_extract(f, ACTION, 1))), lambda h: h != "")
-    is_ip = lambda h: h.rlike(r"^[0-9]+(\.[0-9]+){3}$")
-    is_free = lambda h: F.exists(F.array(*map(F.lit, C.FREE_HOSTS)), lambda f: (h == f) | h.endswith(F.concat(F.lit("."), f)))
-    own = registered_domain(host_of(url))
-    return {
-        "cred_form": F.size(forms) > 0, "form_action_to_ip": F.exists(hosts, is_ip), "form_action_free_host": F.exists(hosts, lambda h: ~is_ip(h) & is_free(h)),
-        "form_action_cross_domain": F.exists(hosts, lambda h: ~is_ip(h) & ~is_free(h) & (registered_domain(h) != own)),
-    }
+def _all(columns) -> Column:
+    return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str | None = None) -> DataFrame:
-    """Adds hits (map), flags, decisive, score, is_phishing and mechanisms. Null pages count as empty.
+def _below(domain: Column, hosts) -> Column:
+    return F.concat(F.lit("."), domain).rlike(C.suffixes(hosts))
+
+
+def matches(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern is found, without case; ``low`` is the lower-cased text. Only ``\\n`` ends a line."""
+    found, literal = text.rlike(f"(?id){pattern}"), C.needle(pattern)
+    return F.coalesce(low.contains(literal) & found if literal else found, F.lit(False))
+
+
+def url_flags(url: Column) -> tuple[list[tuple[str, Column]], list[Column]]:
+    """Flags of the address, and the three capped boosts (brand, structure, lexical) in the order they are added.
 
-    Categories are counted first and composed next, so each pattern runs once per row.
+    Reads ``__reg``, the registered domain of the network location; the boosts read the flags as ``__u_`` columns.
     """
+    url = F.coalesce(url, F.lit(""))
+    netloc, raw_path, query = split_url(url)
+    netloc, path, query, host = F.lower(netloc), F.lower(raw_path), F.lower(query), host_of(url)
+    own, full = F.col("__reg"), F.concat(netloc, path)
+    brand = _any(full.contains(b) & ~_below(own, d) for b, d in C.BRANDS.items())
+    hosted = brand & _below(own, C.HOSTING)
+    parts = F.split(netloc, r"\.")
+    n = F.size(parts)
+    last = F.concat(F.lit("."), F.regexp_extract(netloc, r"([^.]*\.[^.]*)$", 1))
+    registrar, risky = last.rlike(C.suffixes(C.REGISTRARS)), last.rlike(C.suffixes(C.HIGH_RISK))
+    first = F.when((n >= 3) & (parts[0] != "www"), parts[0]).otherwise("")
+    opaque = raw_path.rlike(OPAQUE_PATH) & ~F.lower(F.regexp_extract(raw_path, OPAQUE_PATH, 1)).isin(*C.SHORT_PREFIXES)
+    size = F.length(url)
+    digits = F.length(F.regexp_replace(url, "[^0-9]", "")) / F.nullif(size, F.lit(0))
+    penultimate = F.when(host.contains("."), F.regexp_extract(host, r"([^.]*)\.[^.]*$", 1)).otherwise(host)
+    port = F.regexp_extract(netloc, r":([0-9]{1,5})$", 1).try_cast("int")
+    flags = [
+        ("brand_squatting_suspicious_host", hosted), ("brand_squatting", brand & ~hosted), ("cred_param_in_url", query.rlike(C.CREDENTIAL_PARAMS)), ("suspicious_registrar", registrar),
+        ("fake_service_subdomain", first.rlike(C.FAKE_SERVICES)), ("suspicious_path_keyword", path.rlike(C.PATH_KEYWORDS)), ("opaque_path_pattern", opaque), ("ip_in_hostname", host.rlike(IP_HOST)),
+        ("at_symbol_in_url", url.rlike("://[^/]*@")), ("punycode_domain", netloc.contains("xn--")), ("url_extreme_length", size > 120), ("url_long", size.between(76, 120)),
+        ("high_digit_ratio", F.coalesce(digits > 0.10, F.lit(False))), ("high_entropy", F.coalesce(entropy(url) > 4.2, F.lit(False))), ("high_hyphen_density", F.length(F.regexp_replace(penultimate, "[^-]", "")) >= 4),
+        ("non_standard_port", F.coalesce(port.between(1, 65535) & ~port.isin(80, 443), F.lit(False))), ("risky", risky),
+    ]
+    w = lambda name, weight: F.when(F.col(f"__u_{name}"), weight).otherwise(0.0)
+    brands = F.when(F.col("__u_brand_squatting_suspicious_host"), 0.50).when(F.col("__u_brand_squatting"), 0.30).otherwise(0.0)
+    structure = w("cred_param_in_url", 0.22) + F.when(F.col("__u_risky"), 0.30).when(F.col("__u_suspicious_registrar"), 0.18).otherwise(0.0) + w("fake_service_subdomain", 0.15) + w("suspicious_path_keyword", 0.08) + w("opaque_path_pattern", 0.14)
+    lexical = w("ip_in_hostname", 0.30) + w("at_symbol_in_url", 0.45) + w("punycode_domain", 0.35) + F.when(F.col("__u_url_extreme_length"), 0.16).when(F.col("__u_url_long"), 0.09).otherwise(0.0)
+    lexical = lexical + w("high_digit_ratio", 0.14) + w("high_entropy", 0.08) + w("high_hyphen_density", 0.05) + w("non_standard_port", 0.12)
+    return flags, [brands, F.least(F.lit(0.55), structure), F.least(F.lit(0.60), lexical)]
+
+
+def _form(block: Column, page_domain: Column) -> Column:
+    """What one credential form does: its target's kind and whether it validates nothing."""
+    action = F.trim(F.regexp_extract(F.regexp_extract(block, FORM_ATTRS, 1), ACTION, 1))
+    host = F.lower(F.regexp_extract(action, TARGET_HOST, 1))
+    domain = registered_domain(host)
+    aimed, ip = ~action.rlike(NO_TARGET), host.rlike(IP_HOST)
+    away = aimed & ~ip & (host != "") & (domain != page_domain) & ~_below(domain, C.COMMON_HOSTS) & ~_below(domain, C.SSO_HOSTS)
+    free = _below(domain, C.FREE_HOSTS)
+    kit = aimed & ~ip & ~away & F.concat(F.lit("/"), F.regexp_extract(action, TARGET_PATH, 1)).rlike(KIT_SCRIPT)
+    kind = F.when(aimed & ip, "ip").when(away & free, "free").when(away, "cross").when(kit, "kit").otherwise("")
+    return F.struct(kind.alias("kind"), (~F.regexp_extract(block, FORM_BODY, 1).rlike(VALIDATION)).alias("lax"))
+
+
+def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str | None = None) -> DataFrame:
+    """Adds hits (struct), flags, decisive, score, is_phishing and mechanisms. Null pages count as empty."""
+    own_columns = df.columns
     body = F.coalesce(F.col(html), F.lit(""))
     page = F.concat(body, F.lit("\n"), F.coalesce(F.col(extra_js), F.lit(""))) if extra_js else body
-    # a generator is not merged into what reads it, so patterns run once per row
-    df = df.withColumn("__h", F.explode(F.array(F.struct(*[v.alias(k) for k, v in category_hits(body, page).items()]))))
+    url_hits, boosts = url_flags(F.col(url))
     address = F.coalesce(F.col(url), F.lit(""))
-    df = df.withColumn("__f", F.explode(F.array(F.struct(*[v.alias(k) for k, v in form_flags(body, address).items()], address.rlike("://[^/]*@").alias("at_symbol_in_url"), host_of(address).contains("xn--").alias("punycode_domain")))))
-    on = {k: F.col(f"__h.{k}") > 0 for k in C.CATEGORIES} | {k: F.col(f"__f.{k}") for k in (*C.FORM_FLAGS, "at_symbol_in_url", "punycode_domain")}
+    df = df.withColumn("__reg", registered_domain(split_url(address)[0])).withColumns({"__html": body, "__page": page, "__low_html": F.lower(body), "__low": F.lower(page), "__own": registered_domain(host_of(address)), **{f"__u_{k}": v for k, v in url_hits}})
+    text = {"html": (F.col("__html"), F.col("__low_html")), "page": (F.col("__page"), F.col("__low"))}
+    hits = {f"__n_{name}": sum((matches(*text[scope], p).cast("int") for p in patterns), start=F.lit(0)) for name, (_, scope, patterns) in C.CATEGORIES.items()}
+    low, empty = F.col("__low_html"), F.array().cast("array<string>")
+    forms = F.when(low.contains("<form"), F.filter(F.regexp_extract_all("__html", F.lit(FORM), 0), lambda f: F.regexp_extract(f, FORM_BODY, 1).rlike(CREDENTIAL_FIELD))).otherwise(empty)
+    assets = F.when(low.contains("http"), F.array_distinct(F.transform(F.regexp_extract_all("__html", F.lit(ASSET), 1), lambda a: registered_domain(host_of(a))))).otherwise(empty)
+    frames = F.when(low.contains("<iframe"), F.transform(F.filter(F.regexp_extract_all("__html", F.lit(IFRAME), 0), lambda t: t.rlike(HIDDEN) & (F.regexp_extract(t, IFRAME_SRC, 1) != "")), lambda t: F.regexp_extract(t, IFRAME_SRC, 1))).otherwise(empty)
+    df = df.withColumns({**hits, "__blocks": forms, "__assets": assets, "__frames": frames})
+    df = df.withColumn("__forms", F.transform("__blocks", lambda b: _form(b, F.col("__own"))))
+    has = lambda kind: F.exists("__forms", lambda f: f["kind"] == kind)
+    source = lambda s: F.when(F.regexp_extract(s, TARGET_HOST, 1) == "", F.col("__own")).otherwise(registered_domain(F.lower(F.regexp_extract(s, TARGET_HOST, 1))))
+    structure = {
+        "cred_form": F.size("__forms") > 0, "form_action_to_ip": has("ip"), "form_action_free_host": has("free"), "form_action_cross_domain": has("cross"), "form_action_kit_script": has("kit"),
+        "form_without_validation": F.exists("__forms", lambda f: f["lax"]), "brand_asset_hotlink": F.exists("__assets", lambda a: a.isin(*BRAND_HOSTS) & (a != F.col("__own")) & ~_below(a, C.COMMON_HOSTS)),
+        "hidden_iframe": F.exists("__frames", lambda s: ~_below(source(s), C.COMMON_HOSTS + C.SOCIAL_HOSTS + C.EMBED_HOSTS)),
+    }
+    worth = lambda f: F.when(f["kind"].isin("ip", "free"), 0.45).when(f["kind"] == "cross", 0.35).when(f["kind"] == "kit", 0.12).otherwise(0.0) + F.when(f["lax"], 0.05).otherwise(0.0)
+    df = df.withColumns({**{f"__u_{k}": v for k, v in structure.items()}, "__forms_score": F.aggregate("__forms", F.lit(0.0), lambda s, f: s + worth(f))})
+    on = {k: F.col(f"__n_{k}") > 0 for k in C.CATEGORIES} | {k: F.col(f"__u_{k}") for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
     score = F.lit(0.0)
     for name, (weight, _, _) in C.CATEGORIES.items():
-        score = score + F.lit(weight) * F.least(F.lit(1.0), F.col(f"__h.{name}") / F.lit(3.0))
-    boost = F.when(on["form_action_to_ip"] | on["form_action_free_host"], 0.45).when(on["form_action_cross_domain"], 0.35).otherwise(0.0)
-    score = F.when(boost > 0, F.least(F.lit(1.0), score + boost)).otherwise(score)
+        score = score + F.lit(weight) * F.least(F.lit(1.0), F.col(f"__n_{name}") / F.lit(3.0))
+    page_boost = F.col("__forms_score") + F.when(on["brand_asset_hotlink"], F.when(on["cred_form"], 0.25).otherwise(0.08)).otherwise(0.0) + F.when(on["hidden_iframe"], 0.12).otherwise(0.0)
+    # a clamp without a bonus changes only sums above 1, which cap and threshold treat alike
+    for boost in (F.least(F.lit(0.60), page_boost), *boosts):
+        score = F.least(F.lit(1.0), score + boost)
     decisive = F.array_compact(F.array(*[F.when(_all(on[f] for f in flags), F.lit(k)) for k, flags in C.DECISIVE.items()]))
-    df = df.withColumns({"flags": F.array_sort(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in on.items()]))), "decisive": decisive, "score": score})
-    final = F.col("score")
+    df = df.withColumns({"__flags": F.array_sort(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in on.items()]))), "__decisive": decisive, "__score": score})
+    final = F.col("__score")
     for bonus, least in C.COMBOS:
-        final = F.when(_all(F.col(f"__h.{k}") >= n for k, n in least.items()), F.least(F.lit(1.0), final + bonus)).otherwise(final)
-    df = df.withColumn("score", F.when(F.size("decisive") > 0, F.col("score")).otherwise(final))
-    known = F.array(*map(F.lit, C.MECHANISMS))
-    df = df.withColumns({"is_phishing": (F.size("decisive") > 0) | (F.col("score") >= C.THRESHOLD), "mechanisms": F.array_intersect("flags", known), "hits": F.col("__h")})
-    return df.withColumn("score", F.least(F.lit(C.CAP), "score")).drop("__h", "__f")
+        met = (F.size("__decisive") == 0) & _all(F.col(f"__n_{k}") >= n for k, n in least.items())
+        final = F.least(F.lit(1.0), final + F.when(met, bonus).otherwise(0.0))
+    df = df.withColumn("__final", final)
+    return df.select(
+        *own_columns, F.struct(*[F.col(f"__n_{k}").alias(k) for k in C.CATEGORIES]).alias("hits"), F.col("__flags").alias("flags"), F.col("__decisive").alias("decisive"), F.least(F.lit(C.CAP), "__final").alias("score"),
+        ((F.size("__decisive") > 0) | (F.col("__final") >= C.THRESHOLD)).alias("is_phishing"), F.array_intersect("__flags", F.array(*map(F.lit, C.MECHANISMS))).alias("mechanisms"),
+    )
 
 
 def evaluate_once(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``evaluate`` on distinct (page, url) only; the page itself is keyed by its hash in the join back."""
+    """``evaluate`` on distinct (page, url) only; the page itself is keyed by its hash in the join back.
+
+    The pages are spread over all shuffle partitions by that hash, as their cost is in the patterns and not in their bytes.
+    """
     keyed = df.withColumn("__key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col(html), F.lit("")), F.coalesce(F.col(url), F.lit(""))), 256))
-    each = evaluate(keyed.select("__key", html, url).dropDuplicates(["__key"]), html, url).drop(html, url)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = evaluate(keyed.select("__key", html, url).repartition(spread, "__key").dropDuplicates(["__key"]), html, url).drop(html, url)
     return keyed.join(each, "__key").drop("__key")
 
 
-def _all(columns) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & c
-    return out
+def signatures(df: DataFrame, text: str = "html") -> DataFrame:
+    """Adds the signature categories found in scripts and page (sorted) and the rules S1 to S3 they fire."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"__text": body, "__low": F.lower(body)})
+    found = [F.when(_any(matches(F.col("__text"), F.col("__low"), p) for p in patterns), F.lit(k)) for k, patterns in C.SIGNATURES.items()]
+    df = df.withColumn("techniques", F.array_sort(F.array_compact(F.array(*found)))).drop("__text", "__low")
+    fired = [F.when(_all(F.arrays_overlap("techniques", F.array(*map(F.lit, group))) for group in groups), F.lit(k)) for k, groups in C.SIGNATURE_RULES.items()]
+    return df.withColumn("static_rules", F.array_compact(F.array(*fired)))

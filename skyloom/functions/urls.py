@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .catalogue import FREE_HOSTS, SECOND_LEVEL
+from .catalogue import FREE_HOSTS, SECOND_LEVEL, suffixes
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -35,6 +35,11 @@ def normalize_url(url: Column) -> Column:
     return F.when(reject_reason(url).isNull(), full)
 
 
+def split_url(url: Column) -> tuple[Column, Column, Column]:
+    """Network location, path and query, without ``?``; empty where the URL has no scheme."""
+    return F.regexp_extract(url, _PARTS, 2), F.regexp_extract(url, _PARTS, 3), F.regexp_replace(F.regexp_extract(url, _PARTS, 4), r"^\?", "")
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -42,11 +47,11 @@ def host_of(url: Column) -> Column:
 def registered_domain(host: Column) -> Column:
     """The last two labels, three below a second-level or free-hosting suffix."""
     h = F.lower(F.regexp_extract(host, "^([^:]*)", 1))
-    parts = F.split(h, r"\.")
-    n = F.size(parts)
-    free = F.exists(F.array(*map(F.lit, FREE_HOSTS)), lambda f: h.endswith(F.concat(F.lit("."), f)))
-    deep = (n >= 3) & (free | F.element_at(parts, F.greatest(n - 1, F.lit(1))).isin(*SECOND_LEVEL))
-    return F.when(n <= 2, h).otherwise(F.array_join(F.slice(parts, F.when(deep, n - 2).otherwise(n - 1), F.lit(3)), "."))
+    two, three, four = (F.regexp_extract(h, rf"((?:[^.]*\.){{{n}}}[^.]*)$", 1) for n in (1, 2, 3))
+    base = F.when(F.regexp_extract(h, r"[^.]*\.([^.]*)\.[^.]*$", 1).isin(*SECOND_LEVEL), three).otherwise(two)
+    more = F.when(base == three, four).otherwise(three)
+    free = F.concat(F.lit("."), base).rlike("^" + suffixes(FREE_HOSTS))
+    return F.when(two == "", h).when(free & (more != ""), more).otherwise(base)
 
 
 def entropy(text: Column) -> Column:

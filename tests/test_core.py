@@ -1,9 +1,11 @@
 import os
+import re
 
 import duckdb
 import pytest
 
 from skyloom import catalog
+from skyloom.functions import catalogue as C
 from skyloom.functions.pages import evaluate
 from skyloom.plans import observations as O
 from skyloom.sources.feeds import classify, read_lines
@@ -39,3 +41,16 @@ def test_feed(spark, tmp_path):
     got = {r["line"]: r for r in classify(read_lines(spark, str(f))).collect()}
     assert {k: r["reason"] for k, r in got.items()} == {2: None, 3: "http_url_required", 5: "duplicate", 6: "userinfo_not_allowed", 7: None}
     assert got[7]["normalized_url"] == "https://d.example/"
+
+
+def test_patterns_match_as_python_does(spark):
+    """Every category pattern, with its literal test before it, against Python's re; the interval timers have no SQL."""
+    texts = [
+        "setInterval(function(){ location = 'x' }, 500)", "setInterval(function(){ location.reload() }, 500)", "setInterval(() => location.replace('http://a'), 90)", "setInterval(t => {location='x'}, 5)", "SETTIMEOUT(() => location='a', 10)",
+        "eval(function(p,a,c,k,e", "String.fromCharCode(" + "1," * 20, "\\x41" * 30, "a@gmail.com '" + "a@gmail.com'", "if (navigator.webdriver) { location", "bank\nof account", "delay then redirect", "K\u212Aeycode", None, "",
+        O.EVIL, O.LOGIN, "shiftKey && e.keyCode === 74", "'contextmenu', e => e.preventDefault()", "location.href='https://www.paypal.com'", "['password']",
+    ]
+    got = {r["k"]: r["hits"] for r in evaluate(spark.createDataFrame(list(enumerate(texts)), "k int, html string").selectExpr("*", "'https://a.example/' AS url")).collect()}
+    for k, text in enumerate(texts):
+        for name, (_, _, patterns) in C.CATEGORIES.items():
+            assert got[k][name] == sum(bool(re.search(p, text or "", re.I)) for p in patterns), (text, name)

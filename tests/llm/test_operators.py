@@ -222,6 +222,12 @@ def near_corpus():
     return out
 
 
+def test_near_duplicates_at_the_pipelines_threshold(spark):
+    many = near_corpus()
+    got = op9_chosen_path.near_duplicates(spark.createDataFrame(many, "doc_id long, text string"), num=80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(many, num=80)
+
+
 def test_near_duplicates(spark, clash):
     many = near_corpus() + [(i, t) for i, t, *_ in DOCS if i != 9]
     df = spark.createDataFrame(many, "doc_id long, text string")

@@ -3,9 +3,8 @@
 A signature is a common word (the anchor) with the chain of the ``chain`` content words that follow it. Where no anchor
 is among the last ``reach`` words, each word opens a signature of two words, a rule that an edit elsewhere does not
 change; texts of few words do so everywhere, and very short ones add character 4-grams, so no text is without signatures
-unless it is blank. The fingerprint lists the ``keep`` smallest of a text's signature hashes (all, if
-fewer) after their total number; its likeness is the Jaccard similarity estimated on the smallest hashes of the union,
-and exact while sets are within ``keep``.
+unless it is blank. The fingerprint lists all of a text's signature hashes, ascending, after their number, so it grows
+with the text; the likeness of two texts is the exact Jaccard similarity of their signature sets.
 
 ``similar`` is the self-join: sets are partitioned by length into classes such that similar sets lie in the same or the
 next class, candidates meet on the rarest-first prefix of their signatures that a similar set must share, and the length
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, grouped, hash_spans, lower, mix, runs, small_batches, text_bytes, words
 
-CHAIN, KEEP, FEW, REACH = 2, 128, 48, 10
+CHAIN, FEW, REACH = 2, 48, 10
 COMMON = tuple(
     "the of and to in is it that was for on are as with be at by this have from or an they which you there is not but "
     "der die das und ist ein eine nicht mit von zu auf für den im des als auch es sich dem "
@@ -91,21 +90,19 @@ def signature_sets(column, common=COMMON, chain: int = CHAIN, few: int = FEW, re
     return out
 
 
-def fingerprint(signatures: np.ndarray, keep: int = KEEP) -> str:
-    return f"{len(signatures)}:" + signatures[:keep].astype(">u8").tobytes().hex()
+def fingerprint(signatures: np.ndarray) -> str:
+    return f"{len(signatures)}:" + signatures.astype(">u8").tobytes().hex()
 
 
-def likeness(x: np.ndarray, y: np.ndarray, keep: int = KEEP) -> float:
-    """Jaccard similarity from the ``keep`` smallest signatures of each side; sizes 0 and 0 are equal."""
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted signature sets; sizes 0 and 0 are equal."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    a, b = x[:keep], y[:keep]
-    union = np.union1d(a, b)[: keep if max(len(x), len(y)) > keep else None]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, union, assume_unique=True).sum()) / len(union)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
-def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 1000, common=COMMON, chain: int = CHAIN, keep: int = KEEP) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 1000, common=COMMON, chain: int = CHAIN) -> DataFrame:
     """Fingerprints of each text and of its text with the last third replaced by the start of the next text.
 
     Texts are ordered by descending id, the first follows the last. Documents are dealt into ascending groups; the text
@@ -136,8 +133,8 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
         changed = _sets(edited)
         out = {
             "doc_id": pa.array([None if r[0] else -r[1] for r in own], pa.int64()), "n_chars": pa.array(n[:-1], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            "fingerprint": pa.array([fingerprint(x, keep) for x in plain[:-1]], pa.string()), "edited_fingerprint": pa.array([fingerprint(x, keep) for x in changed], pa.string()),
-            "near_edited": pa.array([likeness(x, y, keep) for x, y in zip(plain, changed, strict=False)], pa.float64()), "near_next": pa.array([likeness(x, y, keep) for x, y in zip(plain[:-1], plain[1:], strict=True)], pa.float64()),
+            "fingerprint": pa.array([fingerprint(x) for x in plain[:-1]], pa.string()), "edited_fingerprint": pa.array([fingerprint(x) for x in changed], pa.string()),
+            "near_edited": pa.array([likeness(x, y) for x, y in zip(plain, changed, strict=False)], pa.float64()), "near_next": pa.array([likeness(x, y) for x, y in zip(plain[:-1], plain[1:], strict=True)], pa.float64()),
         }
         return pa.table(out)
 

@@ -174,6 +174,36 @@ def test_fingerprints(spark, clash):
     assert {(r["a"], r["b"]) for r in op7_spotsigs.similar(clash, 0.8).collect()} >= {(1, 2)}
 
 
+def brute_signatures(t):
+    """Signatures of a text of 48 words or more, as strings."""
+    w = [x.strip("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~") for x in t.lower().split()]
+    spots = [i for i, x in enumerate(w) if x in op7_spotsigs.COMMON]
+    content = [i for i in range(len(w)) if i not in set(spots)]
+    out = {(w[i], w[i + 1]) for i in range(len(w) - 1) if not any(max(0, i - 9) <= s <= i for s in spots)}
+    for s in spots:
+        chain = [w[c] for c in content if c > s][:2]
+        out |= {(w[s], *chain)} if len(chain) == 2 else set()
+    return out
+
+
+def test_likeness_of_long_texts(spark):
+    common = [*op7_spotsigs.COMMON[:12]]
+    long = [" ".join(R.choice(common if R.random() < 0.2 else VOCAB) for _ in range(n)) for n in (900, 2500, 700, 60)]
+    w = long[1].split()
+    w[1200] = "edited"
+    texts = [*long[:2], " ".join(w), *long[2:]]
+    got = op7_spotsigs.neighbours(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), docs_per_group=2).collect()
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    for r in got:
+        t, u = texts[r["doc_id"]], texts[r["doc_id"] - 1]
+        own, edited = brute_signatures(t), brute_signatures(t[: len(t) - len(t) // 3] + u[: len(t) // 3])
+        assert r["near_next"] == jaccard(own, brute_signatures(u)) and r["near_edited"] == jaccard(own, edited)
+        for column, want in (("fingerprint", own), ("edited_fingerprint", edited)):
+            n, hashes = r[column].split(":")
+            assert int(n) == len(want) and len({hashes[k : k + 16] for k in range(0, len(hashes), 16)}) == len(want)
+    assert 0.98 < {r["doc_id"]: r["near_next"] for r in got}[2] < 1
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in np.float32(r.normal(size=6) * (5 if i % 7 == 0 else 1))]) for i in range(120)] + [(200, None), (201, [1.0, None] * 3), (202, [float("nan")] * 6), (203, [1.0]), (204, [])]

@@ -10,7 +10,7 @@ from .functions import pages as R
 from .functions.pages import evaluate, evaluate_once, signatures
 from .functions.urls import entropy, host_of, human_first, normalize_url, registered_domain, reject_reason, url_hash
 from .operators import pairs as _P_
-from .operators.pairs import label, pair_table
+from .operators.pairs import label, pair_table, with_features
 from .operators.stats import cohens_kappa, prevalence
 from .plans import observations as O
 from .sources.feeds import classify
@@ -48,7 +48,8 @@ def feed_import(spark, d):
 
 
 def _seen(spark, d) -> DataFrame:
-    return evaluate_once(O.observations(spark, d)).withColumn("issues", O.issues())
+    # all that reads the page comes before the join, so that no page passes through it
+    return evaluate_once(with_features(O.observations(spark, d)).withColumn("issues", O.issues()))
 
 
 def page_rules(spark, d):

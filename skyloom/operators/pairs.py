@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import HIGH_SPECIFICITY
+from ..functions.urls import host_of
 
 BLOCKED = (403, 404, 503)
 #: Issues that leave a rule, a true label or a false label undecided (fixed values).
@@ -15,19 +16,38 @@ TRUE_HUMAN = (*UNUSABLE, "http_error_status", "challenge_or_block_page", "conten
 TRUE_BOT = ("missing_observation", "crawl_error", "non_html_document", "content_truncated")
 FALSE_ALL = (*UNUSABLE, "http_error_status", "challenge_or_block_page", "interaction_gate", "content_truncated")
 NAMES = ("bot#1", "bot#2", "human#1", "human#2")
+#: What has to agree between a client's replicates, and between the clients, before a label is false.
+STABLE = ("status", "final_host", "mechanisms")
+FEATURES = ("final_host", "title", "form_hosts", "script_hosts", "html_sha256")
+SYSTEMATIC = (*STABLE, *FEATURES[1:])
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+FORM_ACTION, SCRIPT_SOURCE = r"(?iU)<form[^>]+action\s*=\s*[\"']([^\"']+)", r"(?iU)<script[^>]+src\s*=\s*[\"']([^\"']+)"
 
 
 def _lits(names) -> Column:
     return F.array(*map(F.lit, names))
 
 
+def _hosts(html: Column, pattern: str) -> Column:
+    """Sorted distinct hosts, with their ports, of the absolute addresses a pattern finds."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda u: F.lower(F.regexp_extract(u, "^https?://([^/]+)", 1)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda h: h != "")))
+
+
+def with_features(obs: DataFrame) -> DataFrame:
+    """Adds the discrete features of the server document that replicates and clients are compared by, in place of the document in ``pair_table``."""
+    html = F.coalesce("html", F.lit(""))
+    title = F.trim(F.regexp_replace(F.lower(F.regexp_extract(html, TITLE, 1)), r"(?U)\s+", " "))
+    return obs.withColumns({"has_html": F.col("html") != "", "final_host": host_of(F.col("last_hop")), "title": title, "form_hosts": _hosts(html, FORM_ACTION), "script_hosts": _hosts(html, SCRIPT_SOURCE), "html_sha256": F.sha2(html, 256)})
+
+
 def pair_table(obs: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per page: a struct for each of the four named observations; a missing one has the issue for it."""
-    row = F.struct("status", "error", "html", "last_hop", "mechanisms", "issues")
+    """One row per page: a struct for each of the four named observations, from ``with_features``; a missing one has the issue for it."""
+    row = F.struct("status", "error", "has_html", "last_hop", "mechanisms", "issues", *FEATURES)
     name = F.concat("slot", F.lit("#"), F.col("replicate").cast("string"))
     out = obs.withColumn("__n", name).groupBy(key).agg(*[F.first(F.when(F.col("__n") == n, row), ignorenulls=True).alias(n) for n in NAMES])
     for n in NAMES:
-        missing = F.struct(F.lit(0).alias("status"), F.lit(None).cast("string").alias("error"), F.lit("").alias("html"), F.lit("").alias("last_hop"), F.array().cast("array<string>").alias("mechanisms"), F.array(F.lit("missing_observation")).alias("issues"))
+        missing = F.struct(F.lit(0).alias("status"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("has_html"), F.lit("").alias("last_hop"), F.array().cast("array<string>").alias("mechanisms"), F.array(F.lit("missing_observation")).alias("issues"), *[(F.array().cast("array<string>") if k.endswith("hosts") else F.lit("")).alias(k) for k in FEATURES])
         out = out.withColumn(n, F.coalesce(F.col(f"`{n}`"), missing))
     return out
 
@@ -37,7 +57,7 @@ def rules(b: str, h: str) -> tuple[Column, Column, Column]:
     g = lambda n, f: F.col(f"`{n}`.{f}")
     hidden, reverse = F.array_sort(F.array_except(g(h, "mechanisms"), g(b, "mechanisms"))), F.array_sort(F.array_except(g(b, "mechanisms"), g(h, "mechanisms")))
     b_err, h_err = F.coalesce(g(b, "error"), F.lit("")), F.coalesce(g(h, "error"), F.lit(""))
-    b_text, h_text = g(b, "html") != "", g(h, "html") != ""
+    b_text, h_text = g(b, "has_html"), g(h, "has_html")
     evil = F.arrays_overlap(g(h, "mechanisms"), _lits(HIGH_SPECIFICITY))
     shut = g(b, "status").isin(*BLOCKED)
     fork = (g(b, "last_hop") != "") & (g(h, "last_hop") != "") & (F.regexp_extract(g(b, "last_hop"), "://([^/?#]*)", 1) != F.regexp_extract(g(h, "last_hop"), "://([^/?#]*)", 1))
@@ -70,7 +90,9 @@ def label(pairs: DataFrame) -> DataFrame:
     specific = F.arrays_overlap("hidden", _lits(HIGH_SPECIFICITY))
     when_true = F.concat(tagged("human#1", TRUE_HUMAN), tagged("human#2", TRUE_HUMAN), tagged("bot#1", TRUE_BOT, reset), tagged("bot#2", TRUE_BOT, reset), one(~both, "missing_replicate_pair"), one(both & moved, "difference_not_replicated"), one(~specific, "difference_without_high_specificity_evidence"))
     when_false = F.concat(*[tagged(n, FALSE_ALL) for n in NAMES], one(~both, "missing_replicate_pair"), one(other, "difference_not_replicated"))
-    drift = [one(~F.col(f"`{s}#1`.{k}").eqNullSafe(F.col(f"`{s}#2`.{k}")), f"{s}_unstable_{n}") for s in ("bot", "human") for k, n in (("status", "status"), ("mechanisms", "mechanisms"))]
+    same = lambda a, b, k: F.col(f"`{a}`.{k}").eqNullSafe(F.col(f"`{b}`.{k}"))
+    drift = [one(~same(f"{s}#1", f"{s}#2", k), f"{s}_unstable_{k}") for s in ("bot", "human") for k in STABLE]
+    drift += [one(same("bot#1", "bot#2", k) & same("human#1", "human#2", k) & ~same("bot#1", "human#1", k), f"systematic_{k}_difference_without_mechanism_evidence") for k in SYSTEMATIC]
     p = p.withColumn("__why", F.when(F.col("rule_label") == "unknown", F.col("__block")).when(F.col("rule_label") == "true", when_true).otherwise(when_false))
     p = p.withColumn("__why", F.when((F.col("rule_label") == "false") & (F.size("__why") == 0), F.concat(*drift)).otherwise(F.col("__why")))
     back = (F.col("rule_label") != "unknown") & ((F.size("__r1") > 0) | (both & (F.size("__r2") > 0)))

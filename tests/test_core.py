@@ -7,6 +7,7 @@ import pytest
 from skyloom import catalog
 from skyloom.functions import catalogue as C
 from skyloom.functions.pages import evaluate
+from skyloom.operators.pairs import label, pair_table, with_features
 from skyloom.plans import observations as O
 from skyloom.sources.feeds import classify, read_lines
 
@@ -54,3 +55,38 @@ def test_patterns_match_as_python_does(spark):
     for k, text in enumerate(texts):
         for name, (_, _, patterns) in C.CATEGORIES.items():
             assert got[k][name] == sum(bool(re.search(p, text or "", re.I)) for p in patterns), (text, name)
+
+
+def test_false_label_needs_stable_and_equal_observations(spark):
+    page = lambda title="Shop", form="https://a.example/f", script="https://s.example:8443/x.js", tail="": f"<TITLE>{title}</title><form method=post action='{form}'></form><script src = '{script}'></script>{tail}"
+    one = {"status": 200, "last_hop": "https://shop.example/", "html": page(), "mechanisms": []}
+    same, systematic = [{}] * 4, lambda *keys: [f"systematic_{k}_difference_without_mechanism_evidence" for k in keys]
+    human = lambda **x: [{}, {}, x, x]
+    cases = {  # bot#1, bot#2, human#1, human#2
+        "same": (same, []),
+        "host moves": ([{}, {"last_hop": "https://www.shop.example/"}, {}, {}], ["bot_unstable_final_host"]),
+        "human host moves": ([{}, {}, {"last_hop": "https://www.shop.example/"}, {}], ["human_unstable_final_host"]),
+        "path and port": (human(last_hop="https://SHOP.example:443/other"), []),
+        "host": (human(last_hop="https://other.example/"), systematic("final_host")),
+        "status": (human(status=203), systematic("status")),
+        "mechanisms": ([{"mechanisms": ["cred_form"]}, {"mechanisms": ["cred_form"]}, {}, {}], [*systematic("mechanisms"), "reverse_difference_or_order_effect"]),
+        "title": (human(html=page("Bank")), systematic("title", "html_sha256")),
+        "title's case and space": (human(html=page(" \u00a0SHOP\n")), systematic("html_sha256")),
+        "form": (human(html=page(form="https://b.example/f")), systematic("form_hosts", "html_sha256")),
+        "form path": (human(html=page(form="https://A.example/g")), systematic("html_sha256")),
+        "script": (human(html=page(script="https://s.example/x.js")), systematic("script_hosts", "html_sha256")),
+        "text": (human(html=page(tail="x")), systematic("html_sha256")),
+        "nonce": ([{"html": page(tail=str(i))} for i in range(4)], []),
+        "null": ([{"last_hop": None}] * 4, []),
+    }
+    fields = "case string, slot string, replicate int, status int, error string, html string, last_hop string, mechanisms array<string>, issues array<string>"
+    seen = []
+    for case, (four, _) in cases.items():
+        for (slot, replicate), own in zip((("bot", 1), ("bot", 2), ("human", 1), ("human", 2)), four, strict=True):
+            o = one | own
+            seen.append((case, slot, replicate, o["status"], None, o["html"], o["last_hop"], o["mechanisms"], []))
+    got = {r["case"]: r for r in label(pair_table(with_features(spark.createDataFrame(seen, fields)), "case")).collect()}
+    assert {k: r["reasons"] for k, r in got.items()} == {k: why for k, (_, why) in cases.items()}
+    assert all(r["rule_label"] == "false" and r["label"] == ("unknown" if cases[k][1] else "false") for k, r in got.items())
+    alone = label(pair_table(with_features(spark.createDataFrame([x for x in seen if x[0] == "same" and x[2] == 1], fields)), "case")).head()
+    assert alone["label"] == "unknown" and "missing_replicate_pair" in alone["reasons"]

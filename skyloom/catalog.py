@@ -57,6 +57,12 @@ def page_rules(spark, d):
     return seen.select("page_id", *[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing")
 
 
+def observation_rules(spark, d):
+    """``page_rules`` of all four observations of a page."""
+    seen = evaluate_once(O.observations(spark, d).select("page_id", "slot", "replicate", "url", "html"))
+    return seen.select("page_id", "slot", "replicate", *[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing")
+
+
 #: Hosts with something before, after or below them, and what follows the URL.
 RISKS = (("", "", ""), ("verify9.", "", "/bn/troftnikon1"), ("", ".duckdns.org", "/paypal/login"), ("microsoft.", ".pages.dev", "/"), ("", ":8443", "/a?x=1&email=b"), ("paypal.com@", "", "/"), ("xn--a-b-c-d-e.", "", "/en/abcdefgh"), ("", "-a-b-c-d.com", "/1234567890123456789012345678901234567890123456789012345678901234567890"))
 
@@ -116,7 +122,7 @@ def annotator_kappa(spark, d):
     return k.select("n", *[F.round(c, 9).alias(c) for c in ("po", "pe", "kappa")])
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, url_risk, page_structure, frontend_signatures, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
+QUERIES = {f.__name__: f for f in (url_normalize, url_registered_domain, url_entropy, crawl_order, feed_import, page_rules, observation_rules, url_risk, page_structure, frontend_signatures, observation_issues, cloaking_label, reason_counts, label_prevalence, annotator_kappa)}
 
 
 def _q(text: str) -> str:
@@ -255,6 +261,7 @@ SQL = {
     "crawl_order": "SELECT page_id, substr(sha1(url), 1, 12) AS url_hash, substr(sha1(url), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS human_first FROM pages",
     "feed_import": f"WITH {_V}, src AS (SELECT page_id * {len(VARIANTS)} + variant + 1 AS line, regexp_replace(url, '[?#].*$', '') AS url FROM variants), {_N}, d AS (SELECT line, url, normalized, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY normalized ORDER BY line) > 1 THEN 'duplicate' END AS reason FROM normal) SELECT line, url AS raw_url, reason, normalized AS normalized_url, reason IS NULL AS accepted FROM d",
     "page_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev WHERE access_index = 2",
+    "observation_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, slot, replicate, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev",
     "url_risk": f"WITH obs AS (SELECT page_id, variant, 'https://' || a || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || b || c AS url, '' AS html FROM pages CROSS JOIN (VALUES {', '.join(f'({i}, {_q(a)}, {_q(b)}, {_q(c)})' for i, (a, b, c) in enumerate(RISKS))}) t(variant, a, b, c)), {_EVAL} SELECT page_id, variant, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score FROM ev",
     "page_structure": f"WITH obs AS (SELECT page_id, url, html || {_list(map(_q, PIECES))}[page_id % {len(PIECES)} + 1] AS html FROM pages), {_EVAL} SELECT page_id, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, array_to_string(mechanisms, '|') AS mechanisms, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev",
     "frontend_signatures": f"WITH t AS (SELECT page_id, html || {_list(map(_q, SNIPPETS))}[page_id % {len(SNIPPETS)} + 1] AS html FROM pages), c AS (SELECT page_id, list_sort(list_filter({_list(f"CASE WHEN {' OR '.join(_rx('html', '(?i)' + p) for p in patterns)} THEN '{k}' END" for k, patterns in C.SIGNATURES.items())}, lambda v: v IS NOT NULL)) AS t FROM t) SELECT page_id, array_to_string(t, '|') AS techniques, array_to_string(list_filter({_list(f"CASE WHEN {' AND '.join(f'list_has_any(t, {_list(map(_q, g))})' for g in groups)} THEN '{k}' END" for k, groups in C.SIGNATURE_RULES.items())}, lambda v: v IS NOT NULL), '|') AS static_rules FROM c",

@@ -90,3 +90,11 @@ def test_false_label_needs_stable_and_equal_observations(spark):
     assert all(r["rule_label"] == "false" and r["label"] == ("unknown" if cases[k][1] else "false") for k, r in got.items())
     alone = label(pair_table(with_features(spark.createDataFrame([x for x in seen if x[0] == "same" and x[2] == 1], fields)), "case")).head()
     assert alone["label"] == "unknown" and "missing_replicate_pair" in alone["reasons"]
+
+
+def test_rules_of_every_observation(spark):
+    got = catalog.QUERIES["observation_rules"](spark, DATA)
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").count()
+    assert {(r["slot"], r["replicate"]): r["count"] for r in got.groupBy("slot", "replicate").count().collect()} == {(s, i): pages for s in ("bot", "human") for i in (1, 2)}
+    only_bot = got.filter("page_id % 12 = 7 AND is_phishing").select("slot", "replicate").distinct().collect()  # harmful to the first bot visit only
+    assert [tuple(r) for r in only_bot] == [("bot", 1)]

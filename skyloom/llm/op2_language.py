@@ -189,13 +189,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, most: int = MOST, spots: int = SPOTS) -> Model:
-    """Fit on excerpts of about ``most`` documents per language outside the held-out fold."""
+    """Fit on excerpts of about ``most`` documents per language outside the held-out fold; the driver holds languages times ``most`` of them."""
     known = docs.filter(~held_out()).filter("lang is not null and doc_id is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()  # languages, not documents
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(int(1_000_000 * min(1.0, most / r["count"])))).otherwise(share)
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share)
+    counts = known.groupBy("lang").agg(F.count("*").alias("__n"))  # a row for each language
+    share = F.floor(F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(most) / F.col("__n")))
+    drawn = known.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share)
     spot = F.transform(F.sequence(F.lit(0), F.lit(spots - 1)), lambda i: F.substr("text", (1 + i * F.floor(F.length("text") / spots)).cast("int"), F.lit(LEARN)))
     rows = drawn.select("doc_id", "lang", F.explode(F.array_distinct(spot)).alias("x")).filter(F.length("x") > 3).toPandas().sort_values(["doc_id", "x"])
     return Model(rows["x"].tolist(), rows["lang"].tolist())

@@ -106,6 +106,12 @@ def test_language(spark, clash):
     assert op2_language.identify(nothing(spark), op2_language.train(nothing(spark))).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(op2_language, "Model", lambda excerpts, langs: set(langs))
+    docs = spark.createDataFrame([(i, text(6), f"l{i % 230}") for i in range(2300)], "doc_id long, text string, lang string")
+    assert len(op2_language.train(docs)) == 230
+
+
 def test_token_counts(spark, docs):
     lengths = sorted(r["length"] for r in op3_token_counts.token_lengths(docs).collect())
     got = op3_token_counts.limits(op3_token_counts.histogram(op3_token_counts.token_lengths(docs)), block=16).collect()

@@ -1,4 +1,4 @@
-"""Shared pieces: words and hashes of Arrow text columns, ordered document groups, durable intermediate tables."""
+"""Shared pieces: words and hashes of Arrow text columns, row numbers, durable intermediate tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words: space, tab, LF, VT, FF, CR. Words are everything else.
@@ -67,6 +68,16 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the bytes at their ends that ``sign`` (256 booleans) marks; of a span of signs the last byte stays."""
+    if not len(starts):
+        return starts, ends
+    plain = np.flatnonzero(~sign[data])
+    plain = np.concatenate(([-1], plain, [len(data)]))
+    s = np.minimum(plain[np.searchsorted(plain, starts)], ends - 1)
+    return s, np.maximum(plain[np.searchsorted(plain, ends) - 1] + 1, s + 1)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         n = max(n, 1 << 16)
@@ -97,57 +108,58 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def runs(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hashes of every k consecutive word hashes (across texts as well: callers cut at text ends)."""
+def runs(hashes: np.ndarray, k: int, salt: int = 0, factor: int = 0xA0761D6478BD642F) -> np.ndarray:
+    """Hashes of every k consecutive word hashes (across texts as well: callers cut at text ends); another odd ``factor`` gives independent ones."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    total, m = np.zeros(n, U64), U64(0xA0761D6478BD642F | 1)
+    total, m = np.zeros(n, U64), U64(factor | 1)
     for j in range(k):
         total = total * m + hashes[j : j + n]
     return mix(total + U64((k * 0xE7037ED1A0B428DB + salt) % 2**64))
 
 
-def grouped(df: DataFrame, key: str, rows_per_group: int) -> tuple[Column, int]:
-    """A column of group numbers that ascend with ``key`` and hold about as many rows each, and their count.
-
-    Coarse quantiles (at most 256, whatever the input's size) reach the driver; between two of them groups are cut
-    evenly. Null keys go to group 0.
-    """
-    q = 255
-    row = df.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.percentile_approx(key, [i / q for i in range(1, q)], 2000).alias("q")).first()
-    if not row["n"] or row["lo"] is None:
-        return F.lit(0), 1
-    n = max(1, -(-row["n"] // rows_per_group))
-    cuts = sorted({row["lo"], *row["q"], row["hi"] + 1})
-    step = max(1, -(-(len(cuts) - 1) // n))
-    cuts = sorted({*cuts[::step], row["hi"] + 1})
-    fine = max(1, -(-n // (len(cuts) - 1)))
-    array = F.array(*[F.lit(c).cast("long") for c in cuts])
-    at = F.greatest(F.size(F.filter(array, lambda c: c <= F.col(key))), F.lit(1))
-    lo, hi = F.element_at(array, at).cast("double"), F.element_at(array, F.least(at + 1, F.lit(len(cuts)))).cast("double")
-    part = F.floor((F.col(key).cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * fine)
-    group = (at - 1) * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(group).cast("int"), (len(cuts) - 1) * fine
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it again: cuts lineage and survives lost executors.
+
+    The path is added to ``kept``; ``forget`` deletes what a finished step no longer reads. Tables that a returned,
+    still lazy result reads stay in the folder, as those of ``checkpoint()`` do.
+    """
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if kept is not None:
+        kept.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small enough for Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def forget(spark: SparkSession, kept: list[str]) -> None:
+    """Delete tables that ``durable`` wrote."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while kept:
+        path = jvm.org.apache.hadoop.fs.Path(kept.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def numbered(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """Adds ``__f`` and ``__r``: a hash of the file and the row's number in it, the same at every reading of the table.
+
+    They come from Spark's file metadata; a table that is not read from files is written first.
+    """
+    try:
+        at = df.metadataColumn("_metadata")
+        return df.withColumns({"__f": F.xxhash64(at.getField("file_path")), "__r": at.getField("row_index")})
+    except AnalysisException:
+        return numbered(durable(df, kept), kept)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
@@ -160,7 +172,17 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
 
 
 def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """Rename columns of ``df`` that clash with ``names``; the second value renames them back (withColumnsRenamed)."""
+    """Rename columns of ``df`` that clash with ``names`` in any case; the second value renames them back (withColumnsRenamed)."""
     there = {c.lower() for c in names}
     moved = {c: f"__aside_{i}" for i, c in enumerate(df.columns) if c.lower() in there}
     return df.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
+def without(df: DataFrame, names) -> DataFrame:
+    """``df`` without the columns named like ``names`` in any case."""
+    gone = {c.lower() for c in names}
+    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in gone])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

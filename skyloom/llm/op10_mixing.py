@@ -1,100 +1,134 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
 Every document of a source expects target / source size copies. A prefix sum of these expectations plus one random offset
-per source crosses whole numbers; a document is taken once per crossing. The prefix sum needs only each document's rank,
-which comes from two levels: rows are numbered within chunks (source, size class, salt), and the chunks' counts are summed
-in order. A source with a third of all rows is thus spread over many chunks, and the chunk table is pre-aggregated.
-Ordering by size makes the sample systematic in size, which keeps the taken words close to the target.
+per source crosses whole numbers; a document is taken once per crossing. Documents stand in the order of (size, id, hash
+of the text), so the sample is systematic in size, and no two orders give different mixes.
+
+Texts are read once for their sizes; all else works on a narrow table of row numbers, sources and sizes. It is sorted by
+range, so a source with a third of all rows lies in many partitions, each row's place in its partition comes from
+``monotonically_increasing_id``, and the counts of the partitions before (one row a partition and source) make it a
+rank. Expected copies are whole multiples of 2^-24, so no rounding can add a crossing. Of ``tries`` random offsets per
+source the one whose taken words come nearest to the target is used. ``mixed_rows`` joins the texts of taken documents
+back by row number, the only time that a text is shuffled.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn and share ``total`` times all words; a target stops
 at ``most`` times its source's words and the excess goes to the others by weight. That is one level: the sources sorted by
 limit over weight are full up to some place and the others share what is left. There is one row per source in that window.
 
 Defined cases: null text has size 0; null sources form a source of their own; null ids sort first; rows that repeat are
-sampled separately; empty input gives no rows; extra columns stay, and columns named like the results are replaced.
+sampled separately; a source without words gives no rows; empty input gives no rows; extra columns stay, and columns
+named like the results, in any case, are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import prod
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, aside
+from .common import WORD, aside, durable, numbered, quoted, without
+
+NEW = ("size", "source_size", "target", "copies", "taken")
+UNIT, TRIES = 1 << 24, 16
+
 
-ROWS_PER_SALT, CLASS = 4096, 64
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, kept: list[str] | None) -> DataFrame:
+    """The narrow table: row number, id, source (and whether it is null), size and a hash of the text."""
+    text, source = F.col(quoted(text_col)), F.col(quoted(source_col))
+    size = F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
+    return durable(df.select("__f", "__r", F.col(quoted(id_col)).alias("id"), F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("no"), size.alias("size"), F.xxhash64(text).alias("h")), kept)
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), total: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
-    """Adds size, source_size, target, copies and taken. ``total`` is a fraction (3, 2): 150 % of all words."""
-    new = ["size", "source_size", "target", "copies", "taken"]
-    n = df.count()
-    salts = n // ROWS_PER_SALT + 1
+def _targets(sizes: DataFrame, weights: tuple[int, ...], total: tuple[int, int], most: int, seed: str, tries: int) -> DataFrame:
+    """Each source's size, target, expected copies in units of 2^-24 and random offsets in the same units."""
     up, down = total
-    rows = df.drop(*[c for c in new if c in df.columns])
-    rows = rows.withColumns({
-        "size": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long"),
-        "__s": F.coalesce(F.col(source_col), F.lit("")), "__no": F.col(source_col).isNull(),
-    })
-    rows = rows.withColumns({
-        "__class": F.expr(f"size div {CLASS}"),
-        "__salt": F.pmod(F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(1000003)) * 7919, F.lit(salts)),
-    })
-    chunk = ["__s", "__no", "__class", "__salt"]
-    chunks = rows.groupBy(*chunk).agg(F.count("*").alias("__k"), F.sum("size").alias("__words"))
-    place = Window.partitionBy("__s", "__no").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = chunks.select(*chunk, F.coalesce(F.sum("__k").over(place), F.lit(0)).alias("__before"))
-
-    by_name = Window.orderBy("__no", "__s")
+    by_name = Window.orderBy("no", "s")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    each = chunks.groupBy("__s", "__no").agg(F.sum("__words").alias("source_size")).withColumn("__w", weight)
-    each = each.withColumn("__cap", most * F.col("source_size"))
-    unit = 1
-    for w in weights:
-        unit *= w
-    level = Window.orderBy(F.expr(f"__cap * {unit} div __w"), "__no", "__s")
+    each = sizes.groupBy("s", "no").agg(F.sum("size").alias("source_size")).withColumn("w", weight)
+    each = each.withColumn("cap", most * F.col("source_size"))
+    level = Window.orderBy(F.expr(f"cap * {prod(weights)} div w"), "no", "s")
     earlier, later, every = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    each = each.withColumns({"__all": F.sum("source_size").over(every), "__done": F.coalesce(F.sum("__cap").over(earlier), F.lit(0)), "__open": F.sum("__w").over(later)})
-    each = each.withColumn("__full", (up * F.col("__all") - down * F.col("__done")) * F.col("__w") >= down * F.col("__cap") * F.col("__open"))
-    each = each.withColumns({"__used": F.coalesce(F.sum(F.when(F.col("__full"), F.col("__cap"))).over(every), F.lit(0)), "__share": F.sum(F.when(~F.col("__full"), F.col("__w"))).over(every)})
-    target = F.when(F.col("__full"), F.col("__cap").cast("double")).otherwise((up * F.col("__all") - down * F.col("__used")).cast("double") / F.lit(float(down)) / F.col("__share") * F.col("__w"))
-    offset = F.conv(F.substring(F.md5(F.concat("__s", F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    each = each.select("__s", "__no", "source_size", target.alias("target"), offset.alias("__u"))
-
-    number = F.row_number().over(Window.partitionBy(*chunk).orderBy("size", F.col(id_col)))
-    told = before.join(each, ["__s", "__no"])
-    out = rows.withColumn("__i", number).join(told, chunk)
-    at, rate = F.col("__before") + F.col("__i"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.least(F.floor(at * rate + F.col("__u")) - F.floor((at - 1) * rate + F.col("__u")), F.lit(most).cast("long"))
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in df.columns if c not in new], *new)
-
-
-def mixed_rows(df: DataFrame, **how) -> DataFrame:
+    each = each.withColumns({"total": F.sum("source_size").over(every), "done": F.coalesce(F.sum("cap").over(earlier), F.lit(0)), "open": F.sum("w").over(later)})
+    each = each.withColumn("full", (up * F.col("total") - down * F.col("done")) * F.col("w") >= down * F.col("cap") * F.col("open"))
+    each = each.withColumns({"used": F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), F.lit(0)), "share": F.sum(F.when(~F.col("full"), F.col("w"))).over(every)})
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise((up * F.col("total") - down * F.col("used")).cast("double") / F.lit(float(down)) / F.col("share") * F.col("w"))
+    each = each.withColumn("target", target)
+    rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(F.lit(0).cast("long"))
+    offsets = F.array(*[F.conv(F.substring(F.md5(F.concat("s", F.lit(f"|{seed}|{t}"))), 1, 6), 16, 10).cast("long") for t in range(tries)])
+    return each.select("s", "no", "source_size", "target", rate.alias("rate"), offsets.alias("offsets"))
+
+
+def _crossings(offset: Column) -> Column:
+    """Whole numbers that a document's step of the prefix sum crosses."""
+    end = F.col("at") * F.col("rate") + offset
+    return F.shiftright(end, 24) - F.shiftright(end - F.col("rate"), 24)
+
+
+def _copies(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total: tuple[int, int], most: int, seed: str, tries: int, kept: list[str] | None) -> DataFrame:
+    """The narrow table with source_size, target, copies and taken."""
+    sizes = _sizes(df, id_col, text_col, source_col, kept)
+    order = ["no", "s", "size", "id", "h", "__f", "__r"]
+    place = F.monotonically_increasing_id()
+    rows = durable(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", place), kept)
+    rows = rows.withColumns({"part": F.shiftright("m", 33), "i": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = rows.groupBy("s", "no", "part").agg(F.count("*").alias("k"), F.min("i").alias("first"))
+    before = Window.partitionBy("s", "no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("s", "no", "part", (F.coalesce(F.sum("k").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    targets = _targets(sizes, weights, total, most, seed, tries)
+    rows = rows.join(parts.join(targets, ["s", "no"]), ["s", "no", "part"]).withColumn("at", F.col("i") + F.col("shift"))
+    mixes = rows.groupBy("s", "no").agg(F.max("target").alias("target"), *[F.sum(_crossings(F.col("offsets")[t]) * F.col("size")).alias(f"t{t}") for t in range(tries)])
+    apart = F.array(*[F.struct(F.abs(F.col(f"t{t}") - F.col("target")).alias("apart"), F.lit(t).alias("t")) for t in range(tries)])
+    copies = rows.join(mixes.select("s", "no", F.array_min(apart)["t"].alias("t")), ["s", "no"]).withColumn("copies", _crossings(F.col("offsets")[F.col("t")]))
+    return copies.select("__f", "__r", "id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), total: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix",
+    tries: int = TRIES, narrow: bool = False, kept: list[str] | None = None,
+) -> DataFrame:
+    """Adds size, source_size, target, copies and taken. ``total`` is a fraction (3, 2): 150 % of all words.
+
+    ``narrow``: the id and these columns only, without a shuffle of the other columns.
+    """
+    rows = numbered(df, kept)
+    copies = _copies(rows, id_col, text_col, source_col, weights, total, most, seed, tries, kept)
+    if narrow:
+        return copies.select(F.col("id").alias(id_col), *NEW)
+    own = [c for c in df.columns if c.lower() not in NEW]
+    return without(rows, NEW).join(copies.drop("id").hint("shuffle_hash"), ["__f", "__r"]).select(*map(quoted, own), *NEW)
+
+
+def mixed_rows(df: DataFrame, kept: list[str] | None = None, **how) -> DataFrame:
     """The mix itself: each row of ``df`` as often as it is taken, with its own columns."""
     names = df.columns
-    df, back = aside(df, ["size", "source_size", "target", "copies", "taken"])
-    out = mix_sources(df, **how).filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)")))
-    return out.select(*df.columns).withColumnsRenamed(back).select(*names)
+    df, back = aside(df, [*NEW, "__copy", "__f", "__r", "id"])
+    how = {k: next((new for new, old in back.items() if old == v), v) if k.endswith("_col") else v for k, v in how.items()}
+    rows = numbered(df, kept)
+    copies = _copies(rows, **{"id_col": "doc_id", "text_col": "text", "source_col": "source", "weights": (3, 1, 2), "total": (3, 2), "most": 2, "seed": "mix", "tries": TRIES} | how, kept=kept)
+    taken = copies.filter("copies > 0").select("__f", "__r", "copies").hint("shuffle_hash")
+    out = rows.join(taken, ["__f", "__r"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*map(quoted, df.columns)).withColumnsRenamed(back).select(*map(quoted, names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, narrow=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS e, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (SELECT *, size // 64 AS cl, (((doc_id % 1000003) + 1000003) % 1000003 * 7919) % ((SELECT count(*) FROM d) // 4096 + 1) AS sa FROM d),
-o AS (SELECT *, row_number() OVER (PARTITION BY s, e ORDER BY cl, sa, size, doc_id) AS i FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY s, e ORDER BY size, doc_id) AS i FROM d),
 g AS (SELECT s, e, CAST(sum(size) AS BIGINT) AS t FROM d GROUP BY s, e),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY e, s) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS w, 2 * t AS cap FROM g),
 l AS (SELECT *, CAST(sum(t) OVER () AS BIGINT) AS al, CAST(coalesce(sum(cap) OVER (ORDER BY cap * 6 // w, e, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dn,
              CAST(sum(w) OVER (ORDER BY cap * 6 // w, e, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS op FROM w),
 f AS (SELECT *, (3 * al - 2 * dn) * w >= 2 * cap * op AS fu FROM l),
 h AS (SELECT *, CAST(coalesce(sum(CASE WHEN fu THEN cap END) OVER (), 0) AS BIGINT) AS us, CAST(sum(CASE WHEN NOT fu THEN w END) OVER () AS BIGINT) AS sh FROM f),
-k AS (SELECT s, e, t, CASE WHEN fu THEN CAST(cap AS DOUBLE) ELSE CAST(3 * al - 2 * us AS DOUBLE) / CAST(2.0 AS DOUBLE) / CAST(sh AS DOUBLE) * CAST(w AS DOUBLE) END AS target,
-             CAST(CAST('0x' || substr(md5(s || '|mix'), 1, 8) AS UBIGINT) AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) AS u FROM h),
-r AS (SELECT o.*, k.t, k.target, k.u, CASE WHEN k.t > 0 THEN k.target / CAST(k.t AS DOUBLE) ELSE 0.0 END AS ra FROM o JOIN k ON o.s = k.s AND o.e = k.e)
-SELECT doc_id, size, t AS source_size, target,
-       CAST(least(floor(CAST(i AS DOUBLE) * ra + u) - floor(CAST(i - 1 AS DOUBLE) * ra + u), 2) AS BIGINT) * size AS taken FROM r
+k AS (SELECT s, e, t, CASE WHEN fu THEN CAST(cap AS DOUBLE) ELSE CAST(3 * al - 2 * us AS DOUBLE) / CAST(2.0 AS DOUBLE) / CAST(sh AS DOUBLE) * CAST(w AS DOUBLE) END AS target FROM h),
+r AS (SELECT o.*, k.t, k.target, CASE WHEN k.t > 0 THEN CAST(floor(k.target / CAST(k.t AS DOUBLE) * CAST(16777216 AS DOUBLE)) AS BIGINT) ELSE 0 END AS ra FROM o JOIN k ON o.s = k.s AND o.e = k.e),
+u AS (SELECT s, e, n, CAST(CAST('0x' || substr(md5(s || '|mix|' || n), 1, 6) AS UBIGINT) AS BIGINT) AS u FROM k CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS n)),
+tr AS (SELECT r.s, r.e, u.n, u.u, abs(sum((((i * ra + u) >> 24) - (((i - 1) * ra + u) >> 24)) * size) - max(target)) AS apart FROM r JOIN u ON u.s = r.s AND u.e = r.e GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, e ORDER BY apart, n) AS q FROM tr) WHERE q = 1)
+SELECT doc_id, size, t AS source_size, target, CAST(((i * ra + u) >> 24) - (((i - 1) * ra + u) >> 24) AS BIGINT) * size AS taken FROM r JOIN b ON b.s = r.s AND b.e = r.e
 """

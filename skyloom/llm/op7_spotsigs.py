@@ -1,18 +1,23 @@
 """Document fingerprints by SpotSigs.
 
-A signature is a common word (the anchor) with the chain of the ``chain`` content words that follow it. Where no anchor
-is among the last ``reach`` words, each word opens a signature of two words, a rule that an edit elsewhere does not
-change; texts of few words do so everywhere, and very short ones add character 4-grams, so no text is without signatures
-unless it is blank. The fingerprint lists all of a text's signature hashes, ascending, after their number, so it grows
-with the text; the likeness of two texts is the exact Jaccard similarity of their signature sets.
+A signature is a common word (the anchor) with the chain of up to ``chain`` content words that follow it in the text. A
+word with no anchor among it and the ``reach`` - 1 words before it opens a signature with its next word. Both rules look
+at a text's own words only and hold for texts of every length, so every text with a word has a signature. The fingerprint
+lists all of a text's signature hashes, ascending, after their number, so it grows with the text.
 
-``similar`` is the self-join: sets are partitioned by length into classes such that similar sets lie in the same or the
-next class, candidates meet on the rarest-first prefix of their signatures that a similar set must share, and the length
-bound prunes the rest before Jaccard is computed.
+Sets are partitioned by length: class c holds lengths in [t^-c, t^-(c+1)), so sets of likeness t are at most one class
+apart. Likeness is the Jaccard similarity of the full sets; where a least likeness is asked for, pairs whose lengths rule
+it out are pruned before their signatures are compared. ``similar`` is the self-join: candidates of the same or the next
+class meet on the rarest-first prefix of their signatures that similar sets must share. ``neighbours`` compares a stated
+pair list: each text with its edited text and with the next document, and names its length class.
+
+``neighbours`` deals texts by ranges of (descending id, hash of the text). The ranges' first rows, one key for each
+partition of the shuffle, come from a narrow sort and are all that the driver holds; such a row also goes to the range
+before it, as the successor of that range's last text. A task streams its sorted rows and holds one batch.
 
 Common words are those of four languages below, a parameter. Defined cases: null text is empty; blank texts have the
-fingerprint ``0:`` and are like each other (1.0), unlike all others; rows with equal ids are ordered by text; null ids
-come last; extra columns are dropped.
+fingerprint ``0:`` and are like each other (1.0), unlike all others; rows with equal ids are ordered by their text's
+hash; null ids come last; extra columns are dropped; empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -21,162 +26,165 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, grouped, hash_spans, lower, mix, runs, small_batches, text_bytes, words
+from .common import U64, hash_spans, lower, mix, pieces, stripped, text_bytes, words
 
-CHAIN, FEW, REACH = 2, 48, 10
+CHAIN, REACH, THRESHOLD, PIECE = 2, 10, 0.8, 2 << 20
+#: Frequent words of four languages.
 COMMON = tuple(
     "the of and to in is it that was for on are as with be at by this have from or an they which you there is not but "
     "der die das und ist ein eine nicht mit von zu auf für den im des als auch es sich dem "
     "le la les de des et un une est que qui dans pour sur pas au par du elle ou "
     "el los las que en una por con para no del se al lo como más su y es".split()
 )
-
-
-def _text_column(texts: list[str]) -> pa.Array:
-    return pa.array(texts, pa.string())
-
-
+_END = U64(0x5851F42D4C957F2D)
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def signature_sets(column, common=COMMON, chain: int = CHAIN, few: int = FEW, reach: int = REACH) -> list[np.ndarray]:
+def signature_sets(column, common=COMMON, chain: int = CHAIN, reach: int = REACH) -> list[np.ndarray]:
     """Sorted distinct signature hashes of each text."""
     data, at = text_bytes(column)
     data = lower(data)
     starts, ends, first = words(data, at)
-    # words without ASCII punctuation at their ends
-    s, e = starts.copy(), ends.copy()
-    for _ in range(4):
-        s += (s < e - 1) & _PUNCT[data[s]]
-        e -= (s < e - 1) & _PUNCT[data[e - 1]]
-    h = hash_spans(data, s, e)
+    h = hash_spans(data, *stripped(data, starts, ends, _PUNCT))
     anchors = text_bytes(pa.array(sorted(set(common)), pa.string()))
     known = np.sort(hash_spans(anchors[0], anchors[1][:-1], anchors[1][1:]))
-    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    is_anchor = known[i] == h
-    content = np.flatnonzero(~is_anchor)
-    chains = runs(h[content], chain, salt=3)
-    out = []
-    every = runs(h, 2, salt=4)
+    is_anchor = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    doc, word = np.repeat(np.arange(len(at) - 1), np.diff(first)), np.arange(len(h))
+    content, spot = np.flatnonzero(~is_anchor), np.flatnonzero(is_anchor)
+    following, last = np.searchsorted(content, spot), np.searchsorted(content, first)[doc[spot] + 1]
+    chained, padded = h[spot], np.concatenate((h[content], np.zeros(chain, U64)))
+    for j in range(chain):
+        chained = mix(chained * U64(3) + np.where(following + j < last, padded[following + j], _END))
     seen = np.concatenate(([0], np.cumsum(is_anchor)))
-    at_word = np.arange(len(h))
-    begin = np.maximum(np.repeat(first[:-1], np.diff(first)), at_word - reach + 1)
-    bare = seen[at_word + 1] == seen[begin]
-    spot = np.flatnonzero(is_anchor)
-    nxt = np.searchsorted(content, spot)
-    a_lo, c_hi = np.searchsorted(spot, first), np.searchsorted(content, first)
-    ok = nxt < len(chains)
-    sig = np.zeros(len(spot), U64)
-    sig[ok] = mix(chains[nxt[ok]] * U64(3) + h[spot[ok]])
-    for d in range(len(at) - 1):
-        lo, hi = a_lo[d], a_lo[d + 1]
-        good = nxt[lo:hi] + chain <= c_hi[d + 1]
-        own = sig[lo:hi][good]
-        n = int(first[d + 1] - first[d])
-        if n:
-            a, b = int(first[d]), int(first[d + 1])
-            if n < few:
-                own = np.concatenate((own, every[a : b - 1], mix(h[a:b] + U64(5))))
-            else:
-                own = np.concatenate((own, every[a : b - 1][bare[a : b - 1]]))
-        if n and n < 6:
-            raw = mix(data[at[d] : at[d + 1]].astype(U64) + U64(1))
-            own = np.concatenate((own, runs(raw, min(4, len(raw)), salt=6), runs(raw, 1, salt=7)))
-        out.append(np.unique(own))
-    return out
+    bare = np.flatnonzero(seen[word + 1] == seen[np.maximum(first[doc], word - reach + 1)])
+    after = np.where(bare + 1 < first[doc[bare] + 1], np.concatenate((h, [_END]))[bare + 1], _END)
+    signature, owner = np.concatenate((chained, mix(h[bare] * U64(5) + after))), np.concatenate((doc[spot], doc[bare]))
+    order = np.lexsort((signature, owner))
+    signature, owner = signature[order], owner[order]
+    new = np.concatenate(([True], (signature[1:] != signature[:-1]) | (owner[1:] != owner[:-1])))[: len(owner)]
+    return np.split(signature[new], np.searchsorted(owner[new], np.arange(1, len(at) - 1))) if len(at) > 1 else []
+
+
+def _sets(texts: list[str], common, chain: int) -> list[np.ndarray]:
+    """``signature_sets`` of slices of about 2 MB."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return [x for part in pieces(batch, "text", PIECE) for x in signature_sets(part.column(0), common, chain)]
 
 
 def fingerprint(signatures: np.ndarray) -> str:
     return f"{len(signatures)}:" + signatures.astype(">u8").tobytes().hex()
 
 
-def likeness(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted signature sets; sizes 0 and 0 are equal."""
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
+def likeness(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard similarity of two sorted signature sets; 0 where their lengths rule out ``least``; sizes 0 and 0 are equal."""
+    short, long = sorted((len(x), len(y)))
+    if not short or short < least * long:
+        return float(long == 0)
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    return both / (short + long - both)
+
+
+def length_class(n: Column, threshold: float = THRESHOLD) -> Column:
+    """The class of sets of ``n`` signatures; -1 for empty sets."""
+    return F.when(n > 0, F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)).otherwise(F.lit(-1)).cast("int")
 
 
-def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_group: int = 1000, common=COMMON, chain: int = CHAIN) -> DataFrame:
+_KEY = np.dtype([("none", np.int8), ("down", np.int64), ("hash", np.int64)])
+
+
+def _ranges(keyed: DataFrame, parts: int) -> np.ndarray:
+    """The first key of each non-empty range of the narrow table, at most ``parts`` of them."""
+    order = ["none", "down", "hash"]
+    dealt = keyed.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("k"))
+    return np.array(sorted({tuple(r["k"]) for r in dealt.collect()}), _KEY)
+
+
+def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, common=COMMON, chain: int = CHAIN) -> DataFrame:
     """Fingerprints of each text and of its text with the last third replaced by the start of the next text.
 
-    Texts are ordered by descending id, the first follows the last. Documents are dealt into ascending groups; the text
-    with each group's largest id is also sent to the group above, the only rows that groups share.
+    Texts are ordered by descending id, the first follows the last. ``parts``: ranges, by default the shuffle partitions.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
     df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    group, _ = grouped(df, "doc_id", docs_per_group)
-    df = df.withColumn("grp", group)
-    # one row a group (as many as partitions of work): which id is carried to which group; null ids follow all others
-    tops = sorted((r["grp"], r["m"]) for r in df.groupBy("grp").agg(F.max("doc_id").alias("m")).collect())
-    moves = [(m, tops[(i + 1) % len(tops)][0]) for i, (_, m) in enumerate(tops)]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if not moves:
-        return df.select(*[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")]).limit(0)
-    to = df.sparkSession.createDataFrame(moves, "m long, to int")
-    carried = df.select("doc_id", "text").join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("m"))).select("doc_id", "text", F.col("to").alias("grp"), F.lit(True).alias("carried"))
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = [(i is None, -(i or 0), t or "") for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)]
-        flag = table.column("carried").to_pylist()
-        own = sorted(r for r, c in zip(rows, flag, strict=True) if not c)
-        carry = min(r for r, c in zip(rows, flag, strict=True) if c)
-        texts = [r[2] for r in own] + [carry[2]]
-        n = [len(t) for t in texts]
-        edited = [t[: k - k // 3] + u[: k // 3] for t, u, k in zip(texts[:-1], texts[1:], n, strict=False)]
-        plain = _sets(texts)
-        changed = _sets(edited)
-        out = {
-            "doc_id": pa.array([None if r[0] else -r[1] for r in own], pa.int64()), "n_chars": pa.array(n[:-1], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            "fingerprint": pa.array([fingerprint(x) for x in plain[:-1]], pa.string()), "edited_fingerprint": pa.array([fingerprint(x) for x in changed], pa.string()),
-            "near_edited": pa.array([likeness(x, y) for x, y in zip(plain, changed, strict=False)], pa.float64()), "near_next": pa.array([likeness(x, y) for x, y in zip(plain[:-1], plain[1:], strict=True)], pa.float64()),
-        }
-        return pa.table(out)
-
-    def _sets(texts: list[str]) -> list[np.ndarray]:
-        out, i = [], 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < 2 << 20):
-                size += len(texts[j])
-                j += 1
-            out += signature_sets(_text_column(texts[i:j]), common, chain)
-            i = j
-        return out
-
-    return df.withColumn("carried", F.lit(False)).select("doc_id", "text", "grp", "carried").unionByName(carried).groupBy("grp").applyInArrow(run, schema)
-
-
-def similar(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", common=COMMON, chain: int = CHAIN) -> DataFrame:
-    """Classes of equal signature sets and their similar classes: (a, b, likeness), a < b the smallest ids of two classes.
-
-    Sets are partitioned by length: class c holds lengths in [t^-c, t^-(c+1)), so similar sets are at most one class apart.
-    """
-    small_batches(df.sparkSession)
+    keyed = df.withColumns({"none": F.col("doc_id").isNull().cast("byte"), "down": F.bitwise_not(F.coalesce("doc_id", F.lit(0))), "hash": F.xxhash64("text")})
+    heads = _ranges(keyed, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    m = max(1, len(heads))
+
+    @F.arrow_udf("array<int>")
+    def places(none: pa.Array, down: pa.Array, digest: pa.Array) -> pa.Array:
+        """The range of a row, and -1 minus the range that it follows as well, if it is the first of its own."""
+        keys = np.zeros(len(none), _KEY)
+        keys["none"], keys["down"], keys["hash"] = none.to_numpy(zero_copy_only=False), down.to_numpy(zero_copy_only=False), digest.to_numpy(zero_copy_only=False)
+        own = np.searchsorted(heads, keys, "right") - 1
+        head = heads[own] == keys
+        at = np.concatenate(([0], np.cumsum(1 + head)))
+        out = np.zeros(at[-1], np.int32)
+        out[at[:-1]] = own
+        out[at[1:][head] - 1] = -1 - (own[head] - 1) % m
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32()))
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
+
+    def run(batches):
+        waiting: list[tuple[int | None, str]] = []  # texts without a successor as yet
+        size = 0
+
+        def done(rows):  # all but the last
+            texts = [t for _, t in rows]
+            edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(texts, texts[1:])]  # noqa: B905
+            plain, changed = _sets(texts, common, chain), _sets(edited, common, chain)
+            arrays = [
+                pa.array([i for i, _ in rows[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+                pa.array([fingerprint(x) for x in plain[:-1]]), pa.array([fingerprint(x) for x in changed]), pa.array([likeness(x, y) for x, y in zip(plain, changed)]),  # noqa: B905
+                pa.array([likeness(x, y) for x, y in zip(plain, plain[1:])]), pa.array([len(x) for x in plain[:-1]], pa.int64()),  # noqa: B905
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
+
+        closed = False
+        for batch in batches:
+            for i, t, carried in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("carried").to_pylist(), strict=True):
+                if closed:
+                    continue  # repeats of the first row of the next range
+                waiting.append((i, t or ""))
+                size += len(t or "")
+                closed = carried
+                if len(waiting) > 1 and (size > PIECE or closed):
+                    yield done(waiting)
+                    waiting, size = waiting[-1:], len(waiting[-1][1])
+
+    rows = keyed.withColumn("place", F.explode(places("none", "down", "hash"))).withColumns({"carried": F.col("place") < 0, "part": F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))})
+    rows = rows.repartitionById(m, "part").sortWithinPartitions("carried", "none", "down", "hash").select("doc_id", "text", "carried")
+    return rows.mapInArrow(run, schema).withColumn("length_class", length_class(F.col("n_signatures")))
+
+
+def similar(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", common=COMMON, chain: int = CHAIN) -> DataFrame:
+    """Classes of equal signature sets and their similar classes: (a, b, likeness), a < b the smallest ids of two classes."""
 
     def sets(batches):
         for batch in batches:
-            found = signature_sets(batch.column("text"), common, chain)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64).tolist() for x in found], pa.list_(pa.int64()))], names=["id", "sig"])
+            for part in pieces(batch, "text", PIECE):
+                found = signature_sets(part.column("text"), common, chain)
+                at = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, U64), *found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "sig"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sets, "id long, sig array<long>")
-    rows = rows.filter("id is not null and size(sig) > 0").groupBy("sig").agg(F.min("id").alias("id")).withColumn("n", F.size("sig"))
+    rows = rows.filter("id is not null and size(sig) > 0").groupBy("sig").agg(F.min("id").alias("id")).select(F.xxhash64("sig").alias("k"), "id", "sig", F.size("sig").alias("n"))
     seen = rows.select(F.explode("sig").alias("s")).groupBy("s").count()
-    ranked = rows.select("id", "n", F.explode("sig").alias("s")).join(seen, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("r"))
+    ranked = rows.select("k", "n", F.explode("sig").alias("s")).join(seen, "s").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("r"))
     prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
-    keys = ranked.select("id", "n", step.alias("c"), F.explode(F.slice("r", F.lit(1), prefix.cast("int"))).alias("p")).select("id", "n", "c", F.col("p.s").alias("s"))
+    keys = ranked.select("k", "n", length_class(F.col("n"), threshold).alias("c"), F.explode(F.slice("r", F.lit(1), prefix.cast("int"))).alias("p")).select("k", "n", "c", F.col("p.s").alias("s"))
     near = keys.withColumn("c", F.explode(F.array("c", F.col("c") + 1)))
-    pairs = keys.toDF("b", "nb", "c", "s").join(near.toDF("a", "na", "c", "s"), ["c", "s"])
-    pairs = pairs.filter((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = keys.toDF("kb", "nb", "c", "s").join(near.toDF("ka", "na", "c", "s"), ["c", "s"])
+    pairs = pairs.filter((F.col("ka") != F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    both = pairs.join(rows.select("k", "id", "sig").toDF("ka", "ia", "sa"), "ka").join(rows.select("k", "id", "sig").toDF("kb", "ib", "sb"), "kb")
     same = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (same / (F.size("sa") + F.size("sb") - same)).alias("likeness")).filter(F.col("likeness") >= threshold)
+    both = both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (same / (F.size("sa") + F.size("sb") - same)).alias("likeness"))
+    return both.filter(F.col("likeness") >= threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

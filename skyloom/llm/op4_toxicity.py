@@ -9,9 +9,10 @@ isotonic regression is fitted to scores of trees that have not seen the document
 Training takes a bounded sample: at most about ``most`` labelled documents of each class, drawn by a hash of the id, no
 text over ``longest`` characters. Scoring reads every whole text where it lies, without a shuffle.
 
-Defined cases: null or blank texts have all-zero word features and get a score like any other; null labels are not used;
-without labels of both classes the score is the share of toxic labels (0 without any); extra columns stay, and columns
-named like the results are replaced.
+Defined cases: null or blank texts have all-zero word features and get a score like any other; null labels are not used,
+and a document with labels of both kinds is toxic; without labels
+of both classes the score is the share of toxic labels (0 without any); extra columns stay, and columns named like the
+results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_spans, lower, mix, small_batches, text_bytes, words
+from .common import U64, hash_spans, lower, mix, pieces, stripped, text_bytes, without, words
 
 MOST, LONGEST = 2500, 20_000
 LENGTHS = (3, 4, 5, 6, 8, 10**9)
@@ -46,19 +47,17 @@ def _terms(data, starts, ends):
 def _word_spans(data, at):
     starts, ends, first = words(data, at)
     kind = _KIND[data]
-    for _ in range(4):  # without signs at the ends
-        starts = starts + ((starts < ends - 1) & (kind[starts] == 8))
-        ends = ends - ((starts < ends - 1) & (kind[ends - 1] == 8))
+    starts, ends = stripped(data, starts, ends, _KIND == 8)
     return starts, ends, first, kind
 
 
-def learn_lexicon(column: pa.Array, toxic: np.ndarray, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(column: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted term hashes and their weights (log ratio of document frequencies)."""
     data, at = text_bytes(column)
     starts, ends, first, _ = _word_spans(data, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     p, n = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    keys, weights, rank = [], [], []
+    keys, weights = [], []
     for h in _terms(lower(data), starts, ends):
         order = np.lexsort((doc, h))
         hh, dd = h[order], doc[order]
@@ -71,15 +70,18 @@ def learn_lexicon(column: pa.Array, toxic: np.ndarray, most: int = 3000) -> tupl
         good = (a >= max(2, 0.01 * p)) & (w > 1.5) & (u != 0)
         keys.append(u[good])
         weights.append(w[good])
-        rank.append((w * np.sqrt(a))[good])
-    keys, weights, rank = map(np.concatenate, (keys, weights, rank))
-    take = np.argsort(-rank, kind="stable")[:most]
-    keys, weights = keys[take], weights[take]
+    keys, weights = map(np.concatenate, (keys, weights))
     order = np.argsort(keys)
     return keys[order], weights[order]
 
 
 def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One row of features for each text; texts are taken in slices of about 1 MB."""
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    return np.concatenate([_features(part.column(0), lexicon) for part in pieces(batch, "text", 1 << 20)] or [np.zeros((0, 16))])
+
+
+def _features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     data, at = text_bytes(column)
     n_docs = len(at) - 1
     starts, ends, first, kind = _word_spans(data, at)
@@ -188,15 +190,83 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; the ends of the steps and their values, with a weak pull to 0 and 1 halves."""
+    """Pool adjacent violators: each block's mean ``x`` and its mean ``y``; values between blocks are interpolated."""
+    order = np.argsort(x, kind="stable")
+    blocks: list[list[float]] = []  # sum of y, count, sum of x
+    for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        blocks.append([yi, 1, xi])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            s, n, t = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
+    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
+
+
+class Model:
+    def __init__(self, texts: list[str], toxic: np.ndarray, seed: int = 7):
+        self.rate = float(toxic.mean()) if len(toxic) else 0.0
+        self.trees = None
+        if not 0 < self.rate < 1 or min(toxic.sum(), (1 - toxic).sum()) < 4:
+            return
+        column = pa.array(texts, pa.string())
+        half = np.zeros(len(toxic), np.int64)
+        for c in (0, 1):  # halves of each class
+            at = np.random.default_rng(seed).permutation(np.flatnonzero(toxic == c))
+            half[at] = np.arange(len(at)) % 2
+        x, out = None, np.zeros(len(toxic))
+        for side in (0, 1):
+            own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
+            f = features(column.take(pa.array(own)), learn_lexicon(column.take(pa.array(other)), toxic[other]))
+            x = np.zeros((len(toxic), f.shape[1])) if x is None else x
+            x[own] = f
+        for side in (0, 1):
+            out[half == side] = Trees().fit(x[half != side], toxic[half != side]).raw(x[half == side])
+        self.lexicon, self.trees = learn_lexicon(column, toxic), Trees().fit(x, toxic)
+        self.steps, self.values = isotonic(out, toxic)
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        if self.trees is None:
+            return np.full(len(column), self.rate)
+        return np.interp(self.trees.raw(features(column, self.lexicon)), self.steps, self.values)
+
+
+def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> Model:
+    """Fit on labelled documents outside the held-out fold, at most about ``most`` of each class."""
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000))
+    share = F.lit(0)
+    for c, n in counts.items():
+        share = F.when(F.col("toxic") == c, F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))).otherwise(share)
+    drawn = known.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by 2 * most, hence the broadcast
+    rows = docs.select("doc_id", "text").filter((F.length("text") <= longest) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    return Model(rows["text"].tolist(), rows["toxic"].to_numpy().astype(np.float64))
+
+
+def scorer(spark, model: Model):
+    """The model as a column function of texts."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array(shared.value(column))
+
+    return score
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: each block's mean ``x`` and its mean ``y``; values between blocks are interpolated."""
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, last x
+    blocks: list[list[float]] = []  # sum of y, count, sum of x
     for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
         blocks.append([yi, 1, xi])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, n, top = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, top]
-    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.01) / (b[1] + 0.02) for b in blocks])
+            s, n, t = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
+    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 class Model:
@@ -224,9 +294,7 @@ class Model:
     def __call__(self, column: pa.Array) -> np.ndarray:
         if self.trees is None:
             return np.full(len(column), self.rate)
-        raw = self.trees.raw(features(column, self.lexicon))
-        level = self.values[np.minimum(np.searchsorted(self.steps, raw), len(self.values) - 1)]
-        return np.clip(0.98 * level + 0.02 / (1 + np.exp(-raw)), 0, 1)  # the small term ranks within a step
+        return np.interp(self.trees.raw(features(column, self.lexicon)), self.steps, self.values)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
@@ -241,14 +309,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = L
     share = F.lit(0)
     for c, n in counts.items():
         share = F.when(F.col("toxic") == c, F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))).otherwise(share)
-    drawn = known.filter(draw < share).dropDuplicates(["doc_id"])  # bounded by 2 * most, hence the broadcast
+    drawn = known.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by 2 * most, hence the broadcast
     rows = docs.select("doc_id", "text").filter((F.length("text") <= longest) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
     return Model(rows["text"].tolist(), rows["toxic"].to_numpy().astype(np.float64))
 
 
 def scorer(spark, model: Model):
     """The model as a column function of texts."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -265,7 +332,7 @@ def scorer(spark, model: Model):
 
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5)."""
-    df = df.drop(*[c for c in ("score", "predicted") if c in df.columns])
+    df = without(df, ("score", "predicted"))
     return df.withColumn("score", scorer(df.sparkSession, model)(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

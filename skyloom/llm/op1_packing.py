@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import pieces
+
 
 CAPACITY, CUT, WINDOWS, CACHED = 1024, 256, 192, 400_000
 _PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r -~À-ÖØ-öø-ſ‘’“”–—…€]*")
@@ -166,7 +167,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     """One row per piece: where it lies in its document and in its sequence, and (if asked for) its ids."""
     if cut > capacity or cut < 1:
         raise ValueError("cut must be between 1 and capacity")
-    small_batches(df.sparkSession, 500)
     end = np.array([end_id], "<u4").tobytes()
     names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["ids"] * with_ids
 
@@ -198,7 +198,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             waiting, held = [], 0
             return emit(rows)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             ids = batch.column("id").to_pylist()
             rows = []
             for doc, own in zip(ids, encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import quoted, text_bytes
 
 HIDDEN, SPAN, LEARN, BLOCK = 8, 128, 64, 4096
 MOST, SPOTS = 500, 6
@@ -201,7 +201,6 @@ def train(docs: DataFrame, most: int = MOST, spots: int = SPOTS) -> Model:
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
@@ -215,8 +214,9 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             i = j
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
-    df = df.drop(*[c for c in ("lang_pred", "score") if c in df.columns])
-    return df.withColumn("__p", predict(F.col(text_col))).select(*df.columns, "__p.lang_pred", "__p.score")
+    names = [quoted(c) for c in df.columns if c.lower() not in ("lang_pred", "score")]
+    both = df.select(F.struct(*names).alias("own"), predict(F.col(quoted(text_col))).alias("told"))
+    return both.select(*[F.col(f"own.{c}") for c in names], "told.lang_pred", "told.score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Documents are aggregated by encoded length, with partial sums in each task, so what is shuffled is one row per distinct
 length. Over that histogram suffix sums answer, for every context limit at once, how many documents are longer, how many
-tokens truncation to the limit keeps and loses, and every quantile. A limit is any length that occurs (and 0); values
-between two of them follow from the row below.
+tokens truncation to the limit keeps and loses, and every quantile. A limit is any length that occurs; values between
+two of them follow from the row below.
 
 Lengths are counts of token ids of a tokenizer file. The histogram is read twice, so it is written once: a text is encoded
 one time. Defined cases: null text has length 0; other columns are dropped; empty input gives no rows.
@@ -16,18 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, pieces
 
 
 def token_lengths(df: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per document: its length in ids."""
-    small_batches(df.sparkSession, 500)
 
     def count(batches):
         from .op1_packing import encoder
 
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             ids = encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.array([len(x) // 4 for x in ids], np.int64))], names=["length"])
 

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def test_toxicity(spark, clash):
     assert seen.score[seen.toxic == 1].mean() > seen.score[seen.toxic == 0].mean() + 0.3 and seen.score.between(0, 1).all()
     assert op4_toxicity.score_toxicity(clash, model).filter("score is null").count() == 0
     assert op4_toxicity.without_toxic(clash, model).columns == clash.columns
-    assert op4_toxicity.train(nothing(spark), labels.limit(0))(op7_spotsigs._text_column(["x"]))[0] == 0
+    assert op4_toxicity.train(nothing(spark), labels.limit(0))(pa.array(["x"]))[0] == 0
 
 
 def test_url_rules(spark):
@@ -160,36 +161,53 @@ def brute_substring(docs, n=13):
 
 
 def test_substring(spark, docs, clash):
-    got = op6_substring.substring_dedup(docs, docs_per_group=4).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = op6_substring.substring_dedup(docs, group_bytes=1000).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == brute_substring(DOCS)
     assert op6_substring.without_repeats(clash).columns == clash.columns
     assert op6_substring.substring_dedup(nothing(spark)).count() == 0
 
 
-def test_fingerprints(spark, clash):
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_fingerprints(spark, clash, parts):
     rows = sorted(((-i, t or "") for i, t, *_ in DOCS))
-    got = sorted(op7_spotsigs.neighbours(clash, docs_per_group=4).collect(), key=lambda r: -r["doc_id"])
+    got = op7_spotsigs.neighbours(clash, parts=parts).collect()
     texts = [t for _, t in rows]
-    want = sorted(((-i, hashlib.sha256((t[: len(t) - len(t) // 3] + texts[(k + 1) % len(texts)][: len(t) // 3]).encode()).hexdigest()) for k, (i, t) in enumerate(rows)))
-    assert sorted((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    want = []
+    for k, (i, t) in enumerate(rows):
+        u = texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        own = brute_signatures(t)
+        want.append((-i, len(t), hashlib.sha256(edited.encode()).hexdigest(), len(own), jaccard(own, brute_signatures(edited)), jaccard(own, brute_signatures(u))))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], int(r["fingerprint"].split(":")[0]), r["near_edited"], r["near_next"]) for r in got) == sorted(want)
     prints = {}
     for r in got:
         prints.setdefault(TEXTS[r["doc_id"]] or "", set()).add(r["fingerprint"])
     assert all(len(p) == 1 for p in prints.values())
     assert op7_spotsigs.neighbours(nothing(spark)).count() == 0
-    assert {(r["a"], r["b"]) for r in op7_spotsigs.similar(clash, 0.8).collect()} >= {(1, 2)}
+
+
+def test_similar_fingerprints(spark, clash):
+    sets = {}
+    for i, t, *_ in DOCS:
+        s = frozenset(brute_signatures(t or ""))
+        if s:
+            sets[s] = min(i, sets.get(s, i))
+    want = {(min(a, b), max(a, b)): jaccard(x, y) for x, a in sets.items() for y, b in sets.items() if a != b and jaccard(x, y) >= 0.5}
+    assert {(r["a"], r["b"]): r["likeness"] for r in op7_spotsigs.similar(clash, 0.5).collect()} == want and want
 
 
 def brute_signatures(t):
-    """Signatures of a text of 48 words or more, as strings."""
-    w = [x.strip("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~") for x in t.lower().split()]
+    """Signatures of a text, as strings."""
+    signs = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\"
+    w = [x.strip(signs) or x[-1] for x in "".join(c.lower() if c.isascii() else c for c in t).encode().decode().translate(dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")).split(" ") if x]
     spots = [i for i, x in enumerate(w) if x in op7_spotsigs.COMMON]
     content = [i for i in range(len(w)) if i not in set(spots)]
-    out = {(w[i], w[i + 1]) for i in range(len(w) - 1) if not any(max(0, i - 9) <= s <= i for s in spots)}
-    for s in spots:
-        chain = [w[c] for c in content if c > s][:2]
-        out |= {(w[s], *chain)} if len(chain) == 2 else set()
-    return out
+    out = {(w[i], w[i + 1] if i + 1 < len(w) else None) for i in range(len(w)) if not any(max(0, i - 9) <= s <= i for s in spots)}
+    return out | {(w[s], "chain", *([w[c] for c in content if c > s][:2] + [None, None])[:2]) for s in spots}
 
 
 def test_likeness_of_long_texts(spark):
@@ -198,8 +216,7 @@ def test_likeness_of_long_texts(spark):
     w = long[1].split()
     w[1200] = "edited"
     texts = [*long[:2], " ".join(w), *long[2:]]
-    got = op7_spotsigs.neighbours(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), docs_per_group=2).collect()
-    jaccard = lambda a, b: len(a & b) / len(a | b)
+    got = op7_spotsigs.neighbours(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), parts=2).collect()
     for r in got:
         t, u = texts[r["doc_id"]], texts[r["doc_id"] - 1]
         own, edited = brute_signatures(t), brute_signatures(t[: len(t) - len(t) // 3] + u[: len(t) // 3])
@@ -290,5 +307,5 @@ def test_null_ids(spark):
     assert op1_packing.pack(rows).count() >= 3
     assert op6_substring.substring_dedup(rows).filter("n_removed > 0").count() == 0
     assert op7_spotsigs.neighbours(rows).count() == 3
-    assert op9_chosen_path.near_duplicates(rows).filter("kept").count() == 3
+    assert op9_chosen_path.near_duplicates(rows).filter("kept").count() == 2 and op9_chosen_path.keep_first(rows).count() == 2
     assert op10_mixing.mix_sources(rows).count() == 3

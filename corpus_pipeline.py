@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm.common import durable
+from skyloom.llm.common import durable, forget
 from skyloom.llm.op1_packing import pack
 from skyloom.llm.op4_toxicity import train, without_toxic
 from skyloom.llm.op6_substring import without_repeats
@@ -48,9 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = durable(docs)
+            now: list[str] = []
+            docs = durable(docs, now)
+            forget(spark, before)
+            before = now
     return docs

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from .functions import catalogue as C
 from .functions import pages as R
+from .functions import records as T
 from .functions.pages import evaluate, evaluate_once, signatures
 from .functions.urls import entropy, host_of, human_first, normalize_url, registered_domain, reject_reason, url_hash
-from .operators import pairs as _P_
-from .operators.pairs import label, pair_table, with_features
+from .operators import pairs as P
+from .operators import signals as S
+from .operators import verdicts as V
 from .operators.stats import cohens_kappa, prevalence
 from .plans import observations as O
 from .sources.feeds import classify
 
-VARIANTS = ("", "?email=a", "/verify", ":8443/x", "@evil.example/", " bad", "#frag")
+VARIANTS = ("", "?email=a", "/verify", ":8443/x", "@evil.example/", " bad", "#frag", "?", "#", ":00443/y", ":99999/", ":/z", "/a?b#", "\t\n")
+_BARE = (3, 4, 9, 10, 11)
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +26,7 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
     tails = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(v).alias("tail")) for i, v in enumerate(VARIANTS)])
     v = pages.withColumn("v", F.explode(tails)).select("page_id", "url", "v.variant", "v.tail")
     bare = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
-    return v.select("page_id", "variant", F.when(F.col("variant").isin(3, 4), F.concat(bare, "tail")).otherwise(F.concat("url", "tail")).alias("url"))
+    return v.select("page_id", "variant", F.when(F.col("variant").isin(*_BARE), F.concat(bare, "tail")).otherwise(F.concat("url", "tail")).alias("url"))
 
 
 def url_normalize(spark, d):
@@ -42,25 +45,27 @@ def crawl_order(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", url_hash(F.col("url")).alias("url_hash"), human_first(F.col("url")).alias("human_first"))
 
 
+def feed_lines(spark, d) -> DataFrame:
+    """A feed with many addresses that are the same but for what follows the path."""
+    return _variants(spark, d).select((F.col("page_id") * len(VARIANTS) + F.col("variant") + 1).alias("line"), F.regexp_replace("url", "(?s)[?#].*$", "").alias("raw_url"))
+
+
 def feed_import(spark, d):
-    lines = _variants(spark, d).select((F.col("page_id") * len(VARIANTS) + F.col("variant") + 1).alias("line"), F.regexp_replace("url", "[?#].*$", "").alias("raw_url"))
-    return classify(lines).select("line", "raw_url", "reason", "normalized_url", "accepted")
+    return classify(feed_lines(spark, d)).select("line", "raw_url", "reason", "normalized_url", "accepted")
 
 
-def _seen(spark, d) -> DataFrame:
-    # all that reads the page comes before the join, so that no page passes through it
-    return evaluate_once(with_features(O.observations(spark, d)).withColumn("issues", O.issues()))
+def _rule_columns() -> list:
+    return [*[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing"]
 
 
 def page_rules(spark, d):
-    seen = evaluate(O.observations(spark, d).filter("access_index = 2"))
-    return seen.select("page_id", *[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing")
+    """The rules on what the first human visit of each page got."""
+    return evaluate(O.observations(spark, d).filter("slot = 'human' AND replicate = 1").select("page_id", "url", "html")).select("page_id", *_rule_columns())
 
 
 def observation_rules(spark, d):
     """``page_rules`` of all four observations of a page."""
-    seen = evaluate_once(O.observations(spark, d).select("page_id", "slot", "replicate", "url", "html"))
-    return seen.select("page_id", "slot", "replicate", *[F.col(f"hits.{k}").alias(k) for k in C.CATEGORIES], F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round("score", 6).alias("score"), "is_phishing")
+    return evaluate_once(O.observations(spark, d).select("page_id", "slot", "replicate", "url", "html")).select("page_id", "slot", "replicate", *_rule_columns())
 
 
 #: Hosts with something before, after or below them, and what follows the URL.
@@ -97,23 +102,36 @@ def page_structure(spark, d):
     return evaluate(pages).select("page_id", F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.array_join("mechanisms", "|").alias("mechanisms"), F.round("score", 6).alias("score"), "is_phishing")
 
 
+def seen(spark, d) -> DataFrame:
+    """Every observation with the facts and issues of its views."""
+    return P.seen(O.observations(spark, d))
+
+
 def observation_issues(spark, d):
-    o = O.observations(spark, d).withColumn("issue", F.explode(O.issues()))
-    return o.groupBy("slot", "replicate", "issue").agg(F.count("*").alias("n"))
+    o = seen(spark, d).withColumn("dom_issues", F.when(F.col("dom").isNotNull(), F.col("dom_issues")))
+    views = o.select("slot", "replicate", F.explode(F.array(F.struct(F.lit("html").alias("view"), "issues"), F.struct(F.lit("dom").alias("view"), F.col("dom_issues").alias("issues")))).alias("v"))
+    return views.select("slot", "replicate", "v.view", F.explode("v.issues").alias("issue")).groupBy("slot", "replicate", "view", "issue").agg(F.count("*").alias("n"))
+
+
+def judged(spark, d) -> DataFrame:
+    """One row per page: its observations side by side, judged page, signals, verdicts and cloaking label."""
+    every = O.observations(spark, d).unionByName(O.variants(spark, d), allowMissingColumns=True)
+    pairs = V.choose_page(P.pair_table(P.seen(every)))
+    pairs = pairs.withColumns({"static_rules": F.coalesce("page.facts.static_rules", P.nothing()), "techniques": F.coalesce("page.facts.techniques", P.nothing())})
+    return P.label(V.classify(S.signals(pairs, F.col("static_rules"))), F.col("static_rules"), F.col("variant_differences"))
 
 
 def cloaking_label(spark, d):
-    out = label(pair_table(_seen(spark, d)))
-    return out.select("page_id", F.array_join("fired", "|").alias("fired"), F.array_join("hidden", "|").alias("hidden"), "rule_label", "label", F.array_join("reasons", "|").alias("reasons"))
+    bar = lambda c: F.array_join(c, "|").alias(c)
+    return judged(spark, d).select("page_id", bar("fired"), bar("hidden"), bar("reverse"), "channel_blocked", bar("evidence"), "rule_label", "label", bar("reasons"), "basis", "reason")
 
 
 def reason_counts(spark, d):
-    return label(pair_table(_seen(spark, d))).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return judged(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def label_prevalence(spark, d):
-    out = label(pair_table(_seen(spark, d))).withColumn("cohort", F.col("page_id") % 3)
-    p = prevalence(out, "cohort")
+    p = prevalence(judged(spark, d).withColumn("cohort", F.col("page_id") % 3), "cohort")
     return p.select("cohort", "n", "t", "f", "na", *[F.round(c, 9).alias(c) for c in ("lower", "upper", "conditional", "ci_lo", "ci_hi")])
 
 
@@ -130,16 +148,17 @@ def _q(text: str) -> str:
 
 
 _V = f"""
-variants AS (SELECT page_id, variant, CASE WHEN variant IN (3, 4) THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || tail ELSE url || tail END AS url
+variants AS (SELECT page_id, variant, CASE WHEN variant IN {_BARE} THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || tail ELSE url || tail END AS url
              FROM pages CROSS JOIN (VALUES {", ".join(f"({i}, {_q(v)})" for i, v in enumerate(VARIANTS))}) t(variant, tail))"""
 _P = _q(r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$")
 _N = f"""
-parts AS (SELECT *, trim(url) AS u, lower(regexp_extract(trim(url), {_P}, 1)) AS scheme, regexp_extract(trim(url), {_P}, 2) AS netloc FROM src),
-judged AS (SELECT *, CASE WHEN regexp_matches(u, '[\\x00-\\x20\\x7f\\\\]') THEN 'invalid_url_characters' WHEN scheme NOT IN ('http', 'https') OR netloc = '' THEN 'http_url_required'
-    WHEN contains(netloc, '@') THEN 'userinfo_not_allowed'
-    WHEN regexp_extract(netloc, ':([^:\\]]*)$', 1) <> '' AND (NOT regexp_matches(regexp_extract(netloc, ':([^:\\]]*)$', 1), '^[0-9]{{1,5}}$') OR TRY_CAST(regexp_extract(netloc, ':([^:\\]]*)$', 1) AS INTEGER) > 65535) THEN 'invalid_port' END AS reason FROM parts),
-normal AS (SELECT *, CASE WHEN reason IS NULL THEN scheme || '://' || regexp_replace(lower(netloc), CASE WHEN scheme = 'http' THEN ':(80|0)?$' ELSE ':(443|0)?$' END, '')
-    || CASE WHEN regexp_extract(u, {_P}, 3) = '' THEN '/' ELSE regexp_extract(u, {_P}, 3) END || regexp_extract(u, {_P}, 4) || regexp_extract(u, {_P}, 5) END AS normalized FROM judged)"""
+cut AS (SELECT *, regexp_replace(url, '^[\\x09-\\x0D\\x1C-\\x20]+|[\\x09-\\x0D\\x1C-\\x20]+$', '', 'g') AS u FROM src),
+parts AS (SELECT *, lower(regexp_extract(u, {_P}, 1)) AS scheme, regexp_extract(u, {_P}, 2) AS netloc, regexp_extract(regexp_extract(u, {_P}, 2), '([^@]*)$', 1) AS place FROM cut),
+named AS (SELECT *, regexp_extract(place, '^(\\[[^\\]]*\\]|[^:]*)', 1) AS h, regexp_extract(place, '^(?:\\[[^\\]]*\\]|[^:]*):(.*)$', 1) AS port FROM parts),
+judged AS (SELECT *, regexp_replace(port, '^0+', '') AS p, CASE WHEN u = '' OR regexp_matches(u, '[\\x00-\\x20\\x7f\\\\]') THEN 'invalid_url_characters' WHEN scheme NOT IN ('http', 'https') OR h = '' THEN 'http_url_required' WHEN contains(netloc, '@') THEN 'userinfo_not_allowed'
+    WHEN port <> '' AND (NOT regexp_matches(port, '^[0-9]+$') OR length(regexp_replace(port, '^0+', '')) > 5 OR coalesce(TRY_CAST(port AS INTEGER), 0) > 65535) THEN 'invalid_port' WHEN NOT starts_with(h, '[') AND regexp_matches(h, '^\\.|\\.\\.|[^.]{{64}}') THEN 'invalid_host' END AS reason FROM named),
+normal AS (SELECT *, CASE WHEN reason IS NULL THEN scheme || '://' || lower(h) || CASE WHEN p = '' OR (scheme = 'http' AND p = '80') OR (scheme = 'https' AND p = '443') THEN '' ELSE ':' || p END || CASE WHEN regexp_extract(u, {_P}, 3) = '' THEN '/' ELSE regexp_extract(u, {_P}, 3) END
+    || CASE WHEN regexp_extract(u, {_P}, 4) = '?' THEN '' ELSE regexp_extract(u, {_P}, 4) END || CASE WHEN regexp_extract(u, {_P}, 5) = '#' THEN '' ELSE regexp_extract(u, {_P}, 5) END END AS normalized FROM judged)"""
 _FREE = "(" + ", ".join(map(_q, C.FREE_HOSTS)) + ")"
 _SECOND = "(" + ", ".join(map(_q, C.SECOND_LEVEL)) + ")"
 
@@ -153,18 +172,32 @@ def _domain(h: str) -> str:
 
 
 _HOST = "lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
-_EVIL = "((slot = 'human' AND s IN (1, 3, 5, 6)) OR (slot = 'human' AND replicate = 1 AND s = 2) OR (slot = 'bot' AND replicate = 1 AND s = 7) OR s = 8)"
+_EVIL = "((slot = 'human' AND s IN (1, 3, 5, 6, 14)) OR (slot = 'human' AND replicate = 1 AND s = 2) OR (slot = 'bot' AND replicate = 1 AND s = 7) OR s = 8)"
+_EMPTY = "((slot = 'bot' AND s IN (5, 14)) OR (slot = 'human' AND replicate = 1 AND s = 10))"
+_FIRST = "(substr(sha1(asked), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')) = (slot = 'human')"
 _OBS = f"""
-base AS (SELECT page_id, url, html AS raw, page_id % 12 AS s, slot, replicate, access_index FROM pages CROSS JOIN (VALUES ('bot', 1, 1), ('human', 1, 2), ('bot', 2, 3), ('human', 2, 4)) t(slot, replicate, access_index)),
-obs AS (SELECT page_id, url, s, slot, replicate, access_index, CASE WHEN slot = 'bot' AND s IN (3, 4) THEN 403 WHEN slot = 'bot' AND replicate = 2 AND s = 11 THEN 503 WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 0 ELSE 200 END AS status,
-    CASE WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 'timeout' ELSE '' END AS error,
-    CASE WHEN (slot = 'bot' AND s = 5) OR (slot = 'human' AND replicate = 1 AND s = 10) THEN '' ELSE raw || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s = 9 THEN {_q(O.GATE)} ELSE '' END END AS html,
-    CASE WHEN slot = 'human' AND s = 6 THEN 'https://other.example/' ELSE url END AS last_hop FROM base)"""
+base AS (SELECT page_id, url AS asked, html AS raw, page_id % {O.SCENARIOS} AS s, slot, kind, replicate FROM pages CROSS JOIN (VALUES ('bot', '{O.BOT}', 1), ('human', '{O.HUMAN}', 1), ('bot', '{O.BOT}', 2), ('human', '{O.HUMAN}', 2)) t(slot, kind, replicate)),
+placed AS (SELECT *, 2 * (replicate - 1) + CASE WHEN {_FIRST} THEN 1 ELSE 2 END AS access_index,
+    CASE WHEN slot = 'bot' AND s IN (3, 4) THEN 403 WHEN slot = 'bot' AND replicate = 2 AND s = 11 THEN 503 WHEN (slot = 'human' AND replicate = 1 AND s = 10) OR (slot = 'bot' AND s = 14) THEN 0 WHEN slot = 'human' AND s = 23 THEN 404 ELSE 200 END AS status,
+    CASE WHEN {_EMPTY} THEN '' WHEN s = 20 THEN {_q(O.BLANK)} ELSE coalesce(raw, '') || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s IN (9, 13) THEN {_q(O.GATE)}
+        WHEN slot = 'human' AND s = 15 THEN {_q(O.TITLES[0])} WHEN s = 16 THEN {_q(O.ARTIFACT)} WHEN slot = 'human' AND s = 23 THEN {_q(O.TITLES[1] + O.PROMPT)} ELSE '' END END AS html,
+    CASE WHEN slot = 'human' AND s = 6 THEN 'https://other.example/' ELSE asked END AS final FROM base),
+watched AS (SELECT page_id, asked, s, slot, kind, replicate, access_index, status, html, final AS url, CASE WHEN s = 20 AND access_index = 3 THEN NULL ELSE 1704067200000 + page_id * 60000 + access_index * (17250 + page_id % 7) END AS at_ms,
+    CASE WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 'timeout' WHEN slot = 'bot' AND s = 14 THEN '{O.RESET}' ELSE '' END AS error,
+    CASE WHEN status = 0 THEN [] WHEN s = 22 THEN [asked, 'https://hop.example/', asked] WHEN final <> asked THEN [asked, final] ELSE [asked] END AS chain,
+    CASE WHEN slot = 'bot' OR status = 0 THEN NULL WHEN s = 12 THEN html || {_q(O.EVIL)} WHEN s = 20 THEN coalesce(raw, '') ELSE html END AS dom_html, CASE WHEN slot = 'human' AND s = 22 THEN asked || '#late' WHEN slot = 'human' THEN final END AS page_url,
+    slot = 'human' AND replicate = 1 AND s = 18 AS truncated, slot = 'bot' AND s = 19 AS non_html, CASE WHEN slot = 'human' AND replicate = 2 AND s = 10 THEN 'body lost' ELSE '' END AS body_error, slot = 'human' AND s = 21 AS stopped, slot = 'human' AND s = 21 AND replicate = 1 AS failed,
+    CASE WHEN slot = 'human' AND s = 22 THEN 1 ELSE 0 END AS client_navigations, CASE WHEN slot = 'human' AND status <> 0 THEN html END AS early_html FROM placed)"""
+_NARROW = "page_id, asked, s, slot, kind, replicate, access_index, status, error, url AS final, chain, page_url, at_ms, truncated, non_html, body_error, stopped, failed, client_navigations"
+#: One row per observation and view: what the evaluation below reads.
+_VIEWS = f"""
+obs AS (SELECT {_NARROW}, 'html' AS view, '' AS variant, html, url FROM watched UNION ALL SELECT {_NARROW}, 'dom', '', dom_html, page_url FROM watched WHERE dom_html IS NOT NULL UNION ALL SELECT {_NARROW}, 'early', '', early_html, page_url FROM watched WHERE early_html IS NOT NULL
+    UNION ALL SELECT {_NARROW.replace(", status,", ", CASE WHEN s = 17 THEN 302 ELSE status END AS status,")}, 'html', 'referer', html, url FROM watched WHERE replicate = 1 AND slot = 'bot' AND s IN (0, 17, 19)
+    UNION ALL SELECT {_NARROW.replace("url AS final", "page_url AS final")}, 'html', 'mobile', coalesce(dom_html, html) || CASE WHEN s = 17 THEN {_q(O.TITLES[0] + O.EVIL)} ELSE '' END, page_url FROM watched WHERE replicate = 1 AND slot = 'human' AND s IN (0, 17, 18))"""
 _below = lambda d, hosts: f"regexp_matches('.' || {d}, {_q(C.suffixes(hosts))})"
 _rx = lambda text, pattern: f"regexp_matches({text}, {_q(pattern)})"
 _get = lambda text, pattern: f"regexp_extract({text}, {_q(pattern)}, 1)"
-#: RE2 cannot look ahead; a test holds those patterns against Python's re.
-_HITS = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns if '(?!' not in p)}) AS {name}" for name, (_, _, patterns) in C.CATEGORIES.items())
+_HITS = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns)}) AS {name}" for name, (_, _, patterns) in C.CATEGORIES.items())
 _ON = {k: f"{k} > 0" for k in C.CATEGORIES} | {k: k for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
 _list = lambda items: "[" + ", ".join(items) + "]"
 _SCORE = "0.0::DOUBLE" + "".join(f" + {w}::DOUBLE * least(1.0::DOUBLE, {k} / 3.0::DOUBLE)" for k, (w, _, _) in C.CATEGORIES.items())
@@ -209,65 +242,155 @@ k0 AS (SELECT *, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, least(
        list_filter({_list(f"CASE WHEN {' AND '.join(_ON[f] for f in flags)} THEN '{k}' END" for k, flags in C.DECISIVE.items())}, lambda v: v IS NOT NULL) AS decisive,
        list_sort(list_filter({_list(f"CASE WHEN {c} THEN '{k}' END" for k, c in _ON.items())}, lambda v: v IS NOT NULL)) AS flags FROM sco),
 {_combo_steps()},
-ev AS (SELECT *, CASE WHEN len(decisive) > 0 THEN s0 ELSE x END AS final, list_filter(flags, lambda v: list_contains({_list(map(_q, C.MECHANISMS))}, v)) AS mechanisms FROM k{len(C.COMBOS)})"""
-_ISSUES = "list_sort(list_filter([CASE WHEN error <> '' OR status = 0 THEN 'crawl_error' END, CASE WHEN status <> 0 AND NOT status BETWEEN 200 AND 299 THEN 'http_error_status' END, CASE WHEN html = '' AND NOT (error <> '' OR status = 0) THEN 'empty_document' END, CASE WHEN regexp_matches(html, '(?i)captcha') THEN 'challenge_or_block_page' END], lambda v: v IS NOT NULL))"
+ev AS (SELECT *, CASE WHEN len(decisive) > 0 THEN s0 ELSE x END AS final_value, len(decisive) > 0 OR CASE WHEN len(decisive) > 0 THEN s0 ELSE x END >= 0.45::DOUBLE AS is_phishing, list_filter(flags, lambda v: list_contains({_list(map(_q, C.MECHANISMS))}, v)) AS mechanisms FROM k{len(C.COMBOS)})"""
 _HIGH = _list(map(_q, C.HIGH_SPECIFICITY))
-
-
-def _side(b: str, h: str, tag: str) -> str:
-    mb, mh = f"{b}.mechanisms", f"{h}.mechanisms"
-    hidden, reverse = f"list_sort(list_filter({mh}, lambda v: NOT list_contains({mb}, v)))", f"list_sort(list_filter({mb}, lambda v: NOT list_contains({mh}, v)))"
-    evil = f"list_has_any({mh}, {_HIGH})"
-    host = lambda n: f"regexp_extract({n}.last_hop, '://([^/?#]*)', 1)"
-    rules = [
-        ("C1", f"len({hidden}) > 0 AND {b}.html <> '' AND {b}.error = '' AND {b}.status NOT IN (403, 404, 503)"), ("C2", f"{b}.status IN (403, 404, 503) AND {h}.status = 200 AND {evil}"),
-        ("C3", f"contains({b}.error, 'ERR_HTTP2_PROTOCOL_ERROR') AND {h}.error = '' AND {evil}"), ("C4", f"{h}.html <> '' AND {b}.html = '' AND {b}.error = '' AND {evil}"),
-        ("C5", f"{host(b)} <> {host(h)} AND len({mh}) > 0 AND len({mb}) = 0"),
-    ]
-    return f"list_filter({_list(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules)}, lambda v: v IS NOT NULL) AS fired{tag}, {hidden} AS hidden{tag}, {reverse} AS rev{tag}"
-
-
-def _tag(col: str, name: str, allowed) -> str:
-    return f"list_transform(list_filter({col}.issues, lambda v: list_contains({_list(map(_q, allowed))}, v)), lambda v: '{name}:' || v)"
-
-
-_one = lambda c, r: f"CASE WHEN {c} THEN ['{r}'] ELSE [] END"
+_in = lambda items: _list(map(_q, items))
+_some = lambda conditions: f"list_filter({_list(f'CASE WHEN {c} THEN {_q(n)} END' for n, c in conditions)}, lambda v: v IS NOT NULL)"
+_within = lambda a, b: f"list_filter({a}, lambda v: list_contains({b}, v))"
+_except = lambda a, b: f"list_filter({a}, lambda v: NOT list_contains({b}, v))"
+_rxall = lambda text, pattern, g=1: f"regexp_extract_all({text}, {_q(pattern)}, {g})"
+_squash = lambda text: f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+_hosts = lambda pattern: f"list_sort(list_distinct(list_filter(list_transform({_rxall('html', pattern)}, lambda u: lower(regexp_extract(u, '^https?://([^/]+)', 1))), lambda h: h <> '')))"
+_visible = lambda html: _squash(f"regexp_replace(regexp_replace({html}, {_q(T.UNSEEN)}, ' ', 'g'), {_q(T.TAG)}, ' ', 'g')")
+_title = lambda html: _squash(f"regexp_replace({_get(html, T.TITLE)}, {_q(T.TAG)}, ' ', 'g')")
+_HANDLERS = f"array_to_string({_rxall('html', T.HANDLER_DOUBLE)}, ' ') || ' ' || array_to_string({_rxall('html', T.HANDLER_SINGLE)}, ' ')"
+_GATES = "list_sort(list_distinct(" + _some((name, _rx({"markup": "html", "handler": "handlers", "script": "(scripts || ' ' || handlers)", "text": "text"}[scope], "(?i)" + pattern)) for name, scope, pattern in C.GATES) + "))"
+_INLINE = f"list_transform(list_slice(list_filter({_rxall('html', T.SCRIPT, 0)}, lambda x: {_get(_get('x', T.SCRIPT), T.SCRIPT_SOURCE)} = '' AND regexp_extract(x, {_q(T.SCRIPT)}, 2) <> ''), 1, {T.INLINE_SCRIPTS}), lambda x: substr(regexp_extract(x, {_q(T.SCRIPT)}, 2), 1, {T.INLINE_CHARS}))"
+_FOLDER = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
+_JOINED = f"CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN u WHEN starts_with(u, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || u WHEN starts_with(u, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || u ELSE CASE WHEN ends_with({_FOLDER}, '/') THEN {_FOLDER} ELSE {_FOLDER} || '/' END || u END"
+_EXTERNAL = f"list_transform(list_filter(list_transform({_rxall('html', T.SCRIPT)}, lambda a: {_get('a', T.SCRIPT_SOURCE)}), lambda u: u <> ''), lambda u: {_JOINED})"
+_TECHNIQUES = "list_sort(" + _some((k, " OR ".join(_rx("html", "(?i)" + p) for p in patterns)) for k, patterns in C.SIGNATURES.items()) + ")"
+_STATIC = _some((k, " AND ".join(f"list_has_any(techniques, {_in(g)})" for g in groups)) for k, groups in C.SIGNATURE_RULES.items())
+_BAD = "(error <> '' OR status = 0)"
+_ISSUES = "list_sort(" + _some([
+    ("crawl_error", _BAD), ("http_error_status", "status <> 0 AND NOT status BETWEEN 200 AND 299"), ("non_html_document", "non_html"), ("document_body_unavailable", "NOT non_html AND status <> 0 AND html = '' AND view = 'html' AND body_error <> ''"),
+    ("empty_document", "NOT non_html AND status <> 0 AND html = '' AND NOT (view = 'html' AND body_error <> '')"), ("content_truncated", "truncated AND view = 'html'"), ("blank_visible_text", "html <> '' AND text = ''"), ("challenge_or_block_page", f"list_has_any(gates, {_in(C.CHALLENGES)})"),
+    ("interaction_gate", f"list_has_any(gates, {_in(C.INTERACTIONS)})"), ("content_requests_blocked", "view = 'dom' AND stopped"), ("content_requests_failed", "view = 'dom' AND failed"), *[(x, "view = 'dom' AND stopped") for x in ("dialog_dismissed", "download_blocked", "popup_closed")],
+]) + ")"
+#: Facts of each view, its issues, and the observations side by side as b1, b2, h1, h2 with their views (d: the page after its scripts ran, e: the early one).
+_FACTS = f"""
+tx AS (SELECT *, {_visible('html')} AS text, {_title('html')} AS title, {_HANDLERS} AS handlers, array_to_string({_rxall('html', T.SCRIPT, 2)}, ' ') AS scripts, {_TECHNIQUES} AS techniques, {_INLINE} AS inline, {_EXTERNAL} AS external, {_hosts(R.FORM_ACTION)} AS form_hosts, {_hosts(R.SOURCE_HOST)} AS script_hosts, {_HOST} AS final_host FROM ev),
+gt AS (SELECT *, {_GATES} AS gates, {_STATIC} AS static_rules FROM tx),
+isu AS (SELECT *, {_ISSUES} AS issues FROM gt)"""
+_REST = "page_id, asked, s, slot, kind, replicate, access_index, status, error, final, chain, page_url, at_ms, client_navigations, stopped, failed, title, lower(title) AS low_title, text, html, final_host, form_hosts, script_hosts, gates, issues, mechanisms, decisive, least(0.9::DOUBLE, final_score) AS score, is_phishing, techniques, static_rules, inline, external"
+_one = lambda c, r: f"CASE WHEN {c} THEN [{_q(r)}] ELSE [] END"
 
 
 def _cat(items) -> str:
-    items = list(items)
     return "flatten([" + ", ".join(items) + "])"
 
 
 _NAMES = (("b1", "bot#1"), ("b2", "bot#2"), ("h1", "human#1"), ("h2", "human#2"))
+_HALF = (("b1", "h1"), ("b2", "h2"))
+_KEYS = {"status": "status", "final_host": "final_host", "mechanisms": "mechanisms", "title": "low_title", "form_hosts": "form_hosts", "script_hosts": "script_hosts", "html_sha256": "html", "text_sha256": "lower_text"}
+
+
+def _side(b: str, h: str, tag: str) -> str:
+    mb, mh = f"{b}.mechanisms", f"{h}.mechanisms"
+    hidden, shared, reverse = f"list_sort({_except(mh, mb)})", f"list_sort({_within(mh, mb)})", f"list_sort({_except(mb, mh)})"
+    evil, shut, reset = f"list_has_any({mh}, {_HIGH})", f"{b}.status IN (403, 404, 503)", f"contains({b}.error, 'ERR_HTTP2_PROTOCOL_ERROR')"
+    last = lambda n: f"coalesce({n}.chain[-1], '')"
+    host = lambda n: f"CASE WHEN regexp_extract({last(n)}, 'https?://([^/]+)', 1) <> '' THEN regexp_extract({last(n)}, 'https?://([^/]+)', 1) ELSE {last(n)} END"
+    fork = f"({last(b)} <> '' AND {last(h)} <> '' AND {host(b)} <> {host(h)})"
+    lone = f"({h}.text <> '' AND {b}.text = '' AND {b}.error = '')"
+    fired = _some([
+        ("C1", f"len({hidden}) > 0 AND {b}.text <> '' AND {b}.error = '' AND NOT {shut}"), ("C2", f"{shut} AND {h}.status = 200 AND {evil}"), ("C3", f"{reset} AND {h}.error = '' AND {evil}"), ("C4", f"{lone} AND {evil}"), ("C5", f"{fork} AND len({mh}) > 0 AND len({mb}) = 0"),
+    ])
+    blocked = f"(({shut} AND {h}.status = 200) OR ({reset} AND {h}.error = '') OR {lone})"
+    return f"{fired} AS fired{tag}, {hidden} AS hidden{tag}, {shared} AS shared{tag}, {reverse} AS rev{tag}, {blocked} AS blocked{tag}, {fork} AS fork{tag}"
+
+
+def _tag(col: str, name: str, allowed, skip: str | None = None) -> str:
+    found = _within(f"{col}.issues", _in(allowed))
+    if skip:
+        found = f"CASE WHEN {skip} THEN {_except(found, _in(['crawl_error']))} ELSE {found} END"
+    return f"list_transform({found}, lambda v: '{name}:' || v)"
+
+
+_same = lambda a, b, k: f"{a}.{_KEYS[k]} IS NOT DISTINCT FROM {b}.{_KEYS[k]}"
+_systematic = lambda k: f"{_same('b1', 'b2', k)} AND {_same('h1', 'h2', k)} AND NOT ({_same('b1', 'h1', k)})"
+_C3 = "list_contains(fired1, 'C3')"
+_clear = lambda n: f"NOT list_has_any({n}.issues, {_in(C.BLOCKING)})"
+_SPECIFIC_H = _within("h1.mechanisms", _HIGH)
+#: The judged page: the first observation that nothing blocks, after its scripts ran where there is such a view.
+_CHOICES = [(n, name, n.startswith("h")) for n, name in (("h1", "human#1"), ("h2", "human#2"), ("b1", "bot#1"), ("b2", "bot#2"))]
+
+
+def _pick(what) -> str:
+    """CASE over the candidates; ``what(row, name, view)`` gives the value."""
+    steps = []
+    for n, name, browser in _CHOICES:
+        if browser:
+            steps.append(f"WHEN coalesce({n}d.html, '') <> '' AND {_clear(n + 'd')} THEN {what(n + 'd', name, 'dom')}")
+            steps.append(f"WHEN coalesce({n}d.html, '') = '' AND {_clear(n)} THEN {what(n, name, 'html')}")
+        else:
+            steps.append(f"WHEN {_clear(n)} THEN {what(n, name, 'html')}")
+    return "CASE " + " ".join(steps)
+
+
+_PAGE_ISSUES = _pick(lambda n, name, view: f"{n}.issues" if view == "dom" else f"list_sort(list_append({n}.issues, 'analysis_without_js_execution'))") + " ELSE CASE WHEN coalesce(h1d.html, '') <> '' THEN h1d.issues ELSE h1.issues END END"
+_DIFFERS = {
+    "referer": ("vr", ("b1", "b2"), ""), "mobile": ("vm", ("h1", "h2"), "d"),
+}
+
+
+def _variant(name: str) -> tuple[str, str]:
+    """(status, keys) of a variant's signal."""
+    v, (a, b), view = _DIFFERS[name]
+    keys = {"status": "status", "final_host": "final_host", "mechanisms": "mechanisms", "title": "low_title"}
+    of = lambda n, k: f"{n}.{k}" if k == "status" or not view else (f"coalesce({n}d.{k}, {'[]' if k == 'mechanisms' else _q('')})" if k != "final_host" else f"{n}.dom_host")
+    parts = []
+    for k, c in keys.items():
+        x, y = of(a, c), of(b, c)
+        other = f"CASE WHEN {_clear(a)} THEN {x} ELSE {y} END"
+        parts.append((k, f"(NOT ({_clear(a)} AND {_clear(b)}) OR {x} IS NOT DISTINCT FROM {y}) AND ({other}) IS DISTINCT FROM {v}.{c}"))
+    differs = _some(parts)
+    status = f"CASE WHEN {v}.page_id IS NULL THEN 'not_tested' WHEN NOT ({_clear(v)} AND ({_clear(a)} OR {_clear(b)})) THEN 'unmeasurable' WHEN len({differs}) > 0 THEN 'observed' ELSE 'not_observed' END"
+    return status, f"CASE WHEN {v}.page_id IS NULL THEN [] ELSE {differs} END"
+
+
+_JOINS = " ".join(f"JOIN o {n} ON {n}.page_id = b1.page_id AND {n}.slot = '{'bot' if n[0] == 'b' else 'human'}' AND {n}.replicate = {n[1]}" for n in ("b2", "h1", "h2")) + " " + " ".join(f"LEFT JOIN {v} {n}{v} ON {n}{v}.page_id = b1.page_id AND {n}{v}.replicate = {n[1]}" for n in ("h1", "h2") for v in ("d", "e")) + " LEFT JOIN vr ON vr.page_id = b1.page_id LEFT JOIN vm ON vm.page_id = b1.page_id"
+_SIDES = f"""
+vw AS MATERIALIZED (SELECT {_REST}, lower(text) AS lower_text, view, variant FROM (SELECT *, final_value AS final_score FROM isu)),
+o AS (SELECT *, lower(regexp_extract(trim(coalesce(page_url, final)), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS dom_host FROM vw WHERE view = 'html' AND variant = ''), d AS (SELECT * FROM vw WHERE view = 'dom'), e AS (SELECT * FROM vw WHERE view = 'early'),
+vr AS (SELECT * FROM vw WHERE variant = 'referer'), vm AS (SELECT * FROM vw WHERE variant = 'mobile')"""
 _LABEL = f"""
-one AS (SELECT page_id, slot, replicate, status, error, html, last_hop, mechanisms, {_ISSUES} AS issues FROM ev),
-pr AS (SELECT b1.page_id, {_side("b1", "h1", "1")}, {_side("b2", "h2", "2")}, {_cat([_tag("b1", "bot#1", _P_.RULE_BOT), _tag("h1", "human#1", _P_.UNUSABLE)])} AS block,
-    {_cat([_tag("h1", "human#1", _P_.TRUE_HUMAN), _tag("h2", "human#2", _P_.TRUE_HUMAN), _tag("b1", "bot#1", _P_.TRUE_BOT), _tag("b2", "bot#2", _P_.TRUE_BOT)])} AS bt, {_cat(_tag(c, n, _P_.FALSE_ALL) for c, n in _NAMES)} AS bf,
-    {_cat(_one(f"{s}1.{k} IS DISTINCT FROM {s}2.{k}", f"{n}_unstable_{k}") for s, n in (("b", "bot"), ("h", "human")) for k in ("status", "mechanisms"))} AS drift
-    FROM one b1 JOIN one h1 ON h1.page_id = b1.page_id AND h1.slot = 'human' AND h1.replicate = 1 JOIN one b2 ON b2.page_id = b1.page_id AND b2.slot = 'bot' AND b2.replicate = 2
-    JOIN one h2 ON h2.page_id = b1.page_id AND h2.slot = 'human' AND h2.replicate = 2 WHERE b1.slot = 'bot' AND b1.replicate = 1),
-rl AS (SELECT *, CASE WHEN len(block) > 0 THEN 'unknown' WHEN len(fired1) > 0 THEN 'true' ELSE 'false' END AS rule_label FROM pr),
+pr AS MATERIALIZED (SELECT b1.page_id, b1.asked, b1.s, {_side("b1", "h1", "1")}, {_side("b2", "h2", "2")},
+    {_pick(lambda n, name, view: _q(name))} ELSE '' END AS page_name, {_pick(lambda n, name, view: _q(view))} ELSE '' END AS page_view, {_PAGE_ISSUES} AS page_issues, {_pick(lambda n, name, view: f"{n}.static_rules")} ELSE [] END AS static_rules, {_pick(lambda n, name, view: f"{n}.techniques")} ELSE [] END AS techniques,
+    {_pick(lambda n, name, view: f"{n}.score")} ELSE 0.0::DOUBLE END AS page_score, {_pick(lambda n, name, view: f"{n}.decisive")} ELSE [] END AS page_decisive, {_pick(lambda n, name, view: f"length({n}.html)")} ELSE 0 END AS page_length, {_variant("referer")[0]} AS referer, {_variant("referer")[1]} AS referer_keys, {_variant("mobile")[0]} AS mobile, {_variant("mobile")[1]} AS mobile_keys,
+    {_cat(_one(f"NOT ({_same(f'{x}1', f'{x}2', k)})", f"{n}_unstable_{k}") for x, n in (("b", "bot"), ("h", "human")) for k in P.STABLE)} AS unstable,
+    {_cat(_one(_systematic(k), f"systematic_{k}_difference_without_mechanism_evidence") for k in P.SYSTEMATIC)} AS steady,
+    {_cat(_one(f"coalesce({n}d.html, '') <> '' AND len({_except(f'{n}d.mechanisms', f'{n}.mechanisms')}) > 0", f"{name}:js_rendered_mechanisms_not_compared") for n, name in (("h1", "human#1"), ("h2", "human#2")))} AS rendered,
+    b1, b2, h1, h2, h1d, h2d, h1e, h2e, {_SPECIFIC_H} AS specific FROM o b1 {_JOINS} WHERE b1.slot = 'bot' AND b1.replicate = 1),
+blk AS (SELECT *, {_cat([_tag("b1", "bot#1", P.RULE_BOT, _C3), _tag("h1", "human#1", P.UNUSABLE)])} AS block, {_cat([_tag("h1", "human#1", P.TRUE_HUMAN), _tag("h2", "human#2", P.TRUE_HUMAN), _tag("b1", "bot#1", P.TRUE_BOT, _C3), _tag("b2", "bot#2", P.TRUE_BOT, _C3)])} AS bt,
+    {_cat(_tag(c, n, P.FALSE_ALL) for c, n in _NAMES)} AS bf, {_cat([_one("referer = 'observed'", "variant_difference_unconfirmed:referer"), _one("mobile = 'observed'", "variant_difference_unconfirmed:mobile")])} AS changed FROM pr),
+rl AS (SELECT *, CASE WHEN len(block) > 0 THEN 'unknown' WHEN len(fired1) > 0 THEN 'true' ELSE 'false' END AS rule_label FROM blk),
 why AS (SELECT *, CASE rule_label WHEN 'unknown' THEN block WHEN 'true' THEN {_cat(["bt", _one("fired1 <> fired2 OR hidden1 <> hidden2", "difference_not_replicated"), _one(f"NOT list_has_any(hidden1, {_HIGH})", "difference_without_high_specificity_evidence")])}
     ELSE {_cat(["bf", _one("len(fired2) > 0", "difference_not_replicated")])} END AS w FROM rl),
-lab AS (SELECT *, {_cat(["CASE WHEN rule_label = 'false' AND len(w) = 0 THEN drift ELSE w END", _one("rule_label <> 'unknown' AND (len(rev1) > 0 OR len(rev2) > 0)", "reverse_difference_or_order_effect")])} AS reasons FROM why),
-res AS (SELECT *, CASE WHEN rule_label <> 'unknown' AND len(reasons) = 0 THEN rule_label ELSE 'unknown' END AS label FROM lab)"""
+lab AS (SELECT *, {_cat(["w", "CASE WHEN rule_label = 'false' AND len(w) = 0 THEN flatten([unstable, steady, rendered]) ELSE [] END", "CASE WHEN rule_label = 'false' THEN flatten([CASE WHEN len(static_rules) > 0 THEN ['frontend_cloaking_code_present:' || array_to_string(static_rules, ',')] ELSE [] END, changed]) ELSE [] END", _one("rule_label <> 'unknown' AND (len(rev1) > 0 OR len(rev2) > 0)", "reverse_difference_or_order_effect")])} AS reasons FROM why),
+res AS (SELECT *, CASE WHEN rule_label <> 'unknown' AND len(reasons) = 0 THEN rule_label ELSE 'unknown' END AS label,
+    CASE WHEN len(fired1) > 0 THEN list_transform(fired1, lambda x: x || ':' || CASE x WHEN 'C1' THEN array_to_string(hidden1, ',') WHEN 'C5' THEN h1.final ELSE array_to_string(list_sort(specific), ',') END)
+    ELSE {_cat(["CASE WHEN len(shared1) > 0 THEN ['same_mechanisms:' || array_to_string(shared1, ',')] WHEN len(h1.mechanisms) = 0 THEN ['no_mechanisms'] ELSE [] END", _one("blocked1 AND len(specific) = 0", "anti_bot_only"), _one("fork1", "benign_fork")])} END AS evidence FROM lab)"""
 _W = "(t / n::DOUBLE + 3.8416 / (2 * n)) / (1 + 3.8416 / n) {sign} 1.96 * sqrt(t / n::DOUBLE * (1 - t / n::DOUBLE) / n + 3.8416 / (4 * n::DOUBLE * n)) / (1 + 3.8416 / n)"
-_CHAIN = f"WITH {_OBS}, {_EVAL}, {_LABEL} "
+CHAIN = f"WITH {_OBS}, {_VIEWS}, {_EVAL}, {_FACTS}, {_SIDES}, {_LABEL} "
+FEED = f"{_V}, src AS (SELECT page_id * {len(VARIANTS)} + variant + 1 AS line, regexp_replace(url, '(?s)[?#].*$', '') AS url FROM variants), {_N}, d AS (SELECT line, url, normalized, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY normalized ORDER BY line) > 1 THEN 'duplicate_normalized_url' END AS reason FROM normal)"
 SQL = {
     "url_normalize": f"WITH {_V}, src AS (SELECT * FROM variants), {_N} SELECT page_id, variant, normalized, reason FROM normal",
     "url_registered_domain": f"WITH {_V}, h AS (SELECT page_id, variant, {_HOST} AS host FROM variants) SELECT page_id, variant, host, {_domain('host')} AS domain FROM h",
     "url_entropy": "WITH c AS (SELECT page_id, length(url) AS n, c, count(*) AS k FROM (SELECT page_id, url, unnest(string_split(url, '')) AS c FROM pages) WHERE c <> '' GROUP BY ALL) SELECT page_id, round(sum(-(k / n::DOUBLE) * log2(k / n::DOUBLE)), 9) AS bits FROM c GROUP BY page_id",
     "crawl_order": "SELECT page_id, substr(sha1(url), 1, 12) AS url_hash, substr(sha1(url), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS human_first FROM pages",
-    "feed_import": f"WITH {_V}, src AS (SELECT page_id * {len(VARIANTS)} + variant + 1 AS line, regexp_replace(url, '[?#].*$', '') AS url FROM variants), {_N}, d AS (SELECT line, url, normalized, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY normalized ORDER BY line) > 1 THEN 'duplicate' END AS reason FROM normal) SELECT line, url AS raw_url, reason, normalized AS normalized_url, reason IS NULL AS accepted FROM d",
-    "page_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev WHERE access_index = 2",
-    "observation_rules": f"WITH {_OBS}, {_EVAL} SELECT page_id, slot, replicate, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev",
-    "url_risk": f"WITH obs AS (SELECT page_id, variant, 'https://' || a || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || b || c AS url, '' AS html FROM pages CROSS JOIN (VALUES {', '.join(f'({i}, {_q(a)}, {_q(b)}, {_q(c)})' for i, (a, b, c) in enumerate(RISKS))}) t(variant, a, b, c)), {_EVAL} SELECT page_id, variant, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final), 6) AS score FROM ev",
-    "page_structure": f"WITH obs AS (SELECT page_id, url, html || {_list(map(_q, PIECES))}[page_id % {len(PIECES)} + 1] AS html FROM pages), {_EVAL} SELECT page_id, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, array_to_string(mechanisms, '|') AS mechanisms, round(least(0.9::DOUBLE, final), 6) AS score, len(decisive) > 0 OR final >= 0.45::DOUBLE AS is_phishing FROM ev",
+    "feed_import": f"WITH {FEED} SELECT line, url AS raw_url, reason, normalized AS normalized_url, reason IS NULL AS accepted FROM d",
+    "page_rules": f"WITH {_OBS}, {_VIEWS}, {_EVAL} SELECT page_id, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final_value), 6) AS score, is_phishing FROM ev WHERE view = 'html' AND variant = '' AND slot = 'human' AND replicate = 1",
+    "observation_rules": f"WITH {_OBS}, {_VIEWS}, {_EVAL} SELECT page_id, slot, replicate, {', '.join(C.CATEGORIES)}, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final_value), 6) AS score, is_phishing FROM ev WHERE view = 'html' AND variant = ''",
+    "url_risk": f"WITH obs AS (SELECT page_id, variant, 'https://' || a || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || b || c AS url, '' AS html FROM pages CROSS JOIN (VALUES {', '.join(f'({i}, {_q(a)}, {_q(b)}, {_q(c)})' for i, (a, b, c) in enumerate(RISKS))}) t(variant, a, b, c)), {_EVAL} SELECT page_id, variant, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(least(0.9::DOUBLE, final_value), 6) AS score FROM ev",
+    "page_structure": f"WITH obs AS (SELECT page_id, url, html || {_list(map(_q, PIECES))}[page_id % {len(PIECES)} + 1] AS html FROM pages), {_EVAL} SELECT page_id, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, array_to_string(mechanisms, '|') AS mechanisms, round(least(0.9::DOUBLE, final_value), 6) AS score, is_phishing FROM ev",
     "frontend_signatures": f"WITH t AS (SELECT page_id, html || {_list(map(_q, SNIPPETS))}[page_id % {len(SNIPPETS)} + 1] AS html FROM pages), c AS (SELECT page_id, list_sort(list_filter({_list(f"CASE WHEN {' OR '.join(_rx('html', '(?i)' + p) for p in patterns)} THEN '{k}' END" for k, patterns in C.SIGNATURES.items())}, lambda v: v IS NOT NULL)) AS t FROM t) SELECT page_id, array_to_string(t, '|') AS techniques, array_to_string(list_filter({_list(f"CASE WHEN {' AND '.join(f'list_has_any(t, {_list(map(_q, g))})' for g in groups)} THEN '{k}' END" for k, groups in C.SIGNATURE_RULES.items())}, lambda v: v IS NOT NULL), '|') AS static_rules FROM c",
-    "observation_issues": f"WITH {_OBS} SELECT slot, replicate, issue, count(*) AS n FROM (SELECT slot, replicate, unnest({_ISSUES}) AS issue FROM obs) GROUP BY ALL",
-    "cloaking_label": _CHAIN + "SELECT page_id, array_to_string(fired1, '|') AS fired, array_to_string(hidden1, '|') AS hidden, rule_label, label, array_to_string(reasons, '|') AS reasons FROM res",
-    "reason_counts": _CHAIN + "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM res) GROUP BY reason",
-    "label_prevalence": _CHAIN + f", g AS (SELECT page_id % 3 AS cohort, count(*) AS n, count(*) FILTER (label = 'true') AS t, count(*) FILTER (label = 'false') AS f, count(*) FILTER (label = 'unknown') AS na FROM res GROUP BY 1) SELECT cohort, n, t, f, na, round(t / n::DOUBLE, 9) AS lower, round((t + na) / n::DOUBLE, 9) AS upper, round(t / nullif(t + f, 0)::DOUBLE, 9) AS conditional, round(greatest(0.0, {_W.format(sign='-')}), 9) AS ci_lo, round(least(1.0, {_W.format(sign='+')}), 9) AS ci_hi FROM g",
+    "observation_issues": f"WITH {_OBS}, {_VIEWS}, {_EVAL}, {_FACTS} SELECT slot, replicate, view, issue, count(*) AS n FROM (SELECT slot, replicate, view, unnest(issues) AS issue FROM isu WHERE variant = '' AND view <> 'early') GROUP BY ALL",
+    "cloaking_label": CHAIN
+    + """SELECT page_id, array_to_string(fired1, '|') AS fired, array_to_string(hidden1, '|') AS hidden, array_to_string(rev1, '|') AS reverse, blocked1 AS channel_blocked, array_to_string(evidence, '|') AS evidence, rule_label, label, array_to_string(reasons, '|') AS reasons,
+    CASE label WHEN 'true' THEN 'rules=' || array_to_string(fired1, '+') || ' in both pairs; hidden_from_bot=' || array_to_string(hidden1, ',') WHEN 'false' THEN 'no rule in either pair; equal across clients and stable within each' ELSE 'rule=' || rule_label || '; gated by ' || len(reasons) || ' reason(s)' END AS basis,
+    CASE label WHEN 'true' THEN 'replicated_client_type_mechanism_difference' WHEN 'false' THEN 'not_observed_in_tested_client_types' ELSE array_to_string(reasons, ';') END AS reason FROM res""",
+    "reason_counts": CHAIN + "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM res) GROUP BY reason",
+    "label_prevalence": CHAIN + f", g AS (SELECT page_id % 3 AS cohort, count(*) AS n, count(*) FILTER (label = 'true') AS t, count(*) FILTER (label = 'false') AS f, count(*) FILTER (label = 'unknown') AS na FROM res GROUP BY 1) SELECT cohort, n, t, f, na, round(t / n::DOUBLE, 9) AS lower, round((t + na) / n::DOUBLE, 9) AS upper, round(t / nullif(t + f, 0)::DOUBLE, 9) AS conditional, round(greatest(0.0, {_W.format(sign='-')}), 9) AS ci_lo, round(least(1.0, {_W.format(sign='+')}), 9) AS ci_hi FROM g",
     "annotator_kappa": "WITH a AS (SELECT quality AS a, toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) / count(*)::DOUBLE AS po FROM a), p AS (SELECT sum(x.k * y.k) / (SELECT n * n FROM t)::DOUBLE AS pe FROM (SELECT a, count(*) AS k FROM a GROUP BY a) x JOIN (SELECT b, count(*) AS k FROM a GROUP BY b) y ON x.a = y.b) SELECT n, round(po, 9) AS po, round(pe, 9) AS pe, round((po - pe) / (1 - pe), 9) AS kappa FROM t, p",
 }

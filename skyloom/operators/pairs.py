@@ -1,11 +1,13 @@
-"""Client comparison: rules C1 to C5 per replicate, then the gates that leave a label open."""
+"""Client comparison: observations of a page side by side, rules C1 to C5 per replicate, then the gates that leave a label open."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import HIGH_SPECIFICITY
+from ..functions import catalogue as C
+from ..functions import records as R
+from ..functions.pages import facts_once
 from ..functions.urls import host_of
 
 BLOCKED = (403, 404, 503)
@@ -16,85 +18,173 @@ TRUE_HUMAN = (*UNUSABLE, "http_error_status", "challenge_or_block_page", "conten
 TRUE_BOT = ("missing_observation", "crawl_error", "non_html_document", "content_truncated")
 FALSE_ALL = (*UNUSABLE, "http_error_status", "challenge_or_block_page", "interaction_gate", "content_truncated")
 NAMES = ("bot#1", "bot#2", "human#1", "human#2")
+VARIANTS = ("referer", "mobile")
+PAIRS = (("bot#1", "human#1"), ("bot#2", "human#2"))
 #: What has to agree between a client's replicates, and between the clients, before a label is false.
 STABLE = ("status", "final_host", "mechanisms")
-FEATURES = ("final_host", "title", "form_hosts", "script_hosts", "html_sha256")
-SYSTEMATIC = (*STABLE, *FEATURES[1:])
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-FORM_ACTION, SCRIPT_SOURCE = r"(?iU)<form[^>]+action\s*=\s*[\"']([^\"']+)", r"(?iU)<script[^>]+src\s*=\s*[\"']([^\"']+)"
+SYSTEMATIC = (*STABLE, "title", "form_hosts", "script_hosts", "html_sha256")
+#: What a pair of observations carries besides the facts of its pages, and what a missing one has instead.
+CARRIED = ("status", "error", "url", "redirect_chain", "page_url", "kind", "access_index", "observed_at", "client_navigations", "blocked", "failed", "dialogs", "downloads", "popups")
+_DEFAULTS = {"status": 0, "error": "", "url": "", "page_url": "", "kind": "", "client_navigations": 0, "blocked": 0, "failed": 0, "dialogs": 0, "downloads": 0, "popups": 0}
+_VIEW_KEYS = {
+    "html": ("length", "text_length", "title", "mechanisms", "form_hosts", "script_hosts", "html_sha256", "text_sha256", "is_phishing", "excerpt", "external"), "dom": ("length", "text_length", "title", "mechanisms", "form_hosts", "script_hosts"), "early": ("text_length", "mechanisms"),
+}
+_PAGE_DEFAULTS = {"length": 0, "text_length": 0, "title": "", "score": 0.0, "is_phishing": False, "excerpt": "", "forms": 0}
 
 
 def _lits(names) -> Column:
     return F.array(*map(F.lit, names))
 
 
-def _hosts(html: Column, pattern: str) -> Column:
-    """Sorted distinct hosts, with their ports, of the absolute addresses a pattern finds."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda u: F.lower(F.regexp_extract(u, "^https?://([^/]+)", 1)))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda h: h != "")))
+def nothing() -> Column:
+    return F.array().cast("array<string>")
 
 
-def with_features(obs: DataFrame) -> DataFrame:
-    """Adds the discrete features of the server document that replicates and clients are compared by, in place of the document in ``pair_table``."""
-    html = F.coalesce("html", F.lit(""))
-    title = F.trim(F.regexp_replace(F.lower(F.regexp_extract(html, TITLE, 1)), r"(?U)\s+", " "))
-    return obs.withColumns({"has_html": F.col("html") != "", "final_host": host_of(F.col("last_hop")), "title": title, "form_hosts": _hosts(html, FORM_ACTION), "script_hosts": _hosts(html, SCRIPT_SOURCE), "html_sha256": F.sha2(html, 256)})
+def one(condition: Column, name: str | Column) -> Column:
+    """An array of the name where the condition holds, else an empty one."""
+    return F.when(condition, F.array(F.lit(name) if isinstance(name, str) else name)).otherwise(nothing())
 
 
-def pair_table(obs: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per page: a struct for each of the four named observations, from ``with_features``; a missing one has the issue for it."""
-    row = F.struct("status", "error", "has_html", "last_hop", "mechanisms", "issues", *FEATURES)
-    name = F.concat("slot", F.lit("#"), F.col("replicate").cast("string"))
-    out = obs.withColumn("__n", name).groupBy(key).agg(*[F.first(F.when(F.col("__n") == n, row), ignorenulls=True).alias(n) for n in NAMES])
+def seen(obs: DataFrame, key: str = "page_id") -> DataFrame:
+    """Each observation with the facts of its views (structs html, dom, early), its issues by view, and no page text.
+
+    Observations of changed clients have the name of their ``variant``; the others have none.
+    """
+    if "variant" not in obs.columns:
+        obs = obs.withColumn("variant", F.lit(None).cast("string"))
+    own = [c for c in obs.columns if c not in ("html", "dom_html", "early_html")]
+    view = lambda name, body, address: F.when(F.lit(name == "html") | F.col(body).isNotNull(), F.struct(F.lit(name).alias("view"), F.coalesce(body, F.lit("")).alias("body"), F.coalesce(F.col(address), F.col("url"), F.lit("")).alias("address")))
+    views = obs.select(F.struct(*own).alias("o"), F.explode(F.array_compact(F.array(view("html", "html", "url"), view("dom", "dom_html", "page_url"), view("early", "early_html", "page_url")))).alias("v"))
+    found = facts_once(views.select("o", "v.view", "v.body", "v.address"), "body", "address")
+    by_view = [F.any_value(F.when(F.col("view") == v, F.col("facts")), ignoreNulls=True).alias(v) for v in ("html", "dom", "early")]
+    rows = found.groupBy(F.col(f"o.{key}"), F.col("o.slot"), F.col("o.replicate"), F.col("o.access_index"), F.col("o.variant")).agg(F.any_value("o").alias("o"), *by_view).select("o.*", "html", "dom", "early")
+    rows = rows.withColumns({"issues": R.issues("html"), "dom_issues": R.issues("dom"), "final_host": host_of(F.col("url")), "dom_host": host_of(F.coalesce("page_url", "url"))})
+    return rows
+
+
+def pair_table(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per page: its four named observations side by side, and the structs variant_referer and variant_mobile.
+
+    A missing observation has the issue for it, a missing variant is null. Of several observations of one name the one with
+    the smallest access index counts.
+    """
+    name = F.coalesce("variant", F.concat("slot", F.lit("#"), F.col("replicate").cast("string")))
+    shared = [F.any_value(c, ignoreNulls=True).alias(c) for c in ("asked", "scenario") if c in rows.columns]
+    row = F.struct(*CARRIED, "html", "dom", "early", "issues", "dom_issues", "final_host", "dom_host")
+    changed = F.struct("status", "html", "issues", "final_host")
+    out = rows.withColumn("__n", name).groupBy(key).agg(*shared, *[F.min_by(F.when(F.col("__n") == n, row), F.when(F.col("__n") == n, F.coalesce("access_index", F.lit(0)))).alias(n) for n in NAMES], *[F.min_by(F.when(F.col("__n") == v, changed), F.when(F.col("__n") == v, F.coalesce("access_index", F.lit(0)))).alias(f"variant_{v}") for v in VARIANTS])
+    # plain columns, which later steps read often, and not one struct whose parts the optimizer would write out again each time
+    flat = {}
     for n in NAMES:
-        missing = F.struct(F.lit(0).alias("status"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("has_html"), F.lit("").alias("last_hop"), F.array().cast("array<string>").alias("mechanisms"), F.array(F.lit("missing_observation")).alias("issues"), *[(F.array().cast("array<string>") if k.endswith("hosts") else F.lit("")).alias(k) for k in FEATURES])
-        out = out.withColumn(n, F.coalesce(F.col(f"`{n}`"), missing))
-    return out
-
-
-def rules(b: str, h: str) -> tuple[Column, Column, Column]:
-    """Fired rules, mechanisms that only the human side saw, and those that only the bot side saw."""
-    g = lambda n, f: F.col(f"`{n}`.{f}")
-    hidden, reverse = F.array_sort(F.array_except(g(h, "mechanisms"), g(b, "mechanisms"))), F.array_sort(F.array_except(g(b, "mechanisms"), g(h, "mechanisms")))
-    b_err, h_err = F.coalesce(g(b, "error"), F.lit("")), F.coalesce(g(h, "error"), F.lit(""))
-    b_text, h_text = g(b, "has_html"), g(h, "has_html")
-    evil = F.arrays_overlap(g(h, "mechanisms"), _lits(HIGH_SPECIFICITY))
-    shut = g(b, "status").isin(*BLOCKED)
-    fork = (g(b, "last_hop") != "") & (g(h, "last_hop") != "") & (F.regexp_extract(g(b, "last_hop"), "://([^/?#]*)", 1) != F.regexp_extract(g(h, "last_hop"), "://([^/?#]*)", 1))
+        own, slug = f"`{n}`", _slug(n)
+        flat |= {f"{slug}_{c}": F.coalesce(F.col(f"{own}.{c}"), F.lit(_DEFAULTS[c])) if c in _DEFAULTS else F.col(f"{own}.{c}") for c in CARRIED}
+        flat |= {f"{slug}_redirect_chain": F.coalesce(F.col(f"{own}.redirect_chain"), nothing()), f"{slug}_there": F.col(own).isNotNull()}
+        flat |= {f"{slug}_{c}": F.coalesce(F.col(f"{own}.{c}"), F.array(F.lit("missing_observation"))) for c in ("issues", "dom_issues")} | {f"{slug}_{c}": F.coalesce(F.col(f"{own}.{c}"), F.lit("")) for c in ("final_host", "dom_host")}
+        flat[f"{slug}_usable"] = F.col(own).isNotNull() & (F.size(R.among(F.col(f"{own}.issues"), C.BLOCKING)) == 0)
+        for view, keys in _VIEW_KEYS.items():
+            for k in keys:
+                value = F.col(f"{own}.{view}.{k}")
+                value = F.lower(value) if k == "title" else value
+                none = F.lit(_PAGE_DEFAULTS[k]) if k in _PAGE_DEFAULTS else F.sha2(F.lit(""), 256) if k.endswith("sha256") else nothing()
+                flat[f"{slug}_{view}_{k}"] = F.coalesce(value, none)
+    return out.withColumns(flat)
+
+
+def _slug(name: str) -> str:
+    return name.replace("#", "")
+
+
+def fact(name: str, key: str, view: str = "html") -> Column:
+    """A fact of an observation, or of its page; empty for a missing one."""
+    if key == "final_host":
+        return F.col(f"{_slug(name)}_{'dom_host' if view == 'dom' else 'final_host'}")
+    if key in CARRIED or key in ("issues", "dom_issues", "there", "usable"):
+        return F.col(f"{_slug(name)}_{key}")
+    return F.col(f"{_slug(name)}_{view}_{key}")
+
+
+def same(a: str, b: str, key: str, view: str = "html") -> Column:
+    return fact(a, key, view).eqNullSafe(fact(b, key, view))
+
+
+def systematic(key: str) -> Column:
+    """Equal within each client and different between them."""
+    return same("bot#1", "bot#2", key) & same("human#1", "human#2", key) & ~same("bot#1", "human#1", key)
+
+
+def specific(mechanisms: Column) -> Column:
+    return F.arrays_overlap(mechanisms, _lits(C.HIGH_SPECIFICITY))
+
+
+def rules(b: str, h: str) -> dict[str, Column]:
+    """The rules a pair fires, the mechanisms only one side saw, and how the plain client's channel was treated."""
+    bot, human = fact(b, "mechanisms"), fact(h, "mechanisms")
+    b_err, h_err, b_text, h_text = fact(b, "error"), fact(h, "error"), fact(b, "text_length") > 0, fact(h, "text_length") > 0
+    shut, evil = fact(b, "status").isin(*BLOCKED), specific(human)
+    last = lambda n: F.coalesce(F.try_element_at(fact(n, "redirect_chain"), F.lit(-1)), F.lit(""))
+    host = lambda n: F.when(F.regexp_extract(last(n), "https?://([^/]+)", 1) != "", F.regexp_extract(last(n), "https?://([^/]+)", 1)).otherwise(last(n))
+    fork = (last(b) != "") & (last(h) != "") & (host(b) != host(h))
+    hidden, reset = F.array_sort(F.array_except(human, bot)), b_err.contains("ERR_HTTP2_PROTOCOL_ERROR")
     fired = [
-        ("C1", (F.size(hidden) > 0) & b_text & (b_err == "") & ~shut), ("C2", shut & (g(h, "status") == 200) & evil), ("C3", b_err.contains("ERR_HTTP2_PROTOCOL_ERROR") & (h_err == "") & evil),
-        ("C4", h_text & ~b_text & (b_err == "") & evil), ("C5", fork & (F.size(g(h, "mechanisms")) > 0) & (F.size(g(b, "mechanisms")) == 0)),
+        ("C1", (F.size(hidden) > 0) & b_text & (b_err == "") & ~shut), ("C2", shut & (fact(h, "status") == 200) & evil), ("C3", reset & (h_err == "") & evil), ("C4", h_text & ~b_text & (b_err == "") & evil),
+        ("C5", fork & (F.size(human) > 0) & (F.size(bot) == 0)),
     ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fired])), hidden, reverse
+    blocked = (shut & (fact(h, "status") == 200)) | (reset & (h_err == "")) | (h_text & ~b_text & (b_err == ""))
+    return {
+        "fired": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fired])), "hidden": hidden, "shared": F.array_sort(F.array_intersect(human, bot)), "reverse": F.array_sort(F.array_except(bot, human)),
+        "channel_blocked": blocked, "fork": fork,
+    }
+
+
+def evidence(r: dict[str, Column], b: str, h: str) -> Column:
+    """Codes of what a pair shows: its fired rules with their mechanisms, or why nothing fired."""
+    human = fact(h, "mechanisms")
+    told = F.transform(r["fired"], lambda x: F.concat(x, F.lit(":"), F.when(x == "C1", F.array_join(r["hidden"], ",")).when(x == "C5", fact(h, "url")).otherwise(F.array_join(F.array_sort(F.array_intersect(human, _lits(C.HIGH_SPECIFICITY))), ","))))
+    quiet = F.size(r["fired"]) == 0
+    return F.concat(
+        told, one(quiet & (F.size(r["shared"]) > 0), F.concat(F.lit("same_mechanisms:"), F.array_join(r["shared"], ","))), one(quiet & (F.size(r["shared"]) == 0) & (F.size(human) == 0), "no_mechanisms"),
+        one(quiet & r["channel_blocked"] & ~specific(human), "anti_bot_only"), one(quiet & r["fork"], "benign_fork"),
+    )
 
 
 def tagged(name: str, allowed, skip: Column | None = None) -> Column:
-    found = F.array_intersect(F.col(f"`{name}`.issues"), _lits(allowed))
+    found = F.array_intersect(fact(name, "issues"), _lits(allowed))
     if skip is not None:
         found = F.array_except(found, skip)
     return F.transform(found, lambda i: F.concat(F.lit(f"{name}:"), i))
 
 
-def label(pairs: DataFrame) -> DataFrame:
-    """Adds fired, hidden, rule_label, label and reasons (in order, without repeats)."""
-    f1, h1, r1 = rules("bot#1", "human#1")
-    f2, h2, r2 = rules("bot#2", "human#2")
-    p = pairs.withColumns({"fired": f1, "hidden": h1, "__r1": r1, "__f2": f2, "__h2": h2, "__r2": r2})
-    both = ~F.array_contains("`bot#2`.issues", "missing_observation") & ~F.array_contains("`human#2`.issues", "missing_observation")
-    reset = F.when(F.array_contains("fired", "C3"), F.array(F.lit("crawl_error"))).otherwise(F.array().cast("array<string>"))
+def label(pairs: DataFrame, frontend: Column | None = None, variant_differences: Column | None = None) -> DataFrame:
+    """Adds fired, hidden, reverse, channel_blocked, evidence, rule_label, label, basis and reasons (in order, without repeats).
+
+    ``frontend``: front-end rules that the judged page fires; ``variant_differences``: variants that differ from all their
+    controls. Either one only keeps a label from being false.
+    """
+    frontend, variant_differences = (nothing() if x is None else F.coalesce(x, nothing()) for x in (frontend, variant_differences))
+    r1, r2 = rules(*PAIRS[0]), rules(*PAIRS[1])
+    p = pairs.withColumns({"fired": r1["fired"], "hidden": r1["hidden"], "reverse": r1["reverse"], "channel_blocked": r1["channel_blocked"], "__f2": r2["fired"], "__h2": r2["hidden"], "__r2": r2["reverse"], "__front": frontend, "__variants": variant_differences})
+    p = p.withColumn("evidence", evidence(r1 | {"fired": F.col("fired"), "hidden": F.col("hidden")}, *PAIRS[0]))
+    both = fact("bot#2", "there") & fact("human#2", "there")
+    reset = one(F.array_contains("fired", "C3"), "crawl_error")
     blockers = F.concat(tagged("bot#1", RULE_BOT, reset), tagged("human#1", UNUSABLE))
-    fired, other = F.size("fired") > 0, (F.size("__f2") > 0) & both
-    p = p.withColumn("__block", blockers).withColumn("rule_label", F.when(F.size("__block") > 0, "unknown").when(fired, "true").otherwise("false"))
-    one = lambda c, r: F.when(c, F.array(F.lit(r))).otherwise(F.array().cast("array<string>"))
-    moved = ~both | ~F.col("fired").eqNullSafe(F.col("__f2")) | ~F.col("hidden").eqNullSafe(F.col("__h2"))
-    specific = F.arrays_overlap("hidden", _lits(HIGH_SPECIFICITY))
-    when_true = F.concat(tagged("human#1", TRUE_HUMAN), tagged("human#2", TRUE_HUMAN), tagged("bot#1", TRUE_BOT, reset), tagged("bot#2", TRUE_BOT, reset), one(~both, "missing_replicate_pair"), one(both & moved, "difference_not_replicated"), one(~specific, "difference_without_high_specificity_evidence"))
-    when_false = F.concat(*[tagged(n, FALSE_ALL) for n in NAMES], one(~both, "missing_replicate_pair"), one(other, "difference_not_replicated"))
-    same = lambda a, b, k: F.col(f"`{a}`.{k}").eqNullSafe(F.col(f"`{b}`.{k}"))
+    p = p.withColumn("__block", blockers).withColumn("rule_label", F.when(F.size("__block") > 0, "unknown").when(F.size("fired") > 0, "true").otherwise("false"))
+    moved = both & ~(F.col("fired").eqNullSafe(F.col("__f2")) & F.col("hidden").eqNullSafe(F.col("__h2")))
+    when_true = F.concat(tagged("human#1", TRUE_HUMAN), tagged("human#2", TRUE_HUMAN), tagged("bot#1", TRUE_BOT, reset), tagged("bot#2", TRUE_BOT, reset), one(~both, "missing_replicate_pair"), one(moved, "difference_not_replicated"), one(~specific(F.col("hidden")), "difference_without_high_specificity_evidence"))
+    when_false = F.concat(*[tagged(n, FALSE_ALL) for n in NAMES], one(~both, "missing_replicate_pair"), one(both & (F.size("__f2") > 0), "difference_not_replicated"))
     drift = [one(~same(f"{s}#1", f"{s}#2", k), f"{s}_unstable_{k}") for s in ("bot", "human") for k in STABLE]
-    drift += [one(same("bot#1", "bot#2", k) & same("human#1", "human#2", k) & ~same("bot#1", "human#1", k), f"systematic_{k}_difference_without_mechanism_evidence") for k in SYSTEMATIC]
+    drift += [one(systematic(k), f"systematic_{k}_difference_without_mechanism_evidence") for k in SYSTEMATIC]
+    drift += [one((fact(n, "length", "dom") > 0) & (F.size(F.array_except(fact(n, "mechanisms", "dom"), fact(n, "mechanisms"))) > 0), f"{n}:js_rendered_mechanisms_not_compared") for n in NAMES]
+    later = F.concat(one(F.size("__front") > 0, F.concat(F.lit("frontend_cloaking_code_present:"), F.array_join("__front", ","))), F.transform("__variants", lambda v: F.concat(F.lit("variant_difference_unconfirmed:"), v)))
     p = p.withColumn("__why", F.when(F.col("rule_label") == "unknown", F.col("__block")).when(F.col("rule_label") == "true", when_true).otherwise(when_false))
-    p = p.withColumn("__why", F.when((F.col("rule_label") == "false") & (F.size("__why") == 0), F.concat(*drift)).otherwise(F.col("__why")))
-    back = (F.col("rule_label") != "unknown") & ((F.size("__r1") > 0) | (both & (F.size("__r2") > 0)))
+    unsure = F.col("rule_label") == "false"
+    p = p.withColumn("__why", F.when(unsure & (F.size("__why") == 0), F.concat(*drift)).otherwise(F.col("__why"))).withColumn("__why", F.when(unsure, F.concat("__why", later)).otherwise(F.col("__why")))
+    back = (F.col("rule_label") != "unknown") & ((F.size("reverse") > 0) | (both & (F.size("__r2") > 0)))
     p = p.withColumn("reasons", F.array_distinct(F.concat("__why", one(back, "reverse_difference_or_order_effect"))))
-    return p.withColumn("label", F.when((F.col("rule_label") != "unknown") & (F.size("reasons") == 0), F.col("rule_label")).otherwise("unknown")).drop("__why", "__block", "__r1", "__f2", "__h2", "__r2")
+    p = p.withColumn("label", F.when((F.col("rule_label") != "unknown") & (F.size("reasons") == 0), F.col("rule_label")).otherwise("unknown"))
+    basis = (
+        F.when(F.col("label") == "true", F.concat(F.lit("rules="), F.array_join("fired", "+"), F.lit(" in both pairs; hidden_from_bot="), F.array_join("hidden", ",")))
+        .when(F.col("label") == "false", "no rule in either pair; equal across clients and stable within each")
+        .otherwise(F.concat(F.lit("rule="), F.col("rule_label"), F.lit("; gated by "), F.size("reasons").cast("string"), F.lit(" reason(s)")))
+    )
+    reason = F.when(F.col("label") == "true", "replicated_client_type_mechanism_difference").when(F.col("label") == "false", "not_observed_in_tested_client_types").otherwise(F.array_join("reasons", ";"))
+    return p.withColumns({"basis": basis, "reason": reason}).drop("__why", "__block", "__f2", "__h2", "__r2", "__front", "__variants")

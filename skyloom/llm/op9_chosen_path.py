@@ -78,7 +78,8 @@ class _Search:
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__f", "__r")).alias("first")
         # the tokens of equal sets are equal, so a row for each class needs any of them
         classes = self.sets.filter("n > 0").groupBy("f1", "f2", "n").agg(first, F.any_value("tokens").alias("tokens"))
-        self.classes = self.keep(classes.withColumn("key", F.monotonically_increasing_id()))
+        # keys ascend with the classes' smallest ids, so a node's smallest member is the same document in all trees
+        self.classes = self.keep(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("key", F.monotonically_increasing_id()))
         self.sides = self.classes.select("key", "n", "tokens", F.col("first.__f").alias("f"), F.col("first.__r").alias("r"))
 
     def keep(self, df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import WORD, aside, durable, numbered, quoted, without
 
 NEW = ("size", "source_size", "target", "copies", "taken")
-UNIT, TRIES = 1 << 24, 16
+UNIT, TRIES = 1 << 24, 64
 
 
 def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, kept: list[str] | None) -> DataFrame:
@@ -127,7 +127,7 @@ f AS (SELECT *, (3 * al - 2 * dn) * w >= 2 * cap * op AS fu FROM l),
 h AS (SELECT *, CAST(coalesce(sum(CASE WHEN fu THEN cap END) OVER (), 0) AS BIGINT) AS us, CAST(sum(CASE WHEN NOT fu THEN w END) OVER () AS BIGINT) AS sh FROM f),
 k AS (SELECT s, e, t, CASE WHEN fu THEN CAST(cap AS DOUBLE) ELSE CAST(3 * al - 2 * us AS DOUBLE) / CAST(2.0 AS DOUBLE) / CAST(sh AS DOUBLE) * CAST(w AS DOUBLE) END AS target FROM h),
 r AS (SELECT o.*, k.t, k.target, CASE WHEN k.t > 0 THEN CAST(floor(k.target / CAST(k.t AS DOUBLE) * CAST(16777216 AS DOUBLE)) AS BIGINT) ELSE 0 END AS ra FROM o JOIN k ON o.s = k.s AND o.e = k.e),
-u AS (SELECT s, e, n, CAST(CAST('0x' || substr(md5(s || '|mix|' || n), 1, 6) AS UBIGINT) AS BIGINT) AS u FROM k CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS n)),
+u AS (SELECT s, e, n, CAST(CAST('0x' || substr(md5(s || '|mix|' || n), 1, 6) AS UBIGINT) AS BIGINT) AS u FROM k CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS n)),
 tr AS (SELECT r.s, r.e, u.n, u.u, abs(sum((((i * ra + u) >> 24) - (((i - 1) * ra + u) >> 24)) * size) - max(target)) AS apart FROM r JOIN u ON u.s = r.s AND u.e = r.e GROUP BY ALL),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, e ORDER BY apart, n) AS q FROM tr) WHERE q = 1)
 SELECT doc_id, size, t AS source_size, target, CAST(((i * ra + u) >> 24) - (((i - 1) * ra + u) >> 24) AS BIGINT) * size AS taken FROM r JOIN b ON b.s = r.s AND b.e = r.e

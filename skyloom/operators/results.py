@@ -94,7 +94,7 @@ def split_by_liveness(urls: DataFrame, reason: Column) -> tuple[DataFrame, DataF
     return marked.filter("__reason IS NULL").drop("__reason"), failure_rows(bad, "invalid_url").withColumn("alive", F.lit("False"))
 
 
-def report_text(row: dict[str, Column] | None = None) -> Column:
+def report_text() -> Column:
     """A page's result in ten lines."""
     c = lambda name: F.when(F.col(name) == "", "-").otherwise(F.col(name))
     lines = [

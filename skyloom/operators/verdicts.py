@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue as C
 from ..functions import records as R
-from .pairs import fact, nothing, one
+from .pairs import fact, nothing
 
 #: Order in which observations are tried for the judged page.
 ORDER = ("human#1", "human#2", "bot#1", "bot#2")
@@ -111,5 +111,3 @@ def legacy_columns(df: DataFrame) -> DataFrame:
         "bot_status_code": fact(bot, "status"), "human_status_code": fact(human, "status"), "bot_html_length": fact(bot, "length"), "human_html_length": fact(human, "length"), "bot_error": fact(bot, "error"), "human_error": fact(human, "error"),
     })
 
-
-__all__ = ["alive", "choose_page", "classify", "cloaking_evidence", "indicators", "legacy_columns", "model_only_rule", "observation_summary", "one", "page_evidence", "render_evidence", "rule_result", "tier"]

@@ -26,7 +26,8 @@ def classify(lines: DataFrame) -> DataFrame:
     Only accepted rows are numbered within their address: rejected ones share the key null and stay where they are.
     """
     rows = lines.filter((F.trim("raw_url") != "") & ~F.trim("raw_url").startswith("#"))
-    rows = rows.withColumns({"reason": reject_reason(F.col("raw_url")), "normalized_url": normalize_url(F.col("raw_url"))})
+    rows = rows.withColumns({"reason": reject_reason(F.col("raw_url")), "normalized_url": normalize_url(F.col("raw_url"), international=True)})
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("normalized_url").isNull(), "invalid_host").otherwise(F.col("reason")))
     good = rows.filter("reason IS NULL")
     nth = F.row_number().over(Window.partitionBy("normalized_url").orderBy("line"))
     good = good.withColumn("reason", F.when(nth > 1, "duplicate_normalized_url"))

@@ -1,5 +1,7 @@
 """Labels, gates, signals and verdicts of hand-written scenarios against hand-written outcomes."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,11 @@ def test_verdicts(spark):
         assert (got[case]["page"]["name"], got[case]["rule_verdict"], got[case]["verdict"]) == (page, rule, verdict), case
     assert got["evil"]["verdict_basis"] == "layer1:D1,D3" and got["evil"]["confidence"] == 0.95 and got["caveat"]["verdict_reason"] == "content_requests_blocked" and got["none"]["verdict_reason"] == "crawl_error"
     assert "analysis_without_js_execution" in got["no script run"]["verdict_caveats"] and got["none"]["live"] is None and got["evil"]["live"]
+    told = pairs.select("case", V.render_evidence(V.page_evidence(F.col("page"))).alias("page"), V.render_evidence(V.cloaking_evidence(F.array(F.lit("x")), F.array(F.lit("y"))), most=40).alias("short"), V.render_evidence(V.cloaking_evidence(F.array(F.lit("x")), F.array(F.lit("y")))).alias("all"))
+    told = {r["case"]: r for r in told.collect()}
+    page, every = json.loads(told["evil"]["page"]), json.loads(told["none"]["all"])
+    assert page["forms"] == 1 and page["input_types"] == ["password"] and page["title"] == "Shop" and set(page) == {"url", "title", "visible_text_excerpt", "forms", "input_types"}
+    assert [o["name"] for o in every["observations"]] == ["bot#1", "bot#2", "human#1", "human#2"] and every["observations"][0]["issues"] == ["crawl_error"] and len(told["evil"]["short"]) == 40 and "verdict" not in told["evil"]["all"]
     raised = {r["case"]: r for r in V.classify(pairs, F.lit(9)).collect()}
     assert raised["clean"]["verdict_basis"].startswith("layer2_score=0.150<")
 

@@ -35,10 +35,11 @@ def test_normalize_url(spark):
 
 def test_feed(spark, tmp_path):
     f = tmp_path / "feed.txt"
-    f.write_bytes("﻿# note\nhttp://a.example/x\nftp://b.example\n\nHTTP://A.example:80/x\x0bhttps://u@c.example/\r\nhttps://d.example".encode())
+    f.write_bytes("﻿# note\nhttp://a.example/x\nftp://b.example\n\nHTTP://A.example:80/x\x0bhttps://u@c.example/\r\nhttps://d.example\nhttp://münchen.de/\nhttp://ü..de/".encode())
     lines = feeds.classify(feeds.read_lines(spark, str(f)))
-    assert {r["line"]: r["reason"] for r in lines.collect()} == {2: None, 3: "http_url_required", 5: "duplicate_normalized_url", 6: "userinfo_not_allowed", 7: None}
-    assert [r["url"] for r in feeds.accepted(lines, limit=1, source="s").collect()] == ["http://a.example/x"] and feeds.rejected(lines).count() == 3
+    assert {r["line"]: r["reason"] for r in lines.collect()} == {2: None, 3: "http_url_required", 5: "duplicate_normalized_url", 6: "userinfo_not_allowed", 7: None, 8: None, 9: "invalid_host"}
+    assert lines.filter("line = 8").first()["normalized_url"] == "http://xn--mnchen-3ya.de/"
+    assert [r["url"] for r in feeds.accepted(lines, limit=1, source="s").collect()] == ["http://a.example/x"] and feeds.rejected(lines).count() == 4
     with pytest.raises(ValueError):
         feeds.accepted(lines, limit=0)
     with pytest.raises(Exception, match="invalid_limit_or_feed_size"):

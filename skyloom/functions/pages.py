@@ -173,13 +173,13 @@ def facts(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
 
 def _once(df: DataFrame, html: str, url: str, work) -> DataFrame:
-    """``work`` on each distinct (page, url), joined back to the rows without their pages: a page is shuffled once.
+    """``work`` on each distinct (page, url), joined back to the rows without their pages.
 
-    The pages are spread over all shuffle partitions by their hash, as their cost is in the patterns and not in their bytes.
+    Equal pages of a task are combined before the shuffle, so a page is sent once per task that has it and judged once.
     """
-    keyed = df.withColumn("__key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col(html), F.lit("")), F.coalesce(F.col(url), F.lit(""))), 256))
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = work(keyed.select("__key", html, url).repartition(spread, "__key").dropDuplicates(["__key"]), html, url).drop(html, url)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keyed = df.withColumn("__key", F.sha2(F.concat_ws("\x00", text(html), text(url)), 256))
+    each = work(keyed.select("__key", text(html).alias(html), text(url).alias(url)).distinct(), html, url).drop(html, url)
     return keyed.drop(html).join(each, "__key").drop("__key")
 
 

@@ -45,34 +45,54 @@ def one(condition: Column, name: str | Column) -> Column:
     return F.when(condition, F.array(F.lit(name) if isinstance(name, str) else name)).otherwise(nothing())
 
 
-def seen(obs: DataFrame, key: str = "page_id") -> DataFrame:
-    """Each observation with the facts of its views (structs html, dom, early), its issues by view, and no page text.
+#: Views of an observation: the server document, the page after its scripts ran, the early page; each with its address.
+VIEWS = {"html": ("html", "url"), "dom": ("dom_html", "page_url"), "early": ("early_html", "page_url")}
+
+
+def view_rows(obs: DataFrame) -> DataFrame:
+    """One row per observation and view: o (all but the texts), view, body, address. Every observation has the view html.
 
     Observations of changed clients have the name of their ``variant``; the others have none.
     """
     if "variant" not in obs.columns:
         obs = obs.withColumn("variant", F.lit(None).cast("string"))
-    own = [c for c in obs.columns if c not in ("html", "dom_html", "early_html")]
+    own = [c for c in obs.columns if c not in [body for body, _ in VIEWS.values()]]
     view = lambda name, body, address: F.when(F.lit(name == "html") | F.col(body).isNotNull(), F.struct(F.lit(name).alias("view"), F.coalesce(body, F.lit("")).alias("body"), F.coalesce(F.col(address), F.col("url"), F.lit("")).alias("address")))
-    views = obs.select(F.struct(*own).alias("o"), F.explode(F.array_compact(F.array(view("html", "html", "url"), view("dom", "dom_html", "page_url"), view("early", "early_html", "page_url")))).alias("v"))
-    found = facts_once(views.select("o", "v.view", "v.body", "v.address"), "body", "address")
-    by_view = [F.any_value(F.when(F.col("view") == v, F.col("facts")), ignoreNulls=True).alias(v) for v in ("html", "dom", "early")]
-    rows = found.groupBy(F.col(f"o.{key}"), F.col("o.slot"), F.col("o.replicate"), F.col("o.access_index"), F.col("o.variant")).agg(F.any_value("o").alias("o"), *by_view).select("o.*", "html", "dom", "early")
-    rows = rows.withColumns({"issues": R.issues("html"), "dom_issues": R.issues("dom"), "final_host": host_of(F.col("url")), "dom_host": host_of(F.coalesce("page_url", "url"))})
-    return rows
+    views = obs.select(F.struct(*own).alias("o"), F.explode(F.array_compact(F.array(*[view(name, *at) for name, at in VIEWS.items()]))).alias("v"))
+    return views.select("o", "v.view", "v.body", "v.address")
+
+
+def with_issues(rows: DataFrame) -> DataFrame:
+    """Adds the issues of both views and the hosts that they came from."""
+    return rows.withColumns({"issues": R.issues("html"), "dom_issues": R.issues("dom"), "final_host": host_of(F.col("url")), "dom_host": host_of(F.coalesce("page_url", "url"))})
+
+
+def seen(obs: DataFrame, key: str = "page_id") -> DataFrame:
+    """Each observation with the facts of its views (structs html, dom, early), its issues by view, and no page text."""
+    found = facts_once(view_rows(obs), "body", "address")
+    by_view = [F.any_value(F.when(F.col("view") == v, F.col("facts")), ignoreNulls=True).alias(v) for v in VIEWS]
+    rows = found.groupBy(F.col(f"o.{key}"), F.col("o.slot"), F.col("o.replicate"), F.col("o.access_index"), F.col("o.variant")).agg(F.any_value("o").alias("o"), *by_view).select("o.*", *VIEWS)
+    return with_issues(rows)
+
+
+def name_of(variant: str = "variant", slot: str = "slot", replicate: str = "replicate") -> Column:
+    """The name of an observation: its variant, or slot and replicate such as ``bot#1``."""
+    return F.coalesce(F.col(variant), F.concat(F.col(slot), F.lit("#"), F.col(replicate).cast("string")))
 
 
 def pair_table(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per page: its four named observations side by side, and the structs variant_referer and variant_mobile.
 
     A missing observation has the issue for it, a missing variant is null. Of several observations of one name the one with
-    the smallest access index counts.
+    the smallest access index counts, of these the one seen first.
     """
-    name = F.coalesce("variant", F.concat("slot", F.lit("#"), F.col("replicate").cast("string")))
+    name = name_of()
     shared = [F.any_value(c, ignoreNulls=True).alias(c) for c in ("asked", "scenario") if c in rows.columns]
     row = F.struct(*CARRIED, "html", "dom", "early", "issues", "dom_issues", "final_host", "dom_host")
     changed = F.struct("status", "html", "issues", "final_host")
-    out = rows.withColumn("__n", name).groupBy(key).agg(*shared, *[F.min_by(F.when(F.col("__n") == n, row), F.when(F.col("__n") == n, F.coalesce("access_index", F.lit(0)))).alias(n) for n in NAMES], *[F.min_by(F.when(F.col("__n") == v, changed), F.when(F.col("__n") == v, F.coalesce("access_index", F.lit(0)))).alias(f"variant_{v}") for v in VARIANTS])
+    place = F.struct(F.coalesce("access_index", F.lit(0)), F.coalesce(F.unix_micros("observed_at"), F.lit(0)))
+    pick = lambda what, n: F.min_by(F.when(F.col("__n") == n, what), F.when(F.col("__n") == n, place))
+    out = rows.withColumn("__n", name).groupBy(key).agg(*shared, *[pick(row, n).alias(n) for n in NAMES], *[pick(changed, v).alias(f"variant_{v}") for v in VARIANTS])
     # plain columns, which later steps read often, and not one struct whose parts the optimizer would write out again each time
     flat = {}
     for n in NAMES:

@@ -1,16 +1,17 @@
 """Cross-tokenizer alignment by a cogroup of postings.
 
 Both tokenizers cut " " + text; the ends of A's and B's tokens, merged, cut it into elementary spans, and each span is one
-overlapping pair of tokens: the links. Spans between ends that both have are the groups. One pass over the texts writes, for
-each block of about ``BLOCK`` bytes of text, a row per document and, per A id of the block, a row of postings: the B ids
-linked with it, in how many of the block's documents each is, and for each of these the document and the multiplicity.
-Counts are so combined before any shuffle.
-
-How many documents hold a pair is summed by (a, b), a native aggregation. Counts and postings are then dealt by A id, which
-Spark sorts (and spills) within partitions, so that each A id's counts come first and its postings stream after them: a
-task holds the counts of one A id, at most one per B id, finds the largest and turns each postings row into its documents'
-contributions. A's frequent ids are dealt in as many parts as their postings need, each with the counts; no
-task gets more than a part of an id. Contributions are combined per Arrow batch, summed by document and joined with the rows.
+overlapping pair of tokens: the links. Spans between ends that both have are the groups. A ids fall into ``BUCKETS`` buckets by
+hash. One pass over the texts writes, for each block of about ``BLOCK`` bytes of text, a row per document and, per bucket, a row
+of postings: the linked pairs of ids, in how many of the block's documents each is, and for each of these the document
+and the multiplicity. Counts are so combined before any shuffle.
+
+How many documents hold a pair is summed by (a, b), a native aggregation. Counts and postings are then dealt by bucket, which
+Spark sorts (and spills) within partitions, so that a bucket's counts come first and its postings stream after them: a task
+holds the counts of one bucket (their number depends on the vocabularies, not on the corpus), finds each A id's largest and
+turns each row of postings into its documents' contributions, one row per document and bucket. A bucket is dealt in as
+many parts, by block, as its postings need, each with the counts; so no id, however frequent, fills a task. Contributions are
+summed by document and joined with the rows.
 
 Texts are cut at spaces for B, as its pieces hold spaces only at their start, and each distinct cut is encoded once by way of a
 bounded cache; a vocabulary that has other pieces gets whole texts.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import durable, forget, pieces, quoted
 from .op1_packing import CACHED, Encoder, _byte_letters, default_tokenizer
 
-BLOCK, PART = 2 << 20, 16 << 20
+BLOCK, PART, BUCKETS = 2 << 20, 2 << 20, 16
 _CUT = re.compile(" +[^ ]*")
 
 
@@ -142,26 +143,39 @@ class Aligned:
         return out
 
     def postings(self, base: int) -> dict[str, pa.Array]:
-        """Per A id: B ids, the number of texts with each, and these texts with the pair's multiplicity in them."""
-        width, texts = int(self.b.max(initial=0)) + 1, len(self.good)
-        pair, times = np.unique((self.link_a * width + self.link_b) * texts + self.link_doc, return_counts=True)
-        ab, doc = pair // max(texts, 1), pair % max(texts, 1)
-        start = np.flatnonzero(np.concatenate(([True], ab[1:] != ab[:-1]))[: len(ab)])
-        a, b = ab[start] // width, ab[start] % width
-        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))[: len(a)])
-        lists = np.append(first, len(a)).astype(np.int32)
+        """Per bucket of A ids: pairs, the number of texts with each, and these texts with the pair's multiplicity in them."""
+        texts = max(len(self.good), 1)
+        pair, times = np.unique((((_bucket(self.link_a) << 20 | self.link_a) << 20) + self.link_b) * texts + self.link_doc, return_counts=True)
+        ab, doc = pair // texts, pair % texts
+        start = _starts(ab)
+        pairs = ab[start]
+        first = _starts(pairs >> 40)
+        lists = np.append(first, len(pairs)).astype(np.int32)
         blobs = np.append(start[first], len(ab)).astype(np.int32) * 4
         ints = lambda v: pa.ListArray.from_arrays(pa.array(lists), pa.array(v.astype(np.int32)))
         blob = lambda v: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(blobs), pa.py_buffer(v.astype("<u4"))])
-        return {"key": pa.array(np.full(len(first), base)), "a": pa.array(a[first].astype(np.int32)), "b": ints(b), "count": ints(np.diff(np.append(start, len(ab)))), "docs": blob(doc), "times": blob(times)}
+        low = (1 << 20) - 1
+        return {
+            "key": pa.array(np.full(len(first), base)), "bucket": pa.array((pairs[first] >> 40).astype(np.int32)), "a": ints(pairs >> 20 & low), "b": ints(pairs & low),
+            "count": ints(np.diff(np.append(start, len(ab)))), "docs": blob(doc), "times": blob(times),
+        }
+
+
+def _bucket(a: np.ndarray) -> np.ndarray:
+    return (a * 2654435761 >> 16) % BUCKETS
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))[: len(x)])
 
 
-_BLOCKS = "key long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, b array<int>, count array<int>, docs binary, times binary"
+_BLOCKS = "key long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, bucket int, a array<int>, b array<int>, count array<int>, docs binary, times binary"
 
 
 def _blocks(path_a: str, path_b: str, most: int):
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
-    kinds = pa.schema([("key", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in names[2:6]), ("groups_sha256", pa.string()), ("a", pa.int32()), ("b", pa.list_(pa.int32())), ("count", pa.list_(pa.int32())), ("docs", pa.binary()), ("times", pa.binary())])
+    kinds = pa.schema([("key", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in names[2:6]), ("groups_sha256", pa.string()), ("bucket", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("count", pa.list_(pa.int32())), ("docs", pa.binary()), ("times", pa.binary())])
 
     def table(columns: dict, n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in kinds], names=names)
@@ -176,74 +190,72 @@ def _blocks(path_a: str, path_b: str, most: int):
             own = {c: pa.array(getattr(texts, c)) for c in ("n_a", "n_b", "n_groups", "n_links")}
             yield table({"key": pa.array(key + np.arange(n)), "id": part.column("id"), "groups_sha256": pa.array(texts.digests(shown)), **own}, n)
             posted = texts.postings(key)
-            if len(posted["a"]):
-                yield table(posted, len(posted["a"]))
+            if len(posted["key"]):
+                yield table(posted, len(posted["key"]))
             key += n
 
     return blocks
 
 
 def _contribute(batches):
-    """Contributions to documents from rows in the order of (a, part): counts (no ``docs``), then postings."""
-    held_ab, held_c, held_best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    """Contributions to documents from rows in the order of (bucket, part): a bucket's counts (no ``docs``), then postings."""
+    at, counted, known, best = None, [], None, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a = batch.column("a").to_numpy(zero_copy_only=False).astype(np.int64)
-        b, count = batch.column("b"), batch.column("count")
-        size = np.diff(b.offsets.to_numpy())
-        ab = np.repeat(a << 32, size) + b.flatten().to_numpy()
-        c = count.flatten().to_numpy().astype(np.int64)
+        buckets, parts = (batch.column(c).to_numpy() for c in ("bucket", "part"))
+        keys = pc.fill_null(batch.column("key"), 0).to_numpy()
         is_count = batch.column("docs").is_null().to_numpy(zero_copy_only=False)
-        of_count = np.repeat(is_count, size)
-        new_ab, new_c = ab[of_count], c[of_count]
-        if len(new_ab):  # parts of one A id repeat its counts
-            new_ab, at = np.unique(new_ab, return_index=True)
-            new_c = new_c[at]
-            first = np.flatnonzero(np.concatenate(([True], new_ab[1:] >> 32 != new_ab[:-1] >> 32)))
-            new_best = new_c == np.repeat(np.maximum.reduceat(new_c, first), np.diff(np.append(first, len(new_ab))))
-            fresh = ~np.isin(held_ab, new_ab)
-            held_ab, held_c, held_best = np.concatenate([held_ab[fresh], new_ab]), np.concatenate([held_c[fresh], new_c]), np.concatenate([held_best[fresh], new_best])
-            order = np.argsort(held_ab, kind="stable")
-            held_ab, held_c, held_best = held_ab[order], held_c[order], held_best[order]
-        if not of_count.all():
-            posted = np.flatnonzero(~is_count)
-            docs, times = (np.frombuffer(b"".join(batch.column(x).take(pa.array(posted)).to_pylist()), "<u4").astype(np.int64) for x in ("docs", "times"))
-            each = c[~of_count]  # documents per posted pair
-            at = np.searchsorted(held_ab, ab[~of_count])
-            pairs_per_row = size[posted]
-            base = np.repeat(np.repeat(pc.fill_null(batch.column("key"), 0).to_numpy()[posted], pairs_per_row), each)
-            key, inverse = np.unique(base + docs, return_inverse=True)
-            total, best = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-            np.add.at(total, inverse, times * np.repeat(held_c[at], each))
-            np.add.at(best, inverse, times * np.repeat(held_best[at], each))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(best), pa.array(total)], names=["key", "n_best", "count_sum"])
-        stay = held_ab >> 32 == a[-1]
-        held_ab, held_c, held_best = held_ab[stay], held_c[stay], held_best[stay]
+        a, b, count = (batch.column(c) for c in ("a", "b", "count"))
+        ends = b.offsets.to_numpy()
+        shift = ends[0]
+        ab = (a.flatten().to_numpy().astype(np.int64) << 32) + b.flatten().to_numpy()
+        number = count.flatten().to_numpy().astype(np.int64)
+        for i in range(batch.num_rows):
+            own = slice(ends[i] - shift, ends[i + 1] - shift)
+            if (buckets[i], parts[i]) != at:
+                at, counted, known = (buckets[i], parts[i]), [], None
+            if is_count[i]:
+                counted.append((ab[own].copy(), number[own].copy()))
+                continue
+            if known is None:
+                known, total = (np.concatenate(x) for x in zip(*counted, strict=True))
+                order = np.argsort(known, kind="stable")
+                known, total = known[order], total[order]
+                first = _starts(known >> 32)
+                best = total == np.repeat(np.maximum.reduceat(total, first), np.diff(np.append(first, len(known))))
+                counted = []
+            docs, times = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u4").astype(np.int64) for c in ("docs", "times"))
+            place = np.repeat(np.searchsorted(known, ab[own]), number[own])
+            n = int(docs.max()) + 1
+            # sums of whole numbers; a document's links are far below 2^53, sums of their counts are kept exact in two halves
+            of = lambda w: np.bincount(docs, w, n).astype(np.int64)
+            weight = times * total[place]
+            sums, bests = of(weight & 0xFFFFFF) + (of(weight >> 24) << 24), of(times * best[place])
+            there = np.flatnonzero(np.bincount(docs, minlength=n))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i] + there), pa.array(bests[there]), pa.array(sums[there])], names=["key", "n_best", "count_sum"])
 
 
 def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, block: int = BLOCK, part: int = PART) -> DataFrame:
     """One row per row of ``df``: its id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.
 
-    ``part``: bytes of postings of one A id that a task gets at once.
+    ``part``: bytes of postings that a task gets at once, more where a bucket's counts are large.
     """
     spark, made = df.sparkSession, []
     texts = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     blocks = durable(texts.mapInArrow(_blocks(path_a or default_tokenizer(), path_b or default_pieces(), block), _BLOCKS))
-    posted = blocks.filter("a IS NOT NULL").select("a", "b", "count", "key", "docs", "times")
-    pairs = posted.select("a", F.explode(F.arrays_zip("b", "count")).alias("p")).groupBy("a", F.col("p.b").alias("b")).agg(F.sum("p.count").cast("int").alias("count"))
+    posted = blocks.filter("bucket IS NOT NULL").select("bucket", "a", "b", "count", "key", "docs", "times")
+    pairs = posted.select("bucket", F.explode(F.arrays_zip("a", "b", "count")).alias("p")).groupBy("bucket", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("p.count").alias("count"))
     # one row per A id, of at most as many entries as B has ids
-    counts = pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "count"))).alias("all")).select("a", F.col("all.b").alias("b"), F.col("all.count").alias("count"))
-    load = posted.groupBy("a").agg(F.sum(F.length("docs") * 2).alias("bytes"))
-    parts = durable(load.select("a", (F.expr(f"bytes div {part}") + 1).cast("int").alias("parts")), made)
-    counts = counts.join(parts, "a").select("a", "b", "count", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    large = F.broadcast(parts.filter("parts > 1"))  # ids of A at most
-    dealt = posted.join(large, "a", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    both = counts.unionByName(dealt, allowMissingColumns=True).repartition("a", "part").sortWithinPartitions("a", "part", F.col("docs").isNotNull())
-    sums = both.select("a", "b", "count", "key", "docs", "times").mapInArrow(_contribute, "key long, n_best long, count_sum long").groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    each = pairs.groupBy("bucket", "a").agg(F.collect_list(F.struct("a", "b", "count")).alias("all"))
+    counts = durable(each.select("bucket", F.col("all.a").alias("a"), F.col("all.b").alias("b"), F.col("all.count").alias("count")), made)
+    load = posted.groupBy("bucket").agg(F.sum(F.length("docs") * 2).alias("bytes")).join(counts.groupBy("bucket").agg(F.sum(F.size("b") * 12).alias("own")), "bucket")
+    parts = F.broadcast(load.select("bucket", (F.expr(f"bytes div greatest({part}, 4 * own)") + 1).cast("int").alias("parts")))  # a row per bucket
+    copies = counts.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = posted.withColumn("count", F.col("count").cast("array<long>")).join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).drop("parts")
+    both = copies.unionByName(dealt, allowMissingColumns=True).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("docs").isNotNull())
+    sums = both.select("bucket", "part", "a", "b", "count", "key", "docs", "times").mapInArrow(_contribute, "key long, n_best long, count_sum long").groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     sums = durable(sums)
     forget(spark, made)
-    rows = blocks.filter("a IS NULL").select("key", F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "key", "left")
+    rows = blocks.filter("bucket IS NULL").select("key", F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "key", "left")
     return rows.select(id_col, "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
 
 

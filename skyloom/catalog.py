@@ -175,19 +175,21 @@ _HOST = "lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*
 _EVIL = "((slot = 'human' AND s IN (1, 3, 5, 6, 14)) OR (slot = 'human' AND replicate = 1 AND s = 2) OR (slot = 'bot' AND replicate = 1 AND s = 7) OR s = 8)"
 _EMPTY = "((slot = 'bot' AND s IN (5, 14)) OR (slot = 'human' AND replicate = 1 AND s = 10))"
 _FIRST = "(substr(sha1(asked), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')) = (slot = 'human')"
-_OBS = f"""
-base AS (SELECT page_id, url AS asked, html AS raw, page_id % {O.SCENARIOS} AS s, slot, kind, replicate FROM pages CROSS JOIN (VALUES ('bot', '{O.BOT}', 1), ('human', '{O.HUMAN}', 1), ('bot', '{O.BOT}', 2), ('human', '{O.HUMAN}', 2)) t(slot, kind, replicate)),
+_BASE = f"""
+base AS (SELECT page_id, url AS asked, html AS raw, page_id % {O.SCENARIOS} AS s, slot, kind, replicate FROM pages CROSS JOIN (VALUES ('bot', '{O.BOT}', 1), ('human', '{O.HUMAN}', 1), ('bot', '{O.BOT}', 2), ('human', '{O.HUMAN}', 2)) t(slot, kind, replicate))"""
+_WATCHED = f"""
 placed AS (SELECT *, 2 * (replicate - 1) + CASE WHEN {_FIRST} THEN 1 ELSE 2 END AS access_index,
-    CASE WHEN slot = 'bot' AND s IN (3, 4) THEN 403 WHEN slot = 'bot' AND replicate = 2 AND s = 11 THEN 503 WHEN (slot = 'human' AND replicate = 1 AND s = 10) OR (slot = 'bot' AND s = 14) THEN 0 WHEN slot = 'human' AND s = 23 THEN 404 ELSE 200 END AS status,
+    CASE WHEN slot = 'bot' AND s IN (3, 4) THEN 403 WHEN slot = 'bot' AND replicate > 1 AND s = 11 THEN 503 WHEN (slot = 'human' AND replicate = 1 AND s = 10) OR (slot = 'bot' AND s = 14) THEN 0 WHEN slot = 'human' AND s = 23 THEN 404 ELSE 200 END AS status,
     CASE WHEN {_EMPTY} THEN '' WHEN s = 20 THEN {_q(O.BLANK)} ELSE coalesce(raw, '') || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s IN (9, 13) THEN {_q(O.GATE)}
         WHEN slot = 'human' AND s = 15 THEN {_q(O.TITLES[0])} WHEN s = 16 THEN {_q(O.ARTIFACT)} WHEN slot = 'human' AND s = 23 THEN {_q(O.TITLES[1] + O.PROMPT)} ELSE '' END END AS html,
     CASE WHEN slot = 'human' AND s = 6 THEN 'https://other.example/' ELSE asked END AS final FROM base),
 watched AS (SELECT page_id, asked, s, slot, kind, replicate, access_index, status, html, final AS url, CASE WHEN s = 20 AND access_index = 3 THEN NULL ELSE 1704067200000 + page_id * 60000 + access_index * (17250 + page_id % 7) END AS at_ms,
     CASE WHEN slot = 'human' AND replicate = 1 AND s = 10 THEN 'timeout' WHEN slot = 'bot' AND s = 14 THEN '{O.RESET}' ELSE '' END AS error,
     CASE WHEN status = 0 THEN [] WHEN s = 22 THEN [asked, 'https://hop.example/', asked] WHEN final <> asked THEN [asked, final] ELSE [asked] END AS chain,
-    CASE WHEN slot = 'bot' OR status = 0 THEN NULL WHEN s = 12 THEN html || {_q(O.EVIL)} WHEN s = 20 THEN coalesce(raw, '') ELSE html END AS dom_html, CASE WHEN slot = 'human' AND s = 22 THEN asked || '#late' WHEN slot = 'human' THEN final END AS page_url,
-    slot = 'human' AND replicate = 1 AND s = 18 AS truncated, slot = 'bot' AND s = 19 AS non_html, CASE WHEN slot = 'human' AND replicate = 2 AND s = 10 THEN 'body lost' ELSE '' END AS body_error, slot = 'human' AND s = 21 AS stopped, slot = 'human' AND s = 21 AND replicate = 1 AS failed,
-    CASE WHEN slot = 'human' AND s = 22 THEN 1 ELSE 0 END AS client_navigations, CASE WHEN slot = 'human' AND status <> 0 THEN html END AS early_html FROM placed)"""
+    CASE WHEN kind <> 'browser' OR status = 0 THEN NULL WHEN s = 12 THEN html || {_q(O.EVIL)} WHEN s = 20 THEN coalesce(raw, '') ELSE html END AS dom_html, CASE WHEN kind = 'browser' AND s = 22 THEN asked || '#late' WHEN kind = 'browser' THEN final END AS page_url,
+    slot = 'human' AND replicate = 1 AND s = 18 AS truncated, slot = 'bot' AND s = 19 AS non_html, CASE WHEN slot = 'human' AND replicate > 1 AND s = 10 THEN 'body lost' ELSE '' END AS body_error, slot = 'human' AND s = 21 AS stopped, slot = 'human' AND s = 21 AND replicate = 1 AS failed,
+    CASE WHEN kind = 'browser' AND s = 22 THEN 1 ELSE 0 END AS client_navigations, CASE WHEN kind = 'browser' AND status <> 0 THEN html END AS early_html FROM placed)"""
+_OBS = f"{_BASE}, {_WATCHED}"
 _NARROW = "page_id, asked, s, slot, kind, replicate, access_index, status, error, url AS final, chain, page_url, at_ms, truncated, non_html, body_error, stopped, failed, client_navigations"
 #: One row per observation and view: what the evaluation below reads.
 _VIEWS = f"""

@@ -25,7 +25,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", a
     own = Window.partitionBy(key).orderBy("begins", "ends")
     before = F.max("ends").over(own.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("begins") > before + F.expr(f"INTERVAL {gap}"), F.lit(True))
-    placed = first.withColumn("__opens", opens).withColumn("__session", F.sum(F.col("__opens").cast("long")).over(own))
+    placed = first.withColumn("__opens", opens).withColumn("__session", F.sum(F.col("__opens").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     whole = [F.min("begins").alias("begins"), F.max("ends").alias("ends"), F.sum("events").alias("events"), F.sum("cents").alias("cents"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds")]
     return placed.groupBy(key, "__session").agg(*whole).drop("__session")
 

@@ -11,7 +11,8 @@ text over ``longest`` characters. Scoring reads every whole text where it lies,
 
 Defined cases: null or blank texts have all-zero word features and get a score like any other; null labels are not used,
 and a document with labels of both kinds is toxic; without labels
-of both classes the score is the share of toxic labels (0 without any); extra columns stay, and columns named like the
+of both classes the score is the share of toxic labels (0 without any); tied scores are one point of the calibration, so neither
+it nor the model depends on the order of rows; rows that repeat an id or a text are scored alike; an empty table gives no rows; extra columns stay, and columns named like the
 results, in any case, are replaced.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_spans, lower, mix, pieces, stripped, text_bytes, without, words
+from .common import U64, hash_spans, lower, mix, pieces, quoted, stripped, text_bytes, without, words
 
 MOST, LONGEST = 2500, 20_000
 LENGTHS = (3, 4, 5, 6, 8, 10**9)
@@ -190,79 +191,15 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: each block's mean ``x`` and its mean ``y``; values between blocks are interpolated."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, count, sum of x
-    for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([yi, 1, xi])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, n, t = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
-
+    """Pool adjacent violators: each block's mean ``x`` and its mean ``y``; values between blocks are interpolated.
 
-class Model:
-    def __init__(self, texts: list[str], toxic: np.ndarray, seed: int = 7):
-        self.rate = float(toxic.mean()) if len(toxic) else 0.0
-        self.trees = None
-        if not 0 < self.rate < 1 or min(toxic.sum(), (1 - toxic).sum()) < 4:
-            return
-        column = pa.array(texts, pa.string())
-        half = np.zeros(len(toxic), np.int64)
-        for c in (0, 1):  # halves of each class
-            at = np.random.default_rng(seed).permutation(np.flatnonzero(toxic == c))
-            half[at] = np.arange(len(at)) % 2
-        x, out = None, np.zeros(len(toxic))
-        for side in (0, 1):
-            own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
-            f = features(column.take(pa.array(own)), learn_lexicon(column.take(pa.array(other)), toxic[other]))
-            x = np.zeros((len(toxic), f.shape[1])) if x is None else x
-            x[own] = f
-        for side in (0, 1):
-            out[half == side] = Trees().fit(x[half != side], toxic[half != side]).raw(x[half == side])
-        self.lexicon, self.trees = learn_lexicon(column, toxic), Trees().fit(x, toxic)
-        self.steps, self.values = isotonic(out, toxic)
-
-    def __call__(self, column: pa.Array) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(column), self.rate)
-        return np.interp(self.trees.raw(features(column, self.lexicon)), self.steps, self.values)
-
-
-def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
-
-
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> Model:
-    """Fit on labelled documents outside the held-out fold, at most about ``most`` of each class."""
-    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000))
-    share = F.lit(0)
-    for c, n in counts.items():
-        share = F.when(F.col("toxic") == c, F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))).otherwise(share)
-    drawn = known.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by 2 * most, hence the broadcast
-    rows = docs.select("doc_id", "text").filter((F.length("text") <= longest) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    return Model(rows["text"].tolist(), rows["toxic"].to_numpy().astype(np.float64))
-
-
-def scorer(spark, model: Model):
-    """The model as a column function of texts."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def score(column: pa.Array) -> pa.Array:
-        return pa.array(shared.value(column))
-
-    return score
-
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: each block's mean ``x`` and its mean ``y``; values between blocks are interpolated."""
-    order = np.argsort(x, kind="stable")
+    Equal ``x`` are one point from the start, so the result does not depend on their order.
+    """
+    points, place = np.unique(x, return_inverse=True)
+    count = np.bincount(place, minlength=len(points))
     blocks: list[list[float]] = []  # sum of y, count, sum of x
-    for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([yi, 1, xi])
+    for xi, yi, n in zip(points.tolist(), np.bincount(place, y, len(points)).tolist(), count.tolist(), strict=True):
+        blocks.append([yi, n, xi * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, t = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
@@ -310,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = L
     for c, n in counts.items():
         share = F.when(F.col("toxic") == c, F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))).otherwise(share)
     drawn = known.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by 2 * most, hence the broadcast
-    rows = docs.select("doc_id", "text").filter((F.length("text") <= longest) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").filter((F.length("text") <= longest) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
     return Model(rows["text"].tolist(), rows["toxic"].to_numpy().astype(np.float64))
 
 
@@ -333,12 +270,12 @@ def scorer(spark, model: Model):
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5)."""
     df = without(df, ("score", "predicted"))
-    return df.withColumn("score", scorer(df.sparkSession, model)(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return df.withColumn("score", scorer(df.sparkSession, model)(F.col(quoted(text_col)))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the model does not reject, with their own columns."""
-    return df.filter(scorer(df.sparkSession, model)(F.col(text_col)) < 0.5)
+    return df.filter(scorer(df.sparkSession, model)(F.col(quoted(text_col))) < 0.5)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ shuffle (Spark reuses equal exchanges). Anchors, which only choose candidates, a
 Defined cases: null text has no words; a window is judged against the input, not what is left; rows with the same
 doc_id do not remove each other's words; rows with a null doc_id are kept whole and take part in no comparison; texts
 without removals are returned unchanged in ``kept_text``; a group holds one text at least, however long; extra columns
-stay, and columns named like the results, in any case, are replaced.
+stay, whatever their names, and columns named like the results, in any case, are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import U64, aside, hash_spans, quoted, runs, text_bytes, without, words
 
-WINDOW, SEED, GROUP = 13, 5, 4 << 20
+WINDOW, SEED, GROUP, PART = 13, 5, 4 << 20, 64 << 20
 _KEY, _OWNED = np.dtype([("a", U64), ("b", U64)]), np.dtype([("a", U64), ("b", U64), ("least", np.int64)])
 
 
@@ -63,11 +63,12 @@ def _anchors(w: dict, window: int = WINDOW, seed: int = SEED) -> np.ndarray:
 
 
 def _ask(group: int, items: np.ndarray, keys: np.ndarray, parts: int) -> pa.Table:
-    """Items in the order of their ascending 64-bit keys, dealt into rows by the keys' top bits."""
-    edge = np.searchsorted(keys, [U64((i << 64) // parts) for i in range(parts)])
-    cut = [*edge, len(keys)]
-    use = [i for i in range(parts) if cut[i + 1] > cut[i]]
-    return pa.table({"part": pa.array(use, pa.int32()), "grp": pa.array([group] * len(use), pa.int32()), "keys": pa.array([items[cut[i] : cut[i + 1]].tobytes() for i in use], pa.binary())})
+    """Items in the order of their ascending 64-bit keys, dealt into rows by the keys' top bits; only parts that get any have one."""
+    part = ((keys >> U64(32)) * U64(parts)) >> U64(32)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))[: len(part)])
+    cut, size = np.append(at, len(keys)).astype(np.int64) * items.dtype.itemsize, len(at)
+    lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(items))]).cast(pa.binary())
+    return pa.table({"part": pa.array(part[at].astype(np.int32)), "grp": pa.array(np.full(size, group, np.int32)), "keys": lists})
 
 
 def _reply(who: np.ndarray, items: np.ndarray) -> pa.Table:
@@ -134,9 +135,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("the seed must not be longer than the window")
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     df = without(df, [*new, "__grp"])
+    shown = df.columns
+    # grouping resolves names as they stand, so columns have plain ones until the end
+    id_col, text_col = (f"__c{shown.index(c)}" for c in (id_col, text_col))
+    df = df.toDF(*[f"__c{i}" for i in range(len(shown))])
     df = df.withColumn(id_col, F.col(id_col).cast("long"))
     total = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     n = max(1, -(-total // group_bytes))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     dealt = df.withColumn("__grp", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int"))
     names = df.columns
     keys_type, ask_type = "grp int, keys binary", "part int, grp int, keys binary"
@@ -144,11 +150,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def seeds(table: pa.Table) -> pa.Table:
         w = _windows(table, id_col, text_col, window)
         keys = np.unique(_anchors(w, window, seed)[w["known"]])  # repeats within the group are found where it is read last
-        return _ask(table.column("__grp")[0].as_py(), keys, keys, n)
+        return _ask(table.column("__grp")[0].as_py(), keys, keys, parts)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _ask(0, np.zeros(0, _OWNED), np.zeros(0, U64), n)
+            return _ask(0, np.zeros(0, _OWNED), np.zeros(0, U64), parts)
         w = _windows(left, id_col, text_col, window)
         use = np.flatnonzero(_within(_anchors(w, window, seed), _gather(right, U64)[1]) & w["known"])
         keys, ids = w["keys"][use], w["id"][use]
@@ -157,7 +163,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         new = np.concatenate(([True], (keys["a"][1:] != keys["a"][:-1]) | (keys["b"][1:] != keys["b"][:-1])))[: len(keys)]
         items = np.zeros(int(new.sum()), _OWNED)
         items["a"], items["b"], items["least"] = keys["a"][new], keys["b"][new], ids[new]
-        return _ask(left.column("__grp")[0].as_py(), items, items["a"], n)
+        return _ask(left.column("__grp")[0].as_py(), items, items["a"], parts)
 
     out_schema = T.StructType([*df.schema.fields])
     for name, kind in zip(new if with_text else new[:3], ("long", "long", "string", "string"), strict=False):
@@ -202,7 +208,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_group = dealt.groupBy("__grp")
     anchors = by_group.applyInArrow(seeds, ask_type).groupBy("part").applyInArrow(_recurring, keys_type)
     spans = by_group.cogroup(anchors.groupBy("grp")).applyInArrow(extend, ask_type).groupBy("part").applyInArrow(_elsewhere, keys_type)
-    return by_group.cogroup(spans.groupBy("grp")).applyInArrow(remove, out_schema)
+    out = by_group.cogroup(spans.groupBy("grp")).applyInArrow(remove, out_schema)
+    return out.toDF(*shown, *out.columns[len(names) :])
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **how) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.llm import op4_toxicity as op4
+from skyloom.llm import op6_substring as op6
 from skyloom.llm import op11_alignment as op11
 from skyloom.llm import op12_whitening as op12
 from skyloom.llm import op13_exact_dedup as op13
@@ -157,3 +159,31 @@ def test_alignment_of_nothing(spark):
     out = op11.align(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] and out.count() == 0
     assert op11.align(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()[0][1:] == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_isotonic_with_ties():
+    y = np.array([0, 1, 1, 0, 1, 0, 1, 1], float)
+    x = np.array([0, 0, 0, 1, 1, 2, 2, 2], float)
+    want = op4.isotonic(x, y)
+    for seed in range(20):
+        at = np.random.default_rng(seed).permutation(len(x))
+        got = op4.isotonic(x[at], y[at])
+        assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+    assert (np.diff(want[0]) > 0).all() and (np.diff(want[1]) > 0).all()
+    assert np.interp(0, *want) == pytest.approx(0.6)  # the first two points, 3 of 5 toxic, are one block
+
+
+def test_dealing_is_linear_and_whole():
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 3000, np.uint64))
+    for parts in (1, 7, 2**31 - 1):
+        t = op6._ask(5, keys, keys, parts)
+        assert b"".join(t.column("keys").to_pylist()) == keys.tobytes() and t.num_rows <= min(parts, len(keys)) and set(t.column("grp").to_pylist()) == {5}
+        assert [min(int(k) * parts >> 64 for k in np.frombuffer(x, np.uint64)) for x in t.column("keys").to_pylist()] == t.column("part").to_pylist() or parts > 2**20
+    assert op6._ask(0, keys[:0], keys[:0], 9).num_rows == 0
+
+
+def test_substring_with_dotted_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "x", "y"), (2, "lead " + text, "x", "y")], "doc_id long, text string, `a.b` string, `c``d` string")
+    out = op6.without_repeats(df)
+    assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "lead "}

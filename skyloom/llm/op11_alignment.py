@@ -101,6 +101,32 @@ def _side(kind, path: str):
     return _sides[kind, path]
 
 
+def _joined(ids: np.ndarray, vocabulary: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The bytes of tokens one after another."""
+    flat = np.frombuffer(b"".join(vocabulary), np.uint8)
+    size = sizes[ids]
+    from_ = (np.cumsum(sizes) - sizes)[ids] - (np.cumsum(size) - size)
+    return flat[np.repeat(from_, size) + np.arange(int(size.sum()))]
+
+
+def _per_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of values by text."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    end = np.cumsum(lengths)
+    return total[end] - total[end - lengths]
+
+
+def _kept(ids: list[np.ndarray], spaced: list[bytes], side) -> np.ndarray:
+    """Which texts their tokens give back."""
+    n, want = np.array([len(x) for x in ids], np.int64), np.array([len(s) for s in spaced], np.int64)
+    same = _per_text(side.sizes[np.concatenate([np.zeros(0, np.int64), *ids])], n) == want
+    at = np.flatnonzero(same)
+    got = _joined(np.concatenate([np.zeros(0, np.int64), *(ids[i] for i in at)]), side.bytes, side.sizes)
+    wrong = got != np.frombuffer(b"".join(spaced[i] for i in at), np.uint8)
+    same[at] = _per_text(wrong, want[at]) == 0
+    return same
+
+
 class Aligned:
     """Tokens, groups and links of a list of texts; texts that the tokens do not give back have none."""
 
@@ -108,30 +134,32 @@ class Aligned:
         whole = [t or "" for t in texts]
         spaced = [(" " + t).encode() if t else b"" for t in whole]
         ids_a, ids_b = a([" " + t if t else "" for t in whole]), b(whole)
-        good = [bool(s) and s == b"".join(map(a.bytes.__getitem__, x.tolist())) and s == b"".join(map(b.bytes.__getitem__, y.tolist())) for s, x, y in zip(spaced, ids_a, ids_b, strict=True)]
+        good = _kept(ids_a, spaced, a) & _kept(ids_b, spaced, b)
         none = np.zeros(0, np.int64)
         ids_a, ids_b = ([x if g else none for x, g in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
         n = len(whole)
         self.good, self.n_a, self.n_b = good, np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
         self.a, self.b = np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b])
         end_a, end_b = np.cumsum(a.sizes[self.a]), np.cumsum(b.sizes[self.b])  # both sides of a text have the same bytes, so ends agree over all texts
-        ends = np.union1d(end_a, end_b)
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        doc_a, doc_b = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
-        left, right = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        is_a, is_b = (np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool) for _ in "ab")
+        is_a[end_a], is_b[end_b] = True, True
+        is_both = is_a & is_b
+        ends, both = np.flatnonzero(is_a | is_b), np.flatnonzero(is_both)
+        before = lambda marks, at: np.cumsum(marks, dtype=np.int32)[at] - marks[at]  # how many marks lie below each place
+        left, right = before(is_a, ends), before(is_b, ends)
+        doc_a = np.repeat(np.arange(n), self.n_a)
         self.link_a, self.link_b, self.link_doc = self.a[left], self.b[right], doc_a[left] if len(left) else left
         self.n_links = np.bincount(self.link_doc, minlength=n)
-        self.n_groups = np.bincount(doc_a[np.searchsorted(end_a, both)] if len(both) else both, minlength=n)
+        last_a, last_b = before(is_a, both), before(is_b, both)
+        self.n_groups = np.bincount(doc_a[last_a] if len(both) else both, minlength=n)
         # tokens in the order of the groups' text: A's of a group, then B's; each with the sign that follows it
-        last_a, last_b = np.searchsorted(end_a, both), np.searchsorted(end_b, both)
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        before_b, before_a = np.concatenate(([0], last_b + 1)), last_a + 1
+        group_a, group_b = before(is_both, end_a), before(is_both, end_b)
+        first_b, until_a = np.concatenate(([0], last_b + 1)), last_a + 1
         stop_a, stop_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
         stop_a[last_a], stop_b[last_b] = 1, 2
-        signed = np.zeros(len(self.a) + len(self.b), np.int64)
-        signed[np.arange(len(self.a)) + before_b[group_a]] = self.a * 3 + stop_a
-        signed[np.arange(len(self.b)) + before_a[group_b]] = self.b * 3 + stop_b
-        self.signed, self.doc_b = signed, doc_b
+        self.signed = np.zeros(len(self.a) + len(self.b), np.int64)
+        self.signed[np.arange(len(self.a)) + first_b[group_a]] = self.a * 3 + stop_a
+        self.signed[np.arange(len(self.b)) + until_a[group_b]] = self.b * 3 + stop_b
 
     def digests(self, shown: list[str]) -> list[str]:
         """SHA-256 of each text's groups as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""

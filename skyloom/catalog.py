@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import catalogue as C
 from .functions import pages as R
 from .functions import records as T
+from .functions import text as X
 from .functions.pages import evaluate, evaluate_once, signatures
 from .functions.urls import entropy, host_of, human_first, normalize_url, registered_domain, reject_reason, url_hash
 from .operators import pairs as P
@@ -118,7 +119,7 @@ def judged(spark, d) -> DataFrame:
     every = O.observations(spark, d).unionByName(O.variants(spark, d), allowMissingColumns=True)
     pairs = V.choose_page(P.pair_table(P.seen(every)))
     pairs = pairs.withColumns({"static_rules": F.coalesce("page.facts.static_rules", P.nothing()), "techniques": F.coalesce("page.facts.techniques", P.nothing())})
-    return P.label(V.classify(S.signals(pairs, F.col("static_rules"))), F.col("static_rules"), F.col("variant_differences"))
+    return P.label(V.classify(S.signals(pairs, F.col("static_rules")), F.col("page.facts.obfuscated")), F.col("static_rules"), F.col("variant_differences"))
 
 
 def cloaking_label(spark, d):
@@ -180,7 +181,7 @@ base AS (SELECT page_id, url AS asked, html AS raw, page_id % {O.SCENARIOS} AS s
 _WATCHED = f"""
 placed AS (SELECT *, 2 * (replicate - 1) + CASE WHEN {_FIRST} THEN 1 ELSE 2 END AS access_index,
     CASE WHEN slot = 'bot' AND s IN (3, 4) THEN 403 WHEN slot = 'bot' AND replicate > 1 AND s = 11 THEN 503 WHEN (slot = 'human' AND replicate = 1 AND s = 10) OR (slot = 'bot' AND s = 14) THEN 0 WHEN slot = 'human' AND s = 23 THEN 404 ELSE 200 END AS status,
-    CASE WHEN {_EMPTY} THEN '' WHEN s = 20 THEN {_q(O.BLANK)} ELSE coalesce(raw, '') || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s IN (9, 13) THEN {_q(O.GATE)}
+    CASE WHEN {_EMPTY} THEN '' WHEN s = 20 THEN {_q(O.BLANK)} ELSE coalesce(raw, '') || CASE WHEN {_EVIL} THEN {_q(O.EVIL)} WHEN s = 0 THEN {_q(O.SCRIPTED)} WHEN slot = 'human' AND s = 4 THEN {_q(O.LOGIN)} WHEN slot = 'human' AND s IN (9, 13) THEN {_q(O.GATE)}
         WHEN slot = 'human' AND s = 15 THEN {_q(O.TITLES[0])} WHEN s = 16 THEN {_q(O.ARTIFACT)} WHEN slot = 'human' AND s = 23 THEN {_q(O.TITLES[1] + O.PROMPT)} ELSE '' END END AS html,
     CASE WHEN slot = 'human' AND s = 6 THEN 'https://other.example/' ELSE asked END AS final FROM base),
 watched AS (SELECT page_id, asked, s, slot, kind, replicate, access_index, status, html, final AS url, CASE WHEN s = 20 AND access_index = 3 THEN NULL ELSE 1704067200000 + page_id * 60000 + access_index * (17250 + page_id % 7) END AS at_ms,
@@ -269,12 +270,21 @@ _ISSUES = "list_sort(" + _some([
     ("empty_document", "NOT non_html AND status <> 0 AND html = '' AND NOT (view = 'html' AND body_error <> '')"), ("content_truncated", "truncated AND view = 'html'"), ("blank_visible_text", "html <> '' AND text = ''"), ("challenge_or_block_page", f"list_has_any(gates, {_in(C.CHALLENGES)})"),
     ("interaction_gate", f"list_has_any(gates, {_in(C.INTERACTIONS)})"), ("content_requests_blocked", "view = 'dom' AND stopped"), ("content_requests_failed", "view = 'dom' AND failed"), *[(x, "view = 'dom' AND stopped") for x in ("dialog_dismissed", "download_blocked", "popup_closed")],
 ]) + ")"
+def _obfuscation(x: str) -> str:
+    words, bare = f"regexp_extract_all({x}, '({X.WORD})', 1)", f"regexp_replace({x}, '\\s', '', 'g')"
+    n = f"nullif(len({words}), 0)::DOUBLE"
+    packed = f"coalesce(length(regexp_replace({bare}, '[^\\[\\]!+()]', '', 'g')) / nullif(length({bare}), 0)::DOUBLE, 0.0)"
+    escapes = f"len(regexp_extract_all({x}, '\\\\x[0-9a-fA-F]{{2}}')) / nullif(length({x}), 0)::DOUBLE"
+    score = f"len(list_filter({words}, lambda y: length(y) <= 2)) / {n} * 0.25 + len(list_filter({words}, lambda y: starts_with(y, '_0x'))) / {n} * 0.35 + {escapes} * 100 * 0.15 + greatest(0.0, 4 - list_sum(list_transform({words}, lambda y: length(y))) / {n}) / 4 * 0.15 + {packed} * 0.10"
+    return f"coalesce(least(1.0, {score}), 0.0)"
+
+
 #: Facts of each view, its issues, and the observations side by side as b1, b2, h1, h2 with their views (d: the page after its scripts ran, e: the early one).
 _FACTS = f"""
 tx AS (SELECT *, {_visible('html')} AS text, {_title('html')} AS title, {_HANDLERS} AS handlers, array_to_string({_rxall('html', T.SCRIPT, 2)}, ' ') AS scripts, {_TECHNIQUES} AS techniques, {_INLINE} AS inline, {_EXTERNAL} AS external, {_hosts(R.FORM_ACTION)} AS form_hosts, {_hosts(R.SOURCE_HOST)} AS script_hosts, {_HOST} AS final_host FROM ev),
 gt AS (SELECT *, {_GATES} AS gates, {_STATIC} AS static_rules FROM tx),
-isu AS (SELECT *, {_ISSUES} AS issues FROM gt)"""
-_REST = "page_id, asked, s, slot, kind, replicate, access_index, status, error, final, chain, page_url, at_ms, client_navigations, stopped, failed, title, lower(title) AS low_title, text, html, final_host, form_hosts, script_hosts, gates, issues, mechanisms, decisive, least(0.9::DOUBLE, final_score) AS score, is_phishing, techniques, static_rules, inline, external"
+isu AS (SELECT *, {_ISSUES} AS issues, len(list_filter(inline, lambda z: {_obfuscation('z')} > {X.OBFUSCATED}::DOUBLE)) AS obfuscated FROM gt)"""
+_REST = "page_id, asked, s, slot, kind, replicate, access_index, status, error, final, chain, page_url, at_ms, client_navigations, stopped, failed, title, lower(title) AS low_title, text, html, final_host, form_hosts, script_hosts, gates, issues, mechanisms, decisive, least(0.9::DOUBLE, final_score) AS score, is_phishing, techniques, static_rules, inline, external, obfuscated"
 _one = lambda c, r: f"CASE WHEN {c} THEN [{_q(r)}] ELSE [] END"
 
 
@@ -359,7 +369,7 @@ vr AS (SELECT * FROM vw WHERE variant = 'referer'), vm AS (SELECT * FROM vw WHER
 _LABEL = f"""
 pr AS MATERIALIZED (SELECT b1.page_id, b1.asked, b1.s, {_side("b1", "h1", "1")}, {_side("b2", "h2", "2")},
     {_pick(lambda n, name, view: _q(name))} ELSE '' END AS page_name, {_pick(lambda n, name, view: _q(view))} ELSE '' END AS page_view, {_PAGE_ISSUES} AS page_issues, {_pick(lambda n, name, view: f"{n}.static_rules")} ELSE [] END AS static_rules, {_pick(lambda n, name, view: f"{n}.techniques")} ELSE [] END AS techniques,
-    {_pick(lambda n, name, view: f"{n}.score")} ELSE 0.0::DOUBLE END AS page_score, {_pick(lambda n, name, view: f"{n}.decisive")} ELSE [] END AS page_decisive, {_pick(lambda n, name, view: f"length({n}.html)")} ELSE 0 END AS page_length, {_variant("referer")[0]} AS referer, {_variant("referer")[1]} AS referer_keys, {_variant("mobile")[0]} AS mobile, {_variant("mobile")[1]} AS mobile_keys,
+    {_pick(lambda n, name, view: f"{n}.score")} ELSE 0.0::DOUBLE END AS page_score, {_pick(lambda n, name, view: f"{n}.decisive")} ELSE [] END AS page_decisive, {_pick(lambda n, name, view: f"{n}.obfuscated")} ELSE 0 END AS page_obfuscated, {_pick(lambda n, name, view: f"length({n}.html)")} ELSE 0 END AS page_length, {_variant("referer")[0]} AS referer, {_variant("referer")[1]} AS referer_keys, {_variant("mobile")[0]} AS mobile, {_variant("mobile")[1]} AS mobile_keys,
     {_cat(_one(f"NOT ({_same(f'{x}1', f'{x}2', k)})", f"{n}_unstable_{k}") for x, n in (("b", "bot"), ("h", "human")) for k in P.STABLE)} AS unstable,
     {_cat(_one(_systematic(k), f"systematic_{k}_difference_without_mechanism_evidence") for k in P.SYSTEMATIC)} AS steady,
     {_cat(_one(f"coalesce({n}d.html, '') <> '' AND len({_except(f'{n}d.mechanisms', f'{n}.mechanisms')}) > 0", f"{name}:js_rendered_mechanisms_not_compared") for n, name in (("h1", "human#1"), ("h2", "human#2")))} AS rendered,

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from . import catalog as B
 from .functions import catalogue as C
+from .functions import scripts as K
+from .functions import text as X
 from .operators import details as D
 from .operators import pairs as P
 from .operators import signals as S
+from .operators import verdicts as V
 from .plans import observations as O
 from .streaming import sessions as E
 
@@ -30,7 +33,21 @@ def event_sessions(spark, d):
     return out.select("user_id", *[F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})").alias(f"{c}_us") for c in ("begins", "ends")], "events", "cents", F.array_join("kinds", "|").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (signal_details, observation_steps, event_sessions)}
+def script_verdict(spark, d):
+    """The page rules on what the first human visit got, with what its own scripts say when decoded."""
+    pages = O.observations(spark, d).filter("slot = 'human' AND replicate = 1").select("page_id", "url", "html")
+    out = K.with_scripts(pages)
+    rule = V.rule_result(F.col("score"), F.col("decisive"), F.col("obfuscated"))
+    return out.select("page_id", "scripts", "decoded", "obfuscated", F.array_join("flags", "|").alias("flags"), F.array_join("decisive", "|").alias("decisive"), F.round(rule["score"], 6).alias("score"), rule["positive"].alias("positive"))
+
+
+def page_scripts(spark, d):
+    """Every script of every page, whole, with its readable text."""
+    pages = O.observations(spark, d).filter("slot = 'human' AND replicate = 1").select("page_id", "html")
+    return K.script_rows(pages).select("page_id", "place", F.sha2("content", 256).alias("sha256"), "readable", "changed", F.round("score", 9).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (signal_details, observation_steps, event_sessions, script_verdict, page_scripts)}
 
 _q, _list, _some, _except = B._q, B._list, B._some, B._except
 _MODE = "(page_id // 5) % 3"
@@ -120,8 +137,33 @@ _TOLD = {
     "first_access_only": (_status("len(coalesce(only_first, [])) > 0 OR status_first", "len(per_access) >= 2"), f"CASE WHEN len(per_access) >= 2 THEN {_of('per_access', 'name')} ELSE [] END", "{'first': first_name, 'mechanisms_only_in_first_access': coalesce(only_first, []), 'status_differs_only_in_first_access': status_first, 'per_access': per_access}"),
 }
 _ONE_BY_ONE = " UNION ALL ".join(f"SELECT page_id, CAST({place} AS INTEGER) AS place, '{i}' AS id, '{c}' AS category, {_TOLD[i][0]} AS status, array_to_string({_TOLD[i][1]}, '|') AS compared, {_json(_TOLD[i][2])} AS evidence FROM pj" for place, (i, c) in enumerate(D.SIGNALS))
+#: What a match of each pattern stands for, ``g`` being its group.
+_MEANINGS = (
+    (K.ATOB, "CASE WHEN length({g}) % 4 = 0 THEN try(decode(from_base64({g}))) END"), (K.UNESCAPE, "try(url_decode(replace({g}, '+', '%2B')))"),
+    (K.HEX, "CASE WHEN ('0x' || {g})::INTEGER < 128 THEN chr(('0x' || {g})::INTEGER) ELSE '" + K.LOST + "' END"), (K.UNIT, "chr(('0x' || {g})::INTEGER)"),
+)
+_STEPS = []
+_LAST = "sc0"
+for _r in range(K.ROUNDS):  # one step per pattern keeps each text short
+    for _i, (_pattern, _meaning) in enumerate(_MEANINGS):
+        _NEXT = f"sc{_r * 5 + _i + 1}"
+        _STEPS.append(f"{_NEXT} AS (SELECT * REPLACE (list_reduce(list_distinct(regexp_extract_all(c, {_q(_pattern)}, 0)), lambda a, m: replace(a, m, coalesce({_meaning.format(g=f'regexp_extract(m, {_q(_pattern)}, 1)')}, m)), c) AS c) FROM {_LAST})")
+        _LAST = _NEXT
+    _NEXT = f"sc{_r * 5 + 5}"
+    _STEPS.append(f"{_NEXT} AS (SELECT * REPLACE (regexp_replace(regexp_replace(c, {_q(K.JOIN_SINGLE)}, '', 'g'), {_q(K.JOIN_DOUBLE)}, '', 'g') AS c) FROM {_LAST})")
+    _LAST = _NEXT
 _HUMAN_FIRST = "substr(sha1(url), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')"
+_HUMAN = "SELECT page_id, url, html FROM watched WHERE slot = 'human' AND replicate = 1"
+_SCRIPTS = f"""
+hu AS ({_HUMAN}), si AS (SELECT page_id, {B._INLINE} AS inline FROM hu), sc0 AS MATERIALIZED (SELECT page_id, unnest(inline) AS s, unnest(inline) AS c, unnest(generate_series(0, len(inline) - 1)) AS place FROM si WHERE len(inline) > 0), {", ".join(_STEPS)},
+scr AS MATERIALIZED (SELECT page_id, CAST(place AS INTEGER) AS place, s, c, {B._obfuscation("s")} AS score FROM {_LAST}),
+sg AS (SELECT page_id, string_agg(c, chr(10) ORDER BY place) AS js, count(*) AS scripts, count(*) FILTER (c <> s) AS decoded, count(*) FILTER (score > {X.OBFUSCATED}::DOUBLE) AS obfuscated FROM scr GROUP BY page_id)"""
+_SCOPED = ", ".join(f"({' + '.join(f'CAST(regexp_matches({dict(html="html", page="page")[scope]}, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns)}) AS {name}" for name, (_, scope, patterns) in C.CATEGORIES.items())
+_RAISED = "CASE WHEN obfuscated > 0 THEN least(0.9::DOUBLE, score + least(0.15::DOUBLE, obfuscated * 0.05::DOUBLE)) ELSE score END"
 SQL = {
+    "page_scripts": f"WITH {B._OBS}, {_SCRIPTS} SELECT page_id, place, sha256(s) AS sha256, c AS readable, c <> s AS changed, round(score, 9) AS score FROM scr",
+    "script_verdict": f"WITH {B._OBS}, {_SCRIPTS}, obs AS (SELECT hu.*, html || chr(10) || coalesce(js, '') AS page, coalesce(scripts, 0) AS scripts, coalesce(decoded, 0) AS decoded, coalesce(obfuscated, 0) AS obfuscated FROM hu LEFT JOIN sg ON sg.page_id = hu.page_id), {B._EVAL.replace(B._HITS, _SCOPED)}, fin AS (SELECT *, least(0.9::DOUBLE, final_value) AS score FROM ev), "
+    f"ra AS (SELECT *, {_RAISED} AS raised FROM fin) SELECT page_id, scripts, decoded, obfuscated, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(raised, 6) AS score, len(decisive) > 0 OR raised >= 0.45::DOUBLE AS positive FROM ra",
     "signal_details": f"WITH {_BASE}, {B._WATCHED}, {_VIEWS}, {B._EVAL}, {B._FACTS}, {_LONG} {_ONE_BY_ONE}",
     "observation_steps": f"""
 WITH p AS (SELECT page_id, {_MODE} AS m, {_WANTED} AS n, page_id % {O.SCENARIOS} AS s, {_HUMAN_FIRST} AS hf FROM pages)

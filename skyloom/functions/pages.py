@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue as C
 from . import records as R
+from .text import heavily_obfuscated
 from .urls import entropy, host_of, registered_domain, split_url
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -146,7 +147,7 @@ def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str
 
 #: Facts of a page that observations are compared and judged by.
 FACTS = (
-    "length", "html_sha256", "title", "text_length", "text_sha256", "excerpt", "form_hosts", "script_hosts", "gates", "inline", "external", "forms", "input_types", "hits", "flags", "decisive", "score", "is_phishing", "mechanisms", "techniques", "static_rules",
+    "length", "html_sha256", "title", "text_length", "text_sha256", "excerpt", "form_hosts", "script_hosts", "gates", "inline", "external", "forms", "input_types", "hits", "flags", "decisive", "score", "is_phishing", "mechanisms", "techniques", "static_rules", "obfuscated",
 )
 FORM_ACTION, INPUT_TYPE = r"(?i)<form[^>]+action\s{0,9}=\s{0,9}[\"']([^\"']+)", r"(?i)<input\b[^>]*\btype\s{0,9}=\s{0,9}[\"']?([a-z]+)"
 SOURCE_HOST = r"(?i)<script[^>]+src\s{0,9}=\s{0,9}[\"']([^\"']+)"
@@ -166,7 +167,7 @@ def facts(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     folded = F.lower(F.col("__text"))
     names = {
         "length": F.length("__body"), "html_sha256": F.sha2("__body", 256), "title": R.title(F.col("__body")), "text_length": F.length("__text"), "text_sha256": F.sha2(folded, 256), "excerpt": F.substring("__text", 1, 500),
-        "form_hosts": link_hosts(F.col("__body"), FORM_ACTION), "script_hosts": link_hosts(F.col("__body"), SOURCE_HOST), "gates": R.gates(F.col("__body"), F.col("__text")), "inline": R.script_inventory(F.col("__scripts")),
+        "form_hosts": link_hosts(F.col("__body"), FORM_ACTION), "script_hosts": link_hosts(F.col("__body"), SOURCE_HOST), "gates": R.gates(F.col("__body"), F.col("__text")), "inline": R.script_inventory(F.col("__scripts")), "obfuscated": heavily_obfuscated(F.col("__scripts")),
         "external": R.external_scripts(F.col("__body"), F.coalesce(F.col(url), F.lit(""))), "forms": F.regexp_count("__body", F.lit(r"(?i)<form\b[^>]*>")), "input_types": F.slice(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("__body", F.lit(INPUT_TYPE), 1), F.lower))), 1, 20),
     }
     return df.select(*own, F.struct(*[names.get(k, F.col(k)).alias(k) for k in FACTS]).alias("facts"))

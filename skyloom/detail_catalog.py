@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog as B
+from . import report_catalog as G
 from .functions import catalogue as C
+from .functions import rules as U
 from .functions import scripts as K
 from .functions import text as X
+from .functions.pages import evaluate
 from .operators import details as D
 from .operators import pairs as P
 from .operators import signals as S
 from .operators import verdicts as V
+from .operators import reports as R
 from .plans import observations as O
+from .plans import results as fixture
 from .streaming import sessions as E
 
 
@@ -47,7 +52,22 @@ def page_scripts(spark, d):
     return K.script_rows(pages).select("page_id", "place", F.sha2("content", 256).alias("sha256"), "readable", "changed", F.round("score", 9).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (signal_details, observation_steps, event_sessions, script_verdict, page_scripts)}
+def cohort_rollup(spark, d):
+    rows = fixture.results(spark, d).withColumn("source_label", F.when(F.col("page_id") % 10 != 0, F.col("source_label")))  # a null cohort as well
+    return R.rollup(R.check_versions(rows))
+
+
+def rule_coverage(spark, d):
+    """Of each category of the rule table: patterns, weight, scope, and the pages and patterns that hit."""
+    table = U.rule_table(spark)
+    pages = evaluate(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html"), rules=U.read_rules(table))
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"hits.{c}").alias("hits")) for c in C.CATEGORIES])
+    found = pages.select(F.explode(rows).alias("r")).groupBy("r.name").agg(F.count_if(F.col("r.hits") > 0).alias("pages"), F.sum("r.hits").alias("hits"))
+    own = table.filter("kind = 'pattern'").groupBy("name").agg(F.count("*").alias("patterns"), F.max("weight").alias("weight"), F.max("scope").alias("scope"))
+    return own.join(found, "name", "left").select("name", "patterns", "weight", "scope", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+QUERIES = {f.__name__: f for f in (signal_details, observation_steps, event_sessions, script_verdict, page_scripts, cohort_rollup, rule_coverage)}
 
 _q, _list, _some, _except = B._q, B._list, B._some, B._except
 _MODE = "(page_id // 5) % 3"
@@ -160,7 +180,10 @@ scr AS MATERIALIZED (SELECT page_id, CAST(place AS INTEGER) AS place, s, c, {B._
 sg AS (SELECT page_id, string_agg(c, chr(10) ORDER BY place) AS js, count(*) AS scripts, count(*) FILTER (c <> s) AS decoded, count(*) FILTER (score > {X.OBFUSCATED}::DOUBLE) AS obfuscated FROM scr GROUP BY page_id)"""
 _SCOPED = ", ".join(f"({' + '.join(f'CAST(regexp_matches({dict(html="html", page="page")[scope]}, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns)}) AS {name}" for name, (_, scope, patterns) in C.CATEGORIES.items())
 _RAISED = "CASE WHEN obfuscated > 0 THEN least(0.9::DOUBLE, score + least(0.15::DOUBLE, obfuscated * 0.05::DOUBLE)) ELSE score END"
+_HIT = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS BIGINT)' for p in patterns)}) AS {name}" for name, (_, _, patterns) in C.CATEGORIES.items())
 SQL = {
+    "cohort_rollup": f"WITH {G._FIX}, q AS (SELECT * REPLACE (CASE WHEN page_id % 10 <> 0 THEN source_label END AS source_label) FROM r) SELECT CASE GROUPING(source_label, label) WHEN 0 THEN 'label' WHEN 1 THEN 'cohort' ELSE 'total' END AS level, source_label AS cohort, label, count(*) AS n, count(*) FILTER (rule_cloaking_label = 'true') AS rule_true, count(*) FILTER (cloaking_label = 'true') AS cloaking, count(*) FILTER (phishing_verdict = 'phishing') AS phishing FROM q GROUP BY GROUPING SETS ((source_label, label), (source_label), ())",
+    "rule_coverage": f"WITH h AS (SELECT {_HIT} FROM (SELECT coalesce(html, '') AS html FROM pages)) " + " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({len(p)} AS BIGINT) AS patterns, {w}::DOUBLE AS weight, '{s}' AS scope, count(*) FILTER ({c} > 0) AS pages, CAST(coalesce(sum({c}), 0) AS BIGINT) AS hits FROM h" for c, (w, s, p) in C.CATEGORIES.items()),
     "page_scripts": f"WITH {B._OBS}, {_SCRIPTS} SELECT page_id, place, sha256(s) AS sha256, c AS readable, c <> s AS changed, round(score, 9) AS score FROM scr",
     "script_verdict": f"WITH {B._OBS}, {_SCRIPTS}, obs AS (SELECT hu.*, html || chr(10) || coalesce(js, '') AS page, coalesce(scripts, 0) AS scripts, coalesce(decoded, 0) AS decoded, coalesce(obfuscated, 0) AS obfuscated FROM hu LEFT JOIN sg ON sg.page_id = hu.page_id), {B._EVAL.replace(B._HITS, _SCOPED)}, fin AS (SELECT *, least(0.9::DOUBLE, final_value) AS score FROM ev), "
     f"ra AS (SELECT *, {_RAISED} AS raised FROM fin) SELECT page_id, scripts, decoded, obfuscated, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(raised, 6) AS score, len(decisive) > 0 OR raised >= 0.45::DOUBLE AS positive FROM ra",

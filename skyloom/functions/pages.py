@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue as C
 from . import records as R
+from .rules import BUILT_IN, Rules
 from .text import heavily_obfuscated
 from .urls import entropy, host_of, registered_domain, split_url
 
@@ -100,8 +101,11 @@ def _forms(blocks: Column, page_domain: Column) -> Column:
     return F.transform(step, lambda f: F.struct(kind(f).alias("kind"), f["lax"].alias("lax")))
 
 
-def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str | None = None) -> DataFrame:
-    """Adds hits (struct), flags, decisive, score, is_phishing and mechanisms. Null pages count as empty."""
+def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str | None = None, rules: Rules = BUILT_IN) -> DataFrame:
+    """Adds hits (struct), flags, decisive, score, is_phishing and mechanisms. Null pages count as empty.
+
+    ``rules``: categories, combinations and decisive sets, the catalogue's own or those of a table (``rules.read_rules``).
+    """
     own_columns = df.columns
     body = F.coalesce(F.col(html), F.lit(""))
     page = F.concat(body, F.lit("\n"), F.coalesce(F.col(extra_js), F.lit(""))) if extra_js else body
@@ -110,7 +114,7 @@ def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str
     netloc, path, _ = split_url(address)
     df = df.withColumns({"__reg": registered_domain(netloc), "__full": F.lower(F.concat(netloc, path))}).withColumns({"__html": body, "__page": page, "__low_html": F.lower(body), "__low": F.lower(page), "__own": registered_domain(host_of(address)), **{f"__u_{k}": v for k, v in url_hits}})
     text = {"html": ("__html", "__low_html"), "page": ("__page", "__low")}
-    hits = {f"__n_{name}": F.expr(" + ".join(f"int({matches(*text[scope], p)})" for p in patterns)) for name, (_, scope, patterns) in C.CATEGORIES.items()}
+    hits = {f"__n_{name}": F.expr(" + ".join(f"int({matches(*text[scope], p)})" for p in patterns)) for name, (_, scope, patterns) in rules.categories.items()}
     low, empty = F.col("__low_html"), F.array().cast("array<string>")
     forms = F.when(low.contains("<form"), F.filter(F.regexp_extract_all("__html", F.lit(FORM), 0), lambda f: F.regexp_extract(f, FORM_BODY, 1).rlike(CREDENTIAL_FIELD))).otherwise(empty)
     assets = F.when(low.contains("http"), F.array_distinct(F.transform(F.regexp_extract_all("__html", F.lit(ASSET), 1), lambda a: registered_domain(host_of(a))))).otherwise(empty)
@@ -126,21 +130,21 @@ def evaluate(df: DataFrame, html: str = "html", url: str = "url", extra_js: str
     }
     worth = lambda f: F.when(f["kind"].isin("ip", "free"), 0.45).when(f["kind"] == "cross", 0.35).when(f["kind"] == "kit", 0.12).otherwise(0.0) + F.when(f["lax"], 0.05).otherwise(0.0)
     df = df.withColumns({**{f"__u_{k}": v for k, v in structure.items()}, "__forms_score": F.aggregate("__forms", F.lit(0.0), lambda s, f: s + worth(f))})
-    on = {k: f"__n_{k} > 0" for k in C.CATEGORIES} | {k: f"__u_{k}" for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
-    score = F.expr("0.0D" + "".join(f" + {weight}D * least(1.0D, __n_{name} / 3.0D)" for name, (weight, _, _) in C.CATEGORIES.items()))
+    on = {k: f"__n_{k} > 0" for k in rules.categories} | {k: f"__u_{k}" for k in (*C.FORM_FLAGS, *C.URL_FLAGS)}
+    score = F.expr("0.0D" + "".join(f" + {weight}D * least(1.0D, __n_{name} / 3.0D)" for name, (weight, _, _) in rules.categories.items()))
     page_boost = F.expr("__forms_score + CASE WHEN __u_brand_asset_hotlink THEN IF(__u_cred_form, 0.25D, 0.08D) ELSE 0.0D END + IF(__u_hidden_iframe, 0.12D, 0.0D)")
     # a clamp without a bonus changes only sums above 1, which cap and threshold treat alike
     for boost in (F.least(F.lit(0.60), page_boost), *boosts):
         score = F.least(F.lit(1.0), score + boost)
-    decisive = F.expr(named({k: " AND ".join(on[f] for f in flags) for k, flags in C.DECISIVE.items()}))
+    decisive = F.expr(named({k: " AND ".join(on[f] for f in flags) for k, flags in rules.decisive.items()}))
     df = df.withColumns({"__flags": F.array_sort(F.expr(named(on))), "__decisive": decisive, "__score": score})
     final = "__score"
-    for bonus, least in C.COMBOS:
+    for bonus, least in rules.combos:
         met = " AND ".join(f"__n_{k} >= {n}" for k, n in least.items())
         final = f"least(1.0D, {final} + IF(size(__decisive) = 0 AND {met}, {bonus}D, 0.0D))"
     df = df.withColumn("__final", F.expr(final))
     return df.select(
-        *own_columns, F.struct(*[F.col(f"__n_{k}").alias(k) for k in C.CATEGORIES]).alias("hits"), F.col("__flags").alias("flags"), F.col("__decisive").alias("decisive"), F.least(F.lit(C.CAP), "__final").alias("score"),
+        *own_columns, F.struct(*[F.col(f"__n_{k}").alias(k) for k in rules.categories]).alias("hits"), F.col("__flags").alias("flags"), F.col("__decisive").alias("decisive"), F.least(F.lit(C.CAP), "__final").alias("score"),
         ((F.size("__decisive") > 0) | (F.col("__final") >= C.THRESHOLD)).alias("is_phishing"), F.array_intersect("__flags", F.array(*map(F.lit, C.MECHANISMS))).alias("mechanisms"),
     )
 

@@ -38,9 +38,9 @@ def rates(df: DataFrame, k: str = "k", n: str = "n") -> DataFrame:
 
 
 def check_versions(rows: DataFrame) -> DataFrame:
-    """The rows, if they are of one version; rows measured in different ways are not pooled."""
-    seen = rows.agg(F.count_distinct("measurement_version").alias("m"), F.count_distinct("schema_version").alias("s"), F.count_if(F.coalesce("measurement_version", F.lit("")) == "").alias("blank")).first()
-    if seen["m"] > 1 or seen["s"] > 1 or seen["blank"]:
+    """The rows, if there are any and all are of one known version; rows measured in different ways are not pooled."""
+    seen = rows.agg(F.count_distinct("measurement_version").alias("m"), F.count_distinct("schema_version").alias("s"), F.count_if((F.coalesce("measurement_version", F.lit("")) == "") | F.col("schema_version").isNull()).alias("blank"), F.count("*").alias("n")).first()
+    if seen["m"] > 1 or seen["s"] > 1 or seen["blank"] or not seen["n"]:
         raise ValueError("result rows of different or unknown versions")
     return rows
 
@@ -51,6 +51,16 @@ def distributions(rows: DataFrame, by: str = "source_label") -> DataFrame:
     return rows.select(F.coalesce(F.col(by), F.lit("unlabeled")).alias("cohort"), pairs.alias("p")).groupBy("cohort", "p.field", "p.value").agg(F.count("*").alias("n"))
 
 
+def rollup(rows: DataFrame, by: str = "source_label", then: str = "label") -> DataFrame:
+    """Counts of each cohort and label, of each cohort, and of all rows, in one pass: level, both values, n, rule_true, cloaking and phishing.
+
+    ``level`` tells a sum over all values (``cohort``, ``total``) from the group whose value is null (``label``, ``cohort``).
+    """
+    sets = rows.select(F.col(by).alias("cohort"), F.col(then).alias("label"), "rule_cloaking_label", "cloaking_label", "phishing_verdict").rollup("cohort", "label")
+    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), *[F.count_if(F.coalesce(F.col(c) == v, F.lit(False))).alias(a) for a, c, v in (("rule_true", "rule_cloaking_label", "true"), ("cloaking", "cloaking_label", "true"), ("phishing", "phishing_verdict", "phishing"))])
+    return out.withColumn("level", F.when(F.col("g") == 0, "label").when(F.col("g") == 1, "cohort").otherwise("total")).select("level", "cohort", "label", "n", "rule_true", "cloaking", "phishing")
+
+
 def crosstab(rows: DataFrame, a: str, b: str, by: str = "source_label") -> DataFrame:
     return rows.groupBy(F.col(by).alias("cohort"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Reachability classes in the order in which candidates are taken (fixed values).
@@ -42,18 +42,23 @@ def same_urls(a: DataFrame, b: DataFrame) -> bool:
     return rows.exceptAll(b.select("line", "url")).isEmpty() and b.select("line", "url").exceptAll(rows).isEmpty()
 
 
-def candidates(rows: DataFrame, limit: int, place: str = "place") -> DataFrame:
-    """Addresses of phishing rows, the first of each host, by reachability class and place, at most ``limit``."""
+def _hosts(rows: DataFrame, place: str) -> DataFrame:
+    """The first phishing row of each host, in its reachability class."""
     rank = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("reachability_class"))
     url = F.trim("url_normalized")
     rows = rows.filter((F.col("class_label") == "phishing") & (rank > 0) & url.startswith("http") & (F.coalesce("host", F.lit("")) != ""))
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("host").orderBy(place))).filter("__n = 1")
-    return first.select(url.alias("url"), "host", "reachability_class", place, rank.alias("bucket")).orderBy("bucket", place).limit(limit)
+    own = F.struct(url.alias("url"), F.col("reachability_class"), F.col(place), rank.alias("bucket"))
+    return rows.groupBy("host").agg(F.min_by(own, F.struct(place, url)).alias("r")).select("r.url", "host", "r.reachability_class", f"r.{place}", "r.bucket")
+
+
+def candidates(rows: DataFrame, limit: int, place: str = "place") -> DataFrame:
+    """Addresses of phishing rows, the first of each host, by reachability class and place, at most ``limit``."""
+    return _hosts(rows, place).orderBy("bucket", place).limit(limit)
 
 
 def bucket_sizes(rows: DataFrame, place: str = "place") -> DataFrame:
     """Hosts in each reachability class, before any limit."""
-    return candidates(rows, 2**31 - 1, place).groupBy("reachability_class").agg(F.count("*").alias("hosts"))
+    return _hosts(rows, place).groupBy("reachability_class").agg(F.count("*").alias("hosts"))
 
 
 def resolve_urls(spark: SparkSession, url: str | None = None, batch: DataFrame | None = None, listed: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -70,11 +75,12 @@ def resolve_urls(spark: SparkSession, url: str | None = None, batch: DataFrame |
 
 
 def with_source(urls: DataFrame, records: DataFrame | None) -> DataFrame:
-    """Each address with its source record; an address without one is unlabelled manual input."""
+    """Each address with its source record, the first by line (else by its values) of several; one without a record is unlabelled manual input."""
     defaults = {"label": "", "source_label": "unlabeled", "source": "manual_input", "batch_id": "", "fetched_at": ""}
     if records is None:
         return urls.withColumns({k: F.lit(v) for k, v in defaults.items()})
-    own = records.select("url", *defaults).dropDuplicates(["url"])
+    order = F.struct(*[c for c in ("line",) if c in records.columns], *defaults)
+    own = records.groupBy("url").agg(F.min_by(F.struct(*defaults), order).alias("r")).select("url", "r.*")
     return urls.join(own, "url", "left").withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()})
 
 
@@ -102,4 +108,5 @@ def with_labels(rows: DataFrame, other: DataFrame | None = None) -> DataFrame:
         return rows
     if other is None:
         return rows.withColumn("label", F.lit(None).cast("string"))
-    return rows.join(other.select("url", "label").dropDuplicates(["url"]), "url", "left")
+    order = F.struct(*[c for c in ("line",) if c in other.columns], "label")
+    return rows.join(other.groupBy("url").agg(F.min_by("label", order).alias("label")), "url", "left")

@@ -158,24 +158,41 @@ _TOLD = {
 }
 _ONE_BY_ONE = " UNION ALL ".join(f"SELECT page_id, CAST({place} AS INTEGER) AS place, '{i}' AS id, '{c}' AS category, {_TOLD[i][0]} AS status, array_to_string({_TOLD[i][1]}, '|') AS compared, {_json(_TOLD[i][2])} AS evidence FROM pj" for place, (i, c) in enumerate(D.SIGNALS))
 #: What a match of each pattern stands for, ``g`` being its group.
+_UNITS = "(('0x' || substr({g}, 3, 4))::INTEGER - 55296) * 1024 + ('0x' || substr({g}, 9, 4))::INTEGER - 56320 + 65536"
 _MEANINGS = (
     (K.ATOB, "CASE WHEN length({g}) % 4 = 0 THEN try(decode(from_base64({g}))) END"), (K.UNESCAPE, "try(url_decode(replace({g}, '+', '%2B')))"),
-    (K.HEX, "CASE WHEN ('0x' || {g})::INTEGER < 128 THEN chr(('0x' || {g})::INTEGER) ELSE '" + K.LOST + "' END"), (K.UNIT, "chr(('0x' || {g})::INTEGER)"),
+    (K.HEX, "CASE WHEN ('0x' || {g})::INTEGER < 128 THEN chr(('0x' || {g})::INTEGER) ELSE '" + K.LOST + "' END"), (K.PAIR, f"chr({_UNITS})"), (K.UNIT, "chr(('0x' || {g})::INTEGER)"),
 )
-_STEPS = []
-_LAST = "sc0"
-for _r in range(K.ROUNDS):  # one step per pattern keeps each text short
-    for _i, (_pattern, _meaning) in enumerate(_MEANINGS):
-        _NEXT = f"sc{_r * 5 + _i + 1}"
-        _STEPS.append(f"{_NEXT} AS (SELECT * REPLACE (list_reduce(list_distinct(regexp_extract_all(c, {_q(_pattern)}, 0)), lambda a, m: replace(a, m, coalesce({_meaning.format(g=f'regexp_extract(m, {_q(_pattern)}, 1)')}, m)), c) AS c) FROM {_LAST})")
-        _LAST = _NEXT
-    _NEXT = f"sc{_r * 5 + 5}"
-    _STEPS.append(f"{_NEXT} AS (SELECT * REPLACE (regexp_replace(regexp_replace(c, {_q(K.JOIN_SINGLE)}, '', 'g'), {_q(K.JOIN_DOUBLE)}, '', 'g') AS c) FROM {_LAST})")
-    _LAST = _NEXT
+_index = lambda m: f"regexp_extract({m}, {_q(K.CALL[1])}, 1)"
+_around = lambda parts, name: f"{_q(parts[0])} || replace({name}, '$', '\\$') || {_q(parts[1])}"
+
+
+def _decoding(first: str) -> tuple[str, str]:
+    """CTEs that decode column c of ``first`` (one step each keeps the text short), and the name of the last."""
+    steps, last = [], first
+
+    def add(expression: str) -> None:
+        nonlocal last
+        steps.append(f"{first}_{len(steps)} AS MATERIALIZED (SELECT * REPLACE ({expression} AS c) FROM {last})")
+        last = f"{first}_{len(steps) - 1}"
+
+    for _ in range(K.ROUNDS):
+        for pattern, meaning in _MEANINGS:
+            add(f"list_reduce(list_distinct(regexp_extract_all(c, {_q(pattern)}, 0)), lambda a, m: replace(a, m, coalesce({meaning.format(g=f'regexp_extract(m, {_q(pattern)}, 1)')}, m)), c)")
+        table, items = f"regexp_extract(c, {_q(K.TABLE)}, 1)", f"regexp_extract_all(regexp_extract(c, {_q(K.TABLE)}, 2), {_q(K.LITERAL)})"
+        name = f"CASE WHEN {table} <> '' THEN regexp_extract(c, {_around(K.LOOKUP, table)}, 1) ELSE '' END"
+        number = f"CASE WHEN lower({_index('m')}) LIKE '0x%' THEN lower({_index('m')})::INTEGER ELSE {_index('m')}::INTEGER END"
+        add(f"CASE WHEN {name} = '' THEN c ELSE list_reduce(list_distinct(regexp_extract_all(c, {_around(K.CALL, name)}, 0)), lambda a, m: replace(a, m, coalesce({items}[{number} + 1], m)), c) END")
+        for pattern, other in K.JOINS:
+            add(f"regexp_replace(c, {_q(pattern)}, {_q(other)}, 'g')")
+    return ", ".join(steps), last
+
+
 _HUMAN_FIRST = "substr(sha1(url), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')"
+_STEPS, _LAST = _decoding("sc0")
 _HUMAN = "SELECT page_id, url, html FROM watched WHERE slot = 'human' AND replicate = 1"
 _SCRIPTS = f"""
-hu AS ({_HUMAN}), si AS (SELECT page_id, {B._INLINE} AS inline FROM hu), sc0 AS MATERIALIZED (SELECT page_id, unnest(inline) AS s, unnest(inline) AS c, unnest(generate_series(0, len(inline) - 1)) AS place FROM si WHERE len(inline) > 0), {", ".join(_STEPS)},
+hu AS ({_HUMAN}), si AS (SELECT page_id, {B._INLINE} AS inline FROM hu), sc0 AS MATERIALIZED (SELECT page_id, unnest(inline) AS s, unnest(inline) AS c, unnest(generate_series(0, len(inline) - 1)) AS place FROM si WHERE len(inline) > 0), {_STEPS},
 scr AS MATERIALIZED (SELECT page_id, CAST(place AS INTEGER) AS place, s, c, {B._obfuscation("s")} AS score FROM {_LAST}),
 sg AS (SELECT page_id, string_agg(c, chr(10) ORDER BY place) AS js, count(*) AS scripts, count(*) FILTER (c <> s) AS decoded, count(*) FILTER (score > {X.OBFUSCATED}::DOUBLE) AS obfuscated FROM scr GROUP BY page_id)"""
 _SCOPED = ", ".join(f"({' + '.join(f'CAST(regexp_matches({dict(html="html", page="page")[scope]}, {_q("(?i)" + p)}) AS INTEGER)' for p in patterns)}) AS {name}" for name, (_, scope, patterns) in C.CATEGORIES.items())
@@ -184,6 +201,7 @@ _HIT = ", ".join(f"({' + '.join(f'CAST(regexp_matches(html, {_q("(?i)" + p)}) AS
 SQL = {
     "cohort_rollup": f"WITH {G._FIX}, q AS (SELECT * REPLACE (CASE WHEN page_id % 10 <> 0 THEN source_label END AS source_label) FROM r) SELECT CASE GROUPING(source_label, label) WHEN 0 THEN 'label' WHEN 1 THEN 'cohort' ELSE 'total' END AS level, source_label AS cohort, label, count(*) AS n, count(*) FILTER (rule_cloaking_label = 'true') AS rule_true, count(*) FILTER (cloaking_label = 'true') AS cloaking, count(*) FILTER (phishing_verdict = 'phishing') AS phishing FROM q GROUP BY GROUPING SETS ((source_label, label), (source_label), ())",
     "rule_coverage": f"WITH h AS (SELECT {_HIT} FROM (SELECT coalesce(html, '') AS html FROM pages)) " + " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({len(p)} AS BIGINT) AS patterns, {w}::DOUBLE AS weight, '{s}' AS scope, count(*) FILTER ({c} > 0) AS pages, CAST(coalesce(sum({c}), 0) AS BIGINT) AS hits FROM h" for c, (w, s, p) in C.CATEGORIES.items()),
+    "deobfuscated_scripts": f"WITH ds AS (SELECT page_id, {G._elt(G._SCRIPTS)} AS s, {G._elt(G._SCRIPTS)} AS c FROM pages), {_decoding('ds')[0]} SELECT page_id, c AS deobfuscated, round({B._obfuscation('c')}, 9) AS score_after, c <> s AS changed FROM {_decoding('ds')[1]}",
     "page_scripts": f"WITH {B._OBS}, {_SCRIPTS} SELECT page_id, place, sha256(s) AS sha256, c AS readable, c <> s AS changed, round(score, 9) AS score FROM scr",
     "script_verdict": f"WITH {B._OBS}, {_SCRIPTS}, obs AS (SELECT hu.*, html || chr(10) || coalesce(js, '') AS page, coalesce(scripts, 0) AS scripts, coalesce(decoded, 0) AS decoded, coalesce(obfuscated, 0) AS obfuscated FROM hu LEFT JOIN sg ON sg.page_id = hu.page_id), {B._EVAL.replace(B._HITS, _SCOPED)}, fin AS (SELECT *, least(0.9::DOUBLE, final_value) AS score FROM ev), "
     f"ra AS (SELECT *, {_RAISED} AS raised FROM fin) SELECT page_id, scripts, decoded, obfuscated, array_to_string(flags, '|') AS flags, array_to_string(decisive, '|') AS decisive, round(raised, 6) AS score, len(decisive) > 0 OR raised >= 0.45::DOUBLE AS positive FROM ra",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,23 +17,58 @@ OBFUSCATED = 0.6
 WORD = "[a-zA-Z_$][a-zA-Z0-9_$]*"
 
 
+_SLICE = 1 << 20
+
+
+def _bits_of(grams: list[str]) -> np.ndarray:
+    """The last 64 bits of each gram's MD5, the lowest first."""
+    raw = b"".join(hashlib.md5(g.encode(), usedforsecurity=False).digest()[15:7:-1] for g in grams)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _simhashes(texts: list[str]) -> list[int]:
+    """The 64 bits that most of each text's character 4-grams set; each different gram of all texts is hashed once."""
+    n = np.array([len(t) for t in texts], np.int64)
+    letters, place = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+    width = np.int64(max(len(letters), 1))
+    if width**GRAM > 2**62:  # more kinds of characters than a packed gram can hold: halves of the texts, or all grams of one
+        if len(texts) > 1:
+            return _simhashes(texts[: len(texts) // 2]) + _simhashes(texts[len(texts) // 2 :])
+        grams, inverse = np.unique([texts[0][i : i + GRAM] for i in range(len(texts[0]) - GRAM + 1)], return_inverse=True)
+        bits = _bits_of(grams.tolist())
+    else:
+        packed = np.zeros(max(len(place) - GRAM + 1, 0), np.int64)
+        for i in range(GRAM):
+            packed = packed * width + place[i : len(packed) + i]
+        codes, inverse = np.unique(packed, return_inverse=True)  # grams across two texts are hashed, and not counted
+        shown = [chr(c) for c in letters.tolist()]
+        digits = [codes // width**i % width for i in range(GRAM - 1, -1, -1)]
+        bits = _bits_of(["".join(map(shown.__getitem__, g)) for g in zip(*(d.tolist() for d in digits), strict=True)])
+    out = []
+    for start, size in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+        k = max(size - GRAM + 1, 0)
+        most = 2 * bits[inverse[start : start + k]].sum(0, dtype=np.int64) > k
+        out.append(int.from_bytes(np.packbits(most, bitorder="little").tobytes(), "little"))
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
+def simhash_bits(text: pa.Array) -> pa.Array:
+    """A text's simhash as two numbers of 32 bits, without a shuffle; texts of fewer than four characters have no bits."""
+    texts, out, held, room = [t or "" for t in text.to_pylist()], [], [], 0
+    for t in texts:
+        if held and room + len(t) > _SLICE:
+            out += _simhashes(held)
+            held, room = [], 0
+        held.append(t)
+        room += len(t)
+    out += _simhashes(held) if held else []
+    return pa.StructArray.from_arrays([pa.array([x >> 32 for x in out], pa.int64()), pa.array([x & 0xFFFFFFFF for x in out], pa.int64())], ["hi", "lo"])
+
+
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hi, lo): the 64 bits that most of a text's character 4-grams set, by MD5, as two numbers of 32 bits.
-
-    Grams are counted before they are hashed and bits are summed over counts, so a text is never one array of grams. Texts
-    of fewer than four characters have no bits.
-    """
-    n = F.length(text)
-    grams = df.filter(n >= GRAM).select(key, F.explode(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substr(F.col(text), i, F.lit(GRAM)))).alias("__g")).groupBy(key, "__g").agg(F.count("*").alias("__n"))
-    digest = F.md5("__g")
-    half = lambda a: F.conv(F.substring(digest, a, 8), 16, 10).cast("long")
-    rows = grams.select(key, "__n", half(17).alias("hi"), half(25).alias("lo"))
-    votes = {f"{w}{i}": F.sum(F.when(F.shiftright(F.col(w), i).bitwiseAND(F.lit(1)) == 1, F.col("__n")).otherwise(-F.col("__n"))) for w in ("hi", "lo") for i in range(32)}
-    sums = rows.groupBy(key).agg(*[v.alias(name) for name, v in votes.items()])
-    packed = lambda w: sum((F.when(F.col(f"{w}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(1, 32)), F.when(F.col(f"{w}0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    bits = sums.select(key, packed("hi").alias("hi"), packed("lo").alias("lo"))
-    zero = F.lit(0).cast("long")
-    return df.select(key).join(bits, key, "left").select(key, F.coalesce("hi", zero).alias("hi"), F.coalesce("lo", zero).alias("lo"))
+    """(key, hi, lo) of each row: the 64 bits that most of its text's character 4-grams set, by MD5."""
+    return df.select(key, simhash_bits(F.col(text)).alias("s")).select(key, "s.hi", "s.lo")
 
 
 def simhash_similarity(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
@@ -47,11 +84,10 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def similarity(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Adds ``similarity``: 0.6 of the simhash's and 0.4 of the sequence's; 1 for two empty texts, 0 for one."""
-    x, y = (simhash(pairs.withColumn(c, F.coalesce(c, F.lit(""))), key, c).toDF(key, f"__hi_{i}", f"__lo_{i}") for i, c in enumerate((a, b)))
-    both = pairs.join(x, key).join(y, key)
+    both = pairs.withColumns({"__a": simhash_bits(F.col(a)), "__b": simhash_bits(F.col(b))})
     empty_a, empty_b = F.coalesce(F.col(a), F.lit("")) == "", F.coalesce(F.col(b), F.lit("")) == ""
-    mixed = simhash_similarity(F.col("__hi_0"), F.col("__lo_0"), F.col("__hi_1"), F.col("__lo_1")) * 0.6 + sequence_ratio(a, b) * 0.4
-    return both.withColumn("similarity", F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).otherwise(mixed)).drop("__hi_0", "__lo_0", "__hi_1", "__lo_1")
+    mixed = simhash_similarity(F.col("__a.hi"), F.col("__a.lo"), F.col("__b.hi"), F.col("__b.lo")) * 0.6 + sequence_ratio(a, b) * 0.4
+    return both.withColumn("similarity", F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).otherwise(mixed)).drop("__a", "__b")
 
 
 def structural_divergence(forms_a: Column, forms_b: Column, scripts_a: Column, scripts_b: Column) -> Column:

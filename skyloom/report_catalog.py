@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import catalog as B
 from .functions import catalogue as C
-from .functions import deobfuscation as D
+from .functions import scripts as D
 from .functions import records as T
 from .functions import text as X
 from .functions.urls import origin, url_hash

@@ -10,8 +10,10 @@ from skyloom.functions import scripts as K
 
 _B = lambda t: base64.b64encode(t.encode()).decode()
 CASES = [
-    (r"a='\x68\x74\x74\x70'", "a='http'"), (r"'\xe9\x41'", "'�A'"), (r"'Aé中'", "'Aé中'"), (r"'😀'", r"'😀'"), ("'ab' + 'cd'+'e'", "'abcde'"), ('"x"+"y"', '"xy"'), ("'a' + \"b\"", "'a' + \"b\""),
-    ("'" + "\\u0041\\u00e9\\u4E2d" + "'", "'Aé中'"), ("'\\ud83d\\ude00'", "'\\ud83d\\ude00'"),
+    (r"a='\x68\x74\x74\x70'", "a='http'"), (r"'\xe9\x41'", "'�A'"), (r"'Aé中'", "'Aé中'"), (r"'😀'", r"'😀'"), ("'ab' + 'cd'+'e'", "'abcde'"), ('"x"+"y"', '"xy"'), ("'a' + \"b\"", "'ab'"), ("'a' + 'b' + \"c\"", "'abc'"), ("x + 'a'", "x + 'a'"),
+    ("'" + "\\u0041\\u00e9\\u4E2d" + "'", "'Aé中'"), ("'\\ud83d\\ude00 \\ud83d'", "'😀 \\ud83d'"), ("'\\ude00\\ud83d'", "'\\ude00\\ud83d'"),
+    ("var _0x1 = ['log', 'hi']; function _0x2(i){ return _0x1[i]; } f(_0x2(0x1), _0x2(0), _0x2(9))", "var _0x1 = ['log', 'hi']; function _0x2(i){ return _0x1[i]; } f('hi', 'log', _0x2(9))"), ("const $t=[\"a'b\",'c'];function q$(n){return $t[n]}g(q$(0)+q$( 1 ))", "const $t=[\"a'b\",'c'];function q$(n){return $t[n]}g(\"a'bc\")"),
+    ("var a=['x'];b(0)", "var a=['x'];b(0)"),
     (f"eval(atob('{_B('alert(1)')}'))", "alert(1)"), ("eval(atob('abc'))", "eval(atob('abc'))"), ("eval(atob('/w=='))", "eval(atob('/w=='))"), ("eval(unescape('%61%2B+b'))", "a++b"),
     (f"eval(atob('{_B('eval(unescape(' + chr(39) + '%41' + chr(39) + '))')}'))", "A"), (r"'\x5cx41'", "'A'"), ("plain(1)", "plain(1)"), ("", ""), (None, None),
     (r"x='" + r"\x41" * 50_000 + "'", "x='" + "A" * 50_000 + "'"), ("'" + "a' + '" * 20_000 + "'", "'" + "a" * 20_000 + "'"),
@@ -51,3 +53,16 @@ def test_scripts_in_the_page_rules(pages):
     assert "webhook_exfiltration" in got[2].flags and "webhook_exfiltration" in got[4].flags and "webhook_exfiltration" not in got[6].flags
     without = {r.page_id: r for r in K.with_scripts(bare).collect()}
     assert "webhook_exfiltration" not in without[4].flags and json.dumps(without[2].flags) == json.dumps(got[2].flags)
+
+
+def test_chunks_and_measures(spark):
+    codes = ["line one\nline two\nline three", "x" * 95, "a\n" * 60, "", None, "\n\n", "y" * 30 + "\n" + "z" * 5]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, script string")
+    for r in rows.select("script", K.chunks(F.col("script"), 20).alias("c")).collect():
+        if r.script is None:
+            assert r.c is None
+            continue
+        assert "".join(r.c) == r.script and all(0 < len(x) <= 20 for x in r.c)
+        assert all(b.startswith("\n") or len(a) == 20 for a, b in zip(r.c, r.c[1:], strict=False))  # a piece ends at a line end or is full
+    out = {r.i: r for r in K.deobfuscate(rows).collect()}
+    assert not out[0].changed and out[4].deobfuscated is None and not out[1].symbol_encoded

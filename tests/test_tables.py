@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from skyloom import report_catalog
-from skyloom.functions import assessments, deobfuscation, records, text
+from skyloom.functions import assessments, records, text
 from skyloom.functions.urls import normalize_url, reject_reason
 from skyloom.operators import reports, results
 from skyloom.plans import results as fixture
@@ -180,24 +180,6 @@ def test_similarity_against_python(spark):
     assert text.similarity(spark.createDataFrame([(1, None, None)], "k int, a string, b string"), "k", "a", "b").first()["similarity"] == 1.0
 
 
-SCRIPTS = {
-    "eval(atob('YWxlcnQoMSk='))": "alert(1)", 'eval(unescape("%61%62"))': "ab", r"\x41B": "AB", r"😀 \ud83d": "😀 \\ud83d", "'a' + 'b' + \"c\"": "'abc'", "x + 'a'": "x + 'a'",
-    "var _0x1 = ['log', 'hi']; function _0x2(i){ return _0x1[i]; } f(_0x2(0x1))": "var _0x1 = ['log', 'hi']; function _0x2(i){ return _0x1[i]; } f('hi')", "eval(atob('a'))": "eval(atob('a'))", "": "",
-}
-
-
-def test_deobfuscation(spark):
-    df = spark.createDataFrame([*((s,) for s in SCRIPTS), (None,)], "script string")
-    got = {r["script"]: r["deobfuscated"] for r in deobfuscation.deobfuscate(df).collect()}
-    assert got == SCRIPTS | {None: None}
-    long = "'" + "a" * 100_000 + "' + '" + r"\'" * 100_000 + "'"
-    assert deobfuscation.plain_script(long) == "'" + "a" * 100_000 + r"\'" * 100_000 + "'"
-    assert deobfuscation.plain_script("'" * 100_001) and deobfuscation.well_formed("a\ud800") == "a\\ud800"
-    code = "line one\n" * 500
-    assert "".join(deobfuscation.chunks(code, 100)) == code and max(map(len, deobfuscation.chunks(code, 100))) <= 100
-    assert [r[0] for r in df.limit(1).select(deobfuscation.script_chunks("script")).collect()] == [["eval(atob('YWxlcnQoMSk='))"]]
-
-
 def test_decode_body(spark):
     bodies = [
         (b"\xef\xbb\xbf\xc3\xa4", None, "ä", "utf-8:bom"), ("﻿ä".encode("utf-16-le"), None, "ä", "utf-16:bom"), (b"\xe4", "text/html; charset=ISO-8859-1", "ä", "iso-8859-1:header"), (b'<meta charset="windows-1252">\x80', "", '<meta charset="windows-1252">€', "windows-1252:meta"),

@@ -45,6 +45,9 @@ def test_page_archetypes(spark):
 HITS = [
     ("timed_cloaking_redirect", "setInterval(function(){ location = 'x' }, 500)", 1), ("timed_cloaking_redirect", "setInterval(function(){ location.reload() }, 500)", 0), ("timed_cloaking_redirect", "setInterval(() => location.replace('http://a'), 90)", 1),
     ("timed_cloaking_redirect", "setInterval(t => {location='x'}, 5)", 1), ("timed_cloaking_redirect", "SETTIMEOUT(() => location='a', 10)", 1), ("timed_cloaking_redirect", "setTimeout(function(){ location='a' }, 5000)", 0),
+    ("timed_cloaking_redirect", "setTimeout(function(){ document.title = 'a' }, 500)", 0), ("timed_cloaking_redirect", "setTimeout(go, 900, 'https://a.example/', 900)", 1), ("timed_cloaking_redirect", "delayed by a redirect", 1), ("timed_cloaking_redirect", "presettimeout(() => location='a', 10)", 0),
+    ("timed_cloaking_redirect", "setInterval(function(){ location='x' }, 60000)", 0), ("ua_bot_detection", "navigator.plugins.length === 0", 1), ("ua_bot_detection", "plugins.length === 05", 0), ("ua_bot_detection", "window._phantom || callPhantom", 2), ("ua_bot_detection", "navigator.webdriver && go()", 1), ("ua_bot_detection", "the webdriver manual", 0),
+    ("post_submit_deception", "alert('Wrong password')", 1), ("post_submit_deception", "password is incorrect, please try again", 1), ("post_submit_deception", "alert('saved')", 0), ("post_submit_deception", "location.href='https://paypal.example.org'", 1), ("post_submit_deception", "location.href='https://mypaypal.org'", 0),
     ("code_obfuscation_exec", "eval(function(p,a,c,k,e,d){", 1), ("code_obfuscation_exec", "eval(atob('eA=='))", 1), ("code_obfuscation_exec", "String.fromCharCode(" + "1," * 15, 1), ("code_obfuscation_exec", "String.fromCharCode(" + "1," * 14 + "1)", 0), ("code_obfuscation_exec", "\\x41" * 25, 1),
     ("webhook_exfiltration", "https://api.telegram.org/bot123456:" + "a" * 30 + "/sendMessage?chat_id=1", 3), ("mail_exfiltration", "'a@gmail.com'", 1), ("mail_exfiltration", "a@gmail.com", 0), ("devtools_blocking", "shiftKey && e.keyCode === 74", 1), ("devtools_blocking", "'contextmenu', e => e.preventDefault()", 1),
     ("post_submit_deception", "location.href='https://www.paypal.com'", 1), ("ua_bot_detection", "if (navigator.webdriver) { location", 1), ("form_credential_targeting", "[type=password]", 1), ("data_exfiltration", "navigator.sendBeacon('/x')", 2), ("malicious_redirect", "window.location = 'https://a'", 1),
@@ -111,3 +114,23 @@ def test_duplicate_observations_count_once(spark):
     obs = obs.withColumns({k: F.lit(None).cast(t) for k, t in filler.items()})
     got = pair_table(seen(obs)).select("bot1_status", "bot1_html_length", "human1_issues").first()
     assert tuple(got) == (200, 5, ["missing_observation"])
+
+
+#: What each gate is for and what it is not, with its scope: markup, text, or a script.
+GATE_CASES = [
+    ("<div class='h-captcha'></div>", ["captcha"]), ("<p>our captcha policy</p>", []), ("<title>Just a moment...</title>", ["challenge"]), ("<p>Just a moment</p>", []), ("<p>Verify that you are a human</p>", ["challenge"]), ("<p>verifying you are human now</p>", ["challenge"]),
+    ("<p>humans verify that you are here</p>", []), ("<p>Access denied</p>", ["challenge"]), ("<script>// access denied</script>", []), ("<script>Notification . requestPermission()</script>", ["notification"]), ("<p>notification.requestPermission</p>", []),
+    ("<script>prompt ('x')</script>", ["alert_gate"]), ("<p>prompt (x)</p>", []), ("<script>myprompt('x')</script>", []), ("<a onclick=\"x.style.display='block'\">a</a>", ["click_gate"]), ("<script>x.style.display='block'</script>", []), ("<p>Click here to continue</p>", ["click_gate"]), ("<p>click. Then go to continue</p>", []),
+    ("<button onclick='x.removeAttribute(\"hidden\")'>a</button>", ["click_gate"]),
+]
+
+
+def test_gates_by_meaning(spark):
+    from skyloom.functions import records
+
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(GATE_CASES)], "i int, html string")
+    for r in rows.select("i", records.gates(F.col("html")).alias("g")).collect():
+        assert r["g"] == GATE_CASES[r["i"]][1], GATE_CASES[r["i"]]
+    titles = {"404": True, "Error": True, "Room 4040": False, "Not found here": True, "Welcome": False, "1500 shoes": False}
+    for title, odd in titles.items():
+        assert bool(re.search(C.ERROR_TITLE, title, re.I)) == odd, title

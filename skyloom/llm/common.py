@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -150,6 +152,15 @@ def forget(spark: SparkSession, kept: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return memory that numpy and Arrow have freed to the system, which they keep for later otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+    if trim:
+        trim(0)
+
+
 def numbered(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """Adds ``__f`` and ``__r``: a hash of the file and the row's number in it, the same at every reading of the table.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_spans, lower, mix, pieces, quoted, stripped, text_bytes, without, words
+from .common import U64, give_back, hash_spans, lower, mix, pieces, quoted, stripped, text_bytes, without, words
 
 MOST, LONGEST = 2500, 20_000
 LENGTHS = (3, 4, 5, 6, 8, 10**9)
@@ -248,7 +248,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = L
         share = F.when(F.col("toxic") == c, F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))).otherwise(share)
     drawn = known.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by 2 * most, hence the broadcast
     rows = docs.select("doc_id", "text").filter((F.length("text") <= longest) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return Model(rows["text"].tolist(), rows["toxic"].to_numpy().astype(np.float64))
+    model = Model(rows["text"].tolist(), rows["toxic"].to_numpy().astype(np.float64))
+    del rows
+    give_back()  # the driver has more to do than to remember the sample
+    return model
 
 
 def scorer(spark, model: Model):

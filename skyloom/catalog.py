@@ -284,7 +284,7 @@ _FACTS = f"""
 tx AS (SELECT *, {_visible('html')} AS text, {_title('html')} AS title, {_HANDLERS} AS handlers, array_to_string({_rxall('html', T.SCRIPT, 2)}, ' ') AS scripts, {_TECHNIQUES} AS techniques, {_INLINE} AS inline, {_EXTERNAL} AS external, {_hosts(R.FORM_ACTION)} AS form_hosts, {_hosts(R.SOURCE_HOST)} AS script_hosts, {_HOST} AS final_host FROM ev),
 gt AS (SELECT *, {_GATES} AS gates, {_STATIC} AS static_rules FROM tx),
 isu AS (SELECT *, {_ISSUES} AS issues, len(list_filter(inline, lambda z: {_obfuscation('z')} > {X.OBFUSCATED}::DOUBLE)) AS obfuscated FROM gt)"""
-_REST = "page_id, asked, s, slot, kind, replicate, access_index, status, error, final, chain, page_url, at_ms, client_navigations, stopped, failed, title, lower(title) AS low_title, text, html, final_host, form_hosts, script_hosts, gates, issues, mechanisms, decisive, least(0.9::DOUBLE, final_score) AS score, is_phishing, techniques, static_rules, inline, external, obfuscated"
+_REST = "page_id, asked, s, slot, kind, replicate, access_index, status, error, final, chain, page_url, at_ms, client_navigations, stopped, failed, body_error, title, lower(title) AS low_title, text, html, final_host, form_hosts, script_hosts, gates, issues, mechanisms, decisive, least(0.9::DOUBLE, final_score) AS score, is_phishing, techniques, static_rules, inline, external, obfuscated"
 _one = lambda c, r: f"CASE WHEN {c} THEN [{_q(r)}] ELSE [] END"
 
 

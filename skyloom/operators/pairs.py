@@ -24,8 +24,8 @@ PAIRS = (("bot#1", "human#1"), ("bot#2", "human#2"))
 STABLE = ("status", "final_host", "mechanisms")
 SYSTEMATIC = (*STABLE, "title", "form_hosts", "script_hosts", "html_sha256")
 #: What a pair of observations carries besides the facts of its pages, and what a missing one has instead.
-CARRIED = ("status", "error", "url", "redirect_chain", "page_url", "kind", "access_index", "observed_at", "client_navigations", "blocked", "failed", "dialogs", "downloads", "popups")
-_DEFAULTS = {"status": 0, "error": "", "url": "", "page_url": "", "kind": "", "client_navigations": 0, "blocked": 0, "failed": 0, "dialogs": 0, "downloads": 0, "popups": 0}
+CARRIED = ("status", "error", "url", "redirect_chain", "page_url", "kind", "access_index", "observed_at", "client_navigations", "blocked", "failed", "dialogs", "downloads", "popups", "body_error")
+_DEFAULTS = {"status": 0, "error": "", "url": "", "page_url": "", "kind": "", "client_navigations": 0, "blocked": 0, "failed": 0, "dialogs": 0, "downloads": 0, "popups": 0, "body_error": ""}
 _VIEW_KEYS = {
     "html": ("length", "text_length", "title", "mechanisms", "form_hosts", "script_hosts", "html_sha256", "text_sha256", "is_phishing", "excerpt", "external"), "dom": ("length", "text_length", "title", "mechanisms", "form_hosts", "script_hosts"), "early": ("text_length", "mechanisms"),
 }

@@ -214,6 +214,7 @@ def stratified_sample(rows: DataFrame, positives: int, negatives: int, seed: str
         rows = rows.join(pairs.select("url").distinct(), "url", "left_semi")
     draw = lambda salt: F.sha1(F.concat(F.lit(f"{seed}|{salt}|"), "url"))
     picked = rows.filter(F.col("cloaking").isin("True", "False")).select("url", "cloaking").distinct()
-    place = F.row_number().over(Window.partitionBy("cloaking").orderBy(draw("pick"), "url"))
-    picked = picked.withColumn("__n", place).filter(F.col("__n") <= F.when(F.col("cloaking") == "True", positives).otherwise(negatives))
+    # each class's smallest draws, gathered from the tasks' own; no class is sorted whole
+    some = [picked.filter(F.col("cloaking") == c).orderBy(draw("pick"), "url").limit(n) for c, n in (("True", positives), ("False", negatives))]
+    picked = some[0].unionByName(some[1])
     return picked.withColumn("place", F.row_number().over(Window.orderBy(draw("order"), "url"))).select("place", "url", "cloaking")

@@ -17,13 +17,17 @@ from .pairs import NAMES, PAIRS, fact, nothing, one, same, systematic
 MEANINGFUL = ("status", "final_host", "title", "mechanisms", "form_hosts", "script_hosts")
 COMPARED = (*MEANINGFUL, "html_sha256", "text_sha256")
 VARIANT_KEYS = ("status", "final_host", "mechanisms", "title")
-BROWSERS = ("human#1", "human#2")
 
 
 def usable(name: str) -> Column:
     return fact(name, "usable")
 
 
+def browser(name: str) -> Column:
+    """Whether an observation is one of a browser, whatever its slot."""
+    return fact(name, "kind") == "browser"
+
+
 def _any(conditions) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -106,23 +110,23 @@ def signals(pairs: DataFrame, static_rules: Column) -> DataFrame:
     all_usable = usable("bot#1") & usable("bot#2") & usable("human#1") & usable("human#2")
     answered = [F.when(fact(n, "status") != 0, fact(n, "status")) for n in NAMES]
     codes = F.array_compact(F.array(*answered))
-    has_browser = _any(fact(n, "there") for n in BROWSERS)
+    has_browser = _any(fact(n, "there") & browser(n) for n in NAMES)
     client, pair_there = _pairs(lambda a, b: _any(~same(a, b, k) for k in MEANINGFUL))
     text, _ = _pairs(lambda a, b: ~same(a, b, "text_sha256"))
-    dom_there = {n: usable(n) & (fact(n, "length", "dom") > 0) for n in BROWSERS}
-    added = {n: F.array_sort(F.array_except(fact(n, "mechanisms", "dom"), fact(n, "mechanisms"))) for n in BROWSERS}
-    removed = {n: F.array_sort(F.array_except(fact(n, "mechanisms"), fact(n, "mechanisms", "dom"))) for n in BROWSERS}
-    changed = _any(dom_there[n] & ((F.size(added[n]) > 0) | (F.size(removed[n]) > 0) | ~F.col(f"`{n}`.html.text_sha256").eqNullSafe(F.col(f"`{n}`.dom.text_sha256"))) for n in BROWSERS)
+    dom_there = {n: usable(n) & browser(n) & (fact(n, "length", "dom") > 0) for n in NAMES}
+    added = {n: F.array_sort(F.array_except(fact(n, "mechanisms", "dom"), fact(n, "mechanisms"))) for n in NAMES}
+    removed = {n: F.array_sort(F.array_except(fact(n, "mechanisms"), fact(n, "mechanisms", "dom"))) for n in NAMES}
+    changed = _any(dom_there[n] & ((F.size(added[n]) > 0) | (F.size(removed[n]) > 0) | ~F.col(f"`{n}`.html.text_sha256").eqNullSafe(F.col(f"`{n}`.dom.text_sha256"))) for n in NAMES)
     scripts, _ = _pairs(lambda a, b: _apart(_scripts(a)[0], _scripts(b)[0]) | _apart(_scripts(a)[1], _scripts(b)[1]))
-    errors = _any((fact(n, "error") != "") | _any(fact(n, c) > 0 for c in ("blocked", "failed", "dialogs", "downloads", "popups")) for n in NAMES)
+    errors = _any((fact(n, "error") != "") | (browser(n) & ((fact(n, "body_error") != "") | _any(fact(n, c) > 0 for c in ("blocked", "failed", "dialogs", "downloads", "popups")))) for n in NAMES)
     hosts = {n: F.array_distinct(F.filter(F.transform(fact(n, "redirect_chain"), host_of), lambda h: h != "")) for n in NAMES}
     hops = {n: F.greatest(F.size(fact(n, "redirect_chain")) - 1, F.lit(0)) for n in NAMES}
     redirected = _any((hops[n] >= 2) | (F.size(hosts[n]) > 1) for n in NAMES)
-    moved = _any((fact(n, "client_navigations") > 0) | ((fact(n, "page_url") != "") & (fact(n, "page_url") != fact(n, "url"))) for n in BROWSERS)
-    snapshots = {n: F.col(f"`{n}`.early").isNotNull() for n in BROWSERS}
-    late = {n: F.array_sort(F.array_except(fact(n, "mechanisms", "dom"), fact(n, "mechanisms", "early"))) for n in BROWSERS}
-    delayed = _any(snapshots[n] & ((F.size(late[n]) > 0) | ((fact(n, "text_length", "early") == 0) & (fact(n, "text_length", "dom") > 0))) for n in BROWSERS)
-    blank = _any((fact(n, "status") != 0) & ((fact(n, "text_length") == 0) | (F.lit(n in BROWSERS) & (fact(n, "text_length", "dom") == 0))) for n in NAMES)
+    moved = _any(((fact(n, "client_navigations") > 0) | ((fact(n, "page_url") != "") & (fact(n, "page_url") != fact(n, "url")))) & browser(n) for n in NAMES)
+    snapshots = {n: browser(n) & F.col(f"`{n}`.early").isNotNull() for n in NAMES}
+    late = {n: F.array_sort(F.array_except(fact(n, "mechanisms", "dom"), fact(n, "mechanisms", "early"))) for n in NAMES}
+    delayed = _any(snapshots[n] & ((F.size(late[n]) > 0) | ((fact(n, "text_length", "early") == 0) & (fact(n, "text_length", "dom") > 0))) for n in NAMES)
+    blank = _any((fact(n, "status") != 0) & ((fact(n, "text_length") == 0) | (browser(n) & (fact(n, "text_length", "dom") == 0))) for n in NAMES)
     odd = lambda n: fact(n, "title").rlike(f"(?i){C.ERROR_TITLE}") | F.lower(F.coalesce(F.col(f"`{n}`.dom.title"), F.lit(""))).rlike(f"(?i){C.ERROR_TITLE}")
     error_page = _any((fact(n, "status") != 0) & (~fact(n, "status").between(200, 299) | odd(n)) for n in NAMES)
     plain = lambda a, b: fact(a, "status").between(200, 299) & (fact(a, "text_length") > 0) & (F.size(fact(a, "mechanisms")) == 0) & (F.size(fact(b, "mechanisms")) > 0)
@@ -137,14 +141,15 @@ def signals(pairs: DataFrame, static_rules: Column) -> DataFrame:
     referer, referer_keys, mobile, mobile_keys, by_key, only_first, status_first, accesses = (F.col(c) for c in ("__referer", "__referer_keys", "__mobile", "__mobile_keys", "__by_key", "__only", "__status_first", "__ordered"))
     accesses = F.size(accesses)
     join = lambda x: F.array_join(x, ",")
+    every = lambda by_name: join(F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(browser(n), c).otherwise(nothing()) for n, c in by_name.items()])))))
     rows = [
         ("client_type_response_difference", "ua_browser_type", _status(client | (F.size(by_key) > 0), pair_there), join(by_key)), ("referer_presence_effect", "referer", referer, join(referer_keys)), ("desktop_mobile_difference", "device", mobile, join(mobile_keys)),
         ("http_status_difference", "status_text_dom_js_errors", _status(F.size(F.array_distinct(codes)) > 1, F.size(codes) >= 2), F.concat_ws(",", *[F.concat(F.lit(f"{n}="), fact(n, "status").cast("string")) for n in NAMES])),
         ("visible_text_difference", "status_text_dom_js_errors", _status(text, pair_there), F.concat_ws(",", *[F.concat(F.lit(f"{n}="), fact(n, "text_length").cast("string")) for n in NAMES])),
-        ("js_modified_dom", "status_text_dom_js_errors", _status(changed, _any(dom_there.values()), has_browser), join(F.array_sort(F.array_union(added["human#1"], added["human#2"])))), ("script_inventory_difference", "status_text_dom_js_errors", _status(scripts, pair_there), F.lit("")),
+        ("js_modified_dom", "status_text_dom_js_errors", _status(changed, _any(dom_there.values()), has_browser), every(added)), ("script_inventory_difference", "status_text_dom_js_errors", _status(scripts, pair_there), F.lit("")),
         ("frontend_cloaking_code", "status_text_dom_js_errors", F.when(F.size(static_rules) > 0, "observed").otherwise("not_observed"), join(static_rules)), ("browser_errors", "status_text_dom_js_errors", _status(errors, F.lit(True)), F.concat_ws(",", *[fact(n, "error") for n in NAMES])),
         ("multi_hop_redirect", "redirect_delay_blank_decoy", _status(redirected, F.lit(True)), F.concat_ws(",", *[F.concat(F.lit(f"{n}="), hops[n].cast("string")) for n in NAMES])), ("client_side_redirect", "redirect_delay_blank_decoy", _status(moved, F.lit(True), has_browser), F.lit("")),
-        ("delayed_content", "redirect_delay_blank_decoy", _status(delayed, F.lit(True), _any(snapshots.values())), join(F.array_sort(F.array_union(late["human#1"], late["human#2"])))), ("blank_page", "redirect_delay_blank_decoy", _status(blank, F.size(codes) > 0), F.lit("")),
+        ("delayed_content", "redirect_delay_blank_decoy", _status(delayed, F.lit(True), _any(snapshots.values())), every(late)), ("blank_page", "redirect_delay_blank_decoy", _status(blank, F.size(codes) > 0), F.lit("")),
         ("error_page", "redirect_delay_blank_decoy", _status(error_page, F.size(codes) > 0), F.lit("")), ("decoy_candidate", "redirect_delay_blank_decoy", _status(decoy, pair_there), join(decoys)),
         ("repeat_instability", "repeat_observation", _status(repeats, sides), join(F.transform(F.col("__gaps"), lambda g: F.format_string("%.3f", g)))), ("first_access_only", "repeat_observation", _status((F.size(only_first) > 0) | status_first, accesses >= 2), join(only_first)),
     ]

@@ -299,7 +299,7 @@ _SIGNALS = [
     ("js_modified_dom", "status_text_dom_js_errors", _state(_or(f"({_ok(n)} AND coalesce({n}d.html, '') <> '' AND (len(added_{n}) > 0 OR len({_except(f'{n}.mechanisms', _dm(n))}) > 0 OR {n}.lower_text IS DISTINCT FROM {n}d.lower_text))" for n in _BROWSERS), _or(f"({_ok(n)} AND coalesce({n}d.html, '') <> '')" for n in _BROWSERS)), "array_to_string(list_sort(list_distinct(list_concat(added_h1, added_h2))), ',')"),
     ("script_inventory_difference", "status_text_dom_js_errors", _state(_PAIRED(lambda a, b: f"{_apart(f'{a}.inline', f'{b}.inline')} OR {_apart(_ext(a), _ext(b))}"), _THERE), "''"),
     ("frontend_cloaking_code", "status_text_dom_js_errors", "CASE WHEN len(static_rules) > 0 THEN 'observed' ELSE 'not_observed' END", "array_to_string(static_rules, ',')"),
-    ("browser_errors", "status_text_dom_js_errors", _state(_or(f"({n}.error <> '' OR {n}.stopped OR {n}.failed)" for n, _ in _NAMES)), " || ',' || ".join(f"{n}.error" for n, _ in _NAMES)),
+    ("browser_errors", "status_text_dom_js_errors", _state(_or(f"({n}.error <> '' OR ({n}.kind = 'browser' AND ({n}.stopped OR {n}.failed OR {n}.body_error <> '')))" for n, _ in _NAMES)), " || ',' || ".join(f"{n}.error" for n, _ in _NAMES)),
     ("multi_hop_redirect", "redirect_delay_blank_decoy", _state(_or(f"(greatest(len({n}.chain) - 1, 0) >= 2 OR len({_hostsof(n)}) > 1)" for n, _ in _NAMES)), " || ',' || ".join(f"'{name}=' || greatest(len({n}.chain) - 1, 0)" for n, name in _NAMES)),
     ("client_side_redirect", "redirect_delay_blank_decoy", _state(_or(f"({n}.client_navigations > 0 OR (coalesce({n}.page_url, '') <> '' AND {n}.page_url <> {n}.final))" for n in _BROWSERS)), "''"),
     ("delayed_content", "redirect_delay_blank_decoy", _state(_or(f"({n}e.page_id IS NOT NULL AND (len(late_{n}) > 0 OR (length(coalesce({n}e.text, '')) = 0 AND length(coalesce({n}d.text, '')) > 0)))" for n in _BROWSERS), "true", _or(f"{n}e.page_id IS NOT NULL" for n in _BROWSERS)), "array_to_string(list_sort(list_distinct(list_concat(late_h1, late_h2))), ',')"),

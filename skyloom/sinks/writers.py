@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as markup
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import url_hash
 from ..operators.results import BLIND, report_text
 
-DIFF_LINES, NAME_CHARS = 400, 60
+DIFF_LINES, NAME_CHARS, LIST_LINES = 400, 60, 100_000
 
 
 def _text_columns(rows: DataFrame, fields) -> DataFrame:
@@ -33,9 +34,20 @@ def append_csv(rows: DataFrame, path: str, fields) -> None:
     _text_columns(rows, fields).write.mode("append").csv(path, header=True, escape='"', emptyValue="")
 
 
+def _sharded(rows: DataFrame, key: str) -> DataFrame:
+    """With ``shard``, two digits of the key's hash: 256 folders, however many rows."""
+    return rows.withColumn("shard", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2))
+
+
 def write_artifacts(records: DataFrame, path: str, key: str = "record_id") -> None:
-    """Bodies and other evidence by record; fails if the folder exists."""
-    records.write.mode("errorifexists").partitionBy(key).parquet(path)
+    """Bodies and other evidence by record, in a folder for each two digits of the key's hash; fails if the folder exists."""
+    _sharded(records, key).write.mode("errorifexists").partitionBy("shard").parquet(path)
+
+
+def read_artifact(spark: SparkSession, path: str, key_value: str, key: str = "record_id") -> DataFrame:
+    """The rows of one record; only its shard's files are read."""
+    shard = hashlib.sha256(str(key_value).encode()).hexdigest()[:2]
+    return spark.read.parquet(path).filter((F.col("shard") == shard) & (F.col(key).cast("string") == str(key_value))).drop("shard")
 
 
 def audit_payload(rows: DataFrame, key: str) -> DataFrame:
@@ -52,12 +64,23 @@ def write_audit(rows: DataFrame, path: str, key: str) -> DataFrame:
     return payload.select(key, "sha256", F.lit(path).alias("audit_path"))
 
 
+def list_hash(urls: DataFrame, size: int = LIST_LINES) -> tuple[str, int]:
+    """A hash of a (line, url) list and its length: of the addresses in the order of their lines, one a line.
+
+    Longer lists than ``size`` lines are hashed in stretches of that many lines, and the hash is that of the stretches' hashes.
+    """
+    parts = urls.groupBy(F.expr(f"(line - 1) div {size}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("line", "url"))).alias("rows"))
+    hashes = parts.select("part", F.sha2(F.array_join(F.transform("rows", lambda r: r["url"]), "\n"), 256).alias("h"), F.size("rows").alias("n"))
+    whole = hashes.agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    found = [r["h"] for r in whole["all"]]
+    return (found[0] if len(found) == 1 else hashlib.sha256("\n".join(found).encode()).hexdigest()), whole["n"]
+
+
 def manifest(urls: DataFrame, settings: dict, **more) -> dict:
     """A run's settings and the hashes that tell whether two runs are alike: of the settings and of the list of addresses."""
     text = json.dumps(settings, sort_keys=True, ensure_ascii=True)
-    listed = urls.groupBy().agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "url"))), lambda r: r["url"]), "\n"), 256).alias("h"), F.count("*").alias("n")).first()
-    settings_hash = urls.sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
-    return {"observation_settings": settings, "run_config_sha256": settings_hash, "url_list_sha256": listed["h"], "n_urls": listed["n"]} | more
+    listed, n = list_hash(urls)
+    return {"observation_settings": settings, "run_config_sha256": hashlib.sha256(text.encode()).hexdigest(), "url_list_sha256": listed, "n_urls": n} | more
 
 
 def write_manifest(urls: DataFrame, path: str, settings: dict, **more) -> dict:
@@ -67,9 +90,9 @@ def write_manifest(urls: DataFrame, path: str, settings: dict, **more) -> dict:
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """Recorded pairs for annotators: the pages and the allowed facts only, in a folder named by the address's hash."""
+    """Recorded pairs for annotators: the pages and the allowed facts only, with the address's hash; one folder for each two digits of it."""
     pages = [c for c in ("bot_html", "human_html", "human_dom") if c in pairs.columns]
-    pairs.select(*BLIND, *pages, url_hash(F.col("url")).alias("url_hash")).write.mode("errorifexists").partitionBy("url_hash").json(path)
+    pairs.select(*BLIND, *pages, url_hash(F.col("url")).alias("url_hash")).withColumn("shard", F.substring("url_hash", 1, 2)).write.mode("errorifexists").partitionBy("shard").json(path)
 
 
 def write_projections(records: DataFrame, folder: str) -> None:
@@ -85,8 +108,8 @@ def report_name(url: Column) -> Column:
 
 
 def write_reports(results: DataFrame, path: str) -> None:
-    """The ten-line report of each page, in a folder of its name."""
-    results.select(report_name(F.col("url")).alias("name"), report_text().alias("value")).write.mode("errorifexists").partitionBy("name").text(path)
+    """The ten-line report of each page with its file name, as lines of JSON in a folder for each two digits of the name's hash."""
+    _sharded(results.select(report_name(F.col("url")).alias("name"), report_text().alias("report")), "name").write.mode("errorifexists").partitionBy("shard").json(path)
 
 
 @F.arrow_udf(T.StringType())

@@ -105,12 +105,25 @@ def test_audit_and_manifest(spark, tmp_path):
         writers.write_artifacts(df.withColumnRenamed("id", "record_id"), str(tmp_path / "art"))
 
 
+def test_long_lists_and_shards(spark, tmp_path):
+    lines = [(i, f"http://h/{i}") for i in range(1, 26)]
+    urls = spark.createDataFrame(lines, "line int, url string").repartition(4)
+    whole = lambda rows: hashlib.sha256("\n".join(u for _, u in rows).encode()).hexdigest()
+    assert writers.list_hash(urls) == (whole(lines), 25) and writers.list_hash(urls, 25) == (whole(lines), 25)
+    assert writers.list_hash(urls, 10) == (hashlib.sha256("\n".join(whole(lines[a : a + 10]) for a in (0, 10, 20)).encode()).hexdigest(), 25)
+    assert writers.list_hash(urls.limit(0))[1] == 0
+    writers.write_artifacts(spark.createDataFrame([(str(i), f"body {i}") for i in range(2000)], "record_id string, body string"), str(tmp_path / "art"))
+    assert len([x for x in (tmp_path / "art").iterdir() if x.is_dir()]) <= 256
+    one = writers.read_artifact(spark, str(tmp_path / "art"), "77")
+    assert [tuple(r) for r in one.collect()] == [("77", "body 77")] and "PartitionFilters: [isnotnull(shard" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_hold_no_verdict(spark, tmp_path):
     judged = report_catalog._judged(spark, DATA).filter("page_id < 3")
     pairs = results.blind_pairs(judged).withColumns({"bot_html": F.lit("<p>a</p>"), "human_html": F.lit("<p>b</p>"), "verdict": F.lit("phishing")})
     writers.write_pairs(pairs, str(tmp_path / "pairs"))
     got = spark.read.json(str(tmp_path / "pairs"))
-    assert set(got.columns) == {*results.BLIND, "bot_html", "human_html", "url_hash"} and got.count() == 3
+    assert set(got.columns) == {*results.BLIND, "bot_html", "human_html", "url_hash", "shard"} and got.count() == 3
     sheets = writers.annotation_sheets(pairs.withColumn("place", F.lit(1)), "bot_html", "human_html").first()
     assert "phishing" not in sheets["sheet"] and "&lt;p&gt;a" in sheets["sheet"] and sheets["sheet"].count("<iframe sandbox") == 2
     meta = tmp_path / "old" / "x"
@@ -132,7 +145,9 @@ def test_result_rows_have_one_shape(spark, tmp_path):
     both = good.unionByName(failed)
     assert both.select(results.report_text().alias("t")).filter(F.size(F.split("t", "\n")) == 10).count() == 5
     writers.write_reports(both, str(tmp_path / "reports"))
-    assert spark.read.text(str(tmp_path / "reports")).select("name").distinct().filter("length(name) <= 60").count() >= 4
+    written = spark.read.json(str(tmp_path / "reports"))
+    assert written.count() == both.count() and written.select("name").distinct().filter("length(name) <= 60").count() >= 4
+    assert all(len(r["report"].split("\n")) == 10 and r["shard"] == hashlib.sha256(r["name"].encode()).hexdigest()[:2] for r in written.withColumn("shard", F.col("shard").cast("string")).collect() if not r["shard"].isdigit())
     writers.write_projections(spark.createDataFrame([(2, "http://b/", "x"), (1, "http://a/", "y")], "line int, url string, label string"), str(tmp_path))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "urls.txt")).collect()) == ["http://a/", "http://b/"]
 

@@ -6,7 +6,7 @@ import codecs
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,3 +193,17 @@ def decode_body(body: pa.Array, content_type: pa.Array) -> pa.Array:
             rows.append({"text": text.encode("utf-8", "replace").decode(), "charset": f"{name.lower()}:{source}"})
             break
     return pa.array(rows, pa.struct([("text", pa.string()), ("charset", pa.string())]))
+
+
+def fill_document(df: DataFrame, body: str = "body", content_type: str = "content_type", url: str = "url", chars: int = DOCUMENT_CHARS) -> DataFrame:
+    """A recorded body as a document, in one step: content_type, charset, body_sha256, html_length (whole), truncated, html (cut), html_sha256, text_content, title, scripts.
+
+    A null body is an empty document; ``truncated`` also stays true where it was; other columns of these names are replaced.
+    """
+    new = ("content_type", "charset", "body_sha256", "html_length", "truncated", "html", "html_sha256", "text_content", "title", "scripts")
+    before = F.coalesce(F.col("truncated"), F.lit(False)) if "truncated" in df.columns else F.lit(False)
+    rows = df.withColumns({"__d": decode_body(F.col(body), F.col(content_type)), "__t": before, "content_type": F.coalesce(F.col(content_type), F.lit("")), "body_sha256": F.sha2(F.coalesce(F.col(body), F.lit(b"")), 256)})
+    rows = rows.withColumns({"html": F.substring("__d.text", 1, chars), "html_length": F.length("__d.text"), "charset": F.col("__d.charset")}).withColumn("truncated", F.col("__t") | (F.col("html_length") > chars))
+    scripts = F.struct(script_inventory(inline_scripts(F.col("html"))).alias("inline"), external_scripts(F.col("html"), F.coalesce(F.col(url), F.lit(""))).alias("external"))
+    rows = rows.withColumns({"html_sha256": F.sha2("html", 256), "text_content": visible_text(F.col("html")), "title": title(F.col("html")), "scripts": scripts})
+    return rows.select(*[c for c in df.columns if c not in (*new, body)], *new)

@@ -95,6 +95,17 @@ def test_no_page_text_crosses_the_pairing(spark):
     assert aggregates and not any(re.search(r"\b(?:dom_|early_)?html#\d+", line.split("AS", 1)[0]) for line in aggregates)
 
 
+def test_equal_pages_are_combined_before_their_shuffle(spark):
+    from skyloom.functions.pages import facts_once
+
+    pages = spark.createDataFrame([(i, f"<p>{i % 3}</p>", "https://a.example/") for i in range(300)], "k long, html string, url string").repartition(2)
+    out = facts_once(pages)
+    assert out.select("facts.html_sha256").distinct().count() == 3 and out.count() == 300
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(__key" in line and "html" in line)
+    assert "HashAggregate(keys=[__key" in lines[at + 1]
+
+
 def test_stream_keeps_first_sightings(spark, tmp_path):
     from skyloom.streaming.observations import first_seen
 

@@ -66,3 +66,20 @@ def test_chunks_and_measures(spark):
         assert all(b.startswith("\n") or len(a) == 20 for a, b in zip(r.c, r.c[1:], strict=False))  # a piece ends at a line end or is full
     out = {r.i: r for r in K.deobfuscate(rows).collect()}
     assert not out[0].changed and out[4].deobfuscated is None and not out[1].symbol_encoded
+
+
+def test_fill_document(spark):
+    import hashlib
+
+    from skyloom.functions import records
+
+    page = "<title>Ä page</title><script>var a = 1;</script><script src='/x.js'></script><p>text</p>"
+    rows = [(1, page.encode("latin-1"), "text/html; charset=latin-1", "https://a.example/d/", "own", False), (2, ("é" * 50).encode(), None, None, "own", False), (3, None, None, None, "own", True)]
+    df = spark.createDataFrame(rows, "id int, body binary, content_type string, url string, title string, truncated boolean")
+    got = {r.id: r for r in records.fill_document(df, chars=40).collect()}
+    assert got[1].charset == "latin-1:header" and got[1].html == page[:40] and got[1].html_length == len(page) and got[1].truncated and got[1].title == "Ä page"
+    assert got[1].body_sha256 == hashlib.sha256(page.encode("latin-1")).hexdigest() and got[1].html_sha256 == hashlib.sha256(page[:40].encode()).hexdigest()
+    assert (got[2].content_type, got[2].charset, got[2].html_length, got[2].text_content) == ("", "utf-8:default", 50, "é" * 40)
+    assert got[3].html == "" and got[3].truncated and got[3].scripts.inline == [] and got[3].body_sha256 == hashlib.sha256(b"").hexdigest()
+    whole = {r.id: r for r in records.fill_document(df).collect()}
+    assert not whole[1].truncated and whole[1].scripts.external == ["https://a.example/x.js"] and whole[1].scripts.inline[0].length == 10

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
 ``documents``. Between stages the rows are written to the shared folder as Parquet and read again.
+
+Defined cases, for every stage: null and empty texts are kept, except that one without words is taken as often as its source's
+rate says by the mix; null ids and null sources stay; repeated rows are rows of their own (the near-duplicate stage keeps one of
+each group, the mix makes new ones); very long texts are processed whole; extra columns, whatever their names, go with their rows up
+to packing, which returns pieces; an empty table gives no rows.
 """
 
 from __future__ import annotations

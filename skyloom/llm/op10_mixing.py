@@ -16,7 +16,7 @@ at ``most`` times its source's words and the excess goes to the others by weight
 limit over weight are full up to some place and the others share what is left. There is one row per source in that window.
 
 Defined cases: null text has size 0; null sources form a source of their own; null ids sort first; rows that repeat are
-sampled separately; a source without words gives no rows; empty input gives no rows; extra columns stay, and columns
+sampled separately; very long texts count by their words like others, a source of one of them takes it whole or twice; a source without words gives no rows; empty input gives no rows; extra columns stay, and columns
 named like the results, in any case, are replaced.
 """
 

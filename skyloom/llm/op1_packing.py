@@ -10,8 +10,9 @@ Token ids come from the tokenizer file by way of a bounded cache: texts of plain
 tokenizer's own pre-tokenizer splits them and each distinct piece is encoded once; all other texts (and those that
 spell a special token) are encoded whole.
 
-Defined cases: null text is empty (its document is the single end id); null ids stay null; repeated rows are packed once
-each; other columns are dropped.
+Defined cases: null or empty text is the single end id; null ids stay null; repeated rows are packed once each, so their pieces
+agree in doc_id and start; a very long text is held whole while it is encoded and fills sequences of its own, its remainder is
+packed like others; other columns, whatever their names, are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ made of products, sums and clips. Every byte of every text is read, in windows o
 
 Training takes a bounded sample: about ``most`` documents per language drawn by a hash of the id, ``spots`` excerpts of
 each. Defined cases: null texts and texts without letters are ``und`` with score 0; without training rows all texts are
-``und``; extra columns stay, and columns named like the results are replaced.
+``und``; of tied languages the first by name wins; repeated rows are predicted alike; very long texts are read whole in spans; extra
+columns stay, and columns named like the results are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

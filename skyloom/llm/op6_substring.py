@@ -13,7 +13,8 @@ shuffle (Spark reuses equal exchanges). Anchors, which only choose candidates, a
 Defined cases: null text has no words; a window is judged against the input, not what is left; rows with the same
 doc_id do not remove each other's words; rows with a null doc_id are kept whole and take part in no comparison; texts
 without removals are returned unchanged in ``kept_text``; a group holds one text at least, however long; extra columns
-stay, whatever their names, and columns named like the results, in any case, are replaced; an empty table gives no rows.
+stay, whatever their names, and columns named like the results, in any case, are replaced; an empty table gives no rows;
+repeated rows with one id keep equal texts equal; a very long text is one group of its own size.
 """
 
 from __future__ import annotations

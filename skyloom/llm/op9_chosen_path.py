@@ -15,7 +15,8 @@ A class of equal sets has a key of its own, whatever its ids, and its text is th
 Defined cases: A-Z are lower-cased; fewer than ``k`` words are one shingle; texts without words (or null) have no
 shingles and no links and are kept; rows that repeat an id count by their own texts, so an id can be in two components;
 a component's id is its smallest one, null only if all its ids are; of rows with null ids one is kept where a component
-has no other; ``near_duplicates`` drops other columns and ``keep_first`` keeps them all.
+has no other; very long texts are read one at a time when pairs are confirmed; ties of the smallest id go to the first row in file
+order; an empty table gives no rows; ``near_duplicates`` drops other columns and ``keep_first`` keeps them all.
 """
 
 from __future__ import annotations

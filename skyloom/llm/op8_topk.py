@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, forget
 
 SCALE, BLOCK, QUERIES, BUCKET, RANGES = 64, 32768, 8192, 512, 16
 
@@ -129,6 +129,15 @@ def _visit(k: int):
     return visit
 
 
+def dealt(rows: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """Candidates by range, block and query block, one copy for each query block that asks for the range; no other range is sent.
+
+    ``asked``: (dim, rng, asking), the query blocks by range, at most as many rows as there are ranges.
+    """
+    wanted = stats.join(asked, ["dim", "rng"]).select("dim", "rng", "blocks", "asking")
+    return rows.join(wanted, ["dim", "rng"]).select("dim", "rng", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("b"), F.explode("asking").alias("a"), "id", "v")
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block: int = BLOCK, queries: int = QUERIES, ranges: int = RANGES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * x) vectors for each query row."""
     spark = df.sparkSession
@@ -138,29 +147,33 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     rows = df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.coalesce(fine, F.lit(False)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), fits).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = durable(rows.withColumns({"dim": F.size("v"), "long": F.sqrt(squares)}))
+    made: list[str] = []
+    rows = durable(rows.withColumns({"dim": F.size("v"), "long": F.sqrt(squares)}), made)
     cuts = rows.agg(F.percentile_approx("long", [i / ranges for i in range(1, ranges)], 10000).alias("c")).first()["c"] or []
     rows = rows.withColumn("rng", F.lit(ranges) - F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("long"))))
     # blocks of about ``block`` candidates and 2^21 components at most, smaller where that leaves cores idle
     size = F.greatest(F.lit(1), F.least(F.lit(block), F.lit(1 << 21) / F.col("dim")))
     n = F.greatest(F.ceil(F.count("*") / size), F.least(F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))), F.ceil(F.count("*") / 2048)))
-    stats = durable(rows.groupBy("dim", "rng").agg(n.alias("blocks"), F.max("long").alias("most")))
+    stats = durable(rows.groupBy("dim", "rng").agg(n.alias("blocks"), F.max("long").alias("most")), made)
     first = stats.groupBy("dim").agg(F.min("rng").alias("rng"))
     h, asking = F.xxhash64("id"), max(1, -(-rows.filter("asks").count() // queries))
-    every = rows.join(stats, ["dim", "rng"]).withColumns({"b": F.pmod(h, F.col("blocks")), "a": F.explode(F.sequence(F.lit(0), F.lit(asking - 1)))}).select("dim", "rng", "b", "a", "id", "v")
     asks = rows.filter("asks").dropDuplicates(["id", "v"]).withColumn("a", F.pmod(h, F.lit(asking)).cast("int")).select("dim", "a", "id", "v", F.col("long").alias("q"))
     keys, out, blocks = ["dim", "rng", "b", "a"], "query_id long, vec_id long, score long", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
 
-    def search(to: DataFrame, candidates: DataFrame) -> DataFrame:
+    def search(to: DataFrame) -> DataFrame:
+        to = durable(to, made)
+        asked = to.groupBy("dim", "rng").agg(F.collect_set("a").alias("asking"))  # numbers of query blocks
+        candidates = dealt(rows, stats, asked)
         candidates = candidates.toDF(*candidates.columns)  # columns of its own, though both sides come from one table
         return durable(to.withColumn("b", blocks).select(*keys, "id", "v", "floor").groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_visit(k), out))
 
-    early = search(asks.join(first, "dim").join(stats.select("dim", "rng", "blocks"), ["dim", "rng"]).withColumn("floor", F.lit(None).cast("double")), every.join(first, ["dim", "rng"], "left_semi"))
+    early = search(asks.join(first, "dim").join(stats.select("dim", "rng", "blocks"), ["dim", "rng"]).withColumn("floor", F.lit(None).cast("double")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     told = early.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
     others = stats.join(first.withColumnRenamed("rng", "lead"), "dim").filter(F.col("rng") > F.col("lead")).drop("lead")
     need = F.col("floor").isNull() | (F.col("q") * F.col("most") * (1 + 1e-12) >= F.col("floor"))
-    late = search(asks.join(told, "id", "left").join(others, "dim").filter(need), every.join(first, ["dim", "rng"], "left_anti"))
+    late = search(asks.join(told, "id", "left").join(others, "dim").filter(need))
+    forget(spark, made)
     found = early.unionByName(late)
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import op4_toxicity as op4
 from skyloom.llm import op6_substring as op6
+from skyloom.llm import op8_topk as op8
 from skyloom.llm import op11_alignment as op11
 from skyloom.llm import op12_whitening as op12
 from skyloom.llm import op13_exact_dedup as op13
@@ -187,3 +188,28 @@ def test_substring_with_dotted_names(spark):
     df = spark.createDataFrame([(1, text, "x", "y"), (2, "lead " + text, "x", "y")], "doc_id long, text string, `a.b` string, `c``d` string")
     out = op6.without_repeats(df)
     assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "lead "}
+
+
+def test_topk_sends_only_what_is_asked(spark, monkeypatch):
+    """Long vectors settle most queries, so their ranges alone are sent; results are those of brute force."""
+    g = np.random.default_rng(5)
+    x = np.concatenate([g.normal(size=(60, 8)) * 40, g.normal(size=(540, 8)) * 0.2])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    sent, plain = [], op8.dealt
+
+    def counted(rows, stats, asked):
+        out = plain(rows, stats, asked)
+        sent.append((out.count(), rows.count()))
+        return out
+
+    monkeypatch.setattr(op8, "dealt", counted)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op8.top_k(df, F.col("vec_id") % 30 == 0, k=5, block=64, queries=8, ranges=8).collect())
+    v = np.floor(64 * x).astype(np.int64)
+    want = []
+    for q in range(0, 600, 30):
+        s = v @ v[q]
+        best = sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:5]
+        want += [(q, n, i, int(s[i])) for n, i in enumerate(best, 1)]
+    assert got == sorted(want)
+    blocks = -(-20 // 8)
+    assert len(sent) == 2 and sent[0][0] + sent[1][0] < blocks * sent[0][1] / 2  # all ranges to all query blocks would be blocks * rows

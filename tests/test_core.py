@@ -5,13 +5,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom import catalog, report_catalog
+from skyloom import catalog, detail_catalog, report_catalog
 from skyloom.functions import catalogue as C
 from skyloom.functions.pages import evaluate, signatures
 from skyloom.plans import observations as O
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.QUERIES | report_catalog.QUERIES, catalog.SQL | report_catalog.SQL
+QUERIES, SQL = catalog.QUERIES | report_catalog.QUERIES | detail_catalog.QUERIES, catalog.SQL | report_catalog.SQL | detail_catalog.SQL
 
 
 def rows(frame):

@@ -195,6 +195,22 @@ def test_similarity_against_python(spark):
     assert text.similarity(spark.createDataFrame([(1, None, None)], "k int, a string, b string"), "k", "a", "b").first()["similarity"] == 1.0
 
 
+def test_matching_blocks_are_those_of_difflib(spark):
+    import difflib
+    import random
+
+    from skyloom import report_catalog
+
+    r, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789é\U0001f600"
+    for _ in range(600):
+        known = letters[: r.choice((1, 3, 12, 64))]
+        a = "".join(r.choices(known, k=r.choice((0, 1, 30, 199, 200, 201, 700))))
+        b = "".join(r.choice(known) if r.random() < 0.1 else c for c in a)[r.randint(0, 9) :] if r.random() < 0.5 else "".join(r.choices(known, k=r.choice((0, 1, 30, 199, 200, 201, 700))))
+        assert text.matched(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()), (a, b)
+    pairs = report_catalog.QUERIES["text_similarity"](spark, DATA)
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # however few bytes they are
+
+
 def test_decode_body(spark):
     bodies = [
         (b"\xef\xbb\xbf\xc3\xa4", None, "ä", "utf-8:bom"), ("﻿ä".encode("utf-16-le"), None, "ä", "utf-16:bom"), (b"\xe4", "text/html; charset=ISO-8859-1", "ä", "iso-8859-1:header"), (b'<meta charset="windows-1252">\x80', "", '<meta charset="windows-1252">€', "windows-1252:meta"),

@@ -75,6 +75,26 @@ def test_no_page_exhausts_the_matcher(spark):
     assert facts(signatures(evaluate(pages)).select("k", "html", "url")).filter("facts.length > 0").count() == len(loops)
 
 
+def test_literals_are_found_in_one_pass(spark):
+    from skyloom.functions.pages import facts
+    from skyloom.functions.records import gates
+
+    assert C.needles(r"\b(?:crawler|spider)/i") == ("crawler", "spider") and C.needles("abcd|x") == () and C.needles("(?:abcd|efgh)?x") == ()
+    assert set(C.needles(r"<title>just a moment|(?:one|two (?:three|four))")) == {"<title>just a moment", "one", "two "}
+    assert all(C.needles(p) for _, _, p in C.GATES)
+    texts = [t for _, t, _ in HITS] + [t.upper() for _, t, _ in HITS] + ["<FORM action='https://a.example/x'><INPUT type=Password><SCRIPT src='https://b.example/c.js'></SCRIPT>", "\u212a\u0130 PASSWORD", ""]
+    pages = spark.createDataFrame([(i, t, "https://a.example/") for i, t in enumerate(texts)], "k int, html string, url string")
+    got = {r["k"]: r for r in facts(pages).select("k", "facts.*").collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["hits"].asDict() == {n: sum(bool(re.search(p, t, re.I | re.A)) for p in patterns) for n, (_, _, patterns) in C.CATEGORIES.items()}, t
+        assert got[i]["techniques"] == sorted(n for n, patterns in C.SIGNATURES.items() if any(re.search(p, t, re.I | re.A) for p in patterns)), t
+    last = got[len(texts) - 3]
+    assert last["forms"] == 1 and last["form_hosts"] == ["a.example"] and last["script_hosts"] == ["b.example"] and last["input_types"] == ["password"] and last["external"] == ["https://b.example/c.js"]
+    assert [r["g"] for r in pages.select("k", gates(F.col("html")).alias("g")).orderBy("k").collect()] == [got[i]["gates"] for i in range(len(texts))]
+    plan = facts(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "find(" in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_rules_of_every_observation(spark):
     got = QUERIES["observation_rules"](spark, DATA)
     pages = spark.read.parquet(f"{DATA}/pages.parquet").count()

@@ -115,6 +115,14 @@ def test_no_page_text_crosses_the_pairing(spark):
     assert aggregates and not any(re.search(r"\b(?:dom_|early_)?html#\d+", line.split("AS", 1)[0]) for line in aggregates)
 
 
+def test_blind_pairs_read_no_page(spark):
+    from skyloom import report_catalog
+
+    plan = report_catalog.QUERIES["blind_pair"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"ReadSchema: (\S+)", plan)
+    assert read and not any("html" in r for r in read)
+
+
 def test_equal_pages_are_combined_before_their_shuffle(spark):
     from skyloom.functions.pages import facts_once
 

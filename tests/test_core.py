@@ -154,6 +154,38 @@ def test_literals_are_found_as_by_a_plain_search(spark):
         assert r.h == [n for n in names if n.encode() in low], texts[r.i]
 
 
+def test_label_queries_read_pages_once_and_take_no_whole_text(spark):
+    from skyloom.operators import pairs as P
+
+    plan = QUERIES["cloaking_label"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert sum("html" in r for r in re.findall(r"ReadSchema: (\S+)", plan)) == 2  # distinct pages, and the keys of what was seen
+    facts = P.seen(O.everything(spark, DATA), wanted=P.brief(P.LABEL_FACTS)).schema["html"].dataType.names
+    assert "visible" in facts and "text_length" not in facts
+    assert C.needles("[0-9]{6}:[a-z0-9_-]{30}") == tuple(f"{d}:" for d in range(10)) and C.needles(r"(?:\\x[0-9a-f]{2}){25}") == ("\\x",)
+    assert C.needles("[0-9]{0,6}:[a-z]") == () and C.needles("[0-9]+:?x") == () and C.needles("(?:abcd){0,9}x") == ()
+
+
+def test_whether_there_is_visible_text(spark):
+    from skyloom.functions import records as R
+
+    parts = ["", " ", "<", ">", "<b>", "<script>x</script>", "<script>", "</script >", "<!--", "-->", "<style a>y</STYLE>", "<div ", "\u00a0", "\n", "x"]
+    texts = [None, *(a + b + c + d for a in parts for b in parts for c in parts for d in ("", ">", " <i>", "x")), "<b>" * 50_000, "<" * 50_000, "<!-- -->" * 50_000, "<a <!-- > -->" * 20_000 + ">"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", (F.length(R.visible_text(F.col("t"))) > 0).alias("whole"), R.has_text(F.col("t")).alias("quick"))
+    assert [texts[r.i][:99] for r in rows.filter("whole != quick").collect()] == []
+    assert rows.filter("quick").count() > 99 and rows.filter("NOT quick").count() > 99
+
+
+def test_equal_views_are_one_page(spark):
+    from skyloom.operators import pairs as P
+
+    some, urls = (None, "", "a", "b"), (None, "", "u", "v")
+    rows_ = [(h, d, e, u, p) for h in some for d in some for e in some for u in urls for p in urls]
+    obs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "i int, html string, dom_html string, early_html string, url string, page_url string")
+    one = P.page_rows(obs).select("o.i", F.explode("views").alias("view"), "body", "address")
+    assert rows(one.toPandas()) == rows(P.view_rows(obs).select("o.i", "view", "body", "address").toPandas())
+    assert P.page_rows(obs).groupBy("o.i", "body", "address").count().filter("count > 1").isEmpty()
+
+
 def test_white_space_of_visible_text(spark):
     from skyloom.functions import records as R
 

@@ -49,7 +49,7 @@ def apart(name, row):
     return row["id"] == "script_inventory_difference" and row["status"] == "observed" if "id" in row else "script_inventory_difference" in row["observed"].split("|")
 
 
-@pytest.mark.parametrize("name", ["signal_details", "signal_table"])
+@pytest.mark.parametrize("name", ["signal_details", "signal_table", "signals_summary"])
 def test_all_own_scripts_count_as_in_sql(spark, scripted, name):
     path, con = scripted
     got = QUERIES[name](spark, path).toPandas()

@@ -44,6 +44,18 @@ def scripted(spark, tmp_path_factory):
     return path, con
 
 
+def test_signals_carry_one_hash_of_own_scripts(spark):
+    from skyloom.functions import records as R
+    from skyloom.operators import pairs as P
+
+    facts = P.seen(O.everything(spark, DATA), wanted=P.SIGNAL_FACTS).schema["html"].dataType
+    assert "inline" not in facts.names and facts["inline_set"].dataType.simpleString() == "string"  # however many scripts a page has
+    cases = [["a", "b"], ["b", "a", "b"], ["ab"], ["a,b"], ["a"], [], [""]]
+    out = spark.createDataFrame(list(enumerate(cases)), "i int, s array<string>").select("i", R.script_set(F.col("s")).alias("h")).collect()
+    told = {r.i: r.h for r in out}
+    assert told[0] == told[1] and len(set(told.values())) == len(cases) - 1
+
+
 def apart(name, row):
     """Whether a row says that the scripts of its page differ by client."""
     return row["id"] == "script_inventory_difference" and row["status"] == "observed" if "id" in row else "script_inventory_difference" in row["observed"].split("|")
